@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontaminate
+from . import decontaminate, secrets
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,9 +21,11 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {
     name: _shipped(query)
     for name, query in {
+        "op6_secrets": secrets.op6_secrets,
         "op10_contamination": decontaminate.op10_contamination,
     }.items()
 }
 ORACLES = {
+    "op6_secrets": secrets.ORACLE,
     "op10_contamination": decontaminate.ORACLE,
 }
