@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontaminate, secrets
+from . import decontaminate, licenses, secrets
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,10 +22,12 @@ QUERIES = {
     name: _shipped(query)
     for name, query in {
         "op6_secrets": secrets.op6_secrets,
+        "op8_licenses": licenses.op8_licenses,
         "op10_contamination": decontaminate.op10_contamination,
     }.items()
 }
 ORACLES = {
     "op6_secrets": secrets.ORACLE,
+    "op8_licenses": licenses.ORACLE,
     "op10_contamination": decontaminate.ORACLE,
 }
