@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontaminate, licenses, secrets
+from . import decontaminate, licenses, secrets, token_files
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -21,6 +21,7 @@ def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Spark
 QUERIES = {
     name: _shipped(query)
     for name, query in {
+        "op1_token_files": token_files.op1_token_files,
         "op6_secrets": secrets.op6_secrets,
         "op8_licenses": licenses.op8_licenses,
         "op10_contamination": decontaminate.op10_contamination,
