@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontaminate, licenses, secrets, token_files, toxicity
+from . import decontaminate, language, licenses, secrets, token_files, toxicity
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,6 +22,7 @@ QUERIES = {
     name: _shipped(query)
     for name, query in {
         "op1_token_files": token_files.op1_token_files,
+        "op2_language": language.op2_language,
         "op3_toxicity": toxicity.op3_toxicity,
         "op6_secrets": secrets.op6_secrets,
         "op8_licenses": licenses.op8_licenses,
