@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontaminate, language, licenses, secrets, token_files, toxicity
+from . import decontaminate, language, licenses, secrets, token_files, topk, toxicity
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -26,11 +26,13 @@ QUERIES = {
         "op3_toxicity": toxicity.op3_toxicity,
         "op6_secrets": secrets.op6_secrets,
         "op8_licenses": licenses.op8_licenses,
+        "op9_topk": topk.op9_topk,
         "op10_contamination": decontaminate.op10_contamination,
     }.items()
 }
 ORACLES = {
     "op6_secrets": secrets.ORACLE,
     "op8_licenses": licenses.ORACLE,
+    "op9_topk": topk.ORACLE,
     "op10_contamination": decontaminate.ORACLE,
 }
