@@ -16,9 +16,13 @@ table gives no shards. Other columns are not looked at.
 
 from __future__ import annotations
 
+import json
 import os
+import re
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,43 +41,67 @@ LENGTH = 2048
 GROUP = 64
 #: Bytes of text that a shard holds on average.
 SHARD_BYTES = 16 << 20
+#: Texts that are encoded together.
+TOGETHER = 64
 
 
 class Encoder:
-    """Encodes texts piece by piece, pieces being what stands between ASCII blanks, and remembers short pieces.
+    """Encodes texts part by part and remembers the ids of parts.
 
-    That gives the ids of the whole text: this tokenizer's normalizer composes no character across a blank, its
-    splitting pattern matches none, and neither looks at what is around a piece.
+    A text is cut at ASCII blanks into units, and a unit between letters and others into pieces. The tokenizer gives
+    each piece the ids that it has in the whole text: its normalizer composes nothing across these borders in composed
+    text, and its splitting pattern has a border at each of them. Where that may not hold (apostrophes, special tokens,
+    decomposed characters, letters whose lower case depends on others or is decomposed), the unit stays whole; across a blank it always holds.
     """
 
-    #: Pieces that are remembered, and the characters of the longest of them.
-    MOST, LONGEST = 200_000, 64
+    #: Units and pieces that are remembered, the first that come; and the characters of the longest of them.
+    UNITS, PIECES, LONGEST = 600_000, 400_000, 48
+    _PIECES = re.compile(r"[^\W\d_]+|[\W\d_]+")
+    _WHOLE = re.compile("['\u03a3\u0130]|<\\|")
 
     def __init__(self, path: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.end = np.array([end_id], self.kind).tobytes()
-        self.known: dict[str, bytes] = {"": b""}
-
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) + len(pieces) > self.MOST:
-            self.known = {"": b""}
-        for piece, got in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = np.array(got.ids, self.kind).tobytes()
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids with the end id, as little-endian numbers."""
-        pieces = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        if new := [p for p in dict.fromkeys(pieces) if p not in self.known]:
-            if len(new) > self.MOST // 2 or max(map(len, new)) > self.LONGEST:
-                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes() + self.end
-            self._learn(new)
-            if len(self.known) <= len(new) + 1:  # forgotten meanwhile
-                self._learn([p for p in dict.fromkeys(pieces) if p not in self.known])
-        return b"".join([*map(self.known.__getitem__, pieces), self.end])
+        # For runs of lower-case ASCII letters there is nothing to normalize and nothing to split.
+        rules = json.loads(self.tokenizer.to_str())
+        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+        self.plain = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": level}))
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
+        self.end = array(self.code, [end_id]).tobytes()
+        self.units: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {}
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """The ids of each text with the end id, as little-endian numbers."""
+        cut = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        passing = self._learn(list(set().union(*cut).difference(self.units)))
+        for units in cut:
+            yield b"".join(map(self.units.__getitem__, units)) + self.end
+        for u in passing:
+            del self.units[u]
+
+    def _learn(self, units: list[str]) -> list[str]:
+        """Adds new units; returns those that are not to be remembered."""
+        joined = " ".join(units)
+        if self._WHOLE.search(joined) or not unicodedata.is_normalized("NFC", joined):
+            split = [[u] if self._WHOLE.search(u) or not unicodedata.is_normalized("NFC", u) else self._PIECES.findall(u.lower()) for u in units]
+        else:
+            split = list(map(self._PIECES.findall, joined.lower().split(" "))) if units else []
+        new = set().union(*split).difference(self.pieces)
+        plain = [p for p in new if p.isascii() and p.isalpha() and p.islower()]
+        other = list(new.difference(plain))
+        ids = {p: array(self.code, e.ids).tobytes() for some, by in ((plain, self.plain), (other, self.tokenizer)) for p, e in zip(some, by.encode_batch_fast(some, add_special_tokens=False), strict=True)}
+        room = self.PIECES - len(self.pieces)
+        self.pieces.update(ids)
+        room_units = self.UNITS - len(self.units)
+        self.units.update(zip(units, [b"".join(map(self.pieces.__getitem__, x)) for x in split], strict=True))
+        for i, p in enumerate(ids):
+            if i >= room or len(p) > self.LONGEST:
+                del self.pieces[p]
+        return [u for i, u in enumerate(units) if i >= room_units or len(u) > self.LONGEST]
 
 
 def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
@@ -169,10 +197,10 @@ def _write(folder: str, tokenizer: str, end_id: int, length: int):
             packer, index = _Packer(sink, encoder.kind, length), pa.ipc.new_file(index_sink, _INDEX)
             while first is not None:
                 sizes = []
-                for text in first.column(1).to_pylist():
-                    data = encoder.encode(text)
-                    packer.add(data)
-                    sizes.append(len(data) // encoder.kind.itemsize)
+                for i in range(0, first.num_rows, TOGETHER):
+                    for data in encoder.encode_all(first.column(1).slice(i, TOGETHER).to_pylist()):
+                        packer.add(data)
+                        sizes.append(len(data) // encoder.kind.itemsize)
                 ends = position + np.cumsum(sizes)
                 index.write_batch(pa.RecordBatch.from_arrays([first.column(0), pa.array(ends - sizes), pa.array(sizes, pa.int64())], schema=_INDEX))
                 position, n_docs = int(ends[-1]), n_docs + len(sizes)
