@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontaminate, language, licenses, secrets, token_files, topk, toxicity
+from . import decontaminate, language, licenses, mixing, secrets, token_files, topk, toxicity
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -25,6 +25,7 @@ QUERIES = {
         "op2_language": language.op2_language,
         "op3_toxicity": toxicity.op3_toxicity,
         "op6_secrets": secrets.op6_secrets,
+        "op7_mixing": mixing.op7_mixing,
         "op8_licenses": licenses.op8_licenses,
         "op9_topk": topk.op9_topk,
         "op10_contamination": decontaminate.op10_contamination,
@@ -32,6 +33,7 @@ QUERIES = {
 }
 ORACLES = {
     "op6_secrets": secrets.ORACLE,
+    "op7_mixing": mixing.ORACLE,
     "op8_licenses": licenses.ORACLE,
     "op9_topk": topk.ORACLE,
     "op10_contamination": decontaminate.ORACLE,
