@@ -16,7 +16,6 @@ table gives no shards. Other columns are not looked at.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 import unicodedata
@@ -42,66 +41,67 @@ GROUP = 64
 #: Bytes of text that a shard holds on average.
 SHARD_BYTES = 16 << 20
 #: Texts that are encoded together.
-TOGETHER = 64
+TOGETHER = 256
 
 
 class Encoder:
-    """Encodes texts part by part and remembers the ids of parts.
+    """Encodes texts piece by piece and remembers the ids of pieces.
 
-    A text is cut at ASCII blanks into units, and a unit between letters and others into pieces. The tokenizer gives
-    each piece the ids that it has in the whole text: its normalizer composes nothing across these borders in composed
-    text, and its splitting pattern has a border at each of them. Where that may not hold (apostrophes, special tokens,
-    decomposed characters, letters whose lower case depends on others or is decomposed), the unit stays whole; across a blank it always holds.
+    Lower-cased Latin text is cut into runs of letters, single digits and runs of other signs, and blanks go. The
+    tokenizer gives each piece the ids that it has in the whole text: its normalizer composes nothing across these
+    borders in composed text, and its splitting pattern has a border at each of them. Where that may not hold
+    (apostrophes, underlines, special tokens, other scripts, decomposed characters), what stands between ASCII blanks
+    stays whole; across a blank it always holds.
     """
 
-    #: Units and pieces that are remembered, the first that come; and the characters of the longest of them.
-    UNITS, PIECES, LONGEST = 600_000, 400_000, 48
-    _PIECES = re.compile(r"[^\W\d_]+|[\W\d_]+")
-    _WHOLE = re.compile("['\u03a3\u0130]|<\\|")
+    #: Pieces that are remembered, the first that come; and the characters of the longest of them.
+    MOST, LONGEST = 250_000, 48
+    _PIECES = re.compile(r"[^\W\d_]+|\d|[^\w\s]+")
+    _WHOLE = re.compile("['_\u0130\x1c-\x1f\x80-\x9f]|[^\0-\u024f\u2010-\u2027\u20ac]|<\\|")
 
     def __init__(self, path: str, end_id: int) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # For runs of lower-case ASCII letters there is nothing to normalize and nothing to split.
-        rules = json.loads(self.tokenizer.to_str())
-        level = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
-        self.plain = Tokenizer.from_str(json.dumps(rules | {"normalizer": None, "pre_tokenizer": level}))
+        # Runs of lower-case letters need no normalizer and no splitting: the model takes them with their bytes as letters.
+        self.model = self.tokenizer.model
+        kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.letters = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(kept)))}
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
         self.end = array(self.code, [end_id]).tobytes()
-        self.units: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+
+    def _cut(self, text: str | None) -> list[str]:
+        if not text:
+            return []
+        if not self._WHOLE.search(text) and unicodedata.is_normalized("NFC", text):
+            return self._PIECES.findall(text.lower())
+        out: list[str] = []
+        for unit in text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" "):
+            if self._WHOLE.search(unit) or not unicodedata.is_normalized("NFC", unit):
+                out.append(unit)
+            else:
+                out += self._PIECES.findall(unit.lower())
+        return out
 
     def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text with the end id, as little-endian numbers."""
-        cut = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        passing = self._learn(list(set().union(*cut).difference(self.units)))
-        for units in cut:
-            yield b"".join(map(self.units.__getitem__, units)) + self.end
-        for u in passing:
-            del self.units[u]
-
-    def _learn(self, units: list[str]) -> list[str]:
-        """Adds new units; returns those that are not to be remembered."""
-        joined = " ".join(units)
-        if self._WHOLE.search(joined) or not unicodedata.is_normalized("NFC", joined):
-            split = [[u] if self._WHOLE.search(u) or not unicodedata.is_normalized("NFC", u) else self._PIECES.findall(u.lower()) for u in units]
-        else:
-            split = list(map(self._PIECES.findall, joined.lower().split(" "))) if units else []
-        new = set().union(*split).difference(self.pieces)
-        plain = [p for p in new if p.isascii() and p.isalpha() and p.islower()]
+        cut = list(map(self._cut, texts))
+        new = set().union(*cut).difference(self.known)
+        room = self.MOST - len(self.known)
+        plain = [p for p in new if p.isalpha() and not self._WHOLE.search(p)]
         other = list(new.difference(plain))
-        ids = {p: array(self.code, e.ids).tobytes() for some, by in ((plain, self.plain), (other, self.tokenizer)) for p, e in zip(some, by.encode_batch_fast(some, add_special_tokens=False), strict=True)}
-        room = self.PIECES - len(self.pieces)
-        self.pieces.update(ids)
-        room_units = self.UNITS - len(self.units)
-        self.units.update(zip(units, [b"".join(map(self.pieces.__getitem__, x)) for x in split], strict=True))
-        for i, p in enumerate(ids):
+        tokenize, code = self.model.tokenize, self.code
+        as_letters = [p if p.isascii() else p.encode().decode("latin-1").translate(self.letters) for p in plain]
+        self.known.update(zip(plain, [array(code, [t.id for t in tokenize(p)]).tobytes() for p in as_letters], strict=True))
+        self.known.update(zip(other, [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)], strict=True))
+        for pieces in cut:
+            yield b"".join(map(self.known.__getitem__, pieces)) + self.end
+        for i, p in enumerate(new):
             if i >= room or len(p) > self.LONGEST:
-                del self.pieces[p]
-        return [u for i, u in enumerate(units) if i >= room_units or len(u) > self.LONGEST]
+                del self.known[p]
 
 
 def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
