@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontaminate, jaccard, language, licenses, mixing, secrets, token_files, topk, toxicity
+from . import decontaminate, jaccard, language, licenses, mixing, secrets, surrogates, token_files, topk, toxicity
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -24,6 +24,7 @@ QUERIES = {
         "op1_token_files": token_files.op1_token_files,
         "op2_language": language.op2_language,
         "op3_toxicity": toxicity.op3_toxicity,
+        "op4_surrogates": surrogates.op4_surrogates,
         "op5_jaccard": jaccard.op5_jaccard,
         "op6_secrets": secrets.op6_secrets,
         "op7_mixing": mixing.op7_mixing,
