@@ -81,3 +81,17 @@ def batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 4096) -> Itera
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def filtered(docs: DataFrame, decide, column: str = "text") -> DataFrame:
+    """Rows whose value in a column is kept; all columns pass as they are.
+
+    ``decide`` is called in each task and gives a function from a list of values to a list of booleans.
+    """
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = decide()
+        for batch in source:
+            yield batch.filter(pa.array(keep(batch.column(batch.schema.get_field_index(column)).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BYTES, WORD_PATTERN, bucket, words_of, written
+from .common import WORD_PATTERN, bucket, filtered, table, words_of, written
 
 WINDOW = 13
 #: Bytes of item text for which one automaton is built; more items go to further groups.
@@ -87,6 +87,10 @@ def original_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, i
     return [(places[a][0], places[b - 1][1]) for a, b in spans]
 
 
+def is_contaminated(n_hit: int, n_words: int) -> bool:
+    return n_hit > 0 and SHARE * n_hit >= n_words
+
+
 _LOWER = {c: c + 32 for c in range(65, 91)}
 _SPANS = pa.list_(pa.int32())
 _STATE = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("hit", _SPANS), ("items", pa.list_(pa.string()))])
@@ -133,7 +137,7 @@ def _scan(held, last: bool):
                 n_hit, n_words = sum(b - a for a, b in spans), len(words)
                 digest = hashlib.sha256(",".join(ids).encode()).hexdigest()
                 places = original_spans(text, spans)
-                rows.append((doc, n_words, n_hit, len(ids), digest, n_hit > 0 and SHARE * n_hit >= n_words, ids, [a for a, _ in places], [b for _, b in places]))
+                rows.append((doc, n_words, n_hit, len(ids), digest, is_contaminated(n_hit, n_words), ids, [a for a, _ in places], [b for _, b in places]))
             schema = _OUT if last else _STATE
             columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
@@ -141,6 +145,18 @@ def _scan(held, last: bool):
     return run
 
 
+def _groups(items: DataFrame, group_bytes: int) -> int:
+    size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
+    return max(1, -(-size // group_bytes))
+
+
+def _keyed_windows(items: DataFrame, groups: int, g: int, window: int) -> tuple[str, dict[bytes, list[str]]]:
+    """Windows of a group of items: about ``group_bytes`` of item text, so they may be broadcast."""
+    part = items.filter(bucket("item", groups) == g) if groups > 1 else items
+    windows = item_windows([(r[0], r[1]) for r in part.collect()], window)
+    return hashlib.sha256(repr(sorted(windows.items())).encode()).hexdigest(), windows
+
+
 def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
     """One row per document: words, hit words, items found with a digest, the decision, and hit spans in the original.
 
@@ -148,25 +164,48 @@ def find_contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id"
     """
     spark = docs.sparkSession
     items = items.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("item_text"))
-    size = items.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
-    groups = max(1, -(-size // group_bytes))
+    groups = _groups(items, group_bytes)
     state = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     for g in range(groups):
-        # Each group is of bounded size: about group_bytes of item text.
-        part = items.filter(bucket("item", groups) == g) if groups > 1 else items
-        windows = item_windows([(r[0], r[1]) for r in part.collect()], window)
-        key = hashlib.sha256(repr(sorted(windows.items())).encode()).hexdigest()
         last = g == groups - 1
-        state = state.mapInArrow(_scan(spark.sparkContext.broadcast((key, windows)), last), OUT_DDL if last else _STATE_DDL)
+        held = spark.sparkContext.broadcast(_keyed_windows(items, groups, g, window))
+        state = state.mapInArrow(_scan(held, last), OUT_DDL if last else _STATE_DDL)
         if not last:
             state = written(state, "contamination")
     return state
 
 
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, group_bytes: int = GROUP_BYTES) -> DataFrame:
+    """Documents that are not contaminated, with all their columns."""
+    spark = docs.sparkSession
+    items = items.select(F.col("item_id").alias("item"), F.col("text").alias("item_text"))
+    groups = _groups(items, group_bytes)
+    if groups > 1:
+        # Hits of all groups count together, so the decision is made on the texts and joined by what they are.
+        texts = docs.select(F.xxhash64("text").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+        found = find_contamination(texts, items, item_col="item", item_text_col="item_text", window=window, group_bytes=group_bytes)
+        bad = found.filter("contaminated").select(F.col("doc_id").alias("__text_hash"))
+        return docs.withColumn("__text_hash", F.xxhash64("text")).join(bad, "__text_hash", "left_anti").drop("__text_hash")
+    held = spark.sparkContext.broadcast(_keyed_windows(items, 1, 0, window))
+
+    def decide():
+        built = _automaton_of(held)
+
+        def keep(texts: list[str | None]) -> list[bool]:
+            out = []
+            for text in texts:
+                words = words_of(text)
+                n_hit = sum(b - a for a, b in merged([(a, b) for a, b, _ in occurrences(built, words)]))
+                out.append(not is_contaminated(n_hit, len(words)))
+            return out
+
+        return keep
+
+    return filtered(docs, decide)
+
+
 def op10_contamination(spark, sf_dir: str) -> DataFrame:
     """One row per document with the columns of the contract."""
-    from .common import table
-
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "hit_starts", "hit_ends")
 
 

@@ -239,3 +239,13 @@ def jaccard_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The document with the least id of each class, with all its columns; of repeated rows one. Rows with a null id stay."""
+    names = ("__text_hash", "__doc_id")
+    kept = jaccard_classes(docs).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__kept_hash")).distinct()
+    rows = docs.withColumn("__text_hash", F.xxhash64("text"))
+    same = (F.col("doc_id").cast("long") == F.col("__doc_id")) & (F.col("__text_hash") == F.col("__kept_hash"))
+    first = rows.join(kept, same).dropDuplicates(list(names)).drop("__kept_hash", *names)
+    return first.unionByName(rows.filter(F.col("doc_id").isNull()).drop("__text_hash"))

@@ -132,6 +132,11 @@ def _digits(docs: DataFrame) -> int:
     return digits
 
 
+def mixed(docs: DataFrame) -> DataFrame:
+    """Documents as often as the mix takes them, with all their columns."""
+    return mix(docs, carry=True).select("doc", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("doc.*")
+
+
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies")
 

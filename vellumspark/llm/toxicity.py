@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import filtered, table
 
 #: Labelled rows to learn from, of either label. The fit costs the same at every size of the corpus.
 SAMPLE = {1: 3000, 0: 5000}
@@ -257,3 +257,13 @@ def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
 def op3_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, fit(docs, table(spark, sf_dir, "labels"))).drop("terms")
+
+
+def drop_toxic(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """Documents that are not predicted toxic, with all their columns."""
+
+    def decide():
+        built = lexicon.automaton()
+        return lambda texts: [lexicon.score(features(built, folded_words(t))[:2]) < 0.5 for t in texts]
+
+    return filtered(docs, decide)
