@@ -233,6 +233,8 @@ def jaccard_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOL
     linked = linked.join(names, "root").select("node", "class_id", "texts", "docs")
     result = classes.select("node", "rep", "copies").join(linked, "node", "left")
     result = result.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
+    # Written, so that both sides of the last join are plain exchanges and a class of very many copies can be split.
+    result = written(result, "results")
     out = signed.select("doc_id", "text_hash", F.when(F.col("key").isNotNull() & F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(result, "node", "left")
     return out.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"))
 
