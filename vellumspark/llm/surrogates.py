@@ -53,7 +53,7 @@ PATTERNS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": rf"(?<![\d+])(?:{_CARD})(?!\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "person": rf"(?<!\p{{L}})(?:(?:{_FORMS})\.?|M\.) {_NAME}(?: {_NAME}){{0,2}}",
+    "person": rf"(?<!\p{{L}})(?=[MFSDHPгГΚ])(?:(?:{_FORMS})\.?|M\.) {_NAME}(?: {_NAME}){{0,2}}",
 }
 _ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
@@ -63,8 +63,13 @@ def _hash(*parts: Column | str) -> Column:
     return F.conv(F.substring(F.sha2(F.concat_ws("|", *(p if isinstance(p, Column) else F.lit(p) for p in parts)), 256), 1, 12), 16, 10).cast("long")
 
 
+def _let(value: Column, body) -> Column:
+    """The body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _chars(s: Column) -> Column:
-    return F.when(F.length(s) > 0, F.transform(F.sequence(F.lit(1), F.length(s)), lambda i: F.substr(s, i, F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    return F.regexp_extract_all(s, F.lit("(?s)."), F.lit(0))
 
 
 def _shifted(c: Column, by: Column) -> Column:
@@ -90,11 +95,14 @@ def _refilled(form: Column, digits: Column) -> Column:
     """The form with its digits replaced in order."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
-    def put(state: Column, c: Column) -> Column:
-        is_digit = c.between("0", "9")
-        return F.struct(F.concat(state["out"], F.when(is_digit, F.substr(digits, state["at"], F.lit(1))).otherwise(c)).alias("out"), (state["at"] + is_digit.cast("int")).alias("at"))
+    def filled(new: Column) -> Column:
+        def put(state: Column, c: Column) -> Column:
+            is_digit = c.between("0", "9")
+            return F.struct(F.concat(state["out"], F.when(is_digit, F.substr(new, state["at"], F.lit(1))).otherwise(c)).alias("out"), (state["at"] + is_digit.cast("int")).alias("at"))
 
-    return F.aggregate(_chars(form), start, put, lambda s: s["out"])
+        return F.aggregate(_chars(form), start, put, lambda s: s["out"])
+
+    return _let(digits, filled)
 
 
 def _cased(text: Column, like: Column) -> Column:
@@ -121,8 +129,7 @@ def _ip(m: Column, key: str) -> Column:
         return F.struct(a.alias("a"), ((s["b"] + _hash(key, "pi", i.cast("string"), a.cast("string"))) % 4096).alias("b"))
 
     done = F.aggregate(F.sequence(F.lit(1), F.lit(3)), state, turn, lambda s: s["a"] * 4096 + s["b"])
-    # An array of one makes the sum stand once.
-    return F.element_at(F.transform(F.array(done), lambda v: F.concat_ws(".", F.get(part, F.lit(0)), (v / 65536).cast("long").cast("string"), (v / 256).cast("long") % 256, v % 256)), 1)
+    return _let(done, lambda v: F.concat_ws(".", F.get(part, F.lit(0)), (v / 65536).cast("long").cast("string"), (v / 256).cast("long") % 256, v % 256))
 
 
 def _check_digit(digits: Column) -> Column:
@@ -136,7 +143,7 @@ def _card(m: Column, key: str) -> Column:
     head, last = F.substr(digits, F.lit(1), F.length(digits) - 1), F.right(digits, F.lit(1)).cast("int")
     new = F.concat(F.left(digits, F.lit(1)), cipher(F.substr(head, F.lit(2)), key, "card"))
     # A number whose check digit is off by so much stays off by as much.
-    return _refilled(m, F.concat(new, ((_check_digit(new) + last - _check_digit(head) + 10) % 10).cast("string")))
+    return _refilled(m, _let(new, lambda v: F.concat(v, ((_check_digit(v) + last - _check_digit(head) + 10) % 10).cast("string"))))
 
 
 def _phone(m: Column, key: str) -> Column:
@@ -151,16 +158,20 @@ def _phone(m: Column, key: str) -> Column:
 def _iban(m: Column, key: str) -> Column:
     plain = F.regexp_replace(m, " ", "")
     account = F.upper(cipher(F.lower(F.substr(plain, F.lit(5))), key, "iban"))
-    number = F.concat(account, F.left(plain, F.lit(2)), F.lit("00"))
     value = lambda c: F.when(c.between("0", "9"), c.cast("int")).otherwise(F.ascii(c) - 55)
-    rest = F.aggregate(_chars(number), F.lit(0), lambda a, c: F.when(value(c) > 9, a * 100 + value(c)).otherwise(a * 10 + value(c)) % 97)
-    new = F.concat(F.left(plain, F.lit(2)), F.lpad((98 - rest).cast("string"), 2, "0"), account)
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
-    def put(state: Column, c: Column) -> Column:
-        return F.struct(F.concat(state["out"], F.when(c == " ", c).otherwise(F.substr(new, state["at"], F.lit(1)))).alias("out"), (state["at"] + (c != " ").cast("int")).alias("at"))
+    def checked(own: Column) -> Column:
+        rest = F.aggregate(_chars(F.concat(own, F.left(plain, F.lit(2)), F.lit("00"))), F.lit(0), lambda a, c: F.when(value(c) > 9, a * 100 + value(c)).otherwise(a * 10 + value(c)) % 97)
+        return F.concat(F.left(plain, F.lit(2)), F.lpad((98 - rest).cast("string"), 2, "0"), own)
+
+    def filled(new: Column) -> Column:
+        def put(state: Column, c: Column) -> Column:
+            return F.struct(F.concat(state["out"], F.when(c == " ", c).otherwise(F.substr(new, state["at"], F.lit(1)))).alias("out"), (state["at"] + (c != " ").cast("int")).alias("at"))
 
-    return F.aggregate(_chars(m), start, put, lambda s: s["out"])
+        return F.aggregate(_chars(m), start, put, lambda s: s["out"])
+
+    return _let(_let(account, checked), filled)
 
 
 def _script(word: Column) -> Column:
@@ -210,18 +221,19 @@ def kind_of(m: Column) -> Column:
 
 
 def surrogate(m: Column, key: str, syllables: int = SYLLABLES) -> Column:
-    kind = kind_of(m)
-    return (
-        F.when(kind == "email", _email(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "iban", _iban(m, key)).when(kind == "ssn", _refilled(m, cipher(_digits(m), key, "ssn")))
-        .when(kind == "card", _card(m, key)).when(kind == "phone", _phone(m, key)).otherwise(_person(m, key, syllables))
-    )
+    def of(kind: Column) -> Column:
+        return (
+            F.when(kind == "email", _email(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "iban", _iban(m, key)).when(kind == "ssn", _refilled(m, cipher(_digits(m), key, "ssn")))
+            .when(kind == "card", _card(m, key)).when(kind == "phone", _phone(m, key)).otherwise(_person(m, key, syllables))
+        )
+
+    return _let(kind_of(m), of)
 
 
 def _identity(m: Column) -> Column:
     """What entities are told apart by: case of addresses and separators of numbers don't count."""
-    kind = kind_of(m)
-    plain = F.when(kind == "email", F.lower(m)).when(kind.isin("iban"), F.regexp_replace(m, " ", "")).when(kind.isin("ssn", "card", "phone"), _digits(m)).otherwise(m)
-    return F.concat_ws(":", kind, plain)
+    plain = lambda kind: F.when(kind == "email", F.lower(m)).when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind.isin("ssn", "card", "phone"), _digits(m)).otherwise(m)
+    return _let(kind_of(m), lambda kind: F.concat_ws(":", kind, plain(kind)))
 
 
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -231,7 +243,7 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def collisions(found: DataFrame, key: str, syllables: int) -> int:
     """How many surrogates stand for more than one entity."""
-    pairs = found.select(_identity(F.col("entity")).alias("own"), surrogate(F.col("entity"), key, syllables).alias("new")).select("own", _identity(F.col("new")).alias("new")).distinct()
+    pairs = found.select(_identity(F.col("entity")).alias("own"), _let(surrogate(F.col("entity"), key, syllables), _identity).alias("new")).distinct()
     return pairs.groupBy("new").count().filter("count > 1").count()
 
 
