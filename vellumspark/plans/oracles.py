@@ -1 +1,126 @@
-ORACLES: dict[str, str] = {}
+"""SQL for the queries over the driver's tables, for DuckDB.
+
+Its regular expressions know no lookaround, so whole words are found by doubling every character that is none, and
+sentence ends by marking them first. White space and word characters are written as their Unicode classes.
+"""
+
+from __future__ import annotations
+
+from .queries import _FLAT, ARTICLE, FILES, KEYWORDS
+
+_S = r"[\s\v\p{Z}\x1c-\x1f\x{85}]"
+_SUFFIX = "(?:s|es|is|ns|ais|eis|ais|ies|ed|ing)?"
+
+
+def _fold(x: str) -> str:
+    return f"strip_accents(lower({x}))"
+
+
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_S}+|{_S}+$', '', 'g')"
+
+
+def _words(x: str) -> str:
+    return f"CAST(len(regexp_extract_all({x}, '[^\\s\\v\\p{{Z}}\\x1c-\\x1f\\x{{85}}]+')) AS INTEGER)"
+
+
+def _total(text: str, keyword: str, flexible: bool) -> str:
+    """Whole-word occurrences: separators are doubled, so that neighbours don't share one."""
+    import unicodedata
+
+    folded = "".join(c for c in unicodedata.normalize("NFKD", keyword.lower()) if not unicodedata.combining(c))
+    parts = [p + (_SUFFIX if flexible else "") for p in folded.replace("-", " ").split()]
+    body = r"(?:[\s\v\p{Z}\-])+".join(parts)
+    word = r"\p{L}\p{N}_"
+    doubled = f"regexp_replace({_fold(text)}, '([^{word}])', '\\1\\1', 'g')"
+    return f"CAST(len(regexp_extract_all({doubled}, '(?:^|[^{word}]){body}(?:[^{word}]|$)')) AS INTEGER)"
+
+
+def _per_keyword(columns: str, words: list[str], flexible: bool, source: str, name: str = "total") -> str:
+    return " UNION ALL ".join(f"SELECT {columns}, '{k}' AS keyword, {_total('text', k, flexible)} AS {name} FROM {source}" for k in words)
+
+
+def _minutes(w: str) -> str:
+    return f"CAST(greatest(1, round_even({w} / 200.0, 0)) AS INTEGER)"
+
+
+_DOCS = "(SELECT doc_id, coalesce(text, '') AS text, source, lang FROM documents)"
+_TURNS = "(SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, coalesce(text, '') AS text FROM conversations)"
+_HEADED = f"(SELECT doc_id, page, 'Journal no. ' || (doc_id % 7) || chr(10) || text || chr(10) || page AS text FROM {_TURNS})"
+_FLAT_SQL = "regexp_replace(coalesce(text, ''), '[\\n\\r]+', ' ', 'g')"
+_ARTICLES = f"(SELECT doc_id, {ARTICLE.replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))} AS text FROM (SELECT *, {_FLAT_SQL} AS flat FROM documents))"
+assert _FLAT  # the same rule in Spark's SQL
+
+_CUT = f"string_split(regexp_replace(x, '([.!?]){_S}+([\"“''(\\[]?[A-ZÀ-Ú])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
+_SQUEEZED = f"trim(regexp_replace(text, '{_S}+', ' ', 'g'))"
+_NUMBER = r"\d+[.,]\d+|\d+\s*%|(?:^|[^\p{L}\p{N}_])\d{2,}(?:[^\p{L}\p{N}_]|$)"
+
+_RESULTS = f"""(SELECT source AS file, keyword, CAST(sum(total) AS INTEGER) AS total FROM ({_per_keyword('doc_id, source', KEYWORDS, False, _DOCS)}) GROUP BY source, keyword)"""
+
+_REPEATED = f"""
+SELECT doc_id, line, CAST(n AS INTEGER) AS n_pages FROM (SELECT doc_id, line, count(DISTINCT page) AS n FROM (SELECT doc_id, page, {_strip('raw')} AS line FROM (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS raw FROM {_HEADED})) WHERE len(line) BETWEEN 4 AND 119 GROUP BY doc_id, line)
+JOIN (SELECT doc_id, count(DISTINCT page) AS size FROM {_HEADED} GROUP BY doc_id) USING (doc_id) WHERE size >= 4 AND n >= greatest(3, floor(size * 0.6))"""
+
+_CLEAN = rf"""
+WITH r AS ({_REPEATED}), d AS (SELECT doc_id, list(line) AS lines FROM r GROUP BY doc_id),
+h AS (SELECT doc_id, page, regexp_replace(text, '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g') AS text FROM {_HEADED}),
+k AS (SELECT doc_id, page, CASE WHEN lines IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(lines, {_strip('x')}) AND NOT regexp_full_match({_strip('x')}, '\d{{1,4}}')), chr(10)) END AS text FROM h LEFT JOIN d USING (doc_id))
+SELECT doc_id, page, {_strip("regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(173), ''), '[ \\t\\x{a0}]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM k"""
+
+_TITLES = {"resumo": "abstract|resumo", "introducao": "introduction|introdu[cç][aã]o", "metodo": "methods?|methodology", "conclusao": "conclusions?|conclus[aã]o", "referencias": "references?|bibliography"}
+
+
+def _sections() -> str:
+    parts = " UNION ALL ".join(
+        rf"SELECT doc_id, '{name}' AS name, regexp_extract(text, '(?im)^[ \t]*(?:\d{{1,2}}(?:\.\d{{1,2}})*[.)]?[ \t]*|[IVXivx]{{1,5}}[.)\-][ \t]*)?({titles})[ \t]*:?[ \t]*$', 1) AS title, len(string_split_regex(text, '(?im)^[ \t]*(?:\d{{1,2}}(?:\.\d{{1,2}})*[.)]?[ \t]*|[IVXivx]{{1,5}}[.)\-][ \t]*)?(?:{titles})[ \t]*:?[ \t]*$')[1]) AS start, len(text) AS size FROM {_ARTICLES}"
+        for name, titles in _TITLES.items()
+    )
+    return f"""SELECT doc_id, name, title, CAST(start AS INTEGER) AS start, CAST(coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), size) AS INTEGER) AS "end" FROM ({parts}) WHERE title <> ''"""
+
+
+_BOXES = f"""(SELECT doc_id, page, ws[i] AS w, i - 1 AS idx FROM (SELECT doc_id, page, ws, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT doc_id, page, list_filter(string_split_regex(text, '[ \\n]+'), lambda w: w <> '') AS ws FROM {_TURNS})))"""
+_HITS = " UNION ALL ".join(f"SELECT doc_id, page, '{t}' AS target, idx FROM {_BOXES} WHERE regexp_matches({_fold('w')}, '(?:^|[^\\p{{L}}\\p{{N}}_]){t}(?:[^\\p{{L}}\\p{{N}}_]|$)')" for t in ("the", "und", "de"))
+_MARKS = f"(SELECT doc_id, page, target, idx, row_number() OVER (PARTITION BY doc_id, page, target ORDER BY idx) - 1 AS n FROM ({_HITS}))"
+
+_LABEL = "CASE conv_id % 5 WHEN 0 THEN '[p. ' || (turn + 1) || '-' || (turn + 3) || ']' WHEN 1 THEN 'p. ' || turn WHEN 2 THEN '5-5' WHEN 3 THEN '4–2' ELSE 'nao informado' END"
+_BODY_CLAIM = "'from ' || source"
+_LEFT = "((event_id % 5000) * 1.0 * (1 - (event_id % 97) / 97) / ((event_id % 97) / 97))"
+
+ORACLES: dict[str, str] = {
+    "doc_stats": f"SELECT doc_id, n_words, n_chars, {_minutes('n_words')} AS minutes FROM (SELECT doc_id, {_words('text')} AS n_words, CAST(len(text) AS INTEGER) AS n_chars FROM {_DOCS})",
+    "scan_total": f"SELECT doc_id, keyword, total, round_even(total * 1000 / greatest(1, w), 2) AS density FROM ({_per_keyword('doc_id, ' + _words('text') + ' AS w', KEYWORDS, True, _DOCS)})",
+    "scan_exact_vs_flexible": f"SELECT doc_id, keyword, exact, flexible FROM ({_per_keyword('doc_id', ['licens', 'an'], False, _DOCS, 'exact')}) JOIN ({_per_keyword('doc_id', ['licens', 'an'], True, _DOCS, 'flexible')}) USING (doc_id, keyword)",
+    "scan_pages": f"SELECT doc_id, keyword, page, CAST(total AS BIGINT) AS n FROM ({_per_keyword('doc_id, page', KEYWORDS, False, _TURNS)}) WHERE total > 0",
+    "listed_by_page": f"SELECT doc_id, page, CAST(sum(total) AS INTEGER) AS n, CAST(max(sum(total)) OVER (PARTITION BY doc_id) AS INTEGER) AS most FROM ({_per_keyword('doc_id, page', KEYWORDS, False, _TURNS)}) WHERE total > 0 GROUP BY doc_id, page",
+    "keyword_parse": f"""
+WITH l AS (SELECT DISTINCT source || ', ' || upper(source) || ';"' || lang || '"' || chr(10) || '''Été'', ete,,' || lang AS raw FROM documents),
+p AS (SELECT raw, i, trim(trim({_strip('parts[i]')}, '"'), '''') AS term FROM (SELECT raw, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT raw, string_split_regex(raw, '[,;\\n]+') AS parts FROM l))),
+f AS (SELECT raw, i, term FROM p WHERE term <> '' QUALIFY row_number() OVER (PARTITION BY raw, {_fold('term')} ORDER BY i) = 1)
+SELECT raw, CAST(row_number() OVER (PARTITION BY raw ORDER BY i) - 1 AS INTEGER) AS position, term AS keyword FROM f""",
+    "page_offsets": f"""SELECT doc_id, page, CAST(coalesce(sum(len(text) + 2) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start, CAST(sum(len(text) + 2) OVER (PARTITION BY doc_id ORDER BY page) AS INTEGER) AS "end" FROM {_TURNS}""",
+    "repeated_lines": _REPEATED,
+    "clean_text": _CLEAN,
+    "title_inference": f"SELECT doc_id, list_filter(list_transform(string_split(text, chr(10))[1:15], lambda x: {_strip('x')}), lambda x: len(x) BETWEEN 25 AND 200 AND NOT regexp_matches(lower(x), '^(?:doi|http|www)'))[1] AS title FROM {_DOCS}",
+    "sections": _sections(),
+    "article_metadata": "SELECT doc_id, 'A study of texts from ' || source || ' written in ' || lang AS title, 'Maria da Silva' AS authors, '10.1234/' || source || '.' || doc_id AS doi, CAST(3 AS INTEGER) AS n_references, CAST(0 AS INTEGER) AS n_warnings FROM documents",
+    "sentences": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS n, s[i] AS sentence, regexp_matches(s[i], '{_NUMBER}') AS numbered FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform({_CUT}, lambda y: trim(y)), lambda y: y <> '') AS s FROM (SELECT doc_id, {_SQUEEZED} AS x FROM {_DOCS})))",
+    "triage": f"""
+WITH u AS (SELECT source AS session_id, doc_id AS arrival, sha256(text) AS content_sha256 FROM {_DOCS}),
+g AS (SELECT session_id, content_sha256, min(arrival) AS seat FROM u GROUP BY session_id, content_sha256),
+f AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seat) AS place FROM g)
+SELECT session_id, arrival, content_sha256, CASE WHEN place <= 25 AND arrival = seat THEN 'accepted' ELSE 'refused' END AS status, CASE WHEN place <= 25 AND arrival > seat THEN 'already in the batch (same content)' WHEN place > 25 THEN 'limit of 25 files per session reached' END AS reason FROM u JOIN f USING (session_id, content_sha256)""",
+    "free_seats": f"SELECT source AS session_id, CAST(greatest(0, 40 - count(*)) AS INTEGER) AS seats FROM {_DOCS} WHERE doc_id % 5 = 0 AND len(text) > 2000 GROUP BY source",
+    "comparison_pivot": "SELECT keyword, " + ", ".join(f"coalesce(max(total) FILTER (file = '{f}'), 0) AS {f}" for f in FILES) + f" FROM {_RESULTS} GROUP BY keyword",
+    "absent_keywords": f"SELECT keyword, string_agg(file, ',' ORDER BY file) AS files FROM {_RESULTS} WHERE total <= 2 GROUP BY keyword",
+    "batch_overview": f"""
+WITH c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (total > 0) AS f FROM ({_per_keyword('doc_id', KEYWORDS, False, _DOCS)}) WHERE doc_id % 3 = 0 GROUP BY doc_id)
+SELECT doc_id AS item, 'doc' || doc_id AS file, left(CASE WHEN doc_id % 2 = 0 AND text <> '' THEN left(text, 90) ELSE 'doc' || doc_id END, 70) AS title, CAST(1 AS INTEGER) AS pages, {_words('text')} AS words, {_minutes(_words('text'))} AS minutes, CASE WHEN doc_id % 3 = 0 THEN 'sim' ELSE 'nao' END AS analysed, CASE WHEN n > 0 THEN f || '/' || n ELSE '—' END AS keywords_found FROM {_DOCS} LEFT JOIN c USING (doc_id)""",
+    "pending": "SELECT doc_id AS item FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
+    "page_labels": f"""
+WITH r AS (SELECT conv_id, turn, {_LABEL} AS raw FROM conversations), g AS (SELECT *, regexp_extract(raw, '(\\d{{1,4}})(?:\\s*[-–]\\s*(\\d{{1,4}}))?', 1) AS a, regexp_extract(raw, '(\\d{{1,4}})(?:\\s*[-–]\\s*(\\d{{1,4}}))?', 2) AS b FROM r)
+SELECT conv_id, turn, CASE WHEN b <> '' AND b <> a THEN a || '-' || b ELSE a END AS label, CASE WHEN a <> '' THEN array_to_string(range(least(CAST(a AS INT), CAST(CASE WHEN b = '' THEN a ELSE b END AS INT)), greatest(CAST(a AS INT), CAST(CASE WHEN b = '' THEN a ELSE b END AS INT)) + 1), ',') END AS pages FROM g""",
+    "lenient_json": f"SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 2 END AS INTEGER) AS n, CASE WHEN doc_id % 4 <> 3 THEN {_BODY_CLAIM} END AS claim, CASE WHEN doc_id % 4 <> 3 THEN CAST(doc_id % 9 + 1 AS VARCHAR) END AS page FROM documents",
+    "term_marks": f"SELECT doc_id, page, target, CAST(n AS INTEGER) AS n, CAST(1 AS INTEGER) AS n_rects, CAST(43 + 50 * (idx % 8) AS DOUBLE) AS x0, CAST(5000 - (42 + 14 * (idx // 8)) + 7 AS DOUBLE) AS y0, CAST(91 + 50 * (idx % 8) AS DOUBLE) AS x1, CAST(5000 - (30 + 14 * (idx // 8)) + 7 AS DOUBLE) AS y1 FROM {_MARKS}",
+    "marks_by_category": f"SELECT doc_id, 'keyword' AS category, CAST(count(*) AS INTEGER) AS n FROM {_MARKS} GROUP BY doc_id",
+    "remaining_time": f"""SELECT event_id, round(l, 6) AS "left", CASE WHEN l < 60 THEN 'menos de 1 min' WHEN round(l / 60) < 60 THEN '~' || CAST(round(l / 60) AS BIGINT) || ' min' ELSE '~' || CAST(floor(round(l / 60) / 60) AS BIGINT) || ' h ' || CAST(round(l / 60) % 60 AS BIGINT) || ' min' END AS label FROM (SELECT event_id, CASE WHEN event_id % 97 > 0 AND event_id % 5000 > 0 THEN {_LEFT} END AS l FROM events) WHERE l IS NOT NULL UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_id % 97 = 0 OR event_id % 5000 = 0""",
+}

@@ -74,7 +74,7 @@ def scan_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def listed_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = model.paged(turns(spark, sf_dir)).withColumn("sections", model.sections_of(F.col("text")))
-    return scan.listed_by_page(scan.scan(docs, ["token", "license"]))
+    return scan.listed_by_page(scan.scan(docs, KEYWORDS, False))
 
 
 def keyword_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
