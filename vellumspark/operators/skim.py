@@ -106,4 +106,4 @@ def skim(docs: DataFrame, numbers: int = NUMBERS, conclusions: int = CONCLUSIONS
     rows = docs.select("doc_id", T.strip(F.coalesce(F.col("metadata")["titulo"], F.lit(""))).alias("title"))
     for name, part in parts.items():
         rows = rows.join(part.withColumnRenamed("list", name), "doc_id", "left")
-    return rows.withColumn("empty", F.coalesce(*parts).isNull())
+    return rows.withColumn("empty", F.col("sections").isNull() & F.col("numbers").isNull() & F.col("conclusions").isNull())
