@@ -1,11 +1,13 @@
 """Cases of the reading operators: structure, scan, Markdown, skim, chunks, batches, location, deep reading, reports."""
 
 import json
+import sys
 import unicodedata
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from vellumspark.functions import progress
@@ -183,6 +185,9 @@ def test_location(spark):
     assert pages_ == [2, 3, 4]
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 class Fake:
     """A client whose answers depend on words of the prompt."""
 

@@ -50,8 +50,9 @@ def comparison(results: DataFrame, files: list[str]) -> DataFrame:
     as the columns are; they should be unique (ids if names are not).
     """
     order = results.groupBy("keyword").agg(F.min(F.struct("item", "position")).alias("order"))
-    table = results.groupBy("keyword").pivot("file", files).agg(F.last("total", ignorenulls=True)).na.fill(0, files) if files else results.select("keyword").distinct()
-    return table.join(order, "keyword").orderBy("order").drop("order")
+    table = results.groupBy("keyword").pivot("file", files).agg(F.last("total", ignorenulls=True)) if files else results.select("keyword").distinct()
+    filled = [F.coalesce(T.named(f), F.lit(0)).alias(f) for f in files]
+    return table.select("keyword", *filled).join(order, "keyword").orderBy("order").drop("order")
 
 
 def absent(results: DataFrame) -> DataFrame:

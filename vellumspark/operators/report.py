@@ -89,7 +89,7 @@ def demoted(c: Column) -> Column:
 
 def table_lines(df: DataFrame, columns: list[str]) -> DataFrame:
     """(line): the rows of a table as Markdown."""
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), F.lit(" |")).alias("line"))
+    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *(F.coalesce(T.named(c).cast("string"), F.lit("")) for c in columns)), F.lit(" |")).alias("line"))
 
 
 def table_head(columns: list[str]) -> str:
