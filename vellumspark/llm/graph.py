@@ -12,8 +12,12 @@ MOST_ROUNDS = 60
 
 
 def _stars(pairs: DataFrame) -> DataFrame:
-    """For each u: its least neighbour m, paired with u's neighbours. Rows: u, v, m."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m"))
+    """For each u: its least neighbour m, paired with u's neighbours. Rows: u, v, m.
+
+    The least neighbours are written, so that both sides of the join are plain exchanges: then Spark can split the
+    neighbours of one node among tasks.
+    """
+    least = written(pairs.groupBy("u").agg(F.min("v").alias("m")), "least")
     return pairs.join(least, "u")
 
 
@@ -21,7 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
     """For an edge table (u, v) of longs: (node, root) with the least node of each component, for every node with an edge.
 
     A round needs two aggregations and two equi-joins; nodes with very many neighbours are pre-aggregated before the
-    shuffle, and the joins have no aggregation on their key above them, so skewed partitions can be split.
+    shuffle, and the joins have no aggregation on their key around them, so skewed partitions can be split.
     """
     now = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now = written(now, "components")
