@@ -30,11 +30,20 @@ def _original(spans: Column) -> Column:
     return F.when(F.col("places").isNull(), spans).otherwise(moved)
 
 
+def _patterns(keywords: list[str], flexible: bool) -> list[tuple[int, str, str]]:
+    given = [k.strip() for k in keywords if k.strip()]
+    return [(i, k, p) for i, k in enumerate(given) if (p := T.keyword_pattern(k, flexible))]
+
+
+def _per_keyword(keywords: list[str], flexible: bool, name: str, value) -> Column:
+    """Explodes to structs of position, keyword and a value of the folded text, which is worked out once."""
+    entries = lambda n: F.array(*(F.struct(F.lit(i).alias("position"), F.lit(k).alias("keyword"), value(n, p).alias(name)) for i, k, p in _patterns(keywords, flexible)))
+    return F.explode(F.get(F.transform(F.array(F.coalesce("norm", F.lit(""))), entries), F.lit(0)))
+
+
 def search(docs: DataFrame, keywords: list[str], flexible: bool = True) -> DataFrame:
     """One row per document and keyword: position, keyword, spans of all its occurrences. The documents' columns stay."""
-    patterns = [(i, k.strip(), p) for i, k in enumerate(k for k in keywords if k.strip()) if (p := T.keyword_pattern(k.strip(), flexible))]
-    entries = [F.struct(F.lit(i).alias("position"), F.lit(k).alias("keyword"), T.match_spans(F.coalesce("norm", F.lit("")), p).alias("spans")) for i, k, p in patterns]
-    rows = folded(docs).withColumn("hit", F.explode(F.array(*entries)))
+    rows = folded(docs).withColumn("hit", _per_keyword(keywords, flexible, "spans", T.match_spans))
     return rows.withColumn("position", F.col("hit.position")).withColumn("keyword", F.col("hit.keyword")).withColumn("spans", _original(F.col("hit.spans"))).drop("hit", "norm", "places")
 
 
@@ -60,8 +69,9 @@ def scan(docs: DataFrame, keywords: list[str], flexible: bool = True, window: in
 
 def totals(docs: DataFrame, keywords: list[str], flexible: bool = True) -> DataFrame:
     """(doc_id, keyword, total, density): the counts alone."""
-    rows = search(docs.select("doc_id", "text"), keywords, flexible)
-    return rows.select("doc_id", "keyword", F.size("spans").alias("total"), T.density(F.size("spans"), T.word_count(F.coalesce("text", F.lit("")))).alias("density"))
+    rows = folded(docs.select("doc_id", "text", T.word_count(F.coalesce("text", F.lit(""))).alias("n_words")))
+    rows = rows.select("doc_id", "n_words", _per_keyword(keywords, flexible, "total", lambda n, p: F.regexp_count(n, F.lit(p))).alias("hit"))
+    return rows.select("doc_id", "hit.keyword", "hit.total", T.density(F.col("hit.total"), F.col("n_words")).alias("density"))
 
 
 def listed_by_page(scanned: DataFrame) -> DataFrame:

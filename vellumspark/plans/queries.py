@@ -54,8 +54,8 @@ def scan_total(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_exact_vs_flexible(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, words = documents(spark, sf_dir), ["licens", "an"]
-    exact = scan.search(docs.select("doc_id", "text"), words, False).select("doc_id", "keyword", F.size("spans").alias("exact"))
-    flexible = scan.search(docs.select("doc_id", "text"), words, True).select("doc_id", "keyword", F.size("spans").alias("flexible"))
+    exact = scan.totals(docs, words, False).select("doc_id", "keyword", F.col("total").alias("exact"))
+    flexible = scan.totals(docs, words, True).select("doc_id", "keyword", F.col("total").alias("flexible"))
     return exact.join(flexible, ["doc_id", "keyword"])
 
 
