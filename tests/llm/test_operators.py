@@ -173,6 +173,29 @@ def test_cipher_is_one_to_one(spark):
     assert sorted(got) == [f"{i:03}" for i in range(1000)]
 
 
+def test_surrogates_of_distinct_numbers_are_distinct(spark):
+    n = F.lpad(F.col("id").cast("string"), 5, "0")
+    phones = spark.range(100_000).select(n.alias("n"), F.concat(F.lit("+49 "), n.substr(1, 1), F.lit(" "), n.substr(2, 2), F.lit(" "), n.substr(4, 2)).alias("entity"))
+    new = [r[0] for r in phones.select(surrogates.surrogate(F.col("entity"), "k")).collect()]
+    assert len(set(new)) == 100_000 and all(x.startswith("+49 ") for x in new) and sum(x[4] in "01" for x in new) == 20_000
+    one, other = (spark.range(1).select(surrogates.surrogate(F.lit(x), "k")).first()[0] for x in ("+351 912 345 678", "+351912345678"))
+    assert one.replace(" ", "") == other and other.startswith("+351")
+    ibans = spark.range(100).select(F.concat(F.lit("DE"), F.lpad(F.col("id").cast("string"), 2, "0"), F.lit(" 3704 0044 0532 0130 00")).alias("entity"))
+    new = {r[0].replace(" ", ""): r[1] for r in ibans.select(surrogates.surrogate(F.col("entity"), "k"), "entity").collect()}
+    right = [own for x, own in new.items() if int("".join(str(int(c, 36)) for c in x[4:] + x[:4])) % 97 == 1]
+    assert len(new) == 100 and "DE89 3704 0044 0532 0130 00" in right
+
+
+def test_surrogates_that_meet_are_resolved(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "SYLLABLES", 2)
+    monkeypatch.setattr(surrogates, "MOST_SYLLABLES", 2)
+    names = [f"{chr(65 + i % 26)}{chr(97 + i // 26)}{'xyz'[i % 3]}o" for i in range(300)]
+    docs = spark.createDataFrame([*((i, f"saw Mr {name} there") for i, name in enumerate(names)), (900, "Mr McDonald"), (901, "Mr Mcdonald")], "doc_id long, text string")
+    assert surrogates.collisions(surrogates.entities(docs), surrogates.KEY, 2)
+    got = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(docs).collect()}
+    assert len({got[i] for i in range(300)}) == 300 and got[900] == got[901] and not any(name in got[i] for i, name in enumerate(names))
+
+
 # --- 5 -------------------------------------------------------------------------------------------------------
 
 

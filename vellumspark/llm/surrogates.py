@@ -8,11 +8,13 @@ its letters' case.
 Numbers and addresses are enciphered character by character within their alphabet, forwards and then backwards, each
 shift keyed by what stands before. That is one-to-one on strings of a form, so distinct entities stay distinct, and it
 keeps length, separators and case. Country codes, the first digit of cards, the first number of IPv4 addresses and the
-top-level domain stay; check digits of cards and IBANs are right again; area codes don't come to begin with 0 or 1.
+top-level domain stay; check digits of cards and IBANs that were right are right again, and those that were off stay
+off by as much; area codes come to begin with 0 or 1 only where they did.
 
 Names become names of the same script (Latin, Cyrillic, Greek) whose ending fits the gender of the form of address.
 They are built from keyed syllables, so two names may meet: a pass over all entities counts surrogates that stand for
-more than one entity, and while there are any, names get another syllable. The check covers all kinds.
+more than one entity, and while there are any, names get another syllable. The check covers all kinds. Whatever still
+meets at the most syllables is resolved entity by entity: all but one of those that meet get a key of their own.
 
 Defined results: a null text stays null; a text without entities stays as it is. Repeated documents give repeated rows.
 """
@@ -26,7 +28,7 @@ from .common import table, written
 
 #: The key of the contract's query; users pass their own.
 KEY = "vellum-surrogates-1"
-#: Syllables of a name at first and at most: 75 syllables to the power of 12 are more names than could ever meet.
+#: Syllables of a name at first, and at most for all names; beyond that only the names that meet get more.
 SYLLABLES, MOST_SYLLABLES = 4, 12
 
 #: Forms of address by gender.
@@ -46,6 +48,8 @@ _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _NAME = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}\p{L}+)?"
 _FORMS = "|".join(sorted((f for forms in ADDRESS.values() for f in forms), key=len, reverse=True))
 _CARD = r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19}"
+#: Country codes by their first digits, so that a number's digits alone tell where its code ends.
+_COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
@@ -78,7 +82,7 @@ def _shifted(c: Column, by: Column) -> Column:
     return F.when(c.between("0", "9"), digit).when(c.between("a", "z"), letter).otherwise(c)
 
 
-def cipher(s: Column, key: str, tweak: str) -> Column:
+def cipher(s: Column, key: Column | str, tweak: Column | str) -> Column:
     """One-to-one on strings with digits and lower-case letters in given places; other characters stay."""
 
     def once(text: Column, way: str) -> Column:
@@ -110,7 +114,7 @@ def _cased(text: Column, like: Column) -> Column:
     return F.array_join(F.zip_with(_chars(text), _chars(like), lambda a, b: F.when(b.between("A", "Z"), F.upper(a)).otherwise(a)), "")
 
 
-def _email(m: Column, key: str) -> Column:
+def _email(m: Column, key: Column | str) -> Column:
     low = F.lower(m)
     local, domain = F.substring_index(low, "@", 1), F.substring_index(low, "@", -1)
     top = F.substring_index(domain, ".", -1)
@@ -118,7 +122,7 @@ def _email(m: Column, key: str) -> Column:
     return _cased(F.concat(cipher(local, key, "mail"), F.lit("@"), cipher(name, key, "domain"), F.lit("."), top), m)
 
 
-def _ip(m: Column, key: str) -> Column:
+def _ip(m: Column, key: Column | str) -> Column:
     part = F.split(m, r"\.")
     at = lambda i: F.get(part, F.lit(i)).cast("long")
     value = at(1) * 65536 + at(2) * 256 + at(3)
@@ -138,7 +142,7 @@ def _check_digit(digits: Column) -> Column:
     return (10 - F.aggregate(at, F.lit(0), lambda a, x: a + x) % 10) % 10
 
 
-def _card(m: Column, key: str) -> Column:
+def _card(m: Column, key: Column | str) -> Column:
     digits = _digits(m)
     head, last = F.substr(digits, F.lit(1), F.length(digits) - 1), F.right(digits, F.lit(1)).cast("int")
     new = F.concat(F.left(digits, F.lit(1)), cipher(F.substr(head, F.lit(2)), key, "card"))
@@ -146,24 +150,35 @@ def _card(m: Column, key: str) -> Column:
     return _refilled(m, _let(new, lambda v: F.concat(v, ((_check_digit(v) + last - _check_digit(head) + 10) % 10).cast("string"))))
 
 
-def _phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^\+(?:1(?=\d)|\d{1,3}(?!\d)|\d\d)", 0)
-    rest = F.substr(m, F.length(code) + 1)
-    digits = _digits(rest)
-    # Enciphered again while it begins with 0 or 1 and the original doesn't: still one-to-one.
-    walked = F.aggregate(F.sequence(F.lit(1), F.lit(8)), cipher(digits, key, "phone"), lambda d, _: F.when(d.rlike("^[01]") & digits.rlike("^[2-9]"), cipher(d, key, "phone")).otherwise(d))
-    return F.concat(code, _refilled(rest, walked))
+def _phone(m: Column, key: Column | str) -> Column:
+    digits = _digits(m)
+    code = F.when(m.startswith("+"), F.regexp_extract(digits, _COUNTRY, 0)).otherwise("")
+
+    def national(own: Column) -> Column:
+        """One-to-one: the first digit moves among 0 and 1 or among 2 to 9, by the others, before and after these change."""
+        lead = lambda c, by: F.when(c > 1, (c - 2 + by) % 8 + 2).otherwise((c + by) % 2)
+        others = F.substr(own, F.lit(2))
+        first = lead(F.left(own, F.lit(1)).cast("int"), _hash(key, "lead", "1", others))
+        new = lambda c: cipher(others, key, F.concat(F.lit("phone"), c.cast("string")))
+        return _let(first, lambda c: _let(new(c), lambda tail: F.concat(lead(c, _hash(key, "lead", "2", tail)).cast("string"), tail)))
+
+    return _refilled(m, _let(code, lambda c: F.concat(c, _let(F.substr(digits, F.length(c) + 1), national))))
 
 
-def _iban(m: Column, key: str) -> Column:
+def _iban(m: Column, key: Column | str) -> Column:
     plain = F.regexp_replace(m, " ", "")
     account = F.upper(cipher(F.lower(F.substr(plain, F.lit(5))), key, "iban"))
     value = lambda c: F.when(c.between("0", "9"), c.cast("int")).otherwise(F.ascii(c) - 55)
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
 
+    def right(own: Column) -> Column:
+        return 98 - F.aggregate(_chars(F.concat(own, F.left(plain, F.lit(2)), F.lit("00"))), F.lit(0), lambda a, c: F.when(value(c) > 9, a * 100 + value(c)).otherwise(a * 10 + value(c)) % 97)
+
+    # Check digits that are off by so much stay off by as much.
+    off = F.substr(plain, F.lit(3), F.lit(2)).cast("int") - right(F.substr(plain, F.lit(5))) + 100
+
     def checked(own: Column) -> Column:
-        rest = F.aggregate(_chars(F.concat(own, F.left(plain, F.lit(2)), F.lit("00"))), F.lit(0), lambda a, c: F.when(value(c) > 9, a * 100 + value(c)).otherwise(a * 10 + value(c)) % 97)
-        return F.concat(F.left(plain, F.lit(2)), F.lpad((98 - rest).cast("string"), 2, "0"), own)
+        return F.concat(F.left(plain, F.lit(2)), F.lpad(((right(own) + off) % 100).cast("string"), 2, "0"), own)
 
     def filled(new: Column) -> Column:
         def put(state: Column, c: Column) -> Column:
@@ -183,7 +198,7 @@ def _gender(form: Column) -> Column:
     return F.when(bare.isin(*ADDRESS["f"]), "f").when(bare.isin(*ADDRESS["n"]), "n").otherwise("m")
 
 
-def _name(word: Column, kind: str, gender: Column, key: str, syllables: int) -> Column:
+def _name(word: Column, kind: str, gender: Column, key: Column | str, syllables: int, more: Column | int = 0) -> Column:
     """A name for a word of a name; family names have no gender of their own, so that relatives share them."""
     low, script = F.lower(word), _script(word)
 
@@ -198,18 +213,18 @@ def _name(word: Column, kind: str, gender: Column, key: str, syllables: int) ->
         ends = given if kind == "given" else family
         ending = F.when(gender == "f", ends["f"]).when(gender == "n", ends["n"]).otherwise(ends["m"])
         n = syllables if kind == "family" else max(2, syllables - 1)
-        return F.initcap(F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), syllable), ""), ending))
+        return F.initcap(F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n) + more), syllable), ""), ending))
 
     whole = F.when(script == "cyrillic", made(*SCRIPTS["cyrillic"])).when(script == "greek", made(*SCRIPTS["greek"])).otherwise(made(*SCRIPTS["latin"]))
     return F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(whole)).otherwise(whole)
 
 
-def _person(m: Column, key: str, syllables: int) -> Column:
+def _person(m: Column, key: Column | str, syllables: int, more: Column | int = 0) -> Column:
     words = F.split(m, " ")
     form, names = F.get(words, F.lit(0)), F.slice(words, 2, 9)
     gender = _gender(form)
     last = F.size(names) - 1
-    return F.concat_ws(" ", form, F.array_join(F.transform(names, lambda w, i: F.when(i == last, _name(w, "family", gender, key, syllables)).otherwise(_name(w, "given", gender, key, syllables))), " "))
+    return F.concat_ws(" ", form, F.array_join(F.transform(names, lambda w, i: F.when(i == last, _name(w, "family", gender, key, syllables, more)).otherwise(_name(w, "given", gender, key, syllables, more))), " "))
 
 
 def kind_of(m: Column) -> Column:
@@ -220,19 +235,28 @@ def kind_of(m: Column) -> Column:
     )
 
 
-def surrogate(m: Column, key: str, syllables: int = SYLLABLES) -> Column:
-    def of(kind: Column) -> Column:
+def surrogate(m: Column, key: str, syllables: int = SYLLABLES, tweaks: dict[str, int] | None = None) -> Column:
+    """``tweaks`` has the entities, by identity, that get a key of their own, and so many more syllables."""
+
+    def of(kind: Column, own: Column | str, more: Column | int) -> Column:
         return (
-            F.when(kind == "email", _email(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "iban", _iban(m, key)).when(kind == "ssn", _refilled(m, cipher(_digits(m), key, "ssn")))
-            .when(kind == "card", _card(m, key)).when(kind == "phone", _phone(m, key)).otherwise(_person(m, key, syllables))
+            F.when(kind == "email", _email(m, own)).when(kind == "ip", _ip(m, own)).when(kind == "iban", _iban(m, own)).when(kind == "ssn", _refilled(m, cipher(_digits(m), own, "ssn")))
+            .when(kind == "card", _card(m, own)).when(kind == "phone", _phone(m, own)).otherwise(_person(m, own, syllables, more))
         )
 
-    return _let(kind_of(m), of)
+    def tweaked(n: Column) -> Column:
+        own = F.when(n > 0, F.concat(F.lit(f"{key}#"), n.cast("string"))).otherwise(key)
+        return _let(own, lambda k: _let(kind_of(m), lambda kind: of(kind, k, n)))
+
+    if not tweaks:
+        return _let(kind_of(m), lambda kind: of(kind, key, 0))
+    known = F.create_map(*(F.lit(x) for pair in tweaks.items() for x in pair))
+    return _let(F.coalesce(F.try_element_at(known, _identity(m)), F.lit(0)), tweaked)
 
 
 def _identity(m: Column) -> Column:
-    """What entities are told apart by: case of addresses and separators of numbers don't count."""
-    plain = lambda kind: F.when(kind == "email", F.lower(m)).when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind.isin("ssn", "card", "phone"), _digits(m)).otherwise(m)
+    """What entities are told apart by: case of addresses and names and separators of numbers don't count."""
+    plain = lambda kind: F.when(kind.isin("email", "person"), F.lower(m)).when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind.isin("ssn", "card", "phone"), F.regexp_replace(m, r"[^\d+]", "")).otherwise(m)
     return _let(kind_of(m), lambda kind: F.concat_ws(":", kind, plain(kind)))
 
 
@@ -241,23 +265,32 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(_ALL), F.lit(0))).alias("entity")).distinct()
 
 
+def _meeting(found: DataFrame, key: str, syllables: int, tweaks: dict[str, int] | None = None) -> DataFrame:
+    """(new, owns): surrogates that stand for more than one entity, and those entities in order."""
+    pairs = found.select(_identity(F.col("entity")).alias("own"), _let(surrogate(F.col("entity"), key, syllables, tweaks), _identity).alias("new")).distinct()
+    return pairs.groupBy("new").agg(F.array_sort(F.collect_list("own")).alias("owns")).filter("size(owns) > 1")
+
+
 def collisions(found: DataFrame, key: str, syllables: int) -> int:
     """How many surrogates stand for more than one entity."""
-    pairs = found.select(_identity(F.col("entity")).alias("own"), _let(surrogate(F.col("entity"), key, syllables), _identity).alias("new")).distinct()
-    return pairs.groupBy("new").count().filter("count > 1").count()
+    return _meeting(found, key, syllables).count()
 
 
 def replace_entities(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text with surrogates, and the number of entities replaced, in all and by kind."""
     found, syllables = written(entities(docs, text_col), "entities"), SYLLABLES
-    while collisions(found, key, syllables):
+    while (meeting := collisions(found, key, syllables)) and syllables < MOST_SYLLABLES:
         syllables += 1
-        if syllables > MOST_SYLLABLES:
-            raise RuntimeError("surrogates of distinct entities still meet")
+    tweaks: dict[str, int] = {}
+    while meeting:
+        # The first entity of those that meet keeps its surrogate.
+        for row in _meeting(found, key, syllables, tweaks).collect():
+            tweaks |= {own: tweaks.get(own, 0) + 1 for own in row["owns"][1:]}
+        meeting = _meeting(found, key, syllables, tweaks).count()
     text = F.col("text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("found", F.regexp_extract_all(text, F.lit(_ALL), F.lit(0)))
-    rows = rows.withColumn("new", F.transform("found", lambda m: surrogate(m, key, syllables))).withColumn("kinds", F.transform("found", kind_of))
+    rows = rows.withColumn("new", F.transform("found", lambda m: surrogate(m, key, syllables, tweaks))).withColumn("kinds", F.transform("found", kind_of))
     pieces = F.transform(F.split(text, _ALL, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get("new", i), F.lit(""))))
     count = lambda k: F.coalesce(F.size(F.filter("kinds", lambda x: x == k)), F.lit(0)).cast("long").alias(f"n_{k}")
     return rows.select("doc_id", F.when(F.size("found") > 0, F.array_join(pieces, "")).otherwise(text).alias("text"), F.when(text.isNull(), 0).otherwise(F.size("found")).cast("long").alias("n_entities"), *(count(k) for k in PATTERNS))
