@@ -133,6 +133,17 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(odd(spark), lexicon).columns == odd(spark).columns
 
 
+def test_toxicity_of_few_labels(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    known = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    kept = {r["doc_id"] for r in corpus_pipeline.remove_toxic(spark, docs, folder).collect()}
+    bad, good = ({i for i, toxic in known.items() if toxic == k} for k in (1, 0))
+    assert len(bad - kept) >= 0.7 * len(bad) and len(good & kept) >= 0.95 * len(good)
+
+
 def test_toxicity_exceptions():
     toxic = [f"{w} you idiot there x{i}y{j}" for i in range(20) for j, w in enumerate(("hey", "oh"))]
     clean = [f"the trash can of house x{i}z{j}" for i in range(20) for j in range(2)] + [f"plain words only q{i}" for i in range(40)]

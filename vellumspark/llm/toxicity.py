@@ -37,8 +37,10 @@ SAMPLE = {1: 3000, 0: 5000}
 BEGINNINGS = range(4, 11)
 #: A beginning is lengthened while the longer one is in so large a share of its toxic texts.
 SAME = 0.97
-#: A term must be in so many toxic texts of the sample, and have at least this weight (a log-odds).
+#: A term must be in so many toxic texts of a large sample, and have at least this weight (a log-odds).
 LEAST_TEXTS, LEAST_WEIGHT = 8, 2.5
+#: Where there are few toxic texts, it must be in this share of them, and in so many at least.
+LEAST_SHARE, LEAST_FEW = 0.1, 3
 #: A phrase with a term becomes an exception if in so many clean texts of the sample, and not more often in toxic ones.
 LEAST_CLEAN = 3
 
@@ -151,7 +153,8 @@ def learn(toxic: list[str], clean: list[str], share: float) -> Lexicon:
     counts: Counter = Counter()
     for text in toxic:
         counts.update(_candidates(set(text.split())))
-    counts = Counter({t: n for t, n in counts.items() if n >= LEAST_TEXTS})
+    least = min(LEAST_TEXTS, max(LEAST_FEW, math.ceil(LEAST_SHARE * len(toxic))))
+    counts = Counter({t: n for t, n in counts.items() if n >= least})
     against: Counter = Counter()
     for text in clean:
         against.update(counts.keys() & _candidates(set(text.split())))
