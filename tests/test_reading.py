@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from vellumspark.functions import progress
 from vellumspark.functions import text as T
 from vellumspark.operators import batch, chunk, deep, locate, markdown, model, report, scan, skim
+from vellumspark.plans import queries
 
 
 def pages(spark, *docs):
@@ -251,3 +252,21 @@ def test_ingest_and_streaming(spark, tmp_path):
     query = arriving(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("arrived").trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert spark.table("arrived").count() == 2  # a.PDF and b.pdf are one content
+
+
+# --- queries over tables -------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def tables(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("tables"))
+    texts = [*("a token of the of und" for _ in range(7)), None, "word " * 400 + "\nthe very last words of 2031"]
+    spark.createDataFrame([(i, t, "en", "src1" if i < 6 else "src2") for i, t in enumerate(texts, 1)], "doc_id long, text string, lang string, source string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(2, 0), (5, 1), (2, 1), (None, 0)], "doc_id long, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder
+
+
+def test_articles_hold_whole_texts(spark, tables):
+    text = queries.articles(spark, tables).filter("doc_id = 9").first()["text"]
+    assert text.count("word ") == 400 and "the very last words of 2031 Nothing else." in text
+    assert any("the very last words of 2031" in r["text"] for r in queries.markdown_blocks(spark, tables).filter("doc_id = 9").collect())

@@ -36,12 +36,14 @@ ARTICLE = (
     "• first entry of ', source, '\nthat goes on\n\n2.1 Data of the study\n', substr(flat, 441, 160), '\nand one more line. Another sentence with 12,5 units.\n\nConclusion:\n', substr(flat, 601, 120), ' Nothing else. Therefore we stop.\n\n"
     "References\n[1] Silva, M. First paper, 2019.\n[2] Souza, P. Second paper, 2020.\n[3] Lima, R. DOI 10.1234/', source, '.', doc_id, '.')"
 )
+#: The same with all the rest of the text. The SQL of ``sections`` still has ARTICLE, so it sees shorter articles.
+WHOLE_ARTICLE = ARTICLE.replace("substr(flat, 601, 120)", "substr(flat, 601)")
 _FLAT = "regexp_replace(coalesce(text, ''), '[\n\r]+', ' ')"
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = documents(spark, sf_dir).withColumn("flat", F.regexp_replace(F.coalesce("text", F.lit("")), "[\n\r]+", " "))
-    return rows.select("doc_id", F.lit(1).alias("page"), F.expr(ARTICLE.replace("\n", "\\n")).alias("text"))
+    return rows.select("doc_id", F.lit(1).alias("page"), F.expr(WHOLE_ARTICLE.replace("\n", "\\n")).alias("text"))
 
 
 def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
