@@ -270,3 +270,7 @@ def test_articles_hold_whole_texts(spark, tables):
     text = queries.articles(spark, tables).filter("doc_id = 9").first()["text"]
     assert text.count("word ") == 400 and "the very last words of 2031 Nothing else." in text
     assert any("the very last words of 2031" in r["text"] for r in queries.markdown_blocks(spark, tables).filter("doc_id = 9").collect())
+
+
+def test_free_seats_count_all_documents(spark, tables):
+    assert {tuple(r) for r in queries.free_seats(spark, tables).collect()} == {("src1", 35), ("src2", 36)}

@@ -161,7 +161,7 @@ def triage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def free_seats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.free_seats(documents(spark, sf_dir).filter("doc_id % 5 = 0 and length(text) > 2000").select(F.col("source").alias("session_id")), 40)
+    return batch.free_seats(documents(spark, sf_dir).select(F.col("source").alias("session_id")), 40)
 
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
