@@ -274,3 +274,8 @@ def test_articles_hold_whole_texts(spark, tables):
 
 def test_free_seats_count_all_documents(spark, tables):
     assert {tuple(r) for r in queries.free_seats(spark, tables).collect()} == {("src1", 35), ("src2", 36)}
+
+
+def test_overview_of_all_documents(spark, tables):
+    got = {r["item"]: (r["keywords_found"], r["analysed"]) for r in queries.batch_overview(spark, tables).collect()}
+    assert got == {i: ("3/5" if i < 8 else "0/5", "sim" if i in (2, 5) else "nao") for i in range(1, 10)}

@@ -184,8 +184,10 @@ def absent_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def batch_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("item"), F.concat(F.lit("doc"), F.col("doc_id")).alias("file"), F.when(F.col("doc_id") % 2 == 0, F.left("text", F.lit(90))).alias("title"), "text", F.array(F.lit(1)).alias("pages"), (F.col("doc_id") % 3 == 0).alias("analysed"))
-    results = scan.totals(documents(spark, sf_dir).filter("doc_id % 3 = 0"), KEYWORDS, False).select(F.col("doc_id").alias("item"), "keyword", "total")
+    docs = documents(spark, sf_dir).select(F.col("doc_id").alias("item"), F.concat(F.lit("doc"), F.col("doc_id")).alias("file"), F.when(F.col("doc_id") % 2 == 0, F.left("text", F.lit(90))).alias("title"), "text", F.array(F.lit(1)).alias("pages"))
+    labelled = _table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item")).distinct().withColumn("analysed", F.lit(True))
+    docs = docs.join(labelled, "item", "left").withColumn("analysed", F.coalesce("analysed", F.lit(False)))
+    results = scan.totals(documents(spark, sf_dir), KEYWORDS, False).select(F.col("doc_id").alias("item"), "keyword", "total")
     return batch.overview(docs, results)
 
 
