@@ -2,20 +2,20 @@
 
 Documents with the same words are one class from the start. Of each class one document gets a MinHash signature of its
 word n-grams, cut into bands. The number of bands is the least that reaches the target recall at the threshold for the
-given number of rows in a band. Band hashes are shuffled; classes that share one are joined to the least class of their
-bucket, and the components of these edges are the groups in which candidates are sought.
+given number of rows in a band. Band hashes are shuffled, and classes that share one are a bucket.
 
-Inside of a group every pair whose set sizes allow the threshold is verified on the full sets (as 64-bit fingerprints of
-the n-grams). Classes of a group are put in bins of set size such that partners are in the same or the next bin, and the
-bins are cut into blocks of bounded size; a task verifies one pair of blocks. So no bucket, copy group or component is
-ever gathered in one task, and pairs are counted, not listed. What a pair of blocks emits is one row per class: how many
-links it has there, and the least class that it is connected with there.
+A large bucket is cut into blocks of bounded size, and a task looks at one pair of blocks. Two passes are made. The
+first moves signatures alone: a pair is a candidate in the first band that it shares and only there, and only if the
+sizes of both sets allow the threshold. The second moves the full sets (as 64-bit fingerprints of the n-grams) to just
+those pairs of blocks where a class has a candidate, and verifies. So each pair that shares a band is verified once,
+pairs that share none never meet, no bucket is ever gathered in one task, and pairs are counted, not listed. What a pair
+of blocks emits is one row per class: how many links it has there, and the least class that it is connected with there.
 
-A link is a pair of documents with different ids whose sets have at least the threshold in common, copies included.
-Texts of fewer words than n are one n-gram.
+Documents are told apart by id and words. A link is a pair of documents whose sets have at least the threshold in
+common, copies included. Texts of fewer words than n are one n-gram.
 
 Defined results: a document without words (or null) has no links and is a class alone; so has a null id. Rows that
-repeat an id with the same text are copies of one another. An empty table gives no rows.
+repeat an id with the same words are one document. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, words_of, written
+from .common import discard, named, table, words_of, written
 from .graph import components
 
 NGRAM, THRESHOLD = 5, 0.8
@@ -37,8 +37,6 @@ NGRAM, THRESHOLD = 5, 0.8
 RECALL, ROWS = 0.9995, 6
 #: A block has so many classes, and so many n-grams, on average at most.
 BLOCK_CLASSES, BLOCK_NGRAMS = 64, 100_000
-#: Set sizes of a bin differ by this factor at most. It is more than 1 / THRESHOLD, so partners are at most one bin apart.
-BIN = 1.26
 
 _MIX, _PRIME = 0xBF58476D1CE4E5B9, 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
@@ -127,10 +125,71 @@ def _sign(n: int, bands: int, rows: int):
     return run
 
 
+_CANDIDATE = pa.schema([("node", pa.int64()), ("band", pa.int64()), ("number", pa.int32()), ("first", pa.int32()), ("second", pa.int32()), ("block", pa.int32())])
+_CANDIDATE_DDL = "node long, band long, number int, first int, second int, block int"
 _FOUND = pa.schema([("node", pa.int64()), ("texts", pa.int64()), ("docs", pa.int64()), ("least", pa.int64())])
 _FOUND_DDL = "node long, texts long, docs long, least long"
 
 
+def due(bands: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, across: bool, number: int, threshold: float) -> np.ndarray:
+    """Which pairs of a pair of blocks are to be verified there: a symmetric matrix of booleans.
+
+    ``number`` must be the first band that they share, their set sizes must allow the threshold, and they must lie in
+    different blocks if the task looks across two.
+    """
+    same = bands[:, None, :] == bands[None, :, :]
+    fits = np.minimum(sizes[:, None], sizes) >= threshold * np.maximum(sizes[:, None], sizes) - 1e-9
+    wanted = same[:, :, number] & ~same[:, :, :number].any(axis=2) & fits
+    if across:
+        wanted &= blocks[:, None] != blocks
+    np.fill_diagonal(wanted, False)
+    return wanted
+
+
+def _candidates(bands: int, threshold: float):
+    """Over rows in the order of their pairs of blocks: the rows that have a pair to verify."""
+
+    def held_rows(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        columns = [part.column(i).to_numpy() for i in range(6)]
+        return (*columns, part.column(6).flatten().to_numpy().reshape(-1, bands), part.column(7).to_numpy())
+
+    def chosen(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        node, band, number, first, second, sizes, signed, block = rows
+        change = np.flatnonzero((np.diff(band) != 0) | (np.diff(first) != 0) | (np.diff(second) != 0)) + 1
+        starts, ends = np.r_[0, change], np.r_[change, len(node)]
+        some = np.zeros(len(node), bool)
+        twos = starts[ends - starts == 2]
+        # Most buckets have two classes; these are looked at together.
+        same = signed[twos] == signed[twos + 1]
+        fits = np.minimum(sizes[twos], sizes[twos + 1]) >= threshold * np.maximum(sizes[twos], sizes[twos + 1]) - 1e-9
+        apart = (first[twos] == second[twos]) | (block[twos] != block[twos + 1])
+        good = twos[(same.argmax(axis=1) == number[twos]) & fits & apart]
+        some[good] = some[good + 1] = True
+        for a, b in zip(starts, ends, strict=True):
+            if b - a > 2:
+                some[a:b] = due(signed[a:b], sizes[a:b], block[a:b], first[a] != second[a], int(number[a]), threshold).any(axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(x[some], f.type) for x, f in zip((node, band, number, first, second, block), _CANDIDATE, strict=True)], schema=_CANDIDATE)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[np.ndarray, ...] | None = None
+        for part in source:
+            if not part.num_rows:
+                continue
+            rows = held_rows(part)
+            if held is not None:
+                rows = tuple(np.concatenate(x) for x in zip(held, rows, strict=True))
+            last = np.flatnonzero((rows[1] != rows[1][-1]) | (rows[3] != rows[3][-1]) | (rows[4] != rows[4][-1]))
+            # The last pair of blocks may go on in the next batch.
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if cut:
+                yield chosen(tuple(x[:cut] for x in rows))
+            held = tuple(x[cut:] for x in rows)
+        if held is not None:
+            yield chosen(held)
+
+    return run
+
+
 def shared(sets: list[np.ndarray], width: int = 1 << 15) -> np.ndarray:
     """Sizes of all pairwise intersections, by matrix products over the n-grams that occur twice or more."""
     owners = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
@@ -148,106 +207,118 @@ def shared(sets: list[np.ndarray], width: int = 1 << 15) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _verify(n: int, threshold: float):
+def _verify(bands: int, threshold: float):
     def run(group: pa.Table) -> pa.Table:
-        rows: dict[int, tuple] = {}
-        for node, key, copies, side, text in zip(*(group.column(c).to_pylist() for c in ("node", "key", "copies", "side", "text")), strict=True):
-            words = words_of(text)
-            # An id may stand on several rows; only the text that was signed counts.
-            if node not in rows and class_key(words) == key:
-                rows[node] = (fingerprints(words, n), copies, side)
-        nodes = np.array(sorted(rows), np.int64)
+        group = group.combine_chunks()
+        nodes, copies, sizes, blocks = (group.column(c).to_numpy() for c in ("node", "copies", "n", "block"))
         if len(nodes) < 2:
             return _FOUND.empty_table()
-        sets, copies, sides = zip(*(rows[x] for x in nodes.tolist()), strict=True)
-        sizes, copies, sides = np.array([len(s) for s in sets]), np.array(copies, np.int64), np.array(sides)
-        common = shared(list(sets))
-        linked = common >= threshold * (sizes[:, None] + sizes - common) - 1e-9
-        # Sides: 0 with 1, or 2 (one block with itself).
-        linked &= (sides[:, None] + sides == 1) | (sides[:, None] + sides == 4)
-        np.fill_diagonal(linked, False)
-        least = np.arange(len(nodes))
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("grams")]
+        signed = group.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, bands)
+        first, second, number = (group.column(c)[0].as_py() for c in ("first", "second", "number"))
+        linked = due(signed, sizes, blocks, first != second, number, threshold)
+        if linked.any():
+            common = shared(sets)
+            linked &= common >= threshold * (sizes[:, None] + sizes - common) - 1e-9
+        least = nodes.copy()
         while True:
-            spread = np.minimum(least, np.where(linked, least[None, :], len(nodes)).min(axis=1))
-            spread = np.minimum(spread, spread[spread])
+            spread = np.minimum(least, np.where(linked, least[None, :], least.max()).min(axis=1))
             if (spread == least).all():
                 break
             least = spread
         some = linked.any(axis=1)
-        columns = [nodes[some], linked.sum(axis=1)[some], (linked @ copies)[some], nodes[least[some]]]
+        columns = [nodes[some], linked.sum(axis=1)[some], (linked @ copies)[some], least[some]]
         return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], schema=_FOUND)
 
     return run
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
-    """A row for each pair of blocks that a class is verified in: adds bin, visit, first, second and side.
+_SETS_DDL = "node long, copies long, n long, bands array<long>, grams binary"
 
-    ``nodes`` has node, n and comp. Blocks first and second are of the same bin, or first is of the bin below (visit).
-    """
-    rows = nodes.withColumn("bin", F.floor(F.log("n") / math.log(BIN)).cast("int"))
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_NGRAMS)).cast("int")
-    # A group has as many bins as its set sizes allow: the logarithm of the longest text.
-    bins = rows.groupBy("comp", "bin").agg(blocks.alias("blocks")).groupBy("comp").agg(F.map_from_entries(F.collect_list(F.struct("bin", "blocks"))).alias("bins"))
-    rows = rows.join(bins, "comp")
-    at = lambda b: F.coalesce(F.try_element_at("bins", b), F.lit(0))
-    own, below, above = at(F.col("bin")), at(F.col("bin") - 1), at(F.col("bin") + 1)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), own.cast("long")).cast("int"))
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    me = F.col("block")
 
-    def entry(j, bin_, visit, first, second, side):
-        return F.struct(bin_.cast("int").alias("bin"), F.lit(visit).alias("visit"), first.alias("first"), second.alias("second"), side.cast("int").alias("side"))
+def _sets(n: int):
+    """The n-gram sets of texts, of which only those with the words of their class count: an id may stand on several."""
+    schema = pa.schema([("node", pa.int64()), ("copies", pa.int64()), ("n", pa.int64()), ("bands", pa.list_(pa.int64())), ("grams", pa.binary())])
 
-    same = F.transform(upto(own), lambda j: entry(j, F.col("bin"), 0, F.least(me, j), F.greatest(me, j), F.when(me == j, 2).when(me < j, 0).otherwise(1)))
-    host = F.transform(upto(below), lambda j: entry(j, F.col("bin"), 1, j, me, F.lit(1)))
-    guest = F.transform(upto(above), lambda j: entry(j, F.col("bin") + 1, 1, me, j, F.lit(0)))
-    return rows.withColumn("pairs", F.concat(same, host, guest)).drop("bins", "bin", "block")
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            keys, texts = batch.column(4), batch.column(5)
+            kept, grams = [], []
+            for i in range(batch.num_rows):
+                words = words_of(texts[i].as_py())
+                if class_key(words) == keys[i].as_py():
+                    kept.append(i)
+                    grams.append(fingerprints(words, n).tobytes())
+            own = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(own.column(i) for i in range(4)), pa.array(grams, pa.binary())], schema=schema)
+
+    return run
+
+
+def _members(classes: DataFrame) -> DataFrame:
+    """Classes in every pair of blocks of their buckets: node, band, number (of the band), first, second, n, bands, block."""
+    banded = classes.select("node", "n", F.posexplode("bands").alias("number", "band"))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_NGRAMS)).cast("int")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("size"), blocks.alias("blocks")).filter("size > 1").drop("size")
+    rows = banded.drop("n").join(buckets, "band").join(classes.select("node", "n", "bands"), "node")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.select("node", "band", "number", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "n", "bands", "block")
 
 
 def jaccard_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, text_hash, class_id (least id of all that are connected), n_links, n_texts.
+    """One row per row of the table: doc_id, text_hash, class_id (least id of all that are connected), n_links, n_texts, kept.
 
-    ``n_links`` counts linked documents, ``n_texts`` the different texts among them other than its own.
+    ``n_links`` counts linked documents, ``n_texts`` the different texts among them other than its own. ``kept`` is true
+    for one document of each class, that with the least id and then the least hash of its text (on all rows that repeat
+    it).
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = source.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(_sign(n, bands_for(threshold, recall, rows), rows), _SIGNED_DDL)
-    signed = written(signed.withColumn("node", F.xxhash64("key")), "signatures")
-    known = signed.filter(F.col("key").isNotNull() & F.col("doc_id").isNotNull())
-    classes = known.groupBy("key", "node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    classes = written(classes, "classes")
-    banded = classes.select("node", F.explode("bands").alias("band"))
-    buckets = banded.groupBy("band").agg(F.min("node").alias("pivot"), F.count("*").alias("size")).filter("size > 1").drop("size")
-    edges = banded.join(buckets, "band").filter("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
-    groups = components(edges).select("node", F.col("root").alias("comp"))
-    nodes = classes.drop("bands").join(groups, "node")
-    pairs = _blocks(written(nodes, "candidates")).join(source.select(F.col("doc_id").alias("rep"), "text"), "rep")
-    pairs = pairs.select("comp", "node", "key", "copies", "text", F.explode("pairs").alias("p")).select("comp", "p.*", "node", "key", "copies", "text")
-    found = pairs.groupBy("comp", "bin", "visit", "first", "second").applyInArrow(_verify(n, threshold), _FOUND_DDL)
+    count = bands_for(threshold, recall, rows)
+    source = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    signed = written(source.select("doc_id", "text_hash", "text").mapInArrow(_sign(n, count, rows), _SIGNED_DDL), "signatures")
+    is_known = F.col("key").isNotNull() & F.col("doc_id").isNotNull()
+    each = signed.filter(is_known).groupBy("key", "doc_id").agg(F.min("text_hash").alias("text_hash"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    classes = each.groupBy("key").agg(F.min("doc_id").alias("rep"), F.min_by("text_hash", "doc_id").alias("text_hash"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    # Numbers of rows, written with them: unlike hashes they never meet.
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    place = ["band", "first", "second"]
+    ordered = _members(classes).repartition(*place).sortWithinPartitions(*place)
+    candidates = written(ordered.mapInArrow(_candidates(count, threshold), _CANDIDATE_DDL), "candidates")
+    wanted = classes.join(candidates.select("node").distinct(), "node")
+    texts = source.withColumnRenamed("doc_id", "rep").join(wanted, ["rep", "text_hash"]).select("node", "copies", "n", "bands", "key", "text")
+    sets = written(texts.dropDuplicates(["node"]).mapInArrow(_sets(n), _SETS_DDL), "sets")
+    found = candidates.join(sets, "node").groupBy(*place).applyInArrow(_verify(count, threshold), _FOUND_DDL)
     found = written(found, "links")
+    discard(candidates, sets)
     links = found.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots = components(found.select(F.col("node").alias("u"), F.col("least").alias("v")))
-    linked = classes.select("node", "rep").join(links, "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    linked = written(linked, "linked")
-    names = linked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    linked = linked.join(names, "root").select("node", "class_id", "texts", "docs")
-    result = classes.select("node", "rep", "copies").join(linked, "node", "left")
-    result = result.select("node", F.coalesce("class_id", "rep").alias("class_id"), (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
+    linked = written(classes.select("node", "rep", "text_hash").join(links, "node").join(roots, "node"), "linked")
+    names = linked.groupBy("root").agg(F.min(F.struct("rep", "text_hash")).alias("name"))
+    called = linked.join(names, "root").select("node", "name", "texts", "docs")
+    own = F.coalesce("name", F.struct("rep", "text_hash"))
+    result = classes.select("node", "key", "rep", "text_hash", "copies").join(called, "node", "left")
+    result = result.select("key", own["rep"].alias("class_id"), own["text_hash"].alias("kept_hash"), (F.col("copies") - 1 + F.coalesce("docs", F.lit(0))).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_texts"))
     # Written, so that both sides of the last join are plain exchanges and a class of very many copies can be split.
     result = written(result, "results")
-    out = signed.select("doc_id", "text_hash", F.when(F.col("key").isNotNull() & F.col("doc_id").isNotNull(), F.col("node")).alias("node")).join(result, "node", "left")
-    return out.select("doc_id", "text_hash", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_texts", F.lit(0)).cast("long").alias("n_texts"))
+    discard(found, linked, classes)
+    kept = (F.col("doc_id") == F.col("class_id")) & (F.col("text_hash") == F.col("kept_hash"))
+    known = signed.filter(is_known).select("doc_id", "text_hash", "key").join(result, "key")
+    known = known.select("doc_id", "text_hash", "class_id", F.col("n_links").cast("long").alias("n_links"), F.col("n_texts").cast("long").alias("n_texts"), kept.alias("kept"))
+    none = F.lit(0).cast("long")
+    alone = signed.filter(~is_known).select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), none.alias("n_links"), none.alias("n_texts"), F.lit(True).alias("kept"))
+    return known.unionByName(alone)
 
 
 def op5_jaccard(spark, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents")).drop("text_hash")
+    return jaccard_classes(table(spark, sf_dir, "documents")).drop("text_hash", "kept")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The document with the least id of each class, with all its columns; of repeated rows one. Rows with a null id stay."""
-    names = ("__text_hash", "__doc_id")
-    kept = jaccard_classes(docs).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__doc_id"), F.col("text_hash").alias("__kept_hash")).distinct()
-    rows = docs.withColumn("__text_hash", F.xxhash64("text"))
-    same = (F.col("doc_id").cast("long") == F.col("__doc_id")) & (F.col("__text_hash") == F.col("__kept_hash"))
-    first = rows.join(kept, same).dropDuplicates(list(names)).drop("__kept_hash", *names)
-    return first.unionByName(rows.filter(F.col("doc_id").isNull()).drop("__text_hash"))
+    """One document of each class, with all its columns; of repeated rows one. Rows with a null id stay.
+
+    The user's columns lie in a struct meanwhile, so no name can clash.
+    """
+    kept = jaccard_classes(docs).filter("kept").select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash")).distinct()
+    rows = docs.select(F.struct("*").alias("doc"), named("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
+    first = rows.join(kept, ["id", "hash"]).dropDuplicates(["id", "hash"]).select("doc")
+    return first.union(rows.filter("id is null").select("doc")).select("doc.*")
