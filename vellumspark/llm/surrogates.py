@@ -1,9 +1,10 @@
 """Surrogates for personal data, with DataFrame functions alone.
 
 One pattern finds e-mail addresses, IPv4 addresses, IBANs, social security numbers, card numbers, phone numbers and
-names after a form of address. Each entity gets a replacement that depends on a secret key and on the entity, not on
-where it stands: so the same entity has the same surrogate in all documents (coreference), whatever its separators or
-its letters' case.
+names after a form of address (initials included). In a text with such a name, the words of the name are replaced where
+they stand alone, too, unless the text also has them in lower case. Each entity gets a replacement that depends on a
+secret key and on the entity, not on where it stands: so the same entity has the same surrogate in all documents
+(coreference), whatever its separators, its letters' case or the form of address.
 
 Numbers and addresses are enciphered character by character within their alphabet, forwards and then backwards, each
 shift keyed by what stands before. That is one-to-one on strings of a form, so distinct entities stay distinct, and it
@@ -11,25 +12,37 @@ keeps length, separators and case. Country codes, the first digit of cards, the
 top-level domain stay; check digits of cards and IBANs that were right are right again, and those that were off stay
 off by as much; area codes come to begin with 0 or 1 only where they did.
 
-Names become names of the same script (Latin, Cyrillic, Greek) whose ending fits the gender of the form of address.
-They are built from keyed syllables, so two names may meet: a pass over all entities counts surrogates that stand for
-more than one entity, and while there are any, names get another syllable. The check covers all kinds. Whatever still
-meets at the most syllables is resolved entity by entity: all but one of those that meet get a key of their own.
+A word of a name becomes a word of the same script (Latin, Cyrillic, Greek): its first letter goes through a keyed
+permutation of the alphabet, so initials agree with whole names; keyed syllables follow, which belong to the word; the
+ending follows the gender of the form of address, or, where that has none, the gender that the word has in most names
+of the corpus. Given and family names have stems of their own.
+
+Texts are read by the pattern once; what it finds and what stands between is written. Distinct entities, and distinct
+words of names, are resolved in tables of their own: where surrogates of two meet, all but the first take a key (and
+for words a syllable) more, until none meet. The results are joined back to the places of entities, and only texts that
+have some are put together anew.
+
+Addresses longer than the public limits (64 characters before the @, 63 in a label, 127 labels) are none.
 
 Defined results: a null text stays null; a text without entities stays as it is. Repeated documents give repeated rows.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import discard, named, table, written
 
 #: The key of the contract's query; users pass their own.
 KEY = "vellum-surrogates-1"
-#: Syllables of a name at first, and at most for all names; beyond that only the names that meet get more.
-SYLLABLES, MOST_SYLLABLES = 4, 12
+#: Syllables of a word after its first two letters; words that meet get more.
+SYLLABLES = {"given": 2, "family": 3}
+#: Letters of the shortest word of a name that is replaced where it stands alone.
+LEAST_ALONE = 3
 
 #: Forms of address by gender.
 ADDRESS = {
@@ -37,29 +50,37 @@ ADDRESS = {
     "m": ("Mr", "Mister", "Sir", "Herr", "Herrn", "Monsieur", "Sr", "Señor", "Signor", "г-н", "Господин", "Κύριος"),
     "n": ("Dr", "Prof", "Professor"),
 }
-#: Consonants, vowels and the endings of given and of family names by gender, for each script.
+#: Letters, consonants, vowels and the endings of given and of family names by gender, for each script.
 SCRIPTS = {
-    "latin": ("bdfghklmnprstvz", "aeiou", {"f": "a", "m": "us", "n": "en"}, {"f": "er", "m": "er", "n": "er"}),
-    "cyrillic": ("бвгджзклмнпрстф", "аеиоу", {"f": "а", "m": "ий", "n": "ен"}, {"f": "ова", "m": "ов", "n": "енко"}),
-    "greek": ("βγδζθκλμνπρστφχ", "αειου", {"f": "α", "m": "ος", "n": "ι"}, {"f": "ου", "m": "ης", "n": "ακη"}),
+    "latin": ("abcdefghijklmnopqrstuvwxyz", "bdfghklmnprstvz", "aeiou", {"f": "a", "m": "us", "n": "en"}, {"f": "er", "m": "er", "n": "er"}),
+    "cyrillic": ("абвгдежзийклмнопрстуфхцчшщэюя", "бвгджзклмнпрстф", "аеиоу", {"f": "а", "m": "ий", "n": "ен"}, {"f": "ова", "m": "ов", "n": "енко"}),
+    "greek": ("αβγδεζηθικλμνξοπρστυφχψω", "βγδζθκλμνπρστφχ", "αειου", {"f": "α", "m": "ος", "n": "ι"}, {"f": "ου", "m": "ης", "n": "ακη"}),
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"\p{Lu}[\p{L}'’]+(?:-\p{Lu}\p{L}+)?"
+_NAME = r"\p{Lu}(?:['’]\p{L}{2,}+|\p{L}++(?:['’]\p{L}{2,}+)?)"
+_WORD = rf"(?:{_NAME}(?:-{_NAME})?|\p{{Lu}}\.)"
 _FORMS = "|".join(sorted((f for forms in ADDRESS.values() for f in forms), key=len, reverse=True))
+_TITLE = rf"(?:(?:{_FORMS})\.?|M\.)"
 _CARD = r"\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7}|\d{4}[ -]\d{6}[ -]\d{5}|\d{13,19}"
 #: Country codes by their first digits, so that a number's digits alone tell where its code ends.
 _COUNTRY = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: No group repeats without a bound: each round of one takes a frame of the JVM's stack.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9])",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}+\.){1,126}[A-Za-z]{2,63}+(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": rf"(?<![\d+])(?:{_CARD})(?!\d)",
     "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]?\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "person": rf"(?<!\p{{L}})(?=[MFSDHPгГΚ])(?:(?:{_FORMS})\.?|M\.) {_NAME}(?: {_NAME}){{0,2}}",
+    "person": rf"(?=[MFSDHPгГΚ])(?<!\p{{L}}){_TITLE}(?: {_TITLE}){{0,2}}(?: {_WORD}){{1,3}}",
 }
-_ALL = "|".join(f"(?:{p})" for p in PATTERNS.values())
+_NUMBERS = "|".join(f"(?:{PATTERNS[k]})" for k in ("ip", "ssn", "card", "phone"))
+#: What can't begin an entity is passed over by its first characters.
+_UNMAILED = rf"(?=[\d+(])(?:{_NUMBERS})|(?=[A-Z]{{2}}\d){PATTERNS['iban']}|{PATTERNS['person']}"
+_ALL = rf"(?=[A-Za-z0-9._%+-]){PATTERNS['email']}|{_UNMAILED}"
+#: A word that may be part of a name, standing alone.
+_ALONE = rf"(?<![\p{{L}}\p{{N}}])(?:{_NAME})(?![\p{{L}}\p{{N}}@_%+]|\.[\p{{L}}\p{{N}}])"
 
 
 def _hash(*parts: Column | str) -> Column:
@@ -193,38 +214,58 @@ def _script(word: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _gender(form: Column) -> Column:
-    bare = F.rtrim(form, F.lit("."))
-    return F.when(bare.isin(*ADDRESS["f"]), "f").when(bare.isin(*ADDRESS["n"]), "n").otherwise("m")
+def _gender(title: Column) -> Column:
+    """Of one or more forms of address."""
+    bare = F.transform(F.split(F.trim(title), " "), lambda w: F.rtrim(w, F.lit(".")))
+    neutral = lambda w: w.isin(*ADDRESS["n"])
+    return F.when(F.exists(bare, lambda w: w.isin(*ADDRESS["f"])), "f").when(F.forall(bare, neutral), "n").otherwise("m")
+
+
+def _permuted(letters: str, key: str) -> str:
+    return "".join(sorted(letters, key=lambda c: hashlib.sha256(f"{key}|letter|{c}".encode()).digest()))
 
 
-def _name(word: Column, kind: str, gender: Column, key: Column | str, syllables: int, more: Column | int = 0) -> Column:
-    """A name for a word of a name; family names have no gender of their own, so that relatives share them."""
-    low, script = F.lower(word), _script(word)
+def _first(word: Column, key: str) -> Column:
+    """The first letter of a word's surrogate: a keyed permutation of each script's letters."""
+    source = "".join(x[0] for x in SCRIPTS.values())
+    target = "".join(_permuted(x[0], key) for x in SCRIPTS.values())
+    return F.translate(F.left(F.translate(F.lower(word), "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþßčďěňřšťůžłąęśźżńćőűğışёґєії", "aaaaaaaceeeeiiiidnoooooouuuuypscdenrstuzlaeszzncouqiseгеии"), F.lit(1)), source, target)
+
+
+def stem(low: Column, role: Column, key: str, more: Column | int = 0) -> Column:
+    """The surrogate of a lower-cased word of a name, but for its ending. Stems of a role are equally long but for ``more``."""
 
     def letter(of: str, h: Column) -> Column:
         return F.substr(F.lit(of), (h % len(of) + 1).cast("int"), F.lit(1))
 
-    def made(consonants: str, vowels: str, given: dict[str, str], family: dict[str, str]) -> Column:
+    def made(letters: str, consonants: str, vowels: str, *_: dict) -> Column:
         def syllable(i: Column) -> Column:
-            h = _hash(key, "name", kind, low, i.cast("string"))
-            return F.concat(letter(consonants, h), letter(vowels, (h / 64).cast("long")))
+            return _let(_hash(key, "name", role, low, i.cast("string"), F.lit(more).cast("string") if isinstance(more, int) else more.cast("string")), lambda h: F.concat(letter(consonants, h), letter(vowels, (h / 64).cast("long"))))
+
+        n = F.when(role == "family", SYLLABLES["family"]).otherwise(SYLLABLES["given"]) + more
+
+        def begun(first: Column) -> Column:
+            known = F.when(F.contains(F.lit(letters), first), first).otherwise(letter(letters, _hash(key, "first", low)))
+            second = lambda c: F.when(F.contains(F.lit(vowels), c), letter(consonants, _hash(key, "second", low))).otherwise(letter(vowels, _hash(key, "second", low)))
+            return _let(known, lambda c: F.concat(c, second(c)))
 
-        ends = given if kind == "given" else family
-        ending = F.when(gender == "f", ends["f"]).when(gender == "n", ends["n"]).otherwise(ends["m"])
-        n = syllables if kind == "family" else max(2, syllables - 1)
-        return F.initcap(F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n) + more), syllable), ""), ending))
+        return F.concat(_let(_first(low, key), begun), F.array_join(F.transform(F.sequence(F.lit(1), n), syllable), ""))
 
-    whole = F.when(script == "cyrillic", made(*SCRIPTS["cyrillic"])).when(script == "greek", made(*SCRIPTS["greek"])).otherwise(made(*SCRIPTS["latin"]))
-    return F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(whole)).otherwise(whole)
+    script = _script(low)
+    return F.when(script == "cyrillic", made(*SCRIPTS["cyrillic"])).when(script == "greek", made(*SCRIPTS["greek"])).otherwise(made(*SCRIPTS["latin"]))
 
 
-def _person(m: Column, key: Column | str, syllables: int, more: Column | int = 0) -> Column:
-    words = F.split(m, " ")
-    form, names = F.get(words, F.lit(0)), F.slice(words, 2, 9)
-    gender = _gender(form)
-    last = F.size(names) - 1
-    return F.concat_ws(" ", form, F.array_join(F.transform(names, lambda w, i: F.when(i == last, _name(w, "family", gender, key, syllables, more)).otherwise(_name(w, "given", gender, key, syllables, more))), " "))
+def _word(word: Column, made: Column, role: Column, gender: Column) -> Column:
+    """A stem with its ending, in the word's case."""
+
+    def ending(given: dict[str, str], family: dict[str, str]) -> Column:
+        of = lambda ends: F.when(gender == "f", ends["f"]).when(gender == "m", ends["m"]).otherwise(ends["n"])
+        return F.when(role == "family", of(family)).otherwise(of(given))
+
+    script = _script(word)
+    end = F.when(script == "cyrillic", ending(*SCRIPTS["cyrillic"][3:])).when(script == "greek", ending(*SCRIPTS["greek"][3:])).otherwise(ending(*SCRIPTS["latin"][3:]))
+    whole = F.concat(made, end)
+    return F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(whole)).otherwise(F.initcap(whole))
 
 
 def kind_of(m: Column) -> Column:
@@ -235,65 +276,135 @@ def kind_of(m: Column) -> Column:
     )
 
 
-def surrogate(m: Column, key: str, syllables: int = SYLLABLES, tweaks: dict[str, int] | None = None) -> Column:
-    """``tweaks`` has the entities, by identity, that get a key of their own, and so many more syllables."""
+def surrogate(m: Column, key: Column | str) -> Column:
+    """The surrogate of an entity that is no name."""
 
-    def of(kind: Column, own: Column | str, more: Column | int) -> Column:
+    def of(kind: Column) -> Column:
         return (
-            F.when(kind == "email", _email(m, own)).when(kind == "ip", _ip(m, own)).when(kind == "iban", _iban(m, own)).when(kind == "ssn", _refilled(m, cipher(_digits(m), own, "ssn")))
-            .when(kind == "card", _card(m, own)).when(kind == "phone", _phone(m, own)).otherwise(_person(m, own, syllables, more))
+            F.when(kind == "email", _email(m, key)).when(kind == "ip", _ip(m, key)).when(kind == "iban", _iban(m, key)).when(kind == "ssn", _refilled(m, cipher(_digits(m), key, "ssn")))
+            .when(kind == "card", _card(m, key)).when(kind == "phone", _phone(m, key))
         )
 
-    def tweaked(n: Column) -> Column:
-        own = F.when(n > 0, F.concat(F.lit(f"{key}#"), n.cast("string"))).otherwise(key)
-        return _let(own, lambda k: _let(kind_of(m), lambda kind: of(kind, k, n)))
-
-    if not tweaks:
-        return _let(kind_of(m), lambda kind: of(kind, key, 0))
-    known = F.create_map(*(F.lit(x) for pair in tweaks.items() for x in pair))
-    return _let(F.coalesce(F.try_element_at(known, _identity(m)), F.lit(0)), tweaked)
+    return _let(kind_of(m), of)
 
 
 def _identity(m: Column) -> Column:
-    """What entities are told apart by: case of addresses and names and separators of numbers don't count."""
-    plain = lambda kind: F.when(kind.isin("email", "person"), F.lower(m)).when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind.isin("ssn", "card", "phone"), F.regexp_replace(m, r"[^\d+]", "")).otherwise(m)
+    """What entities are told apart by: case of addresses and separators of numbers don't count."""
+    plain = lambda kind: F.when(kind == "email", F.lower(m)).when(kind == "iban", F.regexp_replace(m, " ", "")).when(kind.isin("ssn", "card", "phone"), F.regexp_replace(m, r"[^\d+]", "")).otherwise(m)
     return _let(kind_of(m), lambda kind: F.concat_ws(":", kind, plain(kind)))
 
 
-def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Distinct entities of all texts, as they are written."""
-    return docs.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(_ALL), F.lit(0))).alias("entity")).distinct()
+def apart(owns: DataFrame, new: Callable[[Column], Column]) -> DataFrame:
+    """Adds retry and new to a table with a row per ``own``, such that no two rows have the same ``new``.
+
+    ``new`` gives the surrogate for a number of retries. Of the rows that meet, the one with the least ``own`` keeps its
+    surrogate and the others try again, so a round works on a table of the entities alone.
+    """
+    rows = written(owns.withColumn("retry", F.lit(0)).withColumn("new", new(F.col("retry"))), "entities")
+    while True:
+        meeting = rows.groupBy("new").agg(F.min("own").alias("keeps"), F.count("*").alias("n")).filter("n > 1").select(F.col("new").alias("met"), "keeps")
+        if meeting.isEmpty():
+            return rows
+        later = rows.join(meeting, F.col("new") == F.col("met"), "left")
+        later = later.withColumn("retry", F.col("retry") + F.coalesce((F.col("own") != F.col("keeps")).cast("int"), F.lit(0))).select(*owns.columns, "retry")
+        later = written(later.withColumn("new", new(F.col("retry"))), "entities")
+        discard(rows)
+        rows = later
+
 
+def _names(m: Column) -> Column:
+    """A person without forms of address."""
+    return F.regexp_replace(m, rf"^{_TITLE}(?: {_TITLE}){{0,2}} (?=\p{{Lu}})", "")
 
-def _meeting(found: DataFrame, key: str, syllables: int, tweaks: dict[str, int] | None = None) -> DataFrame:
-    """(new, owns): surrogates that stand for more than one entity, and those entities in order."""
-    pairs = found.select(_identity(F.col("entity")).alias("own"), _let(surrogate(F.col("entity"), key, syllables, tweaks), _identity).alias("new")).distinct()
-    return pairs.groupBy("new").agg(F.array_sort(F.collect_list("own")).alias("owns")).filter("size(owns) > 1")
 
+def _parts(m: Column) -> Column:
+    return F.split(_names(m), "[ -]")
 
-def collisions(found: DataFrame, key: str, syllables: int) -> int:
-    """How many surrogates stand for more than one entity."""
-    return _meeting(found, key, syllables).count()
+
+def found_in(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts with what the pattern finds, written: row, doc_id, text (where nothing is found), found, gaps, alone.
+
+    ``found`` has entities in order, and in texts with names also words that may be part of one; ``gaps`` is what stands
+    between. ``alone`` are lower-cased words of the text's names that are to be replaced where they stand alone.
+    """
+    text = F.col("text")
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
+    all_of = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    none = F.array().cast("array<string>")
+    rows = rows.withColumn("first", F.coalesce(F.when(text.contains("@"), all_of(_ALL)).otherwise(all_of(_UNMAILED)), none))
+    people = F.filter("first", lambda m: kind_of(m) == "person")
+    words = F.filter(F.array_distinct(F.transform(F.flatten(F.transform(people, _parts)), F.lower)), lambda w: F.length(w) >= LEAST_ALONE)
+    alone = F.when(F.exists("first", lambda m: kind_of(m) == "person"), F.array_except(words, F.split(text, r"[^\p{L}'’]+")))
+    rows = rows.withColumn("alone", F.coalesce(alone, none))
+    with_words = f"{_ALL}|{_ALONE}"
+    some, any_words = F.size("first") > 0, F.size("alone") > 0
+    found = F.when(any_words, all_of(with_words)).otherwise(F.col("first"))
+    gaps = F.when(any_words, F.split(text, with_words, -1)).when(some, F.split(text, _ALL, -1)).otherwise(none)
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    return written(rows.select("row", "doc_id", F.when(~some, text).alias("text"), found.alias("found"), gaps.alias("gaps"), "alone"), "found")
+
+
+def occurrences(found: DataFrame) -> DataFrame:
+    """(row, at, entity, is_word): all that was found; words alone have neither blanks nor digits nor an @."""
+    rows = found.filter("size(found) > 0").select("row", F.posexplode("found").alias("at", "entity"))
+    return rows.withColumn("is_word", ~F.col("entity").rlike(r"[ @\d]"))
+
+
+def _stems(people: DataFrame, key: str) -> DataFrame:
+    """(role, low, gender, new): a row per word of a name in a role; its gender is that of most names that have one."""
+    votes = lambda g: F.sum((F.col("gender") == g).cast("int"))
+    words = people.filter("role <> 'initial'").groupBy("role", "low").agg(votes("m").alias("m"), votes("f").alias("f"))
+    words = words.select("role", "low", F.when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("n").alias("gender"), F.concat_ws(":", "role", "low").alias("own"))
+    return apart(words, lambda retry: F.concat_ws(":", "role", stem(F.col("low"), F.col("role"), key, retry)))
+
+
+def surrogates_of(entities: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """For distinct entities: (entity, kind, new); and the stems of the words of names: (role, low, gender, new)."""
+    entity = F.col("entity")
+    entities = entities.withColumn("kind", kind_of(entity))
+    people = entities.filter("kind = 'person'").withColumn("names", _names(entity)).withColumn("title", F.left(entity, F.length(entity) - F.length("names"))).withColumn("of_title", _gender(F.col("title")))
+    parts = F.split("names", "[ -]")
+    tail = F.size(F.split(F.element_at(F.split("names", " "), -1), "-"))
+    people = people.select("entity", "title", F.regexp_extract_all("names", F.lit("[ -]"), F.lit(0)).alias("between"), F.col("of_title"), (F.size(parts) - tail).alias("family_from"), F.posexplode(parts).alias("at", "word"))
+    role = F.when(F.col("word").endswith("."), "initial").when(F.col("at") >= F.col("family_from"), "family").otherwise("given")
+    people = written(people.withColumn("role", role).withColumn("low", F.lower("word")).withColumn("gender", F.col("of_title")), "people")
+    stems = _stems(people, key)
+    made = people.join(stems.select("role", "low", F.col("gender").alias("of_word"), F.substring_index("new", ":", -1).alias("stem")), ["role", "low"], "left")
+    gender = F.when(F.col("of_title") != "n", F.col("of_title")).otherwise(F.col("of_word"))
+    initial = F.concat(F.upper(_first(F.col("word"), key)), F.lit("."))
+    made = made.withColumn("part", F.concat(F.when(F.col("role") == "initial", initial).otherwise(_word(F.col("word"), F.col("stem"), F.col("role"), gender)), F.coalesce(F.get("between", F.col("at")), F.lit(""))))
+    # A name has a few parts.
+    named_ = made.groupBy("entity", "title").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
+    named_ = named_.select("entity", F.lit("person").alias("kind"), F.concat("title", F.array_join("parts.part", "")).alias("new"))
+    others = entities.filter("kind <> 'person'").withColumn("own", _identity(entity))
+    own_key = lambda retry: F.when(retry > 0, F.concat(F.lit(f"{key}#"), retry.cast("string"))).otherwise(F.lit(key))
+    under = lambda m, retry: _let(own_key(retry), lambda k: surrogate(m, k))
+    owns = apart(others.groupBy("own").agg(F.min("entity").alias("one")), lambda retry: _let(under(F.col("one"), retry), _identity))
+    rest = others.join(owns.select("own", "retry"), "own").select("entity", "kind", under(entity, F.col("retry")).alias("new"))
+    return written(named_.unionByName(rest), "surrogates"), stems
 
 
 def replace_entities(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, text with surrogates, and the number of entities replaced, in all and by kind."""
-    found, syllables = written(entities(docs, text_col), "entities"), SYLLABLES
-    while (meeting := collisions(found, key, syllables)) and syllables < MOST_SYLLABLES:
-        syllables += 1
-    tweaks: dict[str, int] = {}
-    while meeting:
-        # The first entity of those that meet keeps its surrogate.
-        for row in _meeting(found, key, syllables, tweaks).collect():
-            tweaks |= {own: tweaks.get(own, 0) + 1 for own in row["owns"][1:]}
-        meeting = _meeting(found, key, syllables, tweaks).count()
-    text = F.col("text")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = rows.withColumn("found", F.regexp_extract_all(text, F.lit(_ALL), F.lit(0)))
-    rows = rows.withColumn("new", F.transform("found", lambda m: surrogate(m, key, syllables, tweaks))).withColumn("kinds", F.transform("found", kind_of))
-    pieces = F.transform(F.split(text, _ALL, -1), lambda gap, i: F.concat(gap, F.coalesce(F.get("new", i), F.lit(""))))
-    count = lambda k: F.coalesce(F.size(F.filter("kinds", lambda x: x == k)), F.lit(0)).cast("long").alias(f"n_{k}")
-    return rows.select("doc_id", F.when(F.size("found") > 0, F.array_join(pieces, "")).otherwise(text).alias("text"), F.when(text.isNull(), 0).otherwise(F.size("found")).cast("long").alias("n_entities"), *(count(k) for k in PATTERNS))
+    found = found_in(docs, id_col, text_col)
+    places = occurrences(found)
+    entities = written(places.filter("not is_word").select("entity").distinct(), "entities")
+    answers, stems = surrogates_of(entities, key)
+    whole = places.filter("not is_word").join(answers, "entity").select("row", "at", "new", "kind")
+    # A word that is both stands for the family.
+    by_word = stems.groupBy("low").agg(F.min(F.struct("role", "gender", F.substring_index("new", ":", -1).alias("stem"))).alias("of"))
+    own = found.select("row", F.explode("alone").alias("low")).join(by_word, "low")
+    words = places.filter("is_word").withColumn("low", F.lower("entity")).join(own, ["row", "low"], "left")
+    new = F.when(F.col("of").isNotNull(), _word(F.col("entity"), F.col("of.stem"), F.col("of.role"), F.col("of.gender"))).otherwise(F.col("entity"))
+    words = words.select("row", "at", new.alias("new"), F.when(F.col("of").isNotNull(), "person").alias("kind"))
+    count = lambda k: F.count_if(F.col("kind") == k).alias(f"n_{k}")
+    put = whole.unionByName(words).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("put"), F.count("kind").alias("n_entities"), *map(count, PATTERNS))
+    counts = ["n_entities", *(f"n_{k}" for k in PATTERNS)]
+    changed = found.filter("size(found) > 0").select("row", "doc_id", "gaps").join(put, "row")
+    pieces = F.zip_with("gaps", F.col("put.new"), lambda gap, new: F.concat(gap, F.coalesce(new, F.lit(""))))
+    changed = changed.select("doc_id", F.array_join(pieces, "").alias("text"), *counts)
+    same = found.filter("size(found) = 0").select("doc_id", "text", *(F.lit(0).cast("long").alias(c) for c in counts))
+    return changed.unionByName(same)
 
 
 def op4_surrogates(spark, sf_dir: str) -> DataFrame:
