@@ -385,37 +385,105 @@ def test_secrets_on_odd_rows(spark):
 # --- 7 -------------------------------------------------------------------------------------------------------
 
 
-def test_mixing(spark):
-    draw = random.Random(3)
-    rows = [(i, " ".join(["w"] * draw.choice([1, 5, 40, 300])), "en", f"s{i % 7}" if i % 11 else None, 1) for i in range(900)]
-    docs = spark.createDataFrame(rows, DOCS)
-    got = mixing.mix(docs).collect()
-    assert rows_of(mixing.mix(docs.repartition(7))) == sorted(map(tuple, got), key=repr)
-    by = collections.defaultdict(list)
-    names = {r[0]: r[3] for r in rows}
-    for r in got:
-        assert 0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"]
-        by[names[r["doc_id"]]].append(r)
-    total = sum(r["size"] for r in got)
-    order = sorted((s for s in by if s is not None)) + [None]
-    sizes, weights = {s: sum(r["size"] for r in by[s]) for s in order}, {s: i % 3 + 1 for i, s in enumerate(order)}
-    want, open_, rest = {}, set(order), total
-    while True:  # what is above three times a source's size is shared anew
+def plain_targets(sizes):
+    """Words of each source: what is above three times its size is shared anew."""
+    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
+    weights, want, open_, rest = {s: i % 3 + 1 for i, s in enumerate(order)}, {}, set(order), sum(sizes.values())
+    while True:
         share = {s: rest * weights[s] / sum(weights[x] for x in open_) for s in open_}
         above = {s for s in open_ if share[s] > 3 * sizes[s]}
         if not above:
-            want.update(share)
-            break
+            return want | share
         for s in above:
             want[s] = 3 * sizes[s]
             rest -= want[s]
         open_ -= above
-    for s in order:
-        assert by[s][0]["source_size"] == sizes[s] and abs(by[s][0]["target"] - want[s]) < 1e-6 * total
-        assert abs(sum(r["taken"] for r in by[s]) - want[s]) <= 300
-    out = mixing.mixed(odd(spark))
-    assert out.columns == odd(spark).columns and mixing.mix(odd(spark)).count() == len(ODD)
+
+
+def plain_rates(docs, want, sizes, newton=True):
+    """All multipliers at once, with the whole matrix; a rate for each (source, size)."""
+    keys = [(s, n) for s, n in docs if n]
+    w = np.array([n for _, n in keys], float)
+    x = np.log2(w)
+    mean = (w * x).sum() / w.sum()
+    x = (x - mean) / ((w * x * x).sum() / w.sum() - mean**2) ** 0.5
+    free = [s for s in want if want[s] < 3 * sizes[s]]
+    columns = np.array([[float(s == f) for f in free] + [a, (a * a - 1) / 2] for (s, _), a in zip(keys, x, strict=True)])
+    full = np.array([s not in free for s, _ in keys])
+    goal = np.array([want[s] for s in free] + [0.0, 0.0])
+    ridge = np.array([0.0] * len(free) + [mixing.RIDGE * w.sum()] * 2)
+    m = np.array([np.log(want[s] / sizes[s]) for s in free] + [0.0, 0.0])
+    rate = lambda: np.where(full, 3.0, np.minimum(3.0, np.exp(columns @ m)))
+    for _ in range(200 if newton else 0):
+        r = rate()
+        slope = columns.T @ (w * r) - goal + ridge * m
+        curve = (columns * (w * r * (~full & (r < 3)))[:, None]).T @ columns + np.diag(ridge + 1e-12)
+        m -= np.clip(np.linalg.solve(curve, slope), -0.5, 0.5)
+    r = rate()
+    assert not newton or np.abs(columns.T @ (w * r) - goal + ridge * m).max() < 1e-6 * w.sum()
+    return dict(zip(keys, r, strict=True))
+
+
+def plain_copies(docs, rates_):
+    """``docs`` has (id, source, size); copies by id."""
+    out, groups = {}, collections.defaultdict(lambda: collections.defaultdict(list))
+    for i, s, n in docs:
+        bits = len(f"{n:b}")
+        groups[s][bits * 16 + (n if bits <= 4 else n >> bits - 4)].append((hashlib.md5(str(i).encode()).hexdigest(), n, i))
+    for s, cells in groups.items():
+        owed = 0.0
+        for _, members in sorted(cells.items(), reverse=True):
+            q = {i: int(rates_.get((s, n), 0.0) * mixing.UNIT + 0.5) for _, n, i in members}
+            units, words = sum(q.values()), sum(q[i] * n for _, n, i in members)
+            if not units:
+                out |= dict.fromkeys(q, 0)
+                owed += words / mixing.UNIT
+                continue
+            owed += words / mixing.UNIT
+            whole = max(0, min(int(np.floor(owed * units / words + 0.5)), units * 3 // max(q.values())))
+            owed -= whole * words / units
+            at = 0
+            for _, _, i in sorted(members):
+                out[i] = whole * (at + q[i]) // units - whole * at // units
+                at += q[i]
+    return out
+
+
+def test_mixing(spark):
+    draw = random.Random(3)
+    rows = [(i, " ".join(["w"] * draw.choice([1, 5, 40, 300, draw.randrange(1, 2000)])), "en", f"s{i % 7}" if i % 11 else None, 1) for i in range(900)]
+    rows += [(1000 + i, "w w", "en", "tiny", 1) for i in range(3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(docs).collect()
+    assert rows_of(mixing.mix(docs.repartition(7))) == sorted(map(tuple, got), key=repr)
+    names, by = {r[0]: r[3] for r in rows}, collections.defaultdict(list)
+    for r in got:
+        assert 0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] and r["size"] == len(next(x for x in rows if x[0] == r["doc_id"])[1].split())
+        by[names[r["doc_id"]]].append(r)
+    sizes = {s: sum(r["size"] for r in v) for s, v in by.items()}
+    want = plain_targets(sizes)
+    assert want["tiny"] == 3 * sizes["tiny"] and all(r["copies"] == 3 for r in by["tiny"])
+    for s, v in by.items():
+        assert v[0]["source_size"] == sizes[s] and abs(v[0]["target"] - want[s]) < 1e-6 * sum(sizes.values())
+        assert abs(sum(r["taken"] for r in v) - want[s]) <= 400
+    plain = [(names[r["doc_id"]], r["size"]) for r in got]
+    facts = docs.select(F.col("source").alias("__source"), mixing.word_count(F.col("text")).alias("__size")).groupBy("__source", "__size").agg(F.count("*").alias("__rows"))
+    aims = spark.createDataFrame([(s, sizes[s], float(want[s])) for s in sizes], "__source string, __source_size long, __target double")
+    found = {(r["__source"], r["__size"]): r["__q"] / mixing.UNIT for r in mixing.rates(facts, aims).collect()}
+    exact, still = plain_rates(plain, want, sizes), plain_rates(plain, want, sizes, newton=False)
+    assert max(abs(found[k] - exact[k]) for k in exact) < 2e-6 < 0.02 < max(abs(found[k] - still[k]) for k in exact)
+    assert len({round(r, 4) for (s, _), r in found.items() if s == "s1"}) > 20  # each document's rate follows its length
+    assert {r["doc_id"]: r["copies"] for r in got} == plain_copies([(r["doc_id"], names[r["doc_id"]], r["size"]) for r in got], found)
+    out = mixing.mixed(odd(spark).withColumn("a.b", F.lit(1)).withColumn("doc", F.lit(2)))
+    assert out.columns == [*odd(spark).columns, "a.b", "doc"] and mixing.mix(odd(spark)).count() == len(ODD)
     assert mixing.mix(empty(spark)).count() == 0
+    assert mixing.mix(docs.withColumn("text", F.lit(None).cast("string"))).filter("taken = 0 and target = 0").count() == len(rows)
+
+
+def test_mixing_ranks_many_sources(spark):
+    sources = spark.range(5000).select(F.when(F.col("id") < 4999, F.concat(F.lit("s"), F.col("id"))).alias("__source"), F.lit(1).alias("x")).repartition(5)
+    got = {r["__source"]: r["__rank"] for r in mixing.ranked(sources).collect()}
+    assert got == {s: i for i, s in enumerate([*sorted(f"s{i}" for i in range(4999)), None])}
 
 
 # --- 8, 10 ---------------------------------------------------------------------------------------------------

@@ -35,7 +35,6 @@ QUERIES = {
 }
 ORACLES = {
     "op6_secrets": secrets.ORACLE,
-    "op7_mixing": mixing.ORACLE,
     "op8_licenses": licenses.ORACLE,
     "op9_topk": topk.ORACLE,
     "op10_contamination": decontaminate.ORACLE,

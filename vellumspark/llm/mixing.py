@@ -1,23 +1,32 @@
 """Mixing sources to target weights by entropy balancing, with DataFrame functions alone.
 
 Targets share all words among the sources by weight; none is above a multiple of its source's own words, and what is
-above is shared anew by weight until nothing is (the level at which that ends is found in closed form).
+above is shared anew by weight until nothing is.
 
-The rates of documents minimise their relative entropy, weighted by words, under one constraint per source: its rated
-words equal its target. In the convex dual a document's rate is the exponential of its source's multiplier, so the
-documents of a source enter the gradient and the curvature by their summed words alone. Those sums are made in one
-distributed aggregation, and Newton's iterations then run for all sources in parallel.
+The rates of documents minimise their relative entropy, weighted by words, under two families of constraints that cross:
 
-Rates become whole copies: each document gets the whole part, and the rest decides who gets one more. Documents of a
-source are put in cells of about equal size (12 % at most); from the largest cell down, the number of further copies in
-a cell follows the target so far less what was taken so far. In a cell the copies fall at even distances in the order
-of a hash of the id. So a source's taken words differ from its target by a part of a small document, and reruns agree.
+* the rated words of each source equal its target (exactly);
+* the mix keeps the corpus's mean and variance of the logarithm of document length, by words (as far as the first family
+  and the largest rate allow: these constraints have a ridge in the dual, so there is always a solution).
+
+In the convex dual a document's rate is ``min(most, exp(alpha[source] + beta · x))`` with x its two centred powers of
+log length: tilted exponentially, each document by its own length. Every Newton step sums gradient and curvature over
+all documents in a distributed aggregation (documents of equal source and size share a row). A source's multiplier only
+meets its own documents, so its block of the curvature is diagonal: it is eliminated in the same table, source by source,
+and what is left for the driver is a system of two unknowns. Sums are made in decimals, so they don't depend on the
+order of rows and reruns agree.
+
+Rates become whole copies. Documents of a source are put in cells of about equal size (12 % at most); from the largest
+cell down, the number of copies in a cell follows the words wanted so far less those taken so far. In a cell the copies
+fall where the running sum of rates, in the order of a hash of the id, passes a whole number. So a source's taken words
+differ from its target by a part of a small document, and no document gets more copies than its rate rounded up.
 
 Cells are split by the first digits of the hash before anything is ordered, so a source or a size that holds a large
-part of all rows is spread over many tasks.
+part of all rows is spread over many tasks. Sources are ranked by ranges, not in one task.
 
 Defined results: a null or empty text has size 0 and is taken 0 times its size; a null source is a source of its own,
-the last; repeated rows count as often as they occur. If there are no words at all, targets are 0.
+the last; repeated rows count as often as they occur; documents alike in id and text are interchangeable. If there are
+no words at all, targets are 0.
 """
 
 from __future__ import annotations
@@ -26,12 +35,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import table, written
+from .common import discard, named, table, written
 
 #: Weights of the sources in order, repeating; most copies of a document.
 WEIGHTS, MOST = (1, 2, 3), 3
-#: Newton steps: from above, each takes at most 1 off a multiplier, and the last few converge quadratically.
-STEPS = 60
+#: Newton steps at most; they end when no source's words are off by more than this share of its target.
+STEPS, CLOSE = 60, 1e-10
+#: Weight of the ridge on the multipliers of length, by the words of the corpus.
+RIDGE = 1e-3
+#: Rates are whole numbers of these parts of a copy.
+UNIT = 1 << 20
 #: Rows of a cell's part that one task orders, on average at most.
 PART_ROWS = 1 << 20
 
@@ -49,76 +62,157 @@ def size_cell(size: Column) -> Column:
     return (bits * 16 + top).cast("int")
 
 
+def ranked(sources: DataFrame) -> DataFrame:
+    """Adds __rank, from 0, in the order of the sources' code points, null last."""
+    place = F.spark_partition_id().cast("long")
+    parts = sources.repartitionByRange(F.col("__source").asc_nulls_last()).sortWithinPartitions(F.col("__source").asc_nulls_last())
+    # The lower 33 bits of the number count the rows of a partition.
+    rows = written(parts.withColumn("__part", place).withColumn("__n", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "mixing-sources")
+    # A row per partition.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("__part").agg(F.count("*").alias("__rows")).withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0)))
+    return rows.join(offsets, "__part").withColumn("__rank", F.col("__before") + F.col("__n")).drop("__part", "__n", "__rows", "__before")
+
+
 def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """Adds __target to a table of __source and __source_size: one row per source."""
-    # A row per source: windows over all of them are over a small table.
-    order = Window.orderBy(F.col("__source").asc_nulls_last())
-    choice = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    rows = sources.withColumn("__weight", choice.cast("long")).withColumn("__cap", most * F.col("__source_size"))
-    by_level = Window.orderBy(F.col("__cap") / F.col("__weight"), "__weight", F.col("__source").asc_nulls_last())
-    before, every = by_level.rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    rest = F.sum("__source_size").over(every) - F.coalesce(F.sum("__cap").over(before), F.lit(0))
-    weight_left = F.sum("__weight").over(every) - F.coalesce(F.sum("__weight").over(before), F.lit(0))
-    rows = rows.withColumn("__level", rest / weight_left).withColumn("__place", F.row_number().over(by_level))
-    fits = F.when(F.col("__level") * F.col("__weight") <= F.col("__cap"), F.struct("__place", "__level"))
-    rows = rows.withColumn("__water", F.min(fits).over(every)["__level"])
-    return rows.withColumn("__target", F.least(F.col("__cap").cast("double"), F.coalesce(F.col("__water"), F.lit(0.0)) * F.col("__weight"))).select("__source", "__source_size", "__target")
-
-
-def rate(size: Column, target: Column, most: int = MOST) -> Column:
-    """The exponential of the multiplier at which a source's rated words equal its target, by Newton's method on the dual."""
-    words = size.cast("double")
-    # gradient = words * exp(x) - target, curvature = words * exp(x)
-    step = lambda x, _: x - (1 - target / (words * F.exp(x)))
-    multiplier = F.aggregate(F.sequence(F.lit(1), F.lit(STEPS)), F.log(F.lit(float(most))), step)
-    return F.when((size > 0) & (target > 0), F.least(F.round(F.exp(multiplier), 9), F.lit(float(most)))).otherwise(0.0)
-
-
-def _further(cells: Column, part: Column) -> Column:
-    """For cells (number, rows, words) from the largest down: the further copies of each, by carrying the difference on."""
-    start = F.struct(F.lit(0).cast("long").alias("words"), F.lit(0.0).alias("taken"), F.array().cast("array<struct<cell:int,rows:long,further:long>>").alias("out"))
+    """Adds __target to a table of __source and __source_size: one row per source.
+
+    The level (words for a weight of 1) rises while sources above their cap leave words to the others; each round is one
+    aggregation over the sources, and there are fewer rounds than kinds of caps.
+    """
+    choice = F.element_at(F.array(*map(F.lit, weights)), (F.col("__rank") % len(weights) + 1).cast("int"))
+    rows = written(ranked(sources).withColumn("__weight", choice.cast("long")).withColumn("__cap", most * F.col("__source_size")), "mixing-weights")
+    level = None
+    while True:
+        above = F.lit(False) if level is None else F.col("__cap") < level * F.col("__weight")
+        total, full, weight = rows.agg(F.sum("__source_size"), F.sum(F.when(above, F.col("__cap"))), F.sum(F.when(~above, F.col("__weight")))).first()
+        now = ((total or 0) - (full or 0)) / weight if weight else level or 0.0
+        if now == level:
+            break
+        level = now
+    return rows.select("__source", "__source_size", F.least(F.col("__cap").cast("double"), F.lit(float(level)) * F.col("__weight")).alias("__target"))
+
+
+def _exact(value: Column) -> Column:
+    """A sum that doesn't depend on the order of its rows."""
+    return F.sum(value.cast("decimal(38,14)")).cast("double")
+
+
+def _moments(size: Column, mean: float, variance: float) -> tuple[Column, Column]:
+    """Centred powers of log length, each of about unit scale."""
+    x = (F.log2(size.cast("double")) - mean) / max(variance, 1e-9) ** 0.5
+    return x, (x * x - 1) / 2
+
+
+def rates(facts: DataFrame, aims: DataFrame, most: int = MOST) -> DataFrame:
+    """(__source, __size, __rows, __source_size, __target, __q): the rate of documents of a source and size, in units.
+
+    ``facts`` has (__source, __size, __rows), ``aims`` (__source, __source_size, __target).
+    """
+    rows = facts.filter("__size > 0").withColumn("__words", F.col("__size") * F.col("__rows"))
+    log2 = F.log2(F.col("__size").cast("double"))
+    words, first, second = rows.agg(F.sum("__words"), _exact(F.col("__words") * log2), _exact(F.col("__words") * log2 * log2)).first()
+    words = float(words or 0)
+    mean = first / words if words else 0.0
+    variance = second / words - mean**2 if words else 1.0
+    x, y = _moments(F.col("__size"), mean, variance)
+    # At its cap a source takes all it has; below, its multiplier starts where it would be without the other family.
+    full = F.col("__target") >= most * F.col("__source_size")
+    free = written(aims.filter("__target > 0").select(F.col("__source").alias("__s"), "__target", full.alias("__full"), F.log(F.col("__target") / F.col("__source_size")).alias("__alpha")), "mixing-multipliers")
+    beta = (0.0, 0.0)
+    same = F.col("__source").eqNullSafe(F.col("__s"))
+    for _ in range(STEPS):
+        raw = F.exp(F.col("__alpha") + beta[0] * x + beta[1] * y)
+        rate = F.when(F.col("__full"), float(most)).otherwise(F.least(raw, F.lit(float(most))))
+        curved = (~F.col("__full") & (raw < most)).cast("double")
+        w = F.col("__words")
+        sums = {"g": w * rate, "g1": w * rate * x, "g2": w * rate * y, "h": w * rate * curved, "h1": w * rate * curved * x, "h2": w * rate * curved * y, "h11": w * rate * curved * x * x, "h12": w * rate * curved * x * y, "h22": w * rate * curved * y * y}
+        by = rows.join(free, same).groupBy("__s", "__target", "__full", "__alpha").agg(*(_exact(v).alias(f"__{k}") for k, v in sums.items()))
+        by = written(by.withColumn("__off", F.when(F.col("__full"), 0.0).otherwise(F.col("__g") - F.col("__target"))), "mixing-sums")
+        # Sources whose documents are all at the largest rate have no curvature; they step down or stay.
+        inverse = F.when(F.col("__h") > 0, 1 / F.col("__h")).otherwise(0.0)
+        left = lambda a, b, ab: _exact(F.col(ab) - F.col(a) * F.col(b) * inverse)
+        rest = lambda a, g: _exact(F.col(g) - F.col(a) * F.col("__off") * inverse)
+        a11, a12, a22, b1, b2, off, none = by.agg(left("__h1", "__h1", "__h11"), left("__h1", "__h2", "__h12"), left("__h2", "__h2", "__h22"), rest("__h1", "__g1"), rest("__h2", "__g2"), F.max(F.abs("__off") / F.col("__target")), F.count("*")).first()
+        if not none:
+            discard(by)
+            break
+        a11, a22, b1, b2 = a11 + RIDGE * words, a22 + RIDGE * words, b1 + RIDGE * words * beta[0], b2 + RIDGE * words * beta[1]
+        det = a11 * a22 - a12 * a12
+        step = [-(a22 * b1 - a12 * b2) / det, -(a11 * b2 - a12 * b1) / det]
+        shrink = min(1.0, 1.0 / max(map(abs, step))) if any(step) else 1.0
+        step = [shrink * d for d in step]
+        newton = -(F.col("__off") + F.col("__h1") * step[0] + F.col("__h2") * step[1]) * inverse
+        # Where a source has no curvature, all its documents are at the largest rate and its multiplier must fall.
+        newton = F.when(F.col("__full"), 0.0).when(F.col("__h") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), newton))).otherwise(F.when(F.col("__off") > 0, -1.0).otherwise(0.0))
+        later = written(by.select("__s", "__target", "__full", (F.col("__alpha") + newton).alias("__alpha")), "mixing-multipliers")
+        discard(free, by)
+        free, beta = later, (beta[0] + step[0], beta[1] + step[1])
+        if off < CLOSE and max(map(abs, step)) < CLOSE:
+            break
+    raw = F.least(F.exp(F.col("__alpha") + beta[0] * x + beta[1] * y), F.lit(float(most)))
+    rate = F.when(F.col("__size") <= 0, 0.0).when(F.col("__full"), float(most)).otherwise(F.coalesce(raw, F.lit(0.0)))
+    every = facts.join(aims.withColumnRenamed("__source", "__a"), F.col("__source").eqNullSafe(F.col("__a"))).join(free.drop("__target"), same, "left")
+    return every.select("__source", "__size", "__rows", "__source_size", "__target", F.coalesce(F.round(rate * UNIT), F.lit(0)).cast("long").alias("__q"))
+
+
+def _copies(cells: Column, most: int) -> Column:
+    """For cells (cell, rows, units, words, largest) from the largest down: the copies of each, by carrying the difference on.
+
+    ``units`` are the rates of a cell's documents, ``words`` the rated words, both in units; ``largest`` is the largest
+    rate. Copies are shared in the proportion of rates, so their number is bounded by what takes that rate to ``most``.
+    """
+    start = F.struct(F.lit(0.0).alias("owed"), F.array().cast("array<struct<cell:int,copies:long>>").alias("out"))
 
     def add(state: Column, cell: Column) -> Column:
-        words = state["words"] + cell["words"]
-        mean = cell["words"] / cell["rows"]
-        wanted = F.floor((part * words - state["taken"]) / mean + 0.5)
-        further = F.when(mean > 0, F.greatest(F.lit(0), F.least(wanted, cell["rows"]))).otherwise(0).cast("long")
-        return F.struct(words.alias("words"), (state["taken"] + further * mean).alias("taken"), F.concat(state["out"], F.array(F.struct(cell["cell"].alias("cell"), cell["rows"].alias("rows"), further.alias("further")))).alias("out"))
+        mean = cell["words"] / F.nullif(cell["units"], F.lit(0))
+        owed = state["owed"] + cell["words"].cast("double") / UNIT
+        bound = F.floor(cell["units"].cast("double") * most / F.nullif(cell["largest"], F.lit(0)))
+        copies = F.when(cell["units"] > 0, F.greatest(F.lit(0), F.least(F.floor(owed / F.nullif(mean, F.lit(0)) + 0.5), bound))).otherwise(0).cast("long")
+        return F.struct((owed - copies * F.coalesce(mean, F.lit(0.0))).alias("owed"), F.concat(state["out"], F.array(F.struct(cell["cell"].alias("cell"), copies.alias("copies")))).alias("out"))
 
     return F.aggregate(cells, start, add, lambda s: s["out"])
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, carry: bool = False) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies, taken; or with ``carry`` its row as ``doc`` and copies."""
-    row = F.struct(*docs.columns) if carry else F.struct(F.col(id_col).alias("doc_id"))
-    rows = docs.select(F.col(id_col).cast("string").alias("__id"), F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"), row.alias("__doc"))
-    rows = rows.withColumn("__cell", size_cell(F.col("__size"))).withColumn("__hash", F.md5(F.coalesce(F.col("__id"), F.lit(""))))
-    light = docs.select(F.col(source_col).alias("__source"), word_count(F.col(text_col)).alias("__size"), F.col(id_col).cast("string").alias("__id"))
-    light = light.withColumn("__cell", size_cell(F.col("__size"))).withColumn("__hash", F.md5(F.coalesce(F.col("__id"), F.lit(""))))
+    text, hashed = named(text_col), F.md5(F.coalesce(named(id_col).cast("string"), F.lit("")))
     digits = _digits(docs)
-    parts = light.groupBy("__source", "__cell", F.substring("__hash", 1, digits).alias("__part")).agg(F.count("*").alias("__rows"), F.sum("__size").alias("__words"))
-    parts = written(parts, "mixing-parts")
-    cells = parts.groupBy("__source", "__cell").agg(F.sum("__rows").alias("__rows"), F.sum("__words").alias("__words"))
-    by_source = cells.groupBy("__source").agg(
-        F.sum("__words").alias("__source_size"),
-        F.reverse(F.array_sort(F.collect_list(F.struct(F.col("__cell").alias("cell"), F.col("__rows").alias("rows"), F.col("__words").alias("words"))))).alias("__cells"),
-    )
-    aim = targets(by_source.select("__source", "__source_size"), weights, most)
-    plan = by_source.join(aim.select(F.col("__source").alias("__s"), "__target"), F.col("__source").eqNullSafe(F.col("__s"))).drop("__s")
-    plan = plan.withColumn("__rate", rate(F.col("__source_size"), F.col("__target"), most))
-    plan = plan.withColumn("__further", F.explode(_further(F.col("__cells"), F.col("__rate") - F.floor("__rate"))))
-    plan = plan.select("__source", "__source_size", "__target", F.floor("__rate").cast("long").alias("__whole"), "__further.cell", "__further.rows", "__further.further")
+
+    def measured(*more: Column) -> DataFrame:
+        rows = docs.select(named(source_col).alias("__source"), word_count(text).alias("__size"), hashed.alias("__hash"), F.xxhash64(text).alias("__text"), *more)
+        return rows.withColumn("__cell", size_cell(F.col("__size"))).withColumn("__part", F.substring("__hash", 1, digits))
+
+    row = F.struct("*") if carry else F.struct(named(id_col).alias("doc_id"))
+    # Without texts, rows are small: then they are written, and texts are read once. With texts, they are read twice.
+    rows = measured(row.alias("__doc")) if carry else written(measured(row.alias("__doc")), "mixing-rows")
+    parts = written((measured() if carry else rows).groupBy("__source", "__size", "__cell", "__part").agg(F.count("*").alias("__rows")), "mixing-parts")
+    facts = written(parts.groupBy("__source", "__size").agg(F.sum("__rows").alias("__rows")), "mixing-facts")
+    sources = facts.groupBy("__source").agg(F.sum(F.col("__size") * F.col("__rows")).alias("__source_size"))
+    aims = written(targets(sources, weights, most), "mixing-targets")
+    rated = written(rates(facts, aims, most).withColumn("__cell", size_cell(F.col("__size"))), "mixing-rates")
+    units = (F.col("__q") * F.col("__rows")).cast("decimal(38,0)")
+    cells = rated.groupBy("__source", "__cell").agg(F.sum("__rows").alias("rows"), F.sum(units).alias("units"), F.sum(units * F.col("__size")).alias("words"), F.max("__q").alias("largest"))
+    # A source has a few hundred cells: 16 for each doubling of the size.
+    order = F.reverse(F.array_sort(F.collect_list(F.struct(F.col("__cell").alias("cell"), "rows", "units", "words", "largest"))))
+    plan = cells.groupBy("__source").agg(order.alias("cells")).select("__source", F.explode(_copies(F.col("cells"), most)).alias("of"))
+    plan = plan.join(cells.select(F.col("__source").alias("__c"), F.col("__cell").alias("__k"), "units"), F.col("__source").eqNullSafe(F.col("__c")) & (F.col("of.cell") == F.col("__k")))
+    plan = written(plan.select(F.col("__source").alias("__p"), F.col("__k"), "units", F.col("of.copies").alias("copies")), "mixing-plan")
+    own = rated.select(F.col("__source").alias("__o"), F.col("__size").alias("__z"), "__q", "__source_size", "__target")
+    same = F.col("__source").eqNullSafe(F.col("__o")) & (F.col("__size") == F.col("__z"))
     before = Window.partitionBy("__source", "__cell").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.withColumn("__before", F.coalesce(F.sum("__rows").over(before), F.lit(0))).select("__source", "__cell", "__part", "__before")
-    offsets = offsets.join(plan.withColumnRenamed("__source", "__s"), F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__cell") == F.col("cell"))).drop("__s", "cell")
-    offsets = offsets.select(*(F.col(c).alias(f"{c}_o") if c in ("__source", "__cell", "__part") else F.col(c) for c in offsets.columns))
-    within = Window.partitionBy("__source", "__cell", "__part").orderBy("__hash", "__size")
-    rows = rows.withColumn("__part", F.substring("__hash", 1, digits)).withColumn("__n", F.row_number().over(within))
-    same = F.col("__source").eqNullSafe(F.col("__source_o")) & (F.col("__cell") == F.col("__cell_o")) & (F.col("__part") == F.col("__part_o"))
-    rows = rows.join(offsets, same, "left")
-    n = F.col("__n") + F.col("__before")
-    share = lambda k: F.floor(k * F.col("further") / F.col("rows"))
-    copies = (F.col("__whole") + share(n) - share(n - 1)).cast("long")
+    offsets = parts.join(own, same).groupBy("__source", "__cell", "__part").agg(F.sum((F.col("__q") * F.col("__rows")).cast("decimal(38,0)")).alias("__units"))
+    offsets = offsets.withColumn("__before", F.coalesce(F.sum("__units").over(before), F.lit(0)))
+    offsets = offsets.join(plan, F.col("__source").eqNullSafe(F.col("__p")) & (F.col("__cell") == F.col("__k")))
+    offsets = written(offsets.select(F.col("__source").alias("__s"), F.col("__cell").alias("__c"), F.col("__part").alias("__t"), "__before", "units", F.col("copies").alias("__whole")), "mixing-offsets")
+    upto = Window.partitionBy("__source", "__cell", "__part").orderBy("__hash", "__size", "__text").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.join(own, same).withColumn("__upto", F.sum(F.col("__q").cast("decimal(38,0)")).over(upto))
+    place = F.col("__source").eqNullSafe(F.col("__s")) & (F.col("__cell") == F.col("__c")) & (F.col("__part") == F.col("__t"))
+    rows = rows.join(offsets, place)
+    # Decimals of 38 digits hold the products: copies of a cell by units of a cell.
+    share = lambda upto: F.floor(F.col("__whole").cast("decimal(15,0)") * upto.cast("decimal(22,0)") / F.col("units").cast("decimal(22,0)"))
+    end = F.col("__before") + F.col("__upto")
+    copies = F.when(F.col("units") > 0, share(end) - share(end - F.col("__q"))).otherwise(0).cast("long")
     if carry:
         return rows.select(F.col("__doc").alias("doc"), copies.alias("copies"))
     return rows.select("__doc.doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), copies.alias("copies"), (copies * F.col("__size")).alias("taken"))
@@ -139,23 +233,3 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).drop("copies")
-
-
-ORACLE = r"""
-WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h, row_number() OVER () AS k FROM documents),
-dc AS (SELECT *, CAST(length(bin(size)) * 16 + CASE WHEN length(bin(size)) <= 4 THEN size ELSE size >> (length(bin(size)) - 4) END AS BIGINT) AS cell FROM d),
-s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight FROM d GROUP BY source),
-lv AS (SELECT *, row_number() OVER o AS place, CAST(sum(source_size) OVER () - coalesce(sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) / CAST(sum(weight) OVER () - coalesce(sum(weight) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS lev FROM s WINDOW o AS (ORDER BY 3 * source_size / weight, weight, source NULLS LAST)),
-t AS (SELECT source, source_size, least(CAST(3 * source_size AS DOUBLE), coalesce((SELECT arg_min(lev, place) FROM lv WHERE lev * weight <= 3 * source_size), 0.0) * weight) AS target FROM lv),
-r AS (SELECT *, CASE WHEN source_size > 0 AND target > 0 THEN least(round(target / source_size, 9), 3.0) ELSE 0.0 END AS rate FROM t),
-c AS (SELECT source, cell, count(*) AS n, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (PARTITION BY source ORDER BY cell DESC) AS place FROM dc GROUP BY source, cell),
-f(source, place, words, taken, further) AS (
-  SELECT source, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS DOUBLE), CAST(0 AS BIGINT) FROM r
-  UNION ALL
-  SELECT source, place, words, taken + k * mean, k FROM (SELECT c.source, c.place, f.words + c.words AS words, f.taken, c.words / c.n AS mean,
-    CAST(CASE WHEN c.words > 0 THEN greatest(0, least(floor(((r.rate - floor(r.rate)) * (f.words + c.words) - f.taken) / (c.words / c.n) + 0.5), c.n)) ELSE 0 END AS BIGINT) AS k
-    FROM f JOIN c ON c.source IS NOT DISTINCT FROM f.source AND c.place = f.place + 1 JOIN r ON r.source IS NOT DISTINCT FROM f.source)),
-p AS (SELECT *, row_number() OVER (PARTITION BY source, cell ORDER BY h, size) AS n FROM dc)
-SELECT p.doc_id, CAST(p.size AS BIGINT) AS size, r.source_size, r.target, CAST(p.size * (floor(r.rate) + floor(p.n * f.further / c.n) - floor((p.n - 1) * f.further / c.n)) AS BIGINT) AS taken
-FROM p JOIN r ON r.source IS NOT DISTINCT FROM p.source JOIN c ON c.source IS NOT DISTINCT FROM p.source AND c.cell = p.cell JOIN f ON f.source IS NOT DISTINCT FROM p.source AND f.place = c.place
-"""
