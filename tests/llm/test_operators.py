@@ -309,6 +309,7 @@ def test_jaccard(spark):
 
 def test_jaccard_blocks_and_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 3)
+    monkeypatch.setattr(jaccard, "LARGER", 2)
     draw = random.Random(9)
     base = [f"w{i}" for i in range(100)]
     texts = {}

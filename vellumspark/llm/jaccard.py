@@ -5,9 +5,9 @@ word n-grams, cut into bands. The number of bands is the least that reaches the
 given number of rows in a band. Band hashes are shuffled, and classes that share one are a bucket.
 
 A large bucket is cut into blocks of bounded size, and a task looks at one pair of blocks. Two passes are made. The
-first moves signatures alone: a pair is a candidate in the first band that it shares and only there, and only if the
+first moves signatures alone, in larger blocks: a pair is a candidate in the first band that it shares and only there, and only if the
 sizes of both sets allow the threshold. The second moves the full sets (as 64-bit fingerprints of the n-grams) to just
-those pairs of blocks where a class has a candidate, and verifies. So each pair that shares a band is verified once,
+those pairs of smaller blocks where a class has a candidate, and verifies. So each pair that shares a band is verified once,
 pairs that share none never meet, no bucket is ever gathered in one task, and pairs are counted, not listed. What a pair
 of blocks emits is one row per class: how many links it has there, and the least class that it is connected with there.
 
@@ -35,8 +35,8 @@ from .graph import components
 NGRAM, THRESHOLD = 5, 0.8
 #: Probability with which a pair at the threshold shares a band; rows in a band.
 RECALL, ROWS = 0.9995, 6
-#: A block has so many classes, and so many n-grams, on average at most.
-BLOCK_CLASSES, BLOCK_NGRAMS = 64, 100_000
+#: A block has so many classes, and so many n-grams, on average at most; and blocks of a larger one for signatures alone.
+BLOCK_CLASSES, BLOCK_NGRAMS, LARGER = 64, 100_000, 8
 
 _MIX, _PRIME = 0xBF58476D1CE4E5B9, 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
@@ -137,9 +137,10 @@ def due(bands: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, across: bool,
     ``number`` must be the first band that they share, their set sizes must allow the threshold, and they must lie in
     different blocks if the task looks across two.
     """
-    same = bands[:, None, :] == bands[None, :, :]
-    fits = np.minimum(sizes[:, None], sizes) >= threshold * np.maximum(sizes[:, None], sizes) - 1e-9
-    wanted = same[:, :, number] & ~same[:, :, :number].any(axis=2) & fits
+    wanted = bands[:, None, number] == bands[:, number]
+    for earlier in range(number):
+        wanted &= bands[:, None, earlier] != bands[:, earlier]
+    wanted &= np.minimum(sizes[:, None], sizes) >= threshold * np.maximum(sizes[:, None], sizes) - 1e-9
     if across:
         wanted &= blocks[:, None] != blocks
     np.fill_diagonal(wanted, False)
@@ -147,28 +148,34 @@ def due(bands: np.ndarray, sizes: np.ndarray, blocks: np.ndarray, across: bool,
 
 
 def _candidates(bands: int, threshold: float):
-    """Over rows in the order of their pairs of blocks: the rows that have a pair to verify."""
+    """Over rows in the order of their pairs of larger blocks: each class with every smaller block where it has a candidate."""
 
     def held_rows(part: pa.RecordBatch) -> tuple[np.ndarray, ...]:
         columns = [part.column(i).to_numpy() for i in range(6)]
-        return (*columns, part.column(6).flatten().to_numpy().reshape(-1, bands), part.column(7).to_numpy())
+        return (*columns, part.column(6).flatten().to_numpy().reshape(-1, bands), part.column(7).to_numpy(), part.column(8).to_numpy())
 
     def chosen(rows: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        node, band, number, first, second, sizes, signed, block = rows
+        node, band, number, first, second, sizes, signed, larger, block = rows
         change = np.flatnonzero((np.diff(band) != 0) | (np.diff(first) != 0) | (np.diff(second) != 0)) + 1
         starts, ends = np.r_[0, change], np.r_[change, len(node)]
-        some = np.zeros(len(node), bool)
         twos = starts[ends - starts == 2]
         # Most buckets have two classes; these are looked at together.
         same = signed[twos] == signed[twos + 1]
         fits = np.minimum(sizes[twos], sizes[twos + 1]) >= threshold * np.maximum(sizes[twos], sizes[twos + 1]) - 1e-9
-        apart = (first[twos] == second[twos]) | (block[twos] != block[twos + 1])
+        apart = (first[twos] == second[twos]) | (larger[twos] != larger[twos + 1])
         good = twos[(same.argmax(axis=1) == number[twos]) & fits & apart]
-        some[good] = some[good + 1] = True
+        mine, other = [good, good + 1], [block[good + 1], block[good]]
         for a, b in zip(starts, ends, strict=True):
             if b - a > 2:
-                some[a:b] = due(signed[a:b], sizes[a:b], block[a:b], first[a] != second[a], int(number[a]), threshold).any(axis=1)
-        return pa.RecordBatch.from_arrays([pa.array(x[some], f.type) for x, f in zip((node, band, number, first, second, block), _CANDIDATE, strict=True)], schema=_CANDIDATE)
+                x, y = np.nonzero(due(signed[a:b], sizes[a:b], larger[a:b], first[a] != second[a], int(number[a]), threshold))
+                if len(x):
+                    pairs = np.unique(x * (1 << 32) + block[a:b][y])
+                    mine.append(a + (pairs >> 32))
+                    other.append(pairs & ((1 << 32) - 1))
+        at, other = np.concatenate(mine), np.concatenate(other)
+        own = block[at]
+        columns = (node[at], band[at], number[at], np.minimum(own, other), np.maximum(own, other), own)
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _CANDIDATE, strict=True)], schema=_CANDIDATE)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[np.ndarray, ...] | None = None
@@ -256,14 +263,15 @@ def _sets(n: int):
 
 
 def _members(classes: DataFrame) -> DataFrame:
-    """Classes in every pair of blocks of their buckets: node, band, number (of the band), first, second, n, bands, block."""
+    """Classes in every pair of larger blocks of their buckets: node, band, number (of the band), first, second, n, bands, larger, block."""
     banded = classes.select("node", "n", F.posexplode("bands").alias("number", "band"))
-    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_NGRAMS)).cast("int")
-    buckets = banded.groupBy("band").agg(F.count("*").alias("size"), blocks.alias("blocks")).filter("size > 1").drop("size")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK_CLASSES, F.sum("n") / BLOCK_NGRAMS)).cast("long")
+    buckets = banded.groupBy("band").agg(F.count("*").alias("size"), blocks.alias("blocks")).filter("size > 1")
+    buckets = buckets.select("band", "blocks", F.ceil(F.col("size") / (LARGER * BLOCK_CLASSES)).cast("long").alias("parts"))
     rows = banded.drop("n").join(buckets, "band").join(classes.select("node", "n", "bands"), "node")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return rows.select("node", "band", "number", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "n", "bands", "block")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks")).withColumn("larger", F.pmod("block", "parts"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return rows.select("node", "band", "number", F.least("larger", "other").alias("first"), F.greatest("larger", "other").alias("second"), "n", "bands", "larger", "block")
 
 
 def jaccard_classes(docs: DataFrame, n: int = NGRAM, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
