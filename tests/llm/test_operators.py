@@ -512,7 +512,8 @@ def test_licenses(spark):
 
 
 @pytest.mark.parametrize("group_bytes", [1 << 20, 60])
-def test_contamination(spark, group_bytes):
+def test_contamination(spark, monkeypatch, group_bytes):
+    monkeypatch.setattr(decontaminate, "PIECE", 3 if group_bytes == 60 else 2000)
     draw = random.Random(4)
     items = [(i, " ".join(f"t{draw.randrange(6)}" for _ in range(draw.choice([0, 3, 13, 20])))) for i in range(8)] + [(3, "another text of item three"), (None, "nothing at all"), (99, None)]
     texts = {i: " ".join(f"t{draw.randrange(6)}" for _ in range(draw.randint(0, 80))) + (" " + (items[i % 8][1] or "")).upper() for i in range(40)}
@@ -531,7 +532,7 @@ def test_contamination(spark, group_bytes):
                         hit.update(range(p, p + n))
                         found.add(str(item))
         assert (r["n_words"], r["n_hit"], r["n_items"]) == (len(words), len(hit), len(found))
-        assert r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest() and r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(words))
+        assert r["items"] == sorted(found) and r["items_sha256"] == hashlib.sha256(",".join(sorted(found)).encode()).hexdigest() and r["contaminated"] == (len(hit) > 0 and 20 * len(hit) >= len(words))
         if r["doc_id"] in texts:
             covered = [w for a, b in zip(r["hit_starts"], r["hit_ends"], strict=True) for w in words_of(texts[r["doc_id"]][a:b])]
             assert covered == [words[p] for p in sorted(hit)]
@@ -548,6 +549,7 @@ def test_contamination(spark, group_bytes):
 @pytest.mark.parametrize("scale", [1, 256, 1 << 24, 1 << 29])
 def test_topk(spark, monkeypatch, scale):
     monkeypatch.setattr(topk, "TILE", 16)
+    monkeypatch.setattr(topk, "GROUP_BYTES", 1500)
     draw = np.random.default_rng(7)
     rows = [(int(i), [float(x) for x in draw.integers(-3, 4, 4) / 4]) for i in range(120)] + [(200, None), (201, [1.0, None, 0.0, 0.0]), (202, [float("nan")] * 4), (203, [float("inf")] * 4), (204, [1.0, 2.0]), (300, [1.0, 2.0]), (None, [1.0] * 4), (7, [0.5] * 4)]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

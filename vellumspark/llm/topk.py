@@ -1,8 +1,9 @@
 """Exact top-k search by inner product: tiled matrix products, partial selection per tile, tree merging.
 
-Vectors are packed into tiles of bounded size, one row each: ids and a matrix of numbers. Query tiles and candidate
-tiles are replicated to each other by an equi-join on the pair of their groups, so a task multiplies one tile by
-another and keeps, per query, the best k of the tile. Those lists are merged in rounds of bounded fan-in.
+Vectors are packed into tiles of bounded size, one row each: ids and a matrix of numbers. Tiles of queries and of
+candidates are put in groups of bounded bytes, and both are shuffled to every pair of their groups (nothing is
+broadcast): a task multiplies the tiles of one group by those of another and keeps, per query, the best k. Those lists
+are merged in rounds of bounded fan-in.
 
 Components x become floor(scale * x) with x as double. Products are exact: they run in single precision if every
 partial sum fits 24 bits, else in double precision if it fits 53, else in Python's integers.
@@ -25,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import table, written
 
 SCALE, K, QUERY_EVERY = 256, 5, 50
-#: Vectors of a tile at most.
-TILE = 2048
+#: Vectors of a tile at most; bytes of a group of tiles on average.
+TILE, GROUP_BYTES = 2048, 4 << 20
 #: Lists that one merge takes.
 FAN_IN = 16
 
@@ -111,16 +112,25 @@ _PART_DDL = "query_id long, tile long, score long, vec_id long"
 
 
 def _multiply(k: int):
-    def run(pairs: pa.Table) -> pa.Table:
-        """The pairs of one group of tiles with one group of query tiles: a few."""
-        flat: list[tuple] = []
-        for i in range(pairs.num_rows):
-            r = {c: pairs.column(c)[i] for c in pairs.column_names}
-            dim = r["dim"].as_py()
-            view = lambda c, kind: np.frombuffer(r[c].as_buffer(), kind)  # noqa: B023, E731
-            queries, rows = (view(c, "<f8").reshape(n.as_py(), dim) for c, n in (("q_numbers", r["q_n"]), ("numbers", r["n"])))
-            found = best_of(products(queries, rows, (r["q_largest"].as_py(), r["largest"].as_py())), view("q_ids", "<i8"), view("ids", "<i8"), k)
-            flat += [(q, r["tile"].as_py(), s, v) for q, row in zip(view("q_ids", "<i8").tolist(), found, strict=True) for s, v in row]
+    def run(key: tuple, tiles: pa.Table, blocks: pa.Table) -> pa.Table:
+        """The tiles of one group with the query tiles of another: each query's best k of the group."""
+
+        def unpacked(held: pa.Table) -> list[tuple]:
+            rows = []
+            for r in range(held.num_rows):
+                dim, n, largest = (held.column(c)[r].as_py() for c in ("dim", "n", "largest"))
+                view = lambda c, kind: np.frombuffer(held.column(c)[r].as_buffer(), kind)  # noqa: B023, E731
+                rows.append((dim, view("ids", "<i8"), view("numbers", "<f8").reshape(n, dim), largest))
+            return rows
+
+        rows, flat = unpacked(tiles), []
+        for dim, own, queries, q_largest in unpacked(blocks):
+            lists: list[list[tuple[int, int]]] = [[] for _ in own]
+            for other, ids, numbers, largest in rows:
+                if other == dim:
+                    for held, found in zip(lists, best_of(products(queries, numbers, (q_largest, largest)), own, ids, k), strict=True):
+                        held += found
+            flat += [(q, key[0].as_py(), s, v) for q, held in zip(own.tolist(), lists, strict=True) for s, v in sorted(held, key=lambda x: (-x[0], x[1]))[:k]]
         columns = zip(*flat, strict=True) if flat else [[]] * len(_PART)
         return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _PART, strict=True)], schema=_PART)
 
@@ -140,14 +150,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE,
     tiles = written(numbered(rows.select("vec_id", "vector").mapInArrow(_pack(scale), _TILE_DDL)), "vectors")
     queries = rows.filter("is_query").groupBy("vec_id").agg(F.min("vector").alias("vector"))
     blocks = written(numbered(queries.mapInArrow(_pack(scale), _TILE_DDL)), "queries")
-    n_tiles, n_blocks = max(1, tiles.count()), max(1, blocks.count())
+    n_tiles, n_blocks = _groups(tiles), _groups(blocks)
     place = lambda n: F.pmod(F.xxhash64("tile"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = tiles.withColumn("row_key", place(n_tiles)).withColumn("query_key", every(n_blocks))
-    right = blocks.withColumn("query_key", place(n_blocks)).withColumn("row_key", every(n_tiles)).drop("tile")
-    right = right.select("row_key", "query_key", "dim", *(F.col(c).alias(f"q_{c}") for c in ("n", "ids", "numbers", "largest")))
-    parts = left.join(right, ["row_key", "query_key", "dim"]).groupBy("row_key", "query_key", "dim").applyInArrow(_multiply(k), _PART_DDL)
-    return _merge(parts, n_tiles, k)
+    pair = ["row_key", "query_key"]
+    left = tiles.withColumn("row_key", place(n_tiles)).withColumn("query_key", every(n_blocks)).groupBy(*pair)
+    right = blocks.withColumn("query_key", place(n_blocks)).withColumn("row_key", every(n_tiles)).groupBy(*pair)
+    return _merge(left.cogroup(right).applyInArrow(_multiply(k), _PART_DDL), n_tiles, k)
+
+
+def _groups(tiles: DataFrame) -> int:
+    return max(1, -(-(tiles.agg(F.sum(F.length("numbers"))).first()[0] or 0) // GROUP_BYTES))
 
 
 def _merge(parts: DataFrame, places: int, k: int) -> DataFrame:
