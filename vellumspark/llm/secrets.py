@@ -306,10 +306,14 @@ class Scanner:
 
 
 def code_points(data: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """The same spans in code points."""
+    """The same spans in code points; what lies between two borders is decoded once."""
     if not spans or data.isascii():
         return spans
-    return [(len(data[:a].decode("utf-8", "surrogatepass")), len(data[:b].decode("utf-8", "surrogatepass")), r) for a, b, r in spans]
+    places, last, n = {}, 0, 0
+    for at in sorted({x for a, b, _ in spans for x in (a, b)}):
+        n += len(data[last:at].decode("utf-8", "surrogatepass"))
+        places[at], last = n, at
+    return [(places[a], places[b], r) for a, b, r in spans]
 
 
 _OUT = pa.schema(
