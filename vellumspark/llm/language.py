@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Rows to learn from, over all languages, and landmarks among them; texts to learn from have at most so many characters.
+#: Rows to learn from, over all languages, and landmarks among them; of a text to learn from, so many characters count.
 SAMPLE_ROWS, LANDMARKS, SAMPLE_CHARS = 2400, 160, 20_000
 #: Bits of a symbol, so letters of the alphabet: all but two symbols.
 BITS = 7
@@ -191,15 +191,18 @@ def held_out(col: str):
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
-    """Learn from about ``rows`` rows, as many of each language, chosen by a hash of their id, outside the held-out fold."""
-    known = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang").filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id") & F.length("text").between(1, SAMPLE_CHARS))
+    """Learn from about ``rows`` rows, as many of each language, chosen by a hash of their id, outside the held-out fold.
+
+    Of these, the first ``SAMPLE_CHARS`` characters are learned from; predictions read whole texts.
+    """
+    known = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang").filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id") & (F.col("text") != ""))
     totals = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not totals:
         return None
     each = max(1, rows // len(totals))
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
     limits = F.create_map(*(F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, (1 << 20) * min(1.0, each / n))))
-    sample = known.filter(place < limits[F.col("lang")]).select("id", "text", "lang").collect()
+    sample = known.filter(place < limits[F.col("lang")]).select("id", F.left("text", F.lit(SAMPLE_CHARS)), "lang").collect()
     return train([(r[1], r[2]) for r in sorted(sample, key=lambda r: (hash_key(r[0]), r[1]))])
 
 
