@@ -42,8 +42,13 @@ def shared_dir(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="vellum-")
         spark.sparkContext.setCheckpointDir(base)
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/vellum")
-    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return qualified(spark, f"{base.rstrip('/')}/vellum")
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its scheme, as Spark resolves it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
 
 
 def new_path(spark: SparkSession, name: str) -> str:

@@ -1,17 +1,17 @@
 """Token ids as binary files: Arrow IPC files whose batches hold fixed-size lists, read again without copying.
 
-Documents are put in ascending order of their id (ties by text), cut into shards of about equal text size, encoded and
+Documents are put in ascending order of their id (ties by a hash of the text), cut into shards of about equal text size, encoded and
 packed one after another into sequences of equal length. A shard is two Arrow files in the shared folder:
 
-* ``<name>.arrow``: ``ids``, fixed-size lists of ``length`` token ids, and ``mask``, fixed-size lists of ``length / 8``
-  bytes whose bits (lowest first) tell which positions hold a token. Only a shard's last sequence is padded.
+* ``<name>.arrow``: ``ids``, fixed-size lists of ``length`` token ids, and ``mask``, fixed-size lists of ``length`` bytes
+  (1: a token). Both are read as views of the file. Only a shard's last sequence is padded.
 * ``<name>-index.arrow``: ``doc_id``, ``position`` of its first id in the shard, and ``n_tokens`` with the end id.
 
 A task writes under a name of its own and reports it only at its end, so a repeated or lost task leaves at most unused
 files. The manifest (a row per shard) is a table in the same folder.
 
-Defined results: a null or empty text is the end id alone; repeated rows are written as often as they occur; an empty
-table gives no shards. Other columns are not looked at.
+Defined results: a null or empty text is the end id alone; a null id comes first; repeated rows are written as often as
+they occur; an empty table gives no shards. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import new_path, table, written
+from .common import named, new_path, qualified, table, written
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
@@ -105,7 +105,9 @@ class Encoder:
 
 
 def _file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
+    if path.startswith("file:"):
+        return pa.fs.LocalFileSystem(), "/" + path[5:].lstrip("/")
+    return pa.fs.FileSystem.from_uri(path)
 
 
 class _Packer:
@@ -114,7 +116,7 @@ class _Packer:
     def __init__(self, sink, kind: np.dtype, length: int) -> None:
         self.kind, self.length = kind, length
         self.full = GROUP * length * kind.itemsize
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.uint8(), length // 8))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.uint8(), length))])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.held, self.size = [], 0
 
@@ -131,8 +133,8 @@ class _Packer:
         n = len(data) // self.kind.itemsize
         padded = -(-n // self.length) * self.length
         ids = np.frombuffer(data.ljust(padded * self.kind.itemsize, b"\0"), self.kind)
-        mask = np.packbits(np.arange(padded) < n, bitorder="little")
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length // 8)]
+        mask = (np.arange(padded) < n).view(np.uint8)
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def close(self) -> None:
@@ -158,10 +160,10 @@ class TokenFile:
         return self._held[1:]
 
     def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of sequence i and its mask (True: a token); the ids are a view of the file."""
+        """Ids of sequence i and its mask (True: a token), both views of the file."""
         ids, mask = self._group(i // GROUP)
-        at, width = i % GROUP, self.length // 8
-        return ids[at * self.length : (at + 1) * self.length], np.unpackbits(mask[at * width : (at + 1) * width], bitorder="little").astype(bool)
+        at = i % GROUP * self.length
+        return ids[at : at + self.length], mask[at : at + self.length].view(bool)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids from start to stop, counted over the shard."""
@@ -215,20 +217,19 @@ def _write(folder: str, tokenizer: str, end_id: int, length: int):
 def write_token_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, length: int = LENGTH, shard_bytes: int = SHARD_BYTES, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the shards and return their manifest: shard, path (without ending), n_docs, n_ids, start (ids before the shard).
 
-    ``length`` must be a multiple of 8. Shards are numbered in the order of the documents.
+    Shards are numbered in the order of the documents. An id that stands on many rows is split among shards.
     """
-    if length % 8:
-        raise ValueError("length must be a multiple of 8")
     if tokenizer is None:
         import public_tokenizers
 
         tokenizer = public_tokenizers.path(TOKENIZER)
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "text")
-    manifest = written(ordered.mapInArrow(_write(folder or new_path(spark, "tokens"), tokenizer, end_id, length), _MANIFEST_DDL), "token-manifest")
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    ordered = rows.repartitionByRange(shards, "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row").select("doc_id", "text")
+    manifest = written(ordered.mapInArrow(_write(qualified(spark, folder or new_path(spark, "tokens")), tokenizer, end_id, length), _MANIFEST_DDL), "token-manifest")
     # A row per shard: the running sum is over a small table.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).cast("long"))
