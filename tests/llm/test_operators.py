@@ -62,10 +62,13 @@ def test_token_files(spark):
         start += len(ids)
     assert got == want
     assert token_files.read_token_files(token_files.write_token_files(empty(spark))).count() == 0
+    nulls = spark.createDataFrame([(None, "a b"), (None, "c"), (3, "d"), (3, "d")], "doc_id long, text string")
+    many = token_files.read_token_files(token_files.write_token_files(nulls, shard_bytes=1)).orderBy("start").collect()
+    assert [r["doc_id"] for r in many] == [None, None, 3, 3] and many[2]["ids_crc32"] == many[3]["ids_crc32"]
     shard = manifest.orderBy("shard").first()
     tokens = token_files.TokenFile(shard["path"] + ".arrow")
     ids, mask = tokens.sequence(0)
-    assert len(ids) == len(mask) == 64 and not ids.flags.owndata and mask[0]
+    assert len(ids) == len(mask) == 64 and not ids.flags.owndata and not mask.flags.owndata and mask.dtype == bool and mask[0]
     last = tokens.sequence((shard["n_ids"] - 1) // 64)[1]
     assert last.sum() == (shard["n_ids"] - 1) % 64 + 1
 
@@ -133,6 +136,29 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(odd(spark), lexicon).columns == odd(spark).columns
 
 
+def test_toxicity_is_learned_as_in_memory(spark):
+    """The lexicon and every score of a table against the same rules on lists."""
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    texts, known = {r["doc_id"]: r["text"] for r in docs.collect()}, {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    known = {i: k for i, k in known.items() if zlib.crc32(str(i).encode()) % 5 and k in (0, 1)}
+    lists = {k: sorted(" ".join(toxicity.folded_words(texts[i])) for i in known if known[i] == k and i in texts) for k in (0, 1)}
+    want, got = toxicity.learn(lists[1], lists[0], np.mean(list(known.values()))), toxicity.fit(docs, labels)
+    assert got.weights == want.weights and got.exceptions == want.exceptions and np.allclose(got.model, want.model)
+    built = want.automaton()
+    for r in toxicity.score_toxicity(docs, got).collect():
+        assert abs(r["score"] - want.score(toxicity.features(built, toxicity.folded_words(texts[r["doc_id"]]))[:2])) < 1e-9
+        assert r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+
+
+def test_toxicity_exceptions_by_place():
+    draw = random.Random(6)
+    for _ in range(200):
+        found = [(draw.randrange(60), "t", 1.0) for _ in range(20)]
+        spans = [(a, a + draw.randrange(1, 9)) for a in (draw.randrange(60) for _ in range(6))]
+        assert toxicity._outside(found, spans) == [x for x in sorted(found) if not any(a <= x[0] < b for a, b in spans)]
+
+
 def test_toxicity_of_few_labels(spark):
     import corpus_pipeline
 
@@ -375,6 +401,13 @@ def test_secrets(parts):
     assert [s for s in secrets.code_points(data, _SCANNER.spans(data)) if s[2] < 3] == sorted(want, key=lambda s: (s[0], s[2]))
 
 
+def test_places_in_code_points():
+    text = "é token=abcdef12 ß中" * 300
+    data = text.encode()
+    spans = secrets.code_points(data, _SCANNER.spans(data))
+    assert len(spans) == 300 and all(text[a:b] == "token=abcdef12" for a, b, _ in spans)
+
+
 def test_secrets_on_odd_rows(spark):
     got = secrets.find_secrets(odd(spark)).collect()
     assert len(got) == len(ODD) and {r["base_sha256"] for r in got} == {hashlib.sha256(b"").hexdigest()}

@@ -6,8 +6,9 @@ both become ``i``; lexicon and text are folded alike.
 
 The lexicon holds whole words and word beginnings with their log-odds of being in a toxic text. It is learned, like the
 exception phrases (a term with its left or right neighbour that labelled clean texts use), from a bounded sample of
-labelled rows. Two features make a score by logistic regression: the summed weights of the distinct terms found, and
-the weights of all matches by the text's length in words.
+labelled rows, without near copies. The sample's texts stay on the executors: the driver gets counts of terms and
+phrases, and two numbers for each text. These two features make a score by logistic regression: the summed weights of
+the distinct terms found (30 at most), and the weights of all matches for a hundred words of the text (100 at most).
 
 Defined results: a null or empty text has no match and gets the score of such texts. Without both labels to learn from,
 every score is 0. Labels other than 0 and 1 are ignored; repeated documents give repeated rows.
@@ -20,16 +21,16 @@ import re
 import unicodedata
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import filtered, table
+from .common import batches, filtered, table, written
 
 #: Labelled rows to learn from, of either label. The fit costs the same at every size of the corpus.
 SAMPLE = {1: 3000, 0: 5000}
@@ -118,7 +119,7 @@ def features(built: ahocorasick.Automaton | None, words: list[str]) -> tuple[flo
         else:
             found.append((end - len(term) + 1, term, weight))
     if excepted:
-        found = [x for x in found if not any(a <= x[0] < b for a, b in excepted)]
+        found = _outside(found, excepted)
     # Of terms that begin at the same word, the heaviest counts.
     best: dict[int, tuple[float, str]] = {}
     for at, term, weight in found:
@@ -127,6 +128,18 @@ def features(built: ahocorasick.Automaton | None, words: list[str]) -> tuple[flo
     return min(sum(distinct.values()), 30.0), min(100 * sum(w for w, _ in best.values()) / len(words), 100.0), sorted(distinct)
 
 
+def _outside(found: list[tuple], spans: list[tuple[int, int]]) -> list[tuple]:
+    """What doesn't begin in a half-open span; both are gone through once, by place."""
+    spans, out, i, reach = sorted(spans), [], 0, 0
+    for x in sorted(found):
+        while i < len(spans) and spans[i][0] <= x[0]:
+            reach = max(reach, spans[i][1])
+            i += 1
+        if x[0] >= reach:
+            out.append(x)
+    return out
+
+
 def _candidates(words: set[str]) -> set[str]:
     out = {f" {w} " for w in words if len(w) > 2}
     for n in BEGINNINGS:
@@ -134,31 +147,32 @@ def _candidates(words: set[str]) -> set[str]:
     return out
 
 
+def _near_key(text: str) -> list[int]:
+    """Near copies share the least hashes of their words."""
+    return sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in set(text.split())})[:3]
+
+
 def _distinct(texts: list[str]) -> list[str]:
-    """Texts without near copies of earlier ones, by the least hashes of their words."""
-    seen, out = set(), []
-    for text in texts:
-        key = tuple(sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in set(text.split())})[:3])
-        if key not in seen:
-            seen.add(key)
-            out.append(text)
-    return out
+    """Texts without near copies of earlier ones."""
+    return list({tuple(_near_key(t)): t for t in reversed(texts)}.values())
 
 
-def learn(toxic: list[str], clean: list[str], share: float) -> Lexicon:
-    """Learn from folded labelled texts; ``share`` of the labelled corpus is toxic."""
-    toxic, clean = _distinct(toxic), _distinct(clean)
-    if not toxic or not clean:
-        return Lexicon()
+def term_counts(texts: Iterable[str]) -> Counter:
+    """In how many texts each word and word beginning is."""
     counts: Counter = Counter()
-    for text in toxic:
+    for text in texts:
         counts.update(_candidates(set(text.split())))
-    least = min(LEAST_TEXTS, max(LEAST_FEW, math.ceil(LEAST_SHARE * len(toxic))))
-    counts = Counter({t: n for t, n in counts.items() if n >= least})
-    against: Counter = Counter()
-    for text in clean:
-        against.update(counts.keys() & _candidates(set(text.split())))
-    weight = lambda t: math.log((counts[t] + 0.5) / (len(toxic) + 1)) - math.log((against[t] + 0.5) / (len(clean) + 1))
+    return counts
+
+
+def least_texts(n_toxic: int) -> int:
+    return min(LEAST_TEXTS, max(LEAST_FEW, math.ceil(LEAST_SHARE * n_toxic)))
+
+
+def chosen_terms(counts: dict[str, int], against: dict[str, int], n_toxic: int, n_clean: int) -> dict[str, float]:
+    """Weighted terms from the numbers of toxic and clean texts with each."""
+    counts = {t: n for t, n in counts.items() if n >= least_texts(n_toxic)}
+    weight = lambda t: math.log((counts[t] + 0.5) / (n_toxic + 1)) - math.log((against.get(t, 0) + 0.5) / (n_clean + 1))
     chosen: dict[str, float] = {}
     longer: dict[str, list[str]] = {}
     for term in counts:
@@ -171,26 +185,40 @@ def learn(toxic: list[str], clean: list[str], share: float) -> Lexicon:
         while best := max((t for t in longer.get(term, ()) if counts[t] >= SAME * counts[term]), key=lambda t: (counts[t], t), default=""):
             term = best
         chosen[term] = round(weight(term), 6)
-    lexicon = Lexicon(chosen)
-    lexicon.exceptions = _exceptions(lexicon, toxic, clean)
-    rows, built = [], lexicon.automaton()
-    for label, texts, prior in ((1, toxic, share), (0, clean, 1 - share)):
-        rows += [(*features(built, text.split())[:2], label, prior / len(texts)) for text in texts]
-    lexicon.model = _regression(np.array(rows))
-    return lexicon
+    return chosen
+
 
+def phrase_counts(weights: dict[str, float], texts: Iterable[str]) -> Counter:
+    """In how many texts each pair of neighbours with a term is."""
+    found: Counter = Counter()
+    for words in map(str.split, texts):
+        hit = {w for w in set(words) if f" {w} " in weights or any(f" {w[:n]}" in weights for n in BEGINNINGS)}
+        if hit:
+            found.update({f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in hit or b in hit})
+    return found
 
-def _exceptions(lexicon: Lexicon, toxic: list[str], clean: list[str]) -> tuple[str, ...]:
-    def pairs(texts: list[str]) -> Counter:
-        found: Counter = Counter()
-        for words in map(str.split, texts):
-            hit = {w for w in set(words) if f" {w} " in lexicon.weights or any(f" {w[:n]}" in lexicon.weights for n in BEGINNINGS)}
-            if hit:
-                found.update({f"{a} {b}" for a, b in zip(words, words[1:], strict=False) if a in hit or b in hit})
-        return found
 
-    bad, good = pairs(toxic), pairs(clean)
-    return tuple(sorted(p for p, n in good.items() if n >= LEAST_CLEAN and bad[p] * len(clean) <= n * len(toxic)))
+def chosen_phrases(bad: dict[str, int], good: dict[str, int], n_toxic: int, n_clean: int) -> tuple[str, ...]:
+    return tuple(sorted(p for p, n in good.items() if n >= LEAST_CLEAN and bad.get(p, 0) * n_clean <= n * n_toxic))
+
+
+def with_model(lexicon: Lexicon, rows: list[tuple[float, float, int]], share: float) -> Lexicon:
+    """``rows`` has both features and the label of each text of the sample."""
+    totals = Counter(label for _, _, label in rows)
+    prior = {1: share / totals[1], 0: (1 - share) / totals[0]}
+    lexicon.model = _regression(np.array([(one, two, label, prior[label]) for one, two, label in sorted(rows)]))
+    return lexicon
+
+
+def learn(toxic: list[str], clean: list[str], share: float) -> Lexicon:
+    """Learn from folded labelled texts in memory; ``share`` of the labelled corpus is toxic. ``fit`` does so on executors."""
+    toxic, clean = _distinct(toxic), _distinct(clean)
+    if not toxic or not clean:
+        return Lexicon()
+    lexicon = Lexicon(chosen_terms(term_counts(toxic), term_counts(clean), len(toxic), len(clean)))
+    lexicon.exceptions = chosen_phrases(phrase_counts(lexicon.weights, toxic), phrase_counts(lexicon.weights, clean), len(toxic), len(clean))
+    built = lexicon.automaton()
+    return with_model(lexicon, [(*features(built, t.split())[:2], label) for label, texts in ((1, toxic), (0, clean)) for t in texts], share)
 
 
 def _regression(rows: np.ndarray, ridge: float = 1e-4) -> tuple[float, float, float]:
@@ -228,7 +256,42 @@ def _score(lexicon: Lexicon):
 
 def _fold_all(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in source:
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([" ".join(folded_words(t)) for t in batch.column(1).to_pylist()])], names=["label", "folded"])
+        folded = [" ".join(folded_words(t)) for t in batch.column(1).to_pylist()]
+        keys = pa.array([_near_key(t) for t in folded], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([batch.column(0), keys, pa.array(folded)], names=["label", "near", "folded"])
+
+
+def _counted(count: Callable[[Iterable[str]], Counter]):
+    """Counts of the texts of a partition, by label."""
+    schema = pa.schema([("label", pa.int32()), ("what", pa.string()), ("n", pa.int64())])
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, Counter] = {0: Counter(), 1: Counter()}
+        for batch in source:
+            rows = list(zip(*(c.to_pylist() for c in batch.columns), strict=True))
+            for label in (0, 1):
+                totals[label].update(count(t for k, t in rows if k == label))
+        yield from batches(((label, what, n) for label in (0, 1) for what, n in totals[label].items()), schema)
+
+    return run
+
+
+def _counts(sample: DataFrame, count: Callable[[Iterable[str]], Counter], kept: Column) -> tuple[dict[str, int], dict[str, int]]:
+    """Numbers of toxic and of clean texts with each term or phrase, of those that ``kept`` lets pass."""
+    parts = sample.mapInArrow(_counted(count), "label int, what string, n long").groupBy("what")
+    rows = parts.agg(*(F.coalesce(F.sum(F.when(F.col("label") == k, F.col("n"))), F.lit(0)).alias(name) for k, name in ((1, "bad"), (0, "good")))).filter(kept).collect()
+    return {r["what"]: r["bad"] for r in rows if r["bad"]}, {r["what"]: r["good"] for r in rows if r["good"]}
+
+
+def _measured(lexicon: Lexicon):
+    schema = pa.schema([("one", pa.float64()), ("two", pa.float64()), ("label", pa.int32())])
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        built = lexicon.automaton()
+        for batch in source:
+            yield from batches(((*features(built, t.split())[:2], k) for k, t in zip(*(c.to_pylist() for c in batch.columns), strict=True)), schema)
+
+    return run
 
 
 def held_out(col: str):
@@ -246,9 +309,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
     # The sample's ids are a few thousand by the parameter, so they may be broadcast.
     chosen = F.broadcast(parts[0].unionByName(parts[1]).dropDuplicates())
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(chosen, "id").select("label", "text")
-    rows = texts.mapInArrow(_fold_all, "label int, folded string").collect()
-    by = {k: sorted(r[1] for r in rows if r[0] == k) for k in (0, 1)}
-    return learn(by[1], by[0], totals[1] / (totals[0] + totals[1]))
+    texts = texts.mapInArrow(_fold_all, "label int, near array<long>, folded string")
+    sample = written(texts.groupBy("label", "near").agg(F.min("folded").alias("folded")).select("label", "folded"), "toxicity-sample")
+    sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
+    if set(sizes) != {0, 1}:
+        return Lexicon()
+    lexicon = Lexicon(chosen_terms(*_counts(sample, term_counts, F.col("bad") >= least_texts(sizes[1])), sizes[1], sizes[0]))
+    weights = lexicon.weights
+    lexicon.exceptions = chosen_phrases(*_counts(sample, lambda t: phrase_counts(weights, t), F.col("good") >= LEAST_CLEAN), sizes[1], sizes[0])
+    rows = [tuple(r) for r in sample.mapInArrow(_measured(lexicon), "one double, two double, label int").collect()]
+    return with_model(lexicon, rows, totals[1] / (totals[0] + totals[1]))
 
 
 def score_toxicity(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
