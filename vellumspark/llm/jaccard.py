@@ -36,7 +36,7 @@ NGRAM, THRESHOLD = 5, 0.8
 #: Probability with which a pair at the threshold shares a band; rows in a band.
 RECALL, ROWS = 0.9995, 6
 #: A block has so many classes, and so many n-grams, on average at most; and blocks of a larger one for signatures alone.
-BLOCK_CLASSES, BLOCK_NGRAMS, LARGER = 64, 100_000, 8
+BLOCK_CLASSES, BLOCK_NGRAMS, LARGER = 256, 400_000, 2
 
 _MIX, _PRIME = 0xBF58476D1CE4E5B9, 0x9E3779B97F4A7C15
 _INVERSE = pow(_PRIME, -1, 1 << 64)
