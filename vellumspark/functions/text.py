@@ -7,12 +7,15 @@ import unicodedata
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: White space of any script, separators of information included.
 SPACE = r"[\s\x1c-\x1f]"
+#: The same characters, one by one.
+SPACES = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS_PER_MINUTE = 200
 #: Endings that a flexible keyword may take.
 SUFFIXES = "(?:s|es|is|ns|ais|eis|ais|ies|ed|ing)?"
@@ -24,7 +27,11 @@ def named(name: str) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"(?U)^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
+
+
+def lstrip(c: Column) -> Column:
+    return F.ltrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:
@@ -63,18 +70,29 @@ def clean_space(c: Column) -> Column:
 _RANGES = ((0x80, 0x24F), (0x370, 0x52F), (0x1E00, 0x1EFF), (0x2010, 0x2060), (0x20A0, 0x20C0), (0x2190, 0x22FF), (0x25A0, 0x27BF))
 
 
+class _Folds(dict):
+    """What each character becomes, worked out when first met: none, one or several characters."""
+
+    def __missing__(self, c: str) -> str:
+        self[c] = out = "".join(filter(_is_base, unicodedata.normalize("NFKD", c.lower())))
+        return out
+
+
+def _is_base(c: str) -> bool:
+    return not unicodedata.combining(c)
+
+
+_FOLDS = _Folds()
+
+
 def fold_text(text: str) -> str:
-    return fold_with_map(text)[0]
+    return "".join(map(_FOLDS.__getitem__, text))
 
 
-def fold_with_map(text: str) -> tuple[str, list[int]]:
+def fold_with_map(text: str) -> tuple[str, np.ndarray]:
     """Folded text and, for each of its characters, the place of the character that it comes from."""
-    out, places = [], []
-    for i, c in enumerate(text):
-        kept = [d for d in unicodedata.normalize("NFKD", c.lower()) if not unicodedata.combining(d)]
-        out += kept
-        places += [i] * len(kept)
-    return "".join(out), places
+    sizes = np.fromiter((len(_FOLDS[c]) for c in text), np.int32, len(text))
+    return fold_text(text), np.repeat(np.arange(len(text), dtype=np.int32), sizes)
 
 
 @cache
@@ -106,13 +124,7 @@ def folds_simply(c: Column) -> Column:
 
 def _slow_fold(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for part in texts:
-        pairs = [(None, None) if t is None else fold_with_map(t) for t in part]
-        yield pd.DataFrame(pairs, columns=["norm", "places"])
-
-
-def slow_fold(c: Column | str) -> Column:
-    """struct<norm,places> of any text, in an Arrow function."""
-    return F.pandas_udf("norm string, places array<int>")(_slow_fold)(c)
+        yield pd.DataFrame([(None, None) if t is None else fold_with_map(t) for t in part], columns=["norm", "places"])
 
 
 def _slow_fold_only(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -120,10 +132,20 @@ def _slow_fold_only(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda t: None if t is None else fold_text(t))
 
 
+def _not_simple(c: Column) -> Column:
+    """The text if its characters don't fold one to one, else null: then the Arrow function gets nothing to read."""
+    return F.when(~folds_simply(c), c)
+
+
+def slow_fold(c: Column) -> Column:
+    """struct<norm,places> of texts that need it, in an Arrow function; null for all others."""
+    return F.pandas_udf("norm string, places array<int>")(_slow_fold)(_not_simple(c))
+
+
 def fold(c: Column | str) -> Column:
     """Folded text, whatever its characters."""
     c = F.col(c) if isinstance(c, str) else c
-    return F.when(folds_simply(c), fold_simple(c)).otherwise(F.pandas_udf("string")(_slow_fold_only)(c))
+    return F.coalesce(F.pandas_udf("string")(_slow_fold_only)(_not_simple(c)), fold_simple(c))
 
 
 def fold_simple(c: Column) -> Column:
@@ -157,18 +179,18 @@ def split_keywords(raw: str) -> list[str]:
 # --- places --------------------------------------------------------------------------------------------------
 
 
+def running_sums(values: Column) -> Column:
+    """Sums of an array up to each place, by doubling: each round adds what lies a power of two before."""
+    rounds = F.transform(F.sequence(F.lit(0), F.lit(30)), lambda k: F.pow(F.lit(2), k).cast("int"))
+    steps = F.filter(rounds, lambda step: step < F.size(values))
+    return F.aggregate(steps, values, lambda sums, step: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - step), F.lit(0))))
+
+
 def match_spans(text: Column, pattern: str) -> Column:
     """Half-open places of all matches: array<struct<start:int,end:int>>."""
     matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-
-    def add(state: Column, pair: Column) -> Column:
-        begin = state["at"] + F.length(pair["gap"])
-        end = begin + F.length(pair["match"])
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(begin.alias("start"), end.alias("end")))).alias("out"))
-
-    pairs = F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.struct(m.alias("match"), g.alias("gap")))
-    return F.aggregate(pairs, start, add, lambda s: s["out"])
+    ends = running_sums(F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), lambda m, g: F.length(m) + F.length(g)))
+    return F.zip_with(matches, ends, lambda m, end: F.struct((end - F.length(m)).alias("start"), end.alias("end")))
 
 
 def page_at(pages: Column, offset: Column) -> Column:

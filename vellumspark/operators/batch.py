@@ -49,10 +49,9 @@ def comparison(results: DataFrame, files: list[str]) -> DataFrame:
     ``results`` has (item, file, position, keyword, total) of analysed items, ``item`` being their order. Files are given,
     as the columns are; they should be unique (ids if names are not).
     """
-    order = results.groupBy("keyword").agg(F.min(F.struct("item", "position")).alias("order"))
-    table = results.groupBy("keyword").pivot("file", files).agg(F.last("total", ignorenulls=True)) if files else results.select("keyword").distinct()
-    filled = [F.coalesce(T.named(f), F.lit(0)).alias(f) for f in files]
-    return table.select("keyword", *filled).join(order, "keyword").orderBy("order").drop("order")
+    each = [F.coalesce(F.last(F.when(F.col("file") == f, F.col("total")), ignorenulls=True), F.lit(0)).alias(f) for f in files]
+    rows = results.groupBy("keyword").agg(F.min(F.struct("item", "position")).alias("order"), F.struct(*each, F.lit(0).alias("_")).alias("totals"))
+    return rows.orderBy("order").select("keyword", *(F.col("totals").getField(f).alias(f) for f in files))
 
 
 def absent(results: DataFrame) -> DataFrame:

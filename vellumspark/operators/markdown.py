@@ -3,6 +3,10 @@
 Every line gets a kind from its own form. What a plain line belongs to follows from the last line before it that is not
 plain: if that is a list entry which begins with a hyphen or a figure from 1 to 9, the line continues it; else it is
 part of a paragraph. So blocks are groups of lines, and no line's state depends on more than that one line.
+
+Documents and pages are told apart by a number of their row, not by their id, and are shuffled once by it; what belongs
+to the document travels with its first line. Defined results: documents that repeat an id, or have none, stay rows of
+their own; one without pages or with blank ones has a text of page marks alone; null texts are empty.
 """
 
 from __future__ import annotations
@@ -33,11 +37,12 @@ def _section(line: Column) -> Column:
 
 
 def classified(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, at, line, kind, head, name, title): a row per line; head is what its block begins with.
+    """Adds at, line, kind, head, name, title to pages without their text: a row per line; head is what its block begins with.
 
     Kinds: blank, section, entry, bullet, heading, numbered, plain.
     """
-    rows = pages.select("doc_id", "page", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw")).withColumn("line", T.strip(F.col("raw")))
+    kept = [T.named(c) for c in pages.columns if c != "text"]
+    rows = pages.select(*kept, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("at", "raw")).withColumn("line", T.strip(F.col("raw")))
     line = F.col("line")
     rows = rows.withColumn("section", _section(line))
     body = F.regexp_extract(line, _NUMBERED_TITLE, 2)
@@ -49,50 +54,72 @@ def classified(pages: DataFrame) -> DataFrame:
         F.when(F.col("kind") == "section", F.concat(F.lit("## "), F.col("section.title"))).when(F.col("kind") == "entry", F.concat(F.lit("- "), line)).when(F.col("kind") == "bullet", F.concat(F.lit("- "), part(_BULLET, 1)))
         .when(F.col("kind") == "heading", F.concat(F.lit("### "), F.regexp_extract(line, _NUMBERED_TITLE, 1), F.lit(" "), T.strip(body))).when(F.col("kind") == "numbered", F.concat(F.regexp_extract(line, _NUMBERED, 1), F.lit(" "), part(_NUMBERED, 2)))
     )
-    return rows.select("doc_id", "page", "at", "line", "kind", head.alias("head"), F.col("section.name").alias("name"), F.col("section.title").alias("title"))
+    return rows.select(*kept, "at", "line", "kind", head.alias("head"), F.col("section.name").alias("name"), F.col("section.title").alias("title"))
 
 
-def blocks(pages: DataFrame) -> DataFrame:
-    """(doc_id, page, block, text, kind, name, title): Markdown blocks of each page, numbered from 0."""
-    seen = Window.partitionBy("doc_id", "page").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+def _grouped(pages: DataFrame, *first: str) -> DataFrame:
+    """(key, number, block, text, kind, name, title, …): blocks of the pages of (key, number, text), blank ones, too.
+
+    Columns named in ``first`` are taken from a page's first line.
+    """
+    place = ["key", "number"]
+    seen = Window.partitionBy(*place).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("kind") != "plain", F.struct("at", "kind", "head")), ignorenulls=True).over(seen)
     rows = classified(pages).withColumn("last", last)
+    rows = rows.withColumns({c: F.when(F.col("at") == 0, F.col(c)) for c in first})
     open_list = F.col("last.kind").isin("entry", "bullet", "numbered") & F.col("last.head").rlike("^(?:- |[1-9])")
-    rows = rows.withColumn("part", F.when(F.col("kind") != "plain", 0).when(F.coalesce(open_list, F.lit(False)), 0).otherwise(1)).filter("kind <> 'blank'")
-    rows = rows.groupBy("doc_id", "page", F.coalesce("last.at", F.lit(-1)).alias("of"), "part").agg(
+    rows = rows.withColumn("part", F.when(F.col("kind") != "plain", 0).when(F.coalesce(open_list, F.lit(False)), 0).otherwise(1))
+    rows = rows.groupBy(*place, F.coalesce("last.at", F.lit(-1)).alias("of"), "part").agg(
         F.array_sort(F.collect_list(F.struct("at", F.coalesce("head", "line").alias("piece")))).alias("pieces"),
-        F.min(F.struct("at", "kind", "name", "title")).alias("first"),
+        F.min(F.struct("at", "kind", "name", "title")).alias("begin"),
+        *(F.first(c, ignorenulls=True).alias(c) for c in first),
     )
     joined = F.array_join(F.col("pieces.piece"), " ")
     text = F.when(F.col("part") == 1, T.strip(F.regexp_replace(joined, f"(?U){T.SPACE}{{2,}}", " "))).otherwise(joined)
-    place = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("of", "part")) - 1
-    return rows.select("doc_id", "page", place.alias("block"), text.alias("text"), F.when(F.col("part") == 1, "paragraph").otherwise(F.col("first.kind")).alias("kind"), F.when(F.col("part") == 0, F.col("first.name")).alias("name"), F.when(F.col("part") == 0, F.col("first.title")).alias("title"))
+    kind = F.when(F.col("part") == 1, "paragraph").otherwise(F.col("begin.kind"))
+    rows = rows.withColumn("kind", kind).withColumn("shown", (F.col("kind") != "blank").cast("int"))
+    number = F.sum("shown").over(Window.partitionBy(*place).orderBy("of", "part").rowsBetween(Window.unboundedPreceding, 0)) - 1
+    own = lambda c: F.when(F.col("part") == 0, F.col(f"begin.{c}")).alias(c)
+    return rows.select(*place, number.cast("int").alias("block"), text.alias("text"), "kind", own("name"), own("title"), *first)
+
+
+def blocks(pages: DataFrame) -> DataFrame:
+    """(doc_id, page, block, text, kind, name, title): Markdown blocks of each page, numbered from 0."""
+    rows = pages.select(F.monotonically_increasing_id().alias("key"), F.lit(0).alias("number"), "text", F.struct("doc_id", "page").alias("of_page"))
+    made = _grouped(rows.repartition("key"), "of_page")
+    # A page's id and number came with its first line, so with its first block.
+    whole = F.first("of_page", ignorenulls=True).over(Window.partitionBy("key"))
+    return made.withColumn("of_page", whole).filter("kind <> 'blank'").select("of_page.doc_id", "of_page.page", "block", "text", "kind", "name", "title")
 
 
 def view(docs: DataFrame, mark_pages: bool = True) -> DataFrame:
     """Documents of the Markdown view from documents of the raw view; page numbers agree, offsets are its own."""
-    pages = docs.select("doc_id", F.explode("pages").alias("p")).select("doc_id", F.col("p.number").alias("page"), "p.text")
-    marker = F.concat(F.lit("<!-- p. "), F.col("page").cast("string"), F.lit(" -->"))
-    made = blocks(pages).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("block", "text", "name", "title"))).alias("blocks"))
-    rows = pages.select("doc_id", "page").join(made, ["doc_id", "page"], "left")
-    empty = F.array().cast("array<struct<block:int,text:string,name:string,title:string>>")
-    first = F.array(F.struct(F.lit(-1).alias("block"), marker.alias("text"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("string").alias("title"))) if mark_pages else empty
-    rows = rows.withColumn("blocks", F.concat(first, F.coalesce("blocks", empty)))
-    title = docs.select("doc_id", T.strip(F.coalesce(F.col("metadata")["titulo"], F.lit(""))).alias("doc_title"))
-    rows = rows.join(title, "doc_id").withColumn("lead", F.when((F.row_number().over(Window.partitionBy("doc_id").orderBy("page")) == 1) & (F.col("doc_title") != ""), F.concat(F.lit("# "), F.col("doc_title"), F.lit("\n\n"))).otherwise(""))
-    rows = rows.withColumn("text", F.concat("lead", F.array_join(F.col("blocks.text"), "\n\n")))
-    before = Window.partitionBy("doc_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)).cast("int")).withColumn("end", (F.col("start") + F.length("text") + 2).cast("int"))
-    place = lambda i: F.aggregate(F.slice("blocks", 1, i), F.col("start") + F.length("lead"), lambda a, b: a + F.length(b["text"]) + 2)
-    titles = F.filter(F.transform("blocks", lambda b, i: F.struct(place(i).alias("start"), b["name"].alias("name"), b["title"].alias("title"))), lambda s: s["name"].isNotNull())
-    whole = rows.withColumn("titles", titles).groupBy("doc_id").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("page").alias("number"), "text", "start", "end"))).alias("pages"),
+    title = T.strip(F.coalesce(F.col("metadata")["titulo"], F.lit("")))
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.struct("doc_id", "metadata", "warnings", title.alias("title")).alias("doc"), "pages")
+    # Numbered before pages are parted, in a step of its own.
+    rows = rows.select("key", "doc", F.posexplode_outer("pages").alias("number", "p"))
+    first = F.coalesce("number", F.lit(0)) == 0
+    rows = rows.select("key", F.coalesce("number", F.lit(0)).alias("number"), F.col("p.text").alias("text"), F.col("p.number").alias("page"), F.when(first, F.col("doc")).alias("doc")).repartition("key")
+    shown = F.when(F.col("kind") != "blank", F.struct("block", "text", "name", "title"))
+    pages = _grouped(rows, "page", "doc").groupBy("key", "number").agg(F.array_sort(F.collect_list(shown)).alias("blocks"), F.first("page", ignorenulls=True).alias("page"), F.first("doc", ignorenulls=True).alias("doc"))
+    none = F.lit(None).cast("string")
+    marker = F.array(F.struct(F.lit(-1).alias("block"), F.concat(F.lit("<!-- p. "), F.col("page").cast("string"), F.lit(" -->")).alias("text"), none.alias("name"), none.alias("title")))
+    if mark_pages:
+        pages = pages.withColumn("blocks", F.when(F.col("page").isNull(), F.col("blocks")).otherwise(F.concat(marker, "blocks")))
+    pages = pages.withColumn("lead", F.when((F.col("number") == 0) & (F.col("doc.title") != ""), F.concat(F.lit("# "), F.col("doc.title"), F.lit("\n\n"))).otherwise(""))
+    pages = pages.withColumn("text", F.concat("lead", F.array_join(F.col("blocks.text"), "\n\n")))
+    before = Window.partitionBy("key").orderBy("number").rowsBetween(Window.unboundedPreceding, -1)
+    pages = pages.withColumn("start", F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)).cast("int")).withColumn("end", (F.col("start") + F.length("text") + 2).cast("int"))
+    ends = T.running_sums(F.transform("blocks", lambda b: F.length(b["text"]) + 2))
+    begins = F.zip_with("blocks", ends, lambda b, end: F.struct((F.col("start") + F.length("lead") + end - F.length(b["text"]) - 2).alias("start"), b["name"].alias("name"), b["title"].alias("title")))
+    whole = pages.withColumn("titles", F.filter(begins, lambda s: s["name"].isNotNull())).groupBy("key").agg(
+        F.array_sort(F.collect_list(F.when(F.col("page").isNotNull(), F.struct("number", "page", "text", "start", "end")))).alias("pages"),
         F.array_sort(F.flatten(F.collect_list("titles"))).alias("titles"),
+        F.first("doc", ignorenulls=True).alias("doc"),
     )
-    text = T.strip(F.concat(F.array_join(F.col("pages.text"), "\n\n"), F.lit("\n\n")))
-    whole = whole.withColumn("text", text)
-    once = F.filter("titles", lambda s, i: ~F.array_contains(F.slice(F.col("titles.name"), 1, i), s["name"]))
-    whole = whole.withColumn("titles", once)
-    ends = F.concat(F.transform(F.slice("titles", 2, len(SECTIONS)), lambda s: s["start"]), F.array(F.length("text")))
-    sections = F.zip_with("titles", F.slice(ends, 1, F.size("titles")), lambda s, e: F.struct(s["name"].alias("name"), s["title"].alias("title"), s["start"].alias("start"), e.alias("end")))
-    return whole.join(docs.select("doc_id", "metadata", "warnings"), "doc_id").select("doc_id", F.lit("markdown").alias("view"), "text", "pages", sections.alias("sections"), "metadata", "warnings")
+    whole = whole.withColumn("pages", F.transform("pages", lambda p: F.struct(p["page"].alias("number"), p["text"].alias("text"), p["start"].alias("start"), p["end"].alias("end"))))
+    whole = whole.withColumn("text", T.strip(F.array_join(F.col("pages.text"), "\n\n")))
+    whole = whole.withColumn("titles", F.filter("titles", lambda s, i: F.array_position(F.col("titles.name"), s["name"]) == i + 1))
+    stops = F.concat(F.transform(F.slice("titles", 2, len(SECTIONS)), lambda s: s["start"]), F.array(F.length("text")))
+    sections = F.zip_with("titles", F.slice(stops, 1, F.size("titles")), lambda s, e: F.struct(s["name"].alias("name"), s["title"].alias("title"), s["start"].alias("start"), e.alias("end")))
+    return whole.select("doc.doc_id", F.lit("markdown").alias("view"), "text", "pages", sections.alias("sections"), "doc.metadata", "doc.warnings")

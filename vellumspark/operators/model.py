@@ -26,6 +26,7 @@ SECTIONS = (
 )
 #: A title may be numbered, in decimal or Roman figures.
 _NUMBERED = r"(?:\d{1,2}(?:\.\d{1,2})*[.)]?[ \t]*|[IVXivx]{1,5}[.)\-][ \t]*)?"
+#: DOIs, entries of a bibliography, years.
 _DOI = r"\b10\.\d{4,9}/[-._;()/:a-zA-Z0-9]+\b"
 _ENTRY = r"^\s*(?:\[\d{1,3}\]|\(\d{1,3}\)|\d{1,3}\.)\s+\S"
 _YEAR = r"\b(19|20)\d{2}\b"
@@ -117,7 +118,7 @@ def paged(pages: DataFrame, strip_shift: bool = False) -> DataFrame:
     rows = rows.withColumn("end", (F.col("start") + F.length("text") + 2).cast("int"))
     docs = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("page").cast("int").alias("number"), "text", "start", "end"))).alias("pages"))
     whole = F.concat(F.array_join(F.transform("pages", lambda p: p["text"]), "\n\n"), F.lit("\n\n"))
-    lead = F.length(whole) - F.length(F.regexp_replace(whole, f"(?U)^{T.SPACE}+", ""))
+    lead = F.length(whole) - F.length(T.lstrip(whole))
     shift = F.lit(0) if strip_shift else F.when(T.strip(whole) == "", 0).otherwise(lead)
     moved = F.transform("pages", lambda p: F.struct(p["number"].alias("number"), p["text"].alias("text"), F.greatest(F.lit(0), p["start"] - shift).alias("start"), F.greatest(F.lit(0), p["end"] - shift).alias("end")))
     return docs.select("doc_id", T.strip(whole).alias("text"), moved.cast(f"array<{_PAGE}>").alias("pages"))

@@ -1,7 +1,10 @@
 """Scan: literal keyword search over folded text, with pages, sections, snippets and density.
 
-Text is folded once per document. Documents whose characters fold one to one stay in native expressions; only the
-others pass through an Arrow function, which also maps places back to the original.
+Text is folded once per document. Documents whose characters fold one to one are folded by native expressions; only the
+others' text goes to an Arrow function, which also maps places back to the original.
+
+Defined results: a null text is searched as an empty one; documents that repeat an id, or have none, are searched each
+for itself; no keywords give no rows; other columns of the documents stay in ``search`` and, where named, in ``totals``.
 """
 
 from __future__ import annotations
@@ -17,10 +20,8 @@ LISTED, WINDOW = 40, 220
 
 def folded(docs: DataFrame) -> DataFrame:
     """Adds norm and places (null where a character's place doesn't change)."""
-    simple = docs.filter(T.folds_simply(F.col("text")) | F.col("text").isNull())
-    fast = simple.withColumn("norm", T.fold_simple(F.col("text"))).withColumn("places", F.lit(None).cast("array<int>"))
-    slow = docs.filter(~T.folds_simply(F.col("text"))).withColumn("f", T.slow_fold("text")).withColumn("norm", F.col("f.norm")).withColumn("places", F.col("f.places")).drop("f")
-    return fast.unionByName(slow)
+    rows = docs.withColumn("slow", T.slow_fold(F.col("text")))
+    return rows.withColumn("norm", F.coalesce("slow.norm", T.fold_simple(F.col("text")))).withColumn("places", F.col("slow.places")).drop("slow")
 
 
 def _original(spans: Column) -> Column:
@@ -35,15 +36,16 @@ def _patterns(keywords: list[str], flexible: bool) -> list[tuple[int, str, str]]
     return [(i, k, p) for i, k in enumerate(given) if (p := T.keyword_pattern(k, flexible))]
 
 
-def _per_keyword(keywords: list[str], flexible: bool, name: str, value) -> Column:
+def _per_keyword(keywords: list[str], flexible: bool, name: str, kind: str, value) -> Column:
     """Explodes to structs of position, keyword and a value of the folded text, which is worked out once."""
     entries = lambda n: F.array(*(F.struct(F.lit(i).alias("position"), F.lit(k).alias("keyword"), value(n, p).alias(name)) for i, k, p in _patterns(keywords, flexible)))
-    return F.explode(F.get(F.transform(F.array(F.coalesce("norm", F.lit(""))), entries), F.lit(0)))
+    listed = F.get(F.transform(F.array(F.coalesce("norm", F.lit(""))), entries), F.lit(0)) if _patterns(keywords, flexible) else F.array()
+    return F.explode(listed.cast(f"array<struct<position:int,keyword:string,{name}:{kind}>>"))
 
 
 def search(docs: DataFrame, keywords: list[str], flexible: bool = True) -> DataFrame:
     """One row per document and keyword: position, keyword, spans of all its occurrences. The documents' columns stay."""
-    rows = folded(docs).withColumn("hit", _per_keyword(keywords, flexible, "spans", T.match_spans))
+    rows = folded(docs).withColumn("hit", _per_keyword(keywords, flexible, "spans", "array<struct<start:int,end:int>>", T.match_spans))
     return rows.withColumn("position", F.col("hit.position")).withColumn("keyword", F.col("hit.keyword")).withColumn("spans", _original(F.col("hit.spans"))).drop("hit", "norm", "places")
 
 
@@ -67,11 +69,11 @@ def scan(docs: DataFrame, keywords: list[str], flexible: bool = True, window: in
     return found.withColumnRenamed("page_numbers", "pages")
 
 
-def totals(docs: DataFrame, keywords: list[str], flexible: bool = True) -> DataFrame:
-    """(doc_id, keyword, total, density): the counts alone."""
-    rows = folded(docs.select("doc_id", "text", T.word_count(F.coalesce("text", F.lit(""))).alias("n_words")))
-    rows = rows.select("doc_id", "n_words", _per_keyword(keywords, flexible, "total", lambda n, p: F.regexp_count(n, F.lit(p))).alias("hit"))
-    return rows.select("doc_id", "hit.keyword", "hit.total", T.density(F.col("hit.total"), F.col("n_words")).alias("density"))
+def totals(docs: DataFrame, keywords: list[str], flexible: bool = True, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keyword, total, density, and columns to keep): the counts alone."""
+    rows = folded(docs.select("doc_id", "text", *map(T.named, keep), T.word_count(F.coalesce("text", F.lit(""))).alias("n_words")))
+    rows = rows.select("doc_id", *map(T.named, keep), "n_words", _per_keyword(keywords, flexible, "total", "int", lambda n, p: F.regexp_count(n, F.lit(p))).alias("hit"))
+    return rows.select("doc_id", "hit.keyword", "hit.total", T.density(F.col("hit.total"), F.col("n_words")).alias("density"), *map(T.named, keep))
 
 
 def listed_by_page(scanned: DataFrame) -> DataFrame:
@@ -81,9 +83,14 @@ def listed_by_page(scanned: DataFrame) -> DataFrame:
 
 
 def parsed_keywords(lists: DataFrame, column: str = "raw") -> DataFrame:
-    """(…, position, keyword) from lists at commas, semicolons and line ends; the first of spellings that fold alike stays."""
-    parts = lists.select("*", F.posexplode(F.split(column, "[,;\n]+", -1)).alias("at", "part"))
-    term = F.regexp_replace(F.regexp_replace(T.strip(F.col("part")), '^"+|"+$', ""), "^'+|'+$", "")
-    rows = folded(parts.withColumn("text", term)).filter("text <> ''").withColumn("place", F.row_number().over(Window.partitionBy(*lists.columns, "norm").orderBy("at"))).filter("place = 1")
-    order = F.row_number().over(Window.partitionBy(*lists.columns).orderBy("at")) - 1
-    return rows.select(*lists.columns, order.alias("position"), F.col("text").alias("keyword"))
+    """(…, position, keyword) from lists at commas, semicolons and line ends; the first of spellings that fold alike stays.
+
+    Each row is parsed for itself, so lists that repeat give their keywords as often; a null or blank list gives none.
+    """
+    bare = lambda part: F.regexp_replace(F.regexp_replace(T.strip(part), '^"+|"+$', ""), "^'+|'+$", "")
+    terms = F.filter(F.transform(F.split(T.named(column), "[,;\n]+", -1), bare), lambda t: t != "")
+    rows = lists.withColumn("terms", terms)
+    # All terms are folded as one text; what parts them folds to itself.
+    rows = rows.withColumn("norms", F.split(T.fold(F.array_join("terms", "\n")), "\n", -1))
+    first = F.filter(F.transform("terms", lambda t, i: F.when(F.array_position("norms", F.get("norms", i)) == i + 1, t)), lambda t: t.isNotNull())
+    return rows.select(*map(T.named, lists.columns), F.posexplode(first).alias("position", "keyword"))

@@ -1,4 +1,8 @@
-"""Skim: section openings, paragraph skeletons, sentences with numbers and concluding sentences, without a model."""
+"""Skim: section openings, paragraph skeletons, sentences with numbers and concluding sentences, without a model.
+
+A document's paragraphs are shuffled once, by a number of its row, and everything follows from them. Defined results:
+documents that repeat an id, or have none, stay rows of their own; one without text is empty.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from . import scan
 
 #: Folded phrases that mark a conclusion.
 MARKERS = (
@@ -48,62 +51,59 @@ def concluding_title(title: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, offset, page, block, is_heading, title, section): blocks of the Markdown view in sections.
+    """(key, at, doc, offset, page, block, is_heading, title, section, sentences, real): blocks of the Markdown view.
 
-    ``section`` counts headings before the block; 0 is what stands before any. Page marks and the document's title go.
+    ``section`` counts headings up to the block; 0 is what stands before any. Page marks, the document's title and blank
+    blocks are not real. ``doc`` (doc_id and title) stands at the first block.
     """
-    rows = docs.select("doc_id", "pages", F.posexplode(F.split("text", "\n\n", -1)).alias("at", "raw"))
-    before = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("cursor", F.coalesce(F.sum(F.length("raw") + 2).over(before), F.lit(0)))
-    rows = rows.withColumn("block", T.strip(F.col("raw"))).filter((F.col("block") != "") & ~F.col("block").rlike(_PAGE_MARK) & ~F.col("block").startswith("# "))
-    lead = F.length("raw") - F.length(F.regexp_replace("raw", f"(?U)^{T.SPACE}+", ""))
-    rows = rows.withColumn("offset", (F.col("cursor") + lead).cast("int")).withColumn("page", T.page_at(F.col("pages"), F.col("offset")))
-    rows = rows.withColumn("is_heading", F.col("block").rlike(_HEADING)).withColumn("title", F.when(F.col("is_heading"), T.strip(F.regexp_extract("block", _HEADING, 2))))
-    upto = Window.partitionBy("doc_id").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("section", F.sum(F.col("is_heading").cast("int")).over(upto).cast("int")).select("doc_id", "at", "offset", "page", "block", "is_heading", "title", "section")
-
-
-def _titled(docs: DataFrame) -> DataFrame:
-    """Paragraphs with the page and title of their section, and their sentences."""
-    rows = paragraphs(docs)
-    within = Window.partitionBy("doc_id", "section").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("sentences", F.when(~F.col("is_heading"), sentences(F.col("block")))).filter(F.col("is_heading") | (F.size("sentences") > 0))
-    rows = rows.withColumn("section_title", F.first(F.coalesce("title", F.lit(UNTITLED))).over(within)).withColumn("section_page", F.first("page").over(within))
-    return rows.withColumn("place", F.sum((~F.col("is_heading")).cast("int")).over(within))
-
-
-def sections(docs: DataFrame) -> DataFrame:
-    """(doc_id, section, title, page, opening, skeleton): the first paragraph whole, first and last sentences of the others."""
-    rows = _titled(docs)
-    opening = F.max(F.when(~F.col("is_heading") & (F.col("place") == 1), F.array_join("sentences", " ")))
-    ends = F.when(F.size("sentences") > 1, F.array(F.get("sentences", F.lit(0)), F.element_at("sentences", -1))).otherwise(F.col("sentences"))
-    later = F.collect_list(F.when(~F.col("is_heading") & (F.col("place") > 1), F.struct("at", ends.alias("ends"))))
-    return rows.groupBy("doc_id", "section", F.col("section_title").alias("title"), F.col("section_page").alias("page")).agg(F.coalesce(opening, F.lit("")).alias("opening"), F.flatten(F.transform(F.array_sort(later), lambda s: s["ends"])).alias("skeleton"))
-
-
-def sentence_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, at, n, sentence, page, section_title, numbered, concluding): sentences outside headings in reading order."""
-    rows = _titled(docs).filter("not is_heading").select("doc_id", "at", "page", "section_title", F.posexplode("sentences").alias("n", "sentence"))
-    rows = scan.folded(rows.withColumnRenamed("sentence", "text")).withColumnRenamed("text", "sentence")
-    return rows.select("doc_id", "at", "n", "sentence", "page", "section_title", has_number(F.col("sentence")).alias("numbered"), (concluding_title(F.col("section_title")) | has_marker(F.col("norm"))).alias("concluding"))
-
-
-def first_of(table: DataFrame, flag: str, most: int) -> DataFrame:
-    """(doc_id, position, sentence, page, section): the first sentences with a flag, in reading order."""
-    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "n"))
-    return table.filter(flag).withColumn("position", order).filter(F.col("position") <= most).select("doc_id", "position", "sentence", "page", F.col("section_title").alias("section"))
+    doc = F.struct("doc_id", T.strip(F.coalesce(F.col("metadata")["titulo"], F.lit(""))).alias("title"))
+    places = F.transform("pages", lambda p: F.struct(p["number"].alias("number"), p["start"].alias("start"), p["end"].alias("end")))
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), doc.alias("doc"), places.alias("pages"), F.coalesce("text", F.lit("")).alias("text"))
+    # Numbered before texts are parted, in a step of its own.
+    rows = rows.select("key", "doc", "pages", F.posexplode(F.split("text", "\n\n", -1)).alias("at", "raw"))
+    rows = rows.withColumn("doc", F.when(F.col("at") == 0, F.col("doc"))).repartition("key")
+    before = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("cursor", F.coalesce(F.sum(F.length("raw") + 2).over(before), F.lit(0))).withColumn("block", T.strip(F.col("raw")))
+    rows = rows.withColumn("offset", (F.col("cursor") + F.length("raw") - F.length(T.lstrip(F.col("raw")))).cast("int")).withColumn("page", T.page_at(F.col("pages"), F.col("offset")))
+    block = F.col("block")
+    rows = rows.withColumn("is_heading", block.rlike(_HEADING)).withColumn("title", F.when(F.col("is_heading"), T.strip(F.regexp_extract("block", _HEADING, 2))))
+    shown = (block != "") & ~block.rlike(_PAGE_MARK) & ~block.startswith("# ")
+    rows = rows.withColumn("sentences", F.when(shown & ~F.col("is_heading"), sentences(block)).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("real", shown & (F.col("is_heading") | (F.size("sentences") > 0)))
+    upto = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("section", F.sum((F.col("real") & F.col("is_heading")).cast("int")).over(upto).cast("int")).select("key", "at", "doc", "offset", "page", "block", "is_heading", "title", "section", "sentences", "real")
 
 
 def skim(docs: DataFrame, numbers: int = NUMBERS, conclusions: int = CONCLUSIONS) -> DataFrame:
-    """One nested row per document: title, sections, numbers, conclusions and whether there is nothing."""
-    table = sentence_table(docs)
-    listed = lambda df, *c: df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(*c))).alias("list"))
-    parts = {
-        "sections": listed(sections(docs), "section", "title", "page", "opening", "skeleton"),
-        "numbers": listed(first_of(table, "numbered", numbers), "position", "sentence", "page", "section"),
-        "conclusions": listed(first_of(table, "concluding", conclusions), "position", "sentence", "page", "section"),
-    }
-    rows = docs.select("doc_id", T.strip(F.coalesce(F.col("metadata")["titulo"], F.lit(""))).alias("title"))
-    for name, part in parts.items():
-        rows = rows.join(part.withColumnRenamed("list", name), "doc_id", "left")
-    return rows.withColumn("empty", F.col("sections").isNull() & F.col("numbers").isNull() & F.col("conclusions").isNull())
+    """One nested row per document: title, sections, numbers, conclusions and whether there is nothing.
+
+    Sections have number, title, page, opening (the first paragraph whole) and skeleton (first and last sentences of the
+    others); numbers and conclusions are the first sentences of their kind, with position, page and section.
+    """
+    rows = paragraphs(docs)
+    within = Window.partitionBy("key", "section").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    first = lambda c: F.first(F.when(F.col("real"), c), ignorenulls=True).over(within)
+    rows = rows.withColumn("section_title", first(F.coalesce("title", F.lit(UNTITLED)))).withColumn("section_page", first(F.col("page")))
+    # All sentences of a paragraph are folded as one text; what parts them folds to itself.
+    rows = rows.withColumn("norms", F.split(T.fold(F.array_join("sentences", "\x01")), "\x01", -1)).withColumn("ends_it", concluding_title(F.col("section_title")))
+    rated = F.transform("sentences", lambda s, i: F.struct(s.alias("sentence"), F.col("page").alias("page"), F.col("section_title").alias("section"), has_number(s).alias("numbered"), (F.col("ends_it") | has_marker(F.get("norms", i))).alias("concluding")))
+    text = F.col("real") & ~F.col("is_heading")
+    rows = rows.select("key", "section", "section_title", "section_page", "doc", "real", F.when(text, F.struct("at", "sentences")).alias("paragraph"), F.when(text, F.struct("at", rated.alias("rated"))).alias("rated"))
+    parts = rows.groupBy("key", "section").agg(
+        F.first("section_title", ignorenulls=True).alias("title"), F.first("section_page", ignorenulls=True).alias("page"), F.first("doc", ignorenulls=True).alias("doc"), F.max("real").alias("real"),
+        F.array_sort(F.collect_list("paragraph")).alias("paragraphs"), F.array_sort(F.collect_list("rated")).alias("rated"),
+    )
+    ends = lambda p: F.when(F.size(p["sentences"]) > 1, F.array(F.get(p["sentences"], F.lit(0)), F.element_at(p["sentences"], -1))).otherwise(p["sentences"])
+    opening = F.coalesce(F.array_join(F.get("paragraphs", F.lit(0))["sentences"], " "), F.lit(""))
+    skeleton = F.flatten(F.transform(F.slice("paragraphs", 2, 1 << 30), ends))
+    section = F.when(F.col("real"), F.struct("section", "title", "page", opening.alias("opening"), skeleton.alias("skeleton")))
+    whole = parts.groupBy("key").agg(F.array_sort(F.collect_list(section)).alias("sections"), F.array_sort(F.collect_list(F.struct("section", F.flatten(F.col("rated.rated")).alias("rated")))).alias("rated"), F.first("doc", ignorenulls=True).alias("doc"))
+    every = F.flatten(F.col("rated.rated"))
+    listed = lambda flag, most: F.transform(F.slice(F.filter(every, lambda s: s[flag]), 1, most), lambda s, i: F.struct((i + 1).alias("position"), s["sentence"].alias("sentence"), s["page"].alias("page"), s["section"].alias("section")))
+    rows = whole.select("doc.doc_id", "doc.title", "sections", listed("numbered", numbers).alias("numbers"), listed("concluding", conclusions).alias("conclusions"))
+    return rows.withColumn("empty", (F.size("sections") == 0) & (F.size("numbers") == 0) & (F.size("conclusions") == 0))
+
+
+def listed(skimmed: DataFrame, part: str) -> DataFrame:
+    """A row per entry of ``sections``, ``numbers`` or ``conclusions`` of skimmed documents."""
+    return skimmed.select("doc_id", F.explode(part).alias("of")).select("doc_id", "of.*")

@@ -6,7 +6,7 @@ sentence ends by marking them first. White space and word characters are written
 
 from __future__ import annotations
 
-from .queries import _FLAT, ARTICLE, FILES, KEYWORDS
+from .queries import _FLAT, ARTICLE, KEYWORDS, NO_SOURCE
 
 _S = r"[\s\v\p{Z}\x1c-\x1f\x{85}]"
 _SUFFIX = "(?:s|es|is|ns|ais|eis|ais|ies|ed|ing)?"
@@ -48,14 +48,15 @@ _DOCS = "(SELECT doc_id, coalesce(text, '') AS text, source, lang FROM documents
 _TURNS = "(SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, coalesce(text, '') AS text FROM conversations)"
 _HEADED = f"(SELECT doc_id, page, 'Journal no. ' || (doc_id % 7) || chr(10) || text || chr(10) || page AS text FROM {_TURNS})"
 _FLAT_SQL = "regexp_replace(coalesce(text, ''), '[\\n\\r]+', ' ', 'g')"
-_ARTICLES = f"(SELECT doc_id, {ARTICLE.replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))} AS text FROM (SELECT *, {_FLAT_SQL} AS flat FROM documents))"
+_ARTICLES = f"(SELECT doc_id, {ARTICLE.replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))} AS text FROM (SELECT doc_id, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang, {_FLAT_SQL} AS flat FROM documents))"
 assert _FLAT  # the same rule in Spark's SQL
 
 _CUT = f"string_split(regexp_replace(x, '([.!?]){_S}+([\"“''(\\[]?[A-ZÀ-Ú])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
 _SQUEEZED = f"trim(regexp_replace(text, '{_S}+', ' ', 'g'))"
 _NUMBER = r"\d+[.,]\d+|\d+\s*%|(?:^|[^\p{L}\p{N}_])\d{2,}(?:[^\p{L}\p{N}_]|$)"
 
-_RESULTS = f"""(SELECT source AS file, keyword, CAST(sum(total) AS INTEGER) AS total FROM ({_per_keyword('doc_id, source', KEYWORDS, False, _DOCS)}) GROUP BY source, keyword)"""
+_FILE = f"coalesce(source, '{NO_SOURCE}') AS file"
+_RESULTS = f"""(SELECT file, keyword, CAST(sum(total) AS INTEGER) AS total FROM ({_per_keyword(_FILE, KEYWORDS, False, _DOCS)}) GROUP BY file, keyword)"""
 
 _REPEATED = f"""
 SELECT doc_id, line, CAST(n AS INTEGER) AS n_pages FROM (SELECT doc_id, line, count(DISTINCT page) AS n FROM (SELECT doc_id, page, {_strip('raw')} AS line FROM (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS raw FROM {_HEADED})) WHERE len(line) BETWEEN 4 AND 119 GROUP BY doc_id, line)
@@ -102,19 +103,20 @@ SELECT raw, CAST(row_number() OVER (PARTITION BY raw ORDER BY i) - 1 AS INTEGER)
     "clean_text": _CLEAN,
     "title_inference": f"SELECT doc_id, list_filter(list_transform(string_split(text, chr(10))[1:15], lambda x: {_strip('x')}), lambda x: len(x) BETWEEN 25 AND 200 AND NOT regexp_matches(lower(x), '^(?:doi|http|www)'))[1] AS title FROM {_DOCS}",
     "sections": _sections(),
-    "article_metadata": "SELECT doc_id, 'A study of texts from ' || source || ' written in ' || lang AS title, 'Maria da Silva' AS authors, '10.1234/' || source || '.' || doc_id AS doi, CAST(3 AS INTEGER) AS n_references, CAST(0 AS INTEGER) AS n_warnings FROM documents",
+    "article_metadata": "SELECT doc_id, 'A study of texts from ' || coalesce(source, 'none') || ' written in ' || coalesce(lang, 'none') AS title, 'Maria da Silva' AS authors, '10.1234/' || coalesce(source, 'none') || '.' || doc_id AS doi, CAST(3 AS INTEGER) AS n_references, CAST(0 AS INTEGER) AS n_warnings FROM documents",
     "sentences": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS n, s[i] AS sentence, regexp_matches(s[i], '{_NUMBER}') AS numbered FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform({_CUT}, lambda y: trim(y)), lambda y: y <> '') AS s FROM (SELECT doc_id, {_SQUEEZED} AS x FROM {_DOCS})))",
     "triage": f"""
 WITH u AS (SELECT source AS session_id, doc_id AS arrival, sha256(text) AS content_sha256 FROM {_DOCS}),
 g AS (SELECT session_id, content_sha256, min(arrival) AS seat FROM u GROUP BY session_id, content_sha256),
 f AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seat) AS place FROM g)
 SELECT session_id, arrival, content_sha256, CASE WHEN place <= 25 AND arrival = seat THEN 'accepted' ELSE 'refused' END AS status, CASE WHEN place <= 25 AND arrival > seat THEN 'already in the batch (same content)' WHEN place > 25 THEN 'limit of 25 files per session reached' END AS reason FROM u JOIN f USING (session_id, content_sha256)""",
-    "free_seats": f"SELECT source AS session_id, CAST(greatest(0, 40 - count(*)) AS INTEGER) AS seats FROM {_DOCS} WHERE doc_id % 5 = 0 AND len(text) > 2000 GROUP BY source",
-    "comparison_pivot": "SELECT keyword, " + ", ".join(f"coalesce(max(total) FILTER (file = '{f}'), 0) AS {f}" for f in FILES) + f" FROM {_RESULTS} GROUP BY keyword",
-    "absent_keywords": f"SELECT keyword, string_agg(file, ',' ORDER BY file) AS files FROM {_RESULTS} WHERE total <= 2 GROUP BY keyword",
+    "free_seats": f"SELECT source AS session_id, CAST(greatest(0, 40 - count(*)) AS INTEGER) AS seats FROM {_DOCS} GROUP BY source",
+    "comparison_pivot": f"SELECT * FROM (PIVOT (SELECT keyword, file, total FROM {_RESULTS}) ON file USING max(total) GROUP BY keyword)",
+    "absent_keywords": f"SELECT keyword, string_agg(file, ',' ORDER BY file) AS files FROM {_RESULTS} WHERE total = 0 GROUP BY keyword",
     "batch_overview": f"""
-WITH c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (total > 0) AS f FROM ({_per_keyword('doc_id', KEYWORDS, False, _DOCS)}) WHERE doc_id % 3 = 0 GROUP BY doc_id)
-SELECT doc_id AS item, 'doc' || doc_id AS file, left(CASE WHEN doc_id % 2 = 0 AND text <> '' THEN left(text, 90) ELSE 'doc' || doc_id END, 70) AS title, CAST(1 AS INTEGER) AS pages, {_words('text')} AS words, {_minutes(_words('text'))} AS minutes, CASE WHEN doc_id % 3 = 0 THEN 'sim' ELSE 'nao' END AS analysed, CASE WHEN n > 0 THEN f || '/' || n ELSE '—' END AS keywords_found FROM {_DOCS} LEFT JOIN c USING (doc_id)""",
+WITH c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (total > 0) AS f FROM ({_per_keyword('doc_id', KEYWORDS, False, _DOCS)}) GROUP BY doc_id),
+l AS (SELECT DISTINCT doc_id, 1 AS done FROM labels)
+SELECT doc_id AS item, 'doc' || doc_id AS file, left(CASE WHEN doc_id % 2 = 0 AND text <> '' THEN left(text, 90) ELSE 'doc' || doc_id END, 70) AS title, CAST(1 AS INTEGER) AS pages, {_words('text')} AS words, {_minutes(_words('text'))} AS minutes, CASE WHEN done = 1 THEN 'sim' ELSE 'nao' END AS analysed, CASE WHEN n > 0 THEN f || '/' || n ELSE '—' END AS keywords_found FROM {_DOCS} LEFT JOIN c USING (doc_id) LEFT JOIN l USING (doc_id)""",
     "pending": "SELECT doc_id AS item FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)",
     "page_labels": f"""
 WITH r AS (SELECT conv_id, turn, {_LABEL} AS raw FROM conversations), g AS (SELECT *, regexp_extract(raw, '(\\d{{1,4}})(?:\\s*[-–]\\s*(\\d{{1,4}}))?', 1) AS a, regexp_extract(raw, '(\\d{{1,4}})(?:\\s*[-–]\\s*(\\d{{1,4}}))?', 2) AS b FROM r)

@@ -30,20 +30,18 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("doc_id"), (F.col("turn") + 1).cast("int").alias("page"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-#: An article of every document: title, author, sections, a list, numbers, a conclusion, references and a DOI.
+#: An article of every document, with its whole text: title, author, sections, a list, numbers, a conclusion, references and a DOI.
 ARTICLE = (
     "concat('A study of texts from ', source, ' written in ', lang, '\nMaria da Silva 1\n\nAbstract\n', substr(flat, 1, 240), '\n\n1. Introduction\n', substr(flat, 241, 200), ' In 2024, 18% of ', lang, ' texts grew. See p. 3 for more.\n"
-    "• first entry of ', source, '\nthat goes on\n\n2.1 Data of the study\n', substr(flat, 441, 160), '\nand one more line. Another sentence with 12,5 units.\n\nConclusion:\n', substr(flat, 601, 120), ' Nothing else. Therefore we stop.\n\n"
+    "• first entry of ', source, '\nthat goes on\n\n2.1 Data of the study\n', substr(flat, 441, 160), '\nand one more line. Another sentence with 12,5 units.\n\nConclusion:\n', substr(flat, 601), ' Nothing else. Therefore we stop.\n\n"
     "References\n[1] Silva, M. First paper, 2019.\n[2] Souza, P. Second paper, 2020.\n[3] Lima, R. DOI 10.1234/', source, '.', doc_id, '.')"
 )
-#: The same with all the rest of the text. The SQL of ``sections`` still has ARTICLE, so it sees shorter articles.
-WHOLE_ARTICLE = ARTICLE.replace("substr(flat, 601, 120)", "substr(flat, 601)")
 _FLAT = "regexp_replace(coalesce(text, ''), '[\n\r]+', ' ')"
 
 
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).withColumn("flat", F.regexp_replace(F.coalesce("text", F.lit("")), "[\n\r]+", " "))
-    return rows.select("doc_id", F.lit(1).alias("page"), F.expr(WHOLE_ARTICLE.replace("\n", "\\n")).alias("text"))
+    rows = documents(spark, sf_dir).withColumns({c: F.coalesce(c, F.lit("none")) for c in ("source", "lang")}).withColumn("flat", F.regexp_replace(F.coalesce("text", F.lit("")), "[\n\r]+", " "))
+    return rows.select("doc_id", F.lit(1).alias("page"), F.expr(ARTICLE.replace("\n", "\\n")).alias("text"))
 
 
 def doc_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -136,15 +134,15 @@ def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skim_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skim.sections(_view(spark, sf_dir))
+    return skim.listed(skim.skim(_view(spark, sf_dir)), "sections")
 
 
 def skim_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skim.first_of(skim.sentence_table(_view(spark, sf_dir)), "numbered", skim.NUMBERS)
+    return skim.listed(skim.skim(_view(spark, sf_dir)), "numbers")
 
 
 def skim_conclusions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skim.first_of(skim.sentence_table(_view(spark, sf_dir)), "concluding", skim.CONCLUSIONS)
+    return skim.listed(skim.skim(_view(spark, sf_dir)), "conclusions")
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,21 +164,30 @@ def free_seats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources as items of a batch: totals of keywords over a source's documents."""
-    rows = scan.totals(documents(spark, sf_dir), KEYWORDS, False).join(documents(spark, sf_dir).select("doc_id", "source"), "doc_id")
+    docs = documents(spark, sf_dir).withColumn("file", F.coalesce("source", F.lit(NO_SOURCE)))
+    rows = scan.totals(docs, KEYWORDS, False, ("file",))
     position = F.array_position(F.array(*map(F.lit, KEYWORDS)), F.col("keyword"))
-    return rows.groupBy(F.col("source").alias("file"), "keyword").agg(F.sum("total").cast("int").alias("total")).select(F.col("file").alias("item"), "file", position.alias("position"), "keyword", "total")
+    return rows.groupBy("file", "keyword").agg(F.sum("total").cast("int").alias("total")).select(F.col("file").alias("item"), "file", position.alias("position"), "keyword", "total")
 
 
-FILES = [f"src{i}" for i in range(20)]
+#: The name of the item of documents without a source; and the most items that a table with a column for each may have.
+NO_SOURCE, MOST_FILES = "(none)", 1000
+
+
+def _files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """The columns of a comparison: all sources that there are."""
+    found = documents(spark, sf_dir).select(F.coalesce("source", F.lit(NO_SOURCE)).alias("file")).distinct().limit(MOST_FILES + 1).collect()
+    if len(found) > MOST_FILES:
+        raise ValueError(f"more than {MOST_FILES} items have no comparison by columns")
+    return sorted(r[0] for r in found)
 
 
 def comparison_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.comparison(_results(spark, sf_dir), FILES)
+    return batch.comparison(_results(spark, sf_dir), _files(spark, sf_dir))
 
 
 def absent_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _results(spark, sf_dir).withColumn("total", F.when(F.col("total") > 2, F.col("total")).otherwise(0))
-    return batch.absent(rows).select("keyword", F.array_join("files", ",").alias("files"))
+    return batch.absent(_results(spark, sf_dir)).select("keyword", F.array_join("files", ",").alias("files"))
 
 
 def batch_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -246,9 +253,9 @@ def remaining_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The batch table and the absences as Markdown lines."""
-    table = batch.comparison(_results(spark, sf_dir), FILES)
-    lines = report.table_lines(table, ["keyword", *FILES]).unionByName(report.absence_lines(batch.absent(_results(spark, sf_dir))))
-    return lines
+    files = _files(spark, sf_dir)
+    table = batch.comparison(_results(spark, sf_dir), files)
+    return report.table_lines(table, ["keyword", *files]).unionByName(report.absence_lines(batch.absent(_results(spark, sf_dir))))
 
 
 _NAMES = (
