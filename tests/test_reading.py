@@ -279,3 +279,113 @@ def test_free_seats_count_all_documents(spark, tables):
 def test_overview_of_all_documents(spark, tables):
     got = {r["item"]: (r["keywords_found"], r["analysed"]) for r in queries.batch_overview(spark, tables).collect()}
     assert got == {i: ("3/5" if i < 8 else "0/5", "sim" if i in (2, 5) else "nao") for i in range(1, 10)}
+
+
+# --- odd tables, very long texts, plans ------------------------------------------------------------------------
+
+
+def odd_documents(spark):
+    """Null and repeated ids, null and empty texts, a document without pages, columns with clashing and dotted names."""
+    long = "a" + " " * 1_000_000 + "b"
+    texts = [("1", ["Introduction\nsame text here. It rose by 12,5."]), ("1", ["Introduction\nsame text here. It rose by 12,5."]), (None, ["Conclusion\nno id here."]), (None, ["Conclusion\nno id here, either."]), ("2", [""]), ("3", []), ("4", [long]), ("5", [None])]
+    rows = [(i, "raw", "\n\n".join(p or "" for p in ps).strip() if ps != [None] else None, [(n, p, 0, len(p or "") + 2) for n, p in enumerate(ps, 1)], [], {"titulo": "T"}, []) for i, ps in texts]
+    docs = spark.createDataFrame(rows, "doc_id string, view string, text string, pages array<struct<number:int,text:string,start:int,end:int>>, sections array<struct<name:string,title:string,start:int,end:int>>, metadata map<string,string>, warnings array<string>")
+    return docs.withColumns({c: F.lit(9) for c in ("key", "norm", "places", "hit", "at", "a.b", "section", "slow")})
+
+
+def test_odd_documents_through_view_and_skim(spark):
+    view = markdown.view(odd_documents(spark))
+    rows = view.collect()
+    assert sorted((r["doc_id"] or "") for r in rows) == ["", "", "1", "1", "2", "3", "4", "5"]
+    assert {r["text"] for r in rows if r["doc_id"] is None} == {"# T\n\n<!-- p. 1 -->\n\n## Conclusion\n\nno id here.", "# T\n\n<!-- p. 1 -->\n\n## Conclusion\n\nno id here, either."}
+    assert next(r for r in rows if r["doc_id"] == "3")["pages"] == []
+    got = skim.skim(view).collect()
+    assert len(got) == len(rows) and all(not r["empty"] for r in got if r["doc_id"] in (None, "1", "4")) and all(r["empty"] for r in got if r["doc_id"] in ("2", "3", "5"))
+    assert [len(r["numbers"]) for r in got if r["doc_id"] == "1"] == [1, 1]
+    assert markdown.view(odd_documents(spark).filter("false")).count() == skim.skim(view.filter("false")).count() == 0
+    assert markdown.blocks(spark.createDataFrame([(None, 1, "x\ny"), (None, 1, "z"), ("a", None, None)], "doc_id string, page int, text string")).count() == 2
+
+
+def test_odd_documents_through_scan(spark):
+    docs = odd_documents(spark)
+    got = scan.scan(docs, ["same", "id"]).collect()
+    assert len(got) == 16 and sum(r["total"] for r in got) == 4
+    assert scan.totals(docs, ["same"], keep=("a.b",)).filter("`a.b` = 9").count() == 8
+    for none in ([], [" ", "-"]):
+        assert scan.scan(docs, none).count() == scan.totals(docs, none).count() == 0
+    words = spark.createDataFrame([], "doc_id string, page int, idx int, text string, x0 double, x1 double, top double, bottom double")
+    boxes = spark.createDataFrame([], "doc_id string, page int, height double, left double, bottom double")
+    assert locate.mark_terms(words, boxes, []).count() == locate.mark_terms(words, boxes, ["a"]).count() == 0
+
+
+def test_keyword_lists_that_repeat(spark):
+    lists = spark.createDataFrame([("a, b",), ("a, b",), (None,), ("",), ("Été; ete, ﬁm",)], "raw string").withColumn("terms.x", F.lit(1))
+    got = sorted((r["raw"], r["position"], r["keyword"]) for r in scan.parsed_keywords(lists).collect())
+    assert got == [("a, b", 0, "a"), ("a, b", 0, "a"), ("a, b", 1, "b"), ("a, b", 1, "b"), ("Été; ete, ﬁm", 0, "Été"), ("Été; ete, ﬁm", 1, "ﬁm")]
+
+
+def test_long_texts_take_linear_time(spark):
+    import time
+
+    df = spark.createDataFrame([("x" + " " * 400_000 + "y",), ("dado " * 60_000,), ("é, ﬁ " * 20_000,)], "text string")
+    began = time.perf_counter()
+    rows = df.withColumn("norm", T.fold("text")).select(F.length(T.strip(F.col("text"))).alias("n"), T.match_spans(F.col("norm"), T.keyword_pattern("dado")).alias("s")).collect()
+    assert [r["n"] for r in rows] == [400_002, 299_999, 99_999] and time.perf_counter() - began < 30
+    assert [tuple(x) for x in rows[1]["s"]] == [(5 * i, 5 * i + 4) for i in range(60_000)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(st.sampled_from("ab. \n"), max_size=60), st.integers(1, 12), st.integers(-1, 9))
+def test_chunk_borders(text, size, overlap):
+    spans, back, begin, want = chunk.places(text, size, overlap), max(0, min(overlap, size // 2)), 0, []
+    while begin < len(text):
+        fits = text[begin : begin + size]
+        end = begin + len(fits)
+        if end < len(text):
+            whole = [i for i in range(begin + size // 2, end - 1) if text[i : i + 2] == "\n\n"]
+            part = [i + 1 for i in range(begin + size // 2, end - 1) if text[i : i + 2] == ". "]
+            end = (whole or part or [end])[-1]
+        if text[begin:end].strip():
+            want.append((begin, end))
+        if end >= len(text):
+            break
+        begin = max(begin + 1, end - back)
+    assert spans == want
+
+
+def test_plans_read_texts_once(spark, tables):
+    scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
+    assert scans(queries.scan_total(spark, tables)) == scans(queries.comparison_pivot(spark, tables)) == 1
+    assert scans(queries.skim_sections(spark, tables)) <= 3
+
+
+def test_comparison_has_all_sources(spark, tables):
+    assert queries.comparison_pivot(spark, tables).columns == ["keyword", "src1", "src2"]
+    more = spark.createDataFrame([(0, "a.b", 0, "k", 1), (1, "order", 0, "k", 2)], "item int, file string, position int, keyword string, total int")
+    assert [tuple(r) for r in batch.comparison(more, ["a.b", "order"]).collect()] == [("k", 1, 2)]
+
+
+def test_passages_and_batch_reports(spark):
+    page = "A primeira frase fala de outra coisa. A adesao ao tratamento aumentou muito no grupo tratado."
+    words = spark.createDataFrame([("d", 2, i, w, 10.0 * i, 10.0 * i + 8, 20.0, 30.0) for i, w in enumerate(page.split())], "doc_id string, page int, idx int, text string, x0 double, x1 double, top double, bottom double")
+    boxes = spark.createDataFrame([("d", 2, 100.0, 0.0, 0.0)], "doc_id string, page int, height double, left double, bottom double")
+    texts = spark.createDataFrame([("d", 2, page)], "doc_id string, page int, text string")
+    results = spark.createDataFrame([("d", 0, "Adesao"), ("d", 1, "grupo")], "doc_id string, position int, keyword string")
+    findings = spark.createDataFrame([("d", "F1", "A adesao ao tratamento aumentou no grupo tratado.", "p. 2"), ("d", "F2", "galaxias distantes emitem radiacao infravermelha", ""), ("d", "F3", "", "")], "doc_id string, claim string, evidence string, page_label string")
+    limits = spark.createDataFrame([("d", "A primeira frase fala de outra coisa")], "doc_id string, text string")
+    terms, passages = locate.targets(["adesao"], results, findings, limits)
+    assert [r["term"] for r in terms.orderBy("position").collect()] == ["adesao", "grupo"] and passages.count() == 3
+    marks = locate.mark_passages(words, boxes, texts, passages)
+    assert {(r["category"], r["comment"]) for r in marks.collect()} == {("evidencia", "Achado: F1"), ("limitacao", "Limitacao apontada na analise")}
+    assert [r["target"] for r in locate.not_located(passages.select("doc_id", "target"), marks).collect()] == ["galaxias distantes emitem radiacao infravermelha"]
+    assert {r["category"]: r["n"] for r in locate.by_category(marks).collect()} == {"evidencia": 1, "limitacao": 1}
+    table = spark.createDataFrame([("k", 2, 0)], "keyword string, `a.pdf` int, `b.pdf` int")
+    items = spark.createDataFrame([(0, "a.pdf", "A", "w", [1], True), (1, "b.pdf", None, "w", [1], False)], "item int, file string, title string, text string, pages array<int>, analysed boolean")
+    absent = spark.createDataFrame([("k", ["b.pdf"])], "keyword string, files array<string>")
+    reports = spark.createDataFrame([(0, "a.pdf", "# R\ntext")], "item int, file string, report string")
+    lines = "\n".join(r["line"] for r in report.batch_markdown(reports, batch.overview(items), table, absent).collect())
+    for part in ("**Artigos no lote:** 2 · **Analisados:** 1", "| k | 2 | 0 |", "- **k**: nao aparece em b.pdf", "# Arquivo: a.pdf\n\n## R\ntext"):
+        assert part in lines
+    done = spark.createDataFrame([("x", '{"a":1}'), ("y", '{"a":2}')], "doc_id string, report string")
+    whole = report.batch_json(done, spark.createDataFrame([("y", "s", 0, 'q"b.pdf'), ("x", "s", 1, "a.pdf")], "doc_id string, session_id string, item int, file string")).first()["report"]
+    assert [(a["a"], a["arquivo"]) for a in json.loads(whole)["artigos"]] == [(2, 'q"b.pdf'), (1, "a.pdf")]

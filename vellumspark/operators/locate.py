@@ -1,4 +1,8 @@
-"""Locating terms and passages on pages: word boxes, highlights, the most similar sentence, and what was not found."""
+"""Locating terms and passages on pages: word boxes, highlights, the most similar sentence, and what was not found.
+
+Defined results: no terms give no marks; a null page or target has no sentence; pages without words or without a box have
+no marks.
+"""
 
 from __future__ import annotations
 
@@ -58,7 +62,8 @@ def mark_terms(words: DataFrame, page_boxes: DataFrame, terms: list[str], flexib
     """(doc_id, page, category, comment, target, n, rects) for every occurrence of a term; n counts them on the page."""
     patterns = [(t, p) for t in terms if (p := T.keyword_pattern(t, flexible))]
     rows = page_words(words).join(page_boxes, ["doc_id", "page"])
-    hits = F.explode(F.array(*(F.struct(F.lit(t).alias("target"), T.match_spans(F.col("norm"), p).alias("spans")) for t, p in patterns)))
+    listed = F.array(*(F.struct(F.lit(t).alias("target"), T.match_spans(F.col("norm"), p).alias("spans")) for t, p in patterns))
+    hits = F.explode(listed.cast("array<struct<target:string,spans:array<struct<start:int,end:int>>>>"))
     rows = rows.withColumn("hit", hits).select("*", F.posexplode("hit.spans").alias("n", "span"))
     found = _touched(F.col("words"), F.col("span"))
     return rows.select("doc_id", "page", F.lit("keyword").alias("category"), F.concat(F.lit("Keyword: "), F.col("hit.target")).alias("comment"), F.col("hit.target").alias("target"), "n", boxes(found, F.col("height"), F.col("left"), F.col("bottom")).alias("rects"))
@@ -69,11 +74,14 @@ def best_sentence(page: str | None, target: str | None, least: float = SIMILARIT
     wanted = re.sub(r"\s+", " ", target or "").strip()
     if len(wanted) < LEAST_TARGET or not page:
         return None, 0.0
-    folded = T.fold_text(wanted)
-    options = (s.strip() for s in re.split(r"(?<=[.;!?])\s+|\n", page))
-    rated = [(SequenceMatcher(None, T.fold_text(s), folded).ratio(), s) for s in options if len(s) > LEAST_SENTENCE]
-    ratio, best = max(rated, key=lambda x: x[0], default=(0.0, None))
-    return (best, ratio) if best is not None and ratio > 0 and ratio >= least else (None, ratio)
+    # Bounds of the ratio are cheaper than the ratio: what cannot be better than the best so far is left out.
+    match, ratio, best = SequenceMatcher(None, "", T.fold_text(wanted)), 0.0, None
+    for sentence in map(str.strip, re.split(r"(?<=[.;!?])\s+|\n", page)):
+        if len(sentence) > LEAST_SENTENCE:
+            match.set_seq1(T.fold_text(sentence))
+            if match.real_quick_ratio() > ratio and match.quick_ratio() > ratio and (now := match.ratio()) > ratio:
+                ratio, best = now, sentence
+    return (best, ratio) if best is not None and ratio >= least else (None, ratio)
 
 
 def _best(least: float):

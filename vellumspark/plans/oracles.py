@@ -51,6 +51,13 @@ _FLAT_SQL = "regexp_replace(coalesce(text, ''), '[\\n\\r]+', ' ', 'g')"
 _ARTICLES = f"(SELECT doc_id, {ARTICLE.replace(chr(10), chr(39) + ' || chr(10) || ' + chr(39))} AS text FROM (SELECT doc_id, coalesce(source, 'none') AS source, coalesce(lang, 'none') AS lang, {_FLAT_SQL} AS flat FROM documents))"
 assert _FLAT  # the same rule in Spark's SQL
 
+
+
+def _cleaned(x: str) -> str:
+    """White space brought to one form."""
+    return _strip(rf"regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace({x}, '\r\n?', chr(10), 'g'), chr(173), ''), '[ \t\x{{a0}}]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')")
+
+
 _CUT = f"string_split(regexp_replace(x, '([.!?]){_S}+([\"“''(\\[]?[A-ZÀ-Ú])', '\\1' || chr(1) || '\\2', 'g'), chr(1))"
 _SQUEEZED = f"trim(regexp_replace(text, '{_S}+', ' ', 'g'))"
 _NUMBER = r"\d+[.,]\d+|\d+\s*%|(?:^|[^\p{L}\p{N}_])\d{2,}(?:[^\p{L}\p{N}_]|$)"
@@ -83,8 +90,36 @@ _BOXES = f"""(SELECT doc_id, page, ws[i] AS w, i - 1 AS idx FROM (SELECT doc_id,
 _HITS = " UNION ALL ".join(f"SELECT doc_id, page, '{t}' AS target, idx FROM {_BOXES} WHERE regexp_matches({_fold('w')}, '(?:^|[^\\p{{L}}\\p{{N}}_]){t}(?:[^\\p{{L}}\\p{{N}}_]|$)')" for t in ("the", "und", "de"))
 _MARKS = f"(SELECT doc_id, page, target, idx, row_number() OVER (PARTITION BY doc_id, page, target ORDER BY idx) - 1 AS n FROM ({_HITS}))"
 
+_ALL_TITLES = "abstract|resumo|introduction|introdu[cç][aã]o|related\\s+work|literature\\s+review|revis[aã]o\\s+(?:da\\s+)?literatura|referencial\\s+te[oó]rico|methods?|methodology|materials?\\s+and\\s+methods|m[eé]todos?|metodologia|materiais\\s+e\\s+m[eé]todos|results?|resultados?|discussion|discuss[aã]o|conclusions?|considera[cç][oõ]es\\s+finais|conclus[aã]o|conclus[oõ]es|limitations?|limita[cç][oõ]es|references?|bibliography|refer[eê]ncias?|bibliografia".replace("\\\\", "\\")
+_TITLE = rf"(?i)^\s*(?:\d{{1,2}}[.)]?\s*)?({_ALL_TITLES})\s*:?\s*$"
+_HEAD = r"^(\d{1,2}(?:\.\d{1,2}){0,2})[.)]?\s+([^\n.;:]{3,70})\s*$"
+#: Lines with their kinds; each plain line goes to the last line before it that is not plain.
+_BLOCKS = rf"""
+WITH l AS (SELECT doc_id, i, {_strip('y')} AS s FROM (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS y FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM {_ARTICLES}))),
+k AS (SELECT *, CASE WHEN s = '' THEN 'blank' WHEN regexp_matches(s, '{_TITLE}') THEN 'section' WHEN regexp_matches(s, '^(?:\[\d{{1,3}}\]|\(\d{{1,3}}\))\s+\S') THEN 'entry' WHEN regexp_matches(s, '^[•▪◦·‣∙*]\s+(.+)$') THEN 'bullet'
+  WHEN regexp_matches(s, '{_HEAD}') AND {_words(f"regexp_extract(s, '{_HEAD}', 2)")} <= 10 THEN 'heading' WHEN regexp_matches(s, '^(\d{{1,2}}[.)])\s+(.+)$') THEN 'numbered' ELSE 'plain' END AS kind FROM l),
+h AS (SELECT *, CASE kind WHEN 'section' THEN '## ' || trim(regexp_extract(s, '{_TITLE}', 1)) WHEN 'entry' THEN '- ' || s WHEN 'bullet' THEN '- ' || {_strip("regexp_extract(s, '^[•▪◦·‣∙*]\\s+(.+)$', 1)")} WHEN 'heading' THEN '### ' || regexp_extract(s, '{_HEAD}', 1) || ' ' || {_strip(f"regexp_extract(s, '{_HEAD}', 2)")}
+  WHEN 'numbered' THEN regexp_extract(s, '^(\d{{1,2}}[.)])\s+(.+)$', 1) || ' ' || {_strip("regexp_extract(s, '^(\\d{1,2}[.)])\\s+(.+)$', 2)")} END AS head FROM k),
+o AS (SELECT *, coalesce(max(CASE WHEN kind <> 'plain' THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS of_ FROM h),
+p AS (SELECT o.*, CASE WHEN o.kind <> 'plain' THEN 0 WHEN f.kind IN ('entry', 'bullet', 'numbered') AND regexp_matches(f.head, '^(?:- |[1-9])') THEN 0 ELSE 1 END AS part FROM o LEFT JOIN (SELECT doc_id, i, kind, head FROM h) f ON f.doc_id = o.doc_id AND f.i = o.of_),
+g AS (SELECT doc_id, of_, part, string_agg(coalesce(head, s), ' ' ORDER BY i) AS t, arg_min(kind, i) AS kind FROM p WHERE kind <> 'blank' GROUP BY doc_id, of_, part)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY of_, part) - 1 AS INTEGER) AS block, CASE WHEN part = 1 THEN 'paragraph' ELSE kind END AS kind, CASE WHEN part = 1 THEN {_strip(f"regexp_replace(t, '{_S}{{2,}}', ' ', 'g')")} ELSE t END AS text FROM g"""
+
+#: Chunks of 1500 characters with an overlap of 200, one after the other.
+_CHUNKS = rf"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS k, doc_id, {_strip('text')} AS x FROM {_DOCS}),
+c AS (
+  SELECT k, 0 AS n, CAST(0 AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM t WHERE len(x) > 0
+  UNION ALL
+  SELECT k, n + 1, e, a2 FROM (SELECT c.k, c.n, CASE WHEN c.b IS NULL THEN c.a ELSE greatest(c.a + 1, c.b - 200) END AS e, t.x FROM c JOIN t USING (k) WHERE c.b IS NULL OR c.b < len(t.x)) AS s, LATERAL (SELECT CASE WHEN s.e + 1500 >= len(s.x) THEN len(s.x) ELSE coalesce(
+    (SELECT s.e + 750 + (len(w) - strpos(reverse(w), chr(10) || chr(10)) - 1) FROM (SELECT s.x[s.e + 751:s.e + 1500] AS w) WHERE contains(w, chr(10) || chr(10))),
+    (SELECT s.e + 750 + (len(w) - strpos(reverse(w), ' .') - 1) + 1 FROM (SELECT s.x[s.e + 751:s.e + 1500] AS w) WHERE contains(w, '. ')), s.e + 1500) END AS a2) AS z)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY k ORDER BY a) - 1 AS INTEGER) AS index, CAST(a AS INTEGER) AS start, CAST(b AS INTEGER) AS "end", {_strip('x[a + 1:b]')} AS text, CAST(1 AS INTEGER) AS first_page, CAST(1 AS INTEGER) AS last_page, 'p. 1' AS label FROM c JOIN t USING (k) WHERE b IS NOT NULL AND {_strip('x[a + 1:b]')} <> ''"""
+
 _LABEL = "CASE conv_id % 5 WHEN 0 THEN '[p. ' || (turn + 1) || '-' || (turn + 3) || ']' WHEN 1 THEN 'p. ' || turn WHEN 2 THEN '5-5' WHEN 3 THEN '4–2' ELSE 'nao informado' END"
 _BODY_CLAIM = "'from ' || source"
+#: Words that a line end parts are one.
+_JOINED = r"regexp_replace(text, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g')"
 _LEFT = "((event_id % 5000) * 1.0 * (1 - (event_id % 97) / 97) / ((event_id % 97) / 97))"
 
 ORACLES: dict[str, str] = {
@@ -103,7 +138,13 @@ SELECT raw, CAST(row_number() OVER (PARTITION BY raw ORDER BY i) - 1 AS INTEGER)
     "clean_text": _CLEAN,
     "title_inference": f"SELECT doc_id, list_filter(list_transform(string_split(text, chr(10))[1:15], lambda x: {_strip('x')}), lambda x: len(x) BETWEEN 25 AND 200 AND NOT regexp_matches(lower(x), '^(?:doi|http|www)'))[1] AS title FROM {_DOCS}",
     "sections": _sections(),
-    "article_metadata": "SELECT doc_id, 'A study of texts from ' || coalesce(source, 'none') || ' written in ' || coalesce(lang, 'none') AS title, 'Maria da Silva' AS authors, '10.1234/' || coalesce(source, 'none') || '.' || doc_id AS doi, CAST(3 AS INTEGER) AS n_references, CAST(0 AS INTEGER) AS n_warnings FROM documents",
+    "article_metadata": rf"""SELECT doc_id, 'A study of texts from ' || coalesce(source, 'none') || ' written in ' || coalesce(lang, 'none') AS title, 'Maria da Silva' AS authors, nullif(rtrim(regexp_extract(({_cleaned(_JOINED)})[1:6000], '\b10\.\d{{4,9}}/[-._;()/:a-zA-Z0-9]+\b'), '.'), '') AS doi, CAST(3 AS INTEGER) AS n_references, CAST(0 AS INTEGER) AS n_warnings FROM (SELECT doc_id, source, lang FROM documents) JOIN {_ARTICLES} USING (doc_id)""",
+    "markdown_blocks": _BLOCKS,
+    "chunks": _CHUNKS,
+    "report_lines": f"""
+WITH r AS {_RESULTS}
+SELECT '| ' || keyword || ' | ' || string_agg(CAST(total AS VARCHAR), ' | ' ORDER BY file) || ' |' AS line FROM r GROUP BY keyword
+UNION ALL SELECT '- **' || keyword || '**: nao aparece em ' || string_agg(file, ', ' ORDER BY file) FROM r WHERE total = 0 GROUP BY keyword""",
     "sentences": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS n, s[i] AS sentence, regexp_matches(s[i], '{_NUMBER}') AS numbered FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform({_CUT}, lambda y: trim(y)), lambda y: y <> '') AS s FROM (SELECT doc_id, {_SQUEEZED} AS x FROM {_DOCS})))",
     "triage": f"""
 WITH u AS (SELECT source AS session_id, doc_id AS arrival, sha256(text) AS content_sha256 FROM {_DOCS}),

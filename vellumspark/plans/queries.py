@@ -7,7 +7,7 @@ expressions that the SQL uses.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import progress
@@ -217,12 +217,25 @@ def lenient_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.size("f").alias("n"), F.get("f", F.lit(0))["claim"].alias("claim"), F.get("f", F.lit(0))["page"].alias("page"))
 
 
+#: Folded words that a passage and a document must share in a row to be compared.
+SHINGLE = 4
+
+
+def _shingles(text: Column) -> Column:
+    """Distinct runs of folded words; a shorter text is one run."""
+    words = F.filter(F.split(T.fold(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    runs = lambda w: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(w) - SHINGLE)), lambda i: F.array_join(F.slice(w, i + 1, SHINGLE), " "))
+    return F.array_distinct(T.let(words, runs))
+
+
 def fuzzy_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every benchmark passage sought in the documents with the words that it begins with."""
-    items = _table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("target"), F.expr("substring_index(text, ' ', 4)").alias("key"))
-    words = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(F.split("text", " ")) - 3)), lambda i: F.array_join(F.slice(F.split("text", " "), i, 4), " "))
-    docs = documents(spark, sf_dir).filter("text is not null").select("doc_id", F.col("text").alias("page_text"), F.explode(F.array_distinct(words)).alias("key"))
-    return locate.fuzzy(docs.join(items, "key").drop("key")).select("doc_id", "item_id", "sentence", F.round("ratio", 6).alias("ratio"))
+    """Every benchmark passage sought in all documents that share any four folded words in a row with it."""
+    items = _table(spark, sf_dir, "benchmark").filter("text is not null").select("item_id", F.col("text").alias("target"))
+    docs = documents(spark, sf_dir).filter("text is not null").select("doc_id", F.col("text").alias("page_text"))
+    keys = items.select("item_id", F.explode(_shingles(F.col("target"))).alias("key"))
+    pairs = docs.select("doc_id", F.explode(_shingles(F.col("page_text"))).alias("key")).join(keys, "key").select("doc_id", "item_id").distinct()
+    pairs = docs.join(pairs, "doc_id").join(items, "item_id")
+    return locate.fuzzy(pairs).select("doc_id", "item_id", "sentence", F.round("ratio", 6).alias("ratio"))
 
 
 def _word_boxes(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
