@@ -3,8 +3,9 @@
 Documents are put in ascending order of their id (ties by a hash of the text), cut into shards of about equal text size, encoded and
 packed one after another into sequences of equal length. A shard is two Arrow files in the shared folder:
 
-* ``<name>.arrow``: ``ids``, fixed-size lists of ``length`` token ids, and ``mask``, fixed-size lists of ``length`` bytes
-  (1: a token). Both are read as views of the file. Only a shard's last sequence is padded.
+* ``<name>.arrow``: ``ids``, fixed-size lists of ``length`` token ids, and ``mask``, fixed-size lists of ``length``
+  booleans (true: a token), which Arrow keeps as bits. Both are read as views of the file. Only a shard's last sequence
+  is padded.
 * ``<name>-index.arrow``: ``doc_id``, ``position`` of its first id in the shard, and ``n_tokens`` with the end id.
 
 A task writes under a name of its own and reports it only at its end, so a repeated or lost task leaves at most unused
@@ -116,7 +117,7 @@ class _Packer:
     def __init__(self, sink, kind: np.dtype, length: int) -> None:
         self.kind, self.length = kind, length
         self.full = GROUP * length * kind.itemsize
-        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(kind), length)), ("mask", pa.list_(pa.bool_(), length))])
         self.writer = pa.ipc.new_file(sink, self.schema)
         self.held, self.size = [], 0
 
@@ -133,7 +134,7 @@ class _Packer:
         n = len(data) // self.kind.itemsize
         padded = -(-n // self.length) * self.length
         ids = np.frombuffer(data.ljust(padded * self.kind.itemsize, b"\0"), self.kind)
-        mask = (np.arange(padded) < n).view(np.uint8)
+        mask = np.arange(padded) < n
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(ids), self.length), pa.FixedSizeListArray.from_arrays(pa.array(mask), self.length)]
         self.writer.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
@@ -153,17 +154,17 @@ class TokenFile:
         self.length = self.reader.schema.field("ids").type.list_size
         self._held: tuple = (None, None, None)
 
-    def _group(self, g: int) -> tuple[np.ndarray, np.ndarray]:
+    def _group(self, g: int) -> tuple[np.ndarray, pa.BooleanArray]:
         if self._held[0] != g:
             batch = self.reader.get_batch(g)
-            self._held = (g, *(batch.column(c).flatten().to_numpy(zero_copy_only=True) for c in (0, 1)))
+            self._held = (g, batch.column(0).flatten().to_numpy(zero_copy_only=True), batch.column(1).flatten())
         return self._held[1:]
 
-    def sequence(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+    def sequence(self, i: int) -> tuple[np.ndarray, pa.BooleanArray]:
         """Ids of sequence i and its mask (True: a token), both views of the file."""
         ids, mask = self._group(i // GROUP)
         at = i % GROUP * self.length
-        return ids[at : at + self.length], mask[at : at + self.length].view(bool)
+        return ids[at : at + self.length], mask.slice(at, self.length)
 
     def ids(self, start: int, stop: int) -> np.ndarray:
         """Ids from start to stop, counted over the shard."""
