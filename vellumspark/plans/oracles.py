@@ -6,9 +6,15 @@ sentence ends by marking them first. White space and word characters are written
 
 from __future__ import annotations
 
+import unicodedata
+
+from ..operators.model import SECTIONS
+from ..operators.scan import LISTED, WINDOW
+from ..operators.skim import CONCLUDING, CONCLUSIONS, MARKERS, NUMBERS, UNTITLED
 from .queries import _FLAT, ARTICLE, KEYWORDS, NO_SOURCE
 
 _S = r"[\s\v\p{Z}\x1c-\x1f\x{85}]"
+_WORD = r"\p{L}\p{N}_"
 _SUFFIX = "(?:s|es|is|ns|ais|eis|ais|ies|ed|ing)?"
 
 
@@ -24,16 +30,18 @@ def _words(x: str) -> str:
     return f"CAST(len(regexp_extract_all({x}, '[^\\s\\v\\p{{Z}}\\x1c-\\x1f\\x{{85}}]+')) AS INTEGER)"
 
 
-def _total(text: str, keyword: str, flexible: bool) -> str:
-    """Whole-word occurrences: separators are doubled, so that neighbours don't share one."""
-    import unicodedata
-
+def _pattern(keyword: str, flexible: bool) -> str:
+    """A keyword between separators that are doubled, so that neighbours don't share one."""
     folded = "".join(c for c in unicodedata.normalize("NFKD", keyword.lower()) if not unicodedata.combining(c))
     parts = [p + (_SUFFIX if flexible else "") for p in folded.replace("-", " ").split()]
     body = r"(?:[\s\v\p{Z}\-])+".join(parts)
-    word = r"\p{L}\p{N}_"
-    doubled = f"regexp_replace({_fold(text)}, '([^{word}])', '\\1\\1', 'g')"
-    return f"CAST(len(regexp_extract_all({doubled}, '(?:^|[^{word}]){body}(?:[^{word}]|$)')) AS INTEGER)"
+    return f"(?:^|[^{_WORD}]){body}(?:[^{_WORD}]|$)"
+
+
+def _total(text: str, keyword: str, flexible: bool) -> str:
+    """Whole-word occurrences."""
+    doubled = f"regexp_replace({_fold(text)}, '([^{_WORD}])', '\\1\\1', 'g')"
+    return f"CAST(len(regexp_extract_all({doubled}, '{_pattern(keyword, flexible)}')) AS INTEGER)"
 
 
 def _per_keyword(columns: str, words: list[str], flexible: bool, source: str, name: str = "total") -> str:
@@ -65,15 +73,19 @@ _NUMBER = r"\d+[.,]\d+|\d+\s*%|(?:^|[^\p{L}\p{N}_])\d{2,}(?:[^\p{L}\p{N}_]|$)"
 _FILE = f"coalesce(source, '{NO_SOURCE}') AS file"
 _RESULTS = f"""(SELECT file, keyword, CAST(sum(total) AS INTEGER) AS total FROM ({_per_keyword(_FILE, KEYWORDS, False, _DOCS)}) GROUP BY file, keyword)"""
 
-_REPEATED = f"""
-SELECT doc_id, line, CAST(n AS INTEGER) AS n_pages FROM (SELECT doc_id, line, count(DISTINCT page) AS n FROM (SELECT doc_id, page, {_strip('raw')} AS line FROM (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS raw FROM {_HEADED})) WHERE len(line) BETWEEN 4 AND 119 GROUP BY doc_id, line)
-JOIN (SELECT doc_id, count(DISTINCT page) AS size FROM {_HEADED} GROUP BY doc_id) USING (doc_id) WHERE size >= 4 AND n >= greatest(3, floor(size * 0.6))"""
+def _repeated(pages: str) -> str:
+    return f"""
+SELECT doc_id, line, CAST(n AS INTEGER) AS n_pages FROM (SELECT doc_id, line, count(DISTINCT page) AS n FROM (SELECT doc_id, page, {_strip('raw')} AS line FROM (SELECT doc_id, page, unnest(string_split(text, chr(10))) AS raw FROM {pages})) WHERE len(line) BETWEEN 4 AND 119 GROUP BY doc_id, line)
+JOIN (SELECT doc_id, count(DISTINCT page) AS size FROM {pages} GROUP BY doc_id) USING (doc_id) WHERE size >= 4 AND n >= greatest(3, floor(size * 0.6))"""
+
 
-_CLEAN = rf"""
-WITH r AS ({_REPEATED}), d AS (SELECT doc_id, list(line) AS lines FROM r GROUP BY doc_id),
-h AS (SELECT doc_id, page, regexp_replace(text, '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g') AS text FROM {_HEADED}),
+def _clean(pages: str) -> str:
+    return rf"""
+WITH r AS ({_repeated(pages)}), d AS (SELECT doc_id, list(line) AS lines FROM r GROUP BY doc_id),
+h AS (SELECT doc_id, page, regexp_replace(text, '([\p{{L}}\p{{N}}_])-\n([\p{{L}}\p{{N}}_])', '\1\2', 'g') AS text FROM {pages}),
 k AS (SELECT doc_id, page, CASE WHEN lines IS NULL THEN text ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x: NOT list_contains(lines, {_strip('x')}) AND NOT regexp_full_match({_strip('x')}, '\d{{1,4}}')), chr(10)) END AS text FROM h LEFT JOIN d USING (doc_id))
-SELECT doc_id, page, {_strip("regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(173), ''), '[ \\t\\x{a0}]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g')")} AS text FROM k"""
+SELECT doc_id, page, {_cleaned('text')} AS text FROM k"""
+
 
 _TITLES = {"resumo": "abstract|resumo", "introducao": "introduction|introdu[cç][aã]o", "metodo": "methods?|methodology", "conclusao": "conclusions?|conclus[aã]o", "referencias": "references?|bibliography"}
 
@@ -93,9 +105,11 @@ _MARKS = f"(SELECT doc_id, page, target, idx, row_number() OVER (PARTITION BY do
 _ALL_TITLES = "abstract|resumo|introduction|introdu[cç][aã]o|related\\s+work|literature\\s+review|revis[aã]o\\s+(?:da\\s+)?literatura|referencial\\s+te[oó]rico|methods?|methodology|materials?\\s+and\\s+methods|m[eé]todos?|metodologia|materiais\\s+e\\s+m[eé]todos|results?|resultados?|discussion|discuss[aã]o|conclusions?|considera[cç][oõ]es\\s+finais|conclus[aã]o|conclus[oõ]es|limitations?|limita[cç][oõ]es|references?|bibliography|refer[eê]ncias?|bibliografia".replace("\\\\", "\\")
 _TITLE = rf"(?i)^\s*(?:\d{{1,2}}[.)]?\s*)?({_ALL_TITLES})\s*:?\s*$"
 _HEAD = r"^(\d{1,2}(?:\.\d{1,2}){0,2})[.)]?\s+([^\n.;:]{3,70})\s*$"
-#: Lines with their kinds; each plain line goes to the last line before it that is not plain.
-_BLOCKS = rf"""
-WITH l AS (SELECT doc_id, i, {_strip('y')} AS s FROM (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS y FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM {_ARTICLES}))),
+
+def _blocks(pages: str) -> str:
+    """Lines with their kinds; each plain line goes to the last line before it that is not plain."""
+    return rf"""
+WITH l AS (SELECT doc_id, i, {_strip('y')} AS s FROM (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(x) AS y FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM {pages}))),
 k AS (SELECT *, CASE WHEN s = '' THEN 'blank' WHEN regexp_matches(s, '{_TITLE}') THEN 'section' WHEN regexp_matches(s, '^(?:\[\d{{1,3}}\]|\(\d{{1,3}}\))\s+\S') THEN 'entry' WHEN regexp_matches(s, '^[•▪◦·‣∙*]\s+(.+)$') THEN 'bullet'
   WHEN regexp_matches(s, '{_HEAD}') AND {_words(f"regexp_extract(s, '{_HEAD}', 2)")} <= 10 THEN 'heading' WHEN regexp_matches(s, '^(\d{{1,2}}[.)])\s+(.+)$') THEN 'numbered' ELSE 'plain' END AS kind FROM l),
 h AS (SELECT *, CASE kind WHEN 'section' THEN '## ' || trim(regexp_extract(s, '{_TITLE}', 1)) WHEN 'entry' THEN '- ' || s WHEN 'bullet' THEN '- ' || {_strip("regexp_extract(s, '^[•▪◦·‣∙*]\\s+(.+)$', 1)")} WHEN 'heading' THEN '### ' || regexp_extract(s, '{_HEAD}', 1) || ' ' || {_strip(f"regexp_extract(s, '{_HEAD}', 2)")}
@@ -105,6 +119,70 @@ p AS (SELECT o.*, CASE WHEN o.kind <> 'plain' THEN 0 WHEN f.kind IN ('entry', 'b
 g AS (SELECT doc_id, of_, part, string_agg(coalesce(head, s), ' ' ORDER BY i) AS t, arg_min(kind, i) AS kind FROM p WHERE kind <> 'blank' GROUP BY doc_id, of_, part)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY of_, part) - 1 AS INTEGER) AS block, CASE WHEN part = 1 THEN 'paragraph' ELSE kind END AS kind, CASE WHEN part = 1 THEN {_strip(f"regexp_replace(t, '{_S}{{2,}}', ' ', 'g')")} ELSE t END AS text FROM g"""
 
+
+#: Articles as documents of the raw view have them: one page, white space in one form.
+_RAW = f"(SELECT doc_id, {_cleaned('joined')} AS text FROM (SELECT doc_id, regexp_replace(text, '([\\p{{L}}\\p{{N}}_])-\\n([\\p{{L}}\\p{{N}}_])', '\\1\\2', 'g') AS joined FROM {_ARTICLES}))"
+_FIRST_LINE = f"list_filter(list_transform(string_split(text, chr(10))[1:15], lambda x: {_strip('x')}), lambda x: len(x) BETWEEN 25 AND 200 AND NOT regexp_matches(lower(x), '^(?:doi|http|www)'))[1]"
+_NAME_OF = "CASE " + " ".join(rf"WHEN regexp_matches(substr(text, 4), '(?i)^{titles}$') THEN '{name}'" for name, titles in SECTIONS) + " END"
+
+#: The Markdown view: what stands before the first block, the blocks, and the first title of each section.
+_MARKDOWN_SECTIONS = rf"""
+WITH b AS ({_blocks(_RAW)}), t AS (SELECT doc_id, coalesce('# ' || {_FIRST_LINE} || repeat(chr(10), 2), '') || '<!-- p. 1 -->' || repeat(chr(10), 2) AS lead FROM {_RAW}),
+v AS (SELECT doc_id, any_value(lead) || string_agg(text, repeat(chr(10), 2) ORDER BY block) AS whole FROM b JOIN t USING (doc_id) GROUP BY doc_id),
+o AS (SELECT doc_id, block, kind, text, len(lead) + coalesce(sum(len(text) + 2) OVER (PARTITION BY doc_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM b JOIN t USING (doc_id)),
+n AS (SELECT doc_id, {_NAME_OF} AS name, substr(text, 4) AS title, start FROM o WHERE kind = 'section'),
+f AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY start) = 1)
+SELECT doc_id, name, title, whole[start + 1:start + 8] AS begins, CAST(start AS INTEGER) AS start, CAST(coalesce(lead(start) OVER (PARTITION BY doc_id ORDER BY start), len(whole)) AS INTEGER) AS "end" FROM f JOIN v USING (doc_id)"""
+
+#: Blocks that count, with the number and the title of their section and their sentences.
+_HEADING = rf"^#{{2,6}}{_S}+"
+_SHOWN = rf"""
+b AS (SELECT doc_id, block, {_strip('text')} AS text FROM ({_blocks(_RAW)})),
+h AS (SELECT *, regexp_matches(text, '{_HEADING}') AS heading FROM b WHERE text <> '' AND NOT starts_with(text, '# ') AND NOT regexp_matches(text, '^<!--{_S}*p\.{_S}*\d+{_S}*-->$')),
+n AS (SELECT *, CAST(count(*) FILTER (heading) OVER (PARTITION BY doc_id ORDER BY block) AS INTEGER) AS section FROM h),
+p AS (SELECT *, coalesce(max(CASE WHEN heading THEN {_strip(f"regexp_replace(text, '{_HEADING}', '')")} END) OVER (PARTITION BY doc_id, section), '{UNTITLED}') AS title FROM n),
+x AS (SELECT doc_id, block, section, title, {_SQUEEZED} AS x FROM p WHERE NOT heading),
+s AS (SELECT doc_id, block, section, title, list_filter(list_transform({_CUT}, lambda y: {_strip('y')}), lambda y: y <> '') AS sents FROM x),
+e AS (SELECT doc_id, block, section, title, i, sents[i] AS sentence FROM (SELECT *, unnest(range(1, len(sents) + 1)) AS i FROM s))"""
+
+_SKIM_SECTIONS = rf"""
+WITH {_SHOWN},
+q AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY block) AS n FROM s),
+k AS (SELECT doc_id, section, max(CASE WHEN n = 1 THEN array_to_string(sents, ' ') END) AS opening, string_agg(CASE WHEN n > 1 THEN CASE WHEN len(sents) > 1 THEN sents[1] || ' | ' || sents[-1] ELSE sents[1] END END, ' | ' ORDER BY block) AS skeleton FROM q GROUP BY doc_id, section)
+SELECT doc_id, section, title, CAST(1 AS INTEGER) AS page, coalesce(opening, '') AS opening, coalesce(skeleton, '') AS skeleton FROM (SELECT DISTINCT doc_id, section, title FROM p) LEFT JOIN k USING (doc_id, section)"""
+
+
+def _first_sentences(test: str, most: int) -> str:
+    return rf"""
+WITH {_SHOWN}, c AS (SELECT doc_id, sentence, title, row_number() OVER (PARTITION BY doc_id ORDER BY block, i) AS n FROM e WHERE {test})
+SELECT doc_id, CAST(n AS INTEGER) AS position, sentence, CAST(1 AS INTEGER) AS page, title AS section FROM c WHERE n <= {most}"""
+
+
+_BARE_TITLE = _strip(_fold(rf"regexp_replace(title, '^{_S}*(?:\d{{1,2}}(?:\.\d{{1,2}})*|[ivxIVX]{{1,5}})(?:{_S}*[.)\-–]{_S}*|{_S}+)', '')"))
+_CONCLUDES = " OR ".join([f"contains({_fold('sentence')}, '{m}')" for m in MARKERS] + [f"{_BARE_TITLE} = '{c}' OR starts_with({_BARE_TITLE}, '{c} ')" for c in CONCLUDING])
+
+def _occurrences() -> str:
+    """Separators are doubled; a place in the doubled text goes back to what it was by counting half of them."""
+    back = lambda x: f"(len({x}) - len(regexp_replace({x}, '[{_WORD}]', '', 'g')) // 2)"
+    hits = " UNION ALL ".join(
+        f"SELECT doc_id, '{k}' AS keyword, regexp_extract_all(doubled, '{p}') AS found, string_split_regex(doubled, '{p}') AS gaps FROM g" for k in KEYWORDS for p in [_pattern(k, True)]
+    )
+    return rf"""
+WITH c AS MATERIALIZED ({_clean(_TURNS)}),
+o AS (SELECT doc_id, page, coalesce(sum(len(text) + 2) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, sum(len(text) + 2) OVER (PARTITION BY doc_id ORDER BY page) AS z FROM c),
+w AS (SELECT doc_id, string_agg(text, repeat(chr(10), 2) ORDER BY page) AS whole FROM c GROUP BY doc_id),
+d AS MATERIALIZED (SELECT doc_id, {_strip('whole')} AS text, CASE WHEN {_strip('whole')} = '' THEN 0 ELSE len(whole) - len(regexp_replace(whole, '^{_S}+', '')) END AS shift FROM w),
+g AS MATERIALIZED (SELECT doc_id, regexp_replace({_fold('text')}, '([^{_WORD}])', '\1\1', 'g') AS doubled FROM d),
+m AS ({hits}),
+e AS (SELECT doc_id, keyword, len(found) AS total, i, found[i] AS hit, array_to_string(gaps[1:i], '') || array_to_string(found[1:i - 1], '') AS before FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m)),
+b AS (SELECT *, before || regexp_extract(hit, '^[^{_WORD}]?') AS upto, regexp_replace(hit, '^[^{_WORD}]|[^{_WORD}]$', '', 'g') AS body FROM e),
+s AS (SELECT doc_id, keyword, total, i, {back('upto')} AS start, {back('upto')} + {back('body')} AS stop FROM b WHERE i <= {LISTED}),
+l AS (SELECT s.*, text, shift, greatest(0, start - {WINDOW}) AS l, least(len(text), stop + {WINDOW}) AS r FROM s JOIN d USING (doc_id)),
+y AS (SELECT *, CASE WHEN l > 0 THEN '...' ELSE '' END || replace(text[l + 1:start], chr(10), ' ') || '**' || replace(text[start + 1:stop], chr(10), ' ') || '**' || replace(text[stop + 1:r], chr(10), ' ') || CASE WHEN r < len(text) THEN '...' ELSE '' END AS around FROM l)
+SELECT doc_id, keyword, CAST(total AS INTEGER) AS total, round_even(total * 1000 / greatest(1, {_words('text')}), 2) AS density, CAST(i - 1 AS INTEGER) AS n, coalesce((SELECT min(page) FROM o WHERE o.doc_id = y.doc_id AND greatest(0, a - shift) <= start AND start < greatest(0, z - shift)), (SELECT max(page) FROM o WHERE o.doc_id = y.doc_id)) AS page,
+  CAST(NULL AS VARCHAR) AS section, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end", text[start + 1:stop] AS term, {_strip(f"regexp_replace(around, '{_S}{{2,}}', ' ', 'g')")} AS snippet FROM y"""
+
+
 #: Chunks of 1500 characters with an overlap of 200, one after the other.
 _CHUNKS = rf"""
 WITH RECURSIVE t AS (SELECT row_number() OVER () AS k, doc_id, {_strip('text')} AS x FROM {_DOCS}),
@@ -134,12 +212,17 @@ p AS (SELECT raw, i, trim(trim({_strip('parts[i]')}, '"'), '''') AS term FROM (S
 f AS (SELECT raw, i, term FROM p WHERE term <> '' QUALIFY row_number() OVER (PARTITION BY raw, {_fold('term')} ORDER BY i) = 1)
 SELECT raw, CAST(row_number() OVER (PARTITION BY raw ORDER BY i) - 1 AS INTEGER) AS position, term AS keyword FROM f""",
     "page_offsets": f"""SELECT doc_id, page, CAST(coalesce(sum(len(text) + 2) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS start, CAST(sum(len(text) + 2) OVER (PARTITION BY doc_id ORDER BY page) AS INTEGER) AS "end" FROM {_TURNS}""",
-    "repeated_lines": _REPEATED,
-    "clean_text": _CLEAN,
+    "repeated_lines": _repeated(_HEADED),
+    "clean_text": _clean(_HEADED),
     "title_inference": f"SELECT doc_id, list_filter(list_transform(string_split(text, chr(10))[1:15], lambda x: {_strip('x')}), lambda x: len(x) BETWEEN 25 AND 200 AND NOT regexp_matches(lower(x), '^(?:doi|http|www)'))[1] AS title FROM {_DOCS}",
     "sections": _sections(),
     "article_metadata": rf"""SELECT doc_id, 'A study of texts from ' || coalesce(source, 'none') || ' written in ' || coalesce(lang, 'none') AS title, 'Maria da Silva' AS authors, nullif(rtrim(regexp_extract(({_cleaned(_JOINED)})[1:6000], '\b10\.\d{{4,9}}/[-._;()/:a-zA-Z0-9]+\b'), '.'), '') AS doi, CAST(3 AS INTEGER) AS n_references, CAST(0 AS INTEGER) AS n_warnings FROM (SELECT doc_id, source, lang FROM documents) JOIN {_ARTICLES} USING (doc_id)""",
-    "markdown_blocks": _BLOCKS,
+    "markdown_blocks": _blocks(_ARTICLES),
+    "markdown_sections": _MARKDOWN_SECTIONS,
+    "skim_sections": _SKIM_SECTIONS,
+    "skim_numbers": _first_sentences(f"regexp_matches(sentence, '{_NUMBER}')", NUMBERS),
+    "skim_conclusions": _first_sentences(_CONCLUDES, CONCLUSIONS),
+    "scan_occurrences": _occurrences(),
     "chunks": _CHUNKS,
     "report_lines": f"""
 WITH r AS {_RESULTS}

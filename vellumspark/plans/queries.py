@@ -121,7 +121,7 @@ def markdown_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def markdown_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = markdown.view(model.assemble(articles(spark, sf_dir)))
-    return docs.select("doc_id", F.explode("sections").alias("s"), "text").select("doc_id", "s.name", "s.title", F.substr("text", F.col("s.start") + 1, F.lit(8)).alias("begins"))
+    return docs.select("doc_id", F.explode("sections").alias("s"), "text").select("doc_id", "s.name", "s.title", F.substr("text", F.col("s.start") + 1, F.lit(8)).alias("begins"), "s.start", "s.end")
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +134,7 @@ def _view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def skim_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return skim.listed(skim.skim(_view(spark, sf_dir)), "sections")
+    return skim.listed(skim.skim(_view(spark, sf_dir)), "sections").withColumn("skeleton", F.array_join("skeleton", " | "))
 
 
 def skim_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
