@@ -30,7 +30,12 @@ def duration(seconds: Column) -> Column:
     return F.when(seconds < 0, None).when(seconds < 60, "menos de 1 min").when(minutes < 60, F.concat(F.lit("~"), minutes, F.lit(" min"))).otherwise(long)
 
 
-def batch_remaining(current: Column, finished: Column, left: Column) -> Column:
-    """What the present article still takes, and the mean of the finished ones for each article left."""
-    mean = F.aggregate(finished, F.lit(0.0), lambda a, x: a + x, lambda s: s / F.size(finished))
-    return current + F.when(F.size(finished) > 0, mean * left).otherwise(0.0)
+def batch_remaining(elapsed: Column, done: Column, finished: Column, left: Column) -> Column:
+    """What the present article still takes, and a mean article's time for each of those left.
+
+    The mean is that of the finished articles; before there is one, the present article's whole time, as soon as it may
+    be shown. Without either, and without a present article, there is nothing to tell (null).
+    """
+    total = F.aggregate(F.coalesce(finished, F.array().cast("array<double>")), F.lit(0.0), lambda a, x: a + x)
+    mean = F.when(F.size(finished) > 0, total / F.size(finished)).when((elapsed >= SHOWN_AFTER) & (done >= SHOWN_FROM), elapsed / done)
+    return F.coalesce(remaining(elapsed, done), mean) + F.coalesce(mean, F.lit(0.0)) * left

@@ -15,11 +15,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
+from ..session import written as kept
 from . import chunk
 
 #: Keys of the summary and what they ask for.
@@ -94,22 +96,28 @@ def joined_stream(lines) -> str:
 
 
 def _ask(client: Client, as_json: bool):
-    def run(prompts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for part in prompts:
-            rows = []
-            for prompt in part:
-                try:
-                    rows.append((client.chat(prompt, SYSTEM, as_json), None) if prompt is not None else (None, None))
-                except Exception as e:  # noqa: BLE001  a client's failure is a result
-                    rows.append((None, str(e)))
-            yield pd.DataFrame(rows, columns=["answer", "error"])
+    def answered(prompt: str | None) -> tuple[str | None, str | None]:
+        try:
+            return (None if prompt is None else client.chat(prompt, SYSTEM, as_json)), None
+        except Exception as e:  # noqa: BLE001  a client's failure is a result
+            return None, str(e)
+
+    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in source:
+            replies = [answered(p) for p in batch.column(batch.schema.get_field_index("prompt")).to_pylist()]
+            columns = [pa.array([r[i] for r in replies], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "answer", "error"])
 
-    return F.pandas_udf(run, "answer string, error string")
+    return run
 
 
 def ask(rows: DataFrame, client: Client, as_json: bool = False) -> DataFrame:
-    """Adds answer and error for rows with a prompt."""
-    return rows.withColumn("reply", _ask(client, as_json)("prompt")).withColumn("answer", F.col("reply.answer")).withColumn("error", F.col("reply.error")).drop("reply")
+    """Adds answer and error for rows with a prompt.
+
+    A step of its own in the plan: as an expression, Spark would ask once for a filter and again for the result.
+    """
+    schema = StructType([*rows.schema.fields, StructField("answer", StringType()), StructField("error", StringType())])
+    return rows.mapInArrow(_ask(client, as_json), schema)
 
 
 def lenient_json(c: Column) -> Column:
@@ -212,7 +220,8 @@ def analyse(docs: DataFrame, scanned: DataFrame, client: Client, stages: tuple[s
     unknown = set(stages) - set(STAGES)
     if unknown:
         raise ValueError(f"unknown stages: {sorted(unknown)}")
-    noted = notes(docs, client, **options).persist() if set(stages) else None
+    # Written, not cached: a lost executor must not ask the client again and give some stages other answers.
+    noted = kept(notes(docs, client, **options), "notes") if set(stages) else None
     context = contexts(docs, noted) if noted is not None else None
     made = {
         "summary": lambda: summaries(context, client), "findings": lambda: findings(context, client),
@@ -227,9 +236,69 @@ def analyse(docs: DataFrame, scanned: DataFrame, client: Client, stages: tuple[s
     return rows.join(listed, "doc_id", "left")
 
 
+NOTES_SHARE = 0.45
+#: What options may be, and the sizes of a context to choose from.
+TEMPERATURE, CHUNK_SIZE, CHUNK_COUNT = (0.0, 1.0), (2000, 12_000), (4, 60)
+CONTEXT_SIZES = (2048, 4096, 6144, 8192, 16_384, 32_768)
+
+
+def bad_options(temperature: Column, chunk_size: Column, chunk_count: Column, context: Column) -> Column:
+    """Names of options that are out of their ranges; a null option takes its default, so it is none of them."""
+    tests = {"temperature": ~temperature.between(*TEMPERATURE), "chunk_size": ~chunk_size.between(*CHUNK_SIZE), "chunk_count": ~chunk_count.between(*CHUNK_COUNT), "context": ~context.isin(*CONTEXT_SIZES)}
+    return F.array_compact(F.array(*(F.when(bad, F.lit(name)) for name, bad in tests.items())))
+
+
 def progress(stage: str, done: float) -> float:
     """Share of the work done: notes take the first 45 %, the other stages the rest."""
-    return 0.45 * done if stage == "notes" else 0.45 + 0.55 * done
+    return NOTES_SHARE * done if stage == "notes" else NOTES_SHARE + (1 - NOTES_SHARE) * done
+
+
+def shares(stages: tuple[str, ...] = STAGES, n_keywords: int = 0) -> list[tuple[str, float]]:
+    """(stage, share done as it begins), in order; a synthesis of each keyword has the share once it is asked for."""
+    active = [s for s in STAGES[:-1] if s in stages]
+    n = n_keywords if "syntheses" in stages else 0
+    total = max(1, len(active) + (n > 0))
+    steps = [(s, at / total) for at, s in enumerate(active)] + [(f"synthesis {i}/{n}", (len(active) + i / n) / total) for i in range(1, n + 1)]
+    return [(s, round(progress(s, done), 4)) for s, done in steps]
+
+
+def events(items: DataFrame, outcomes: DataFrame, stages: tuple[str, ...] = STAGES, n_keywords: int = 0) -> DataFrame:
+    """(session_id, position, step, kind, doc_id, name, total, stage, share, message): what is told of a deep reading, in order.
+
+    ``items`` has (session_id, position, doc_id, name), positions from 1; ``outcomes`` (session_id, doc_id, error). An item
+    begins, passes its stages and ends; one with an error ends with it instead, one without an outcome is still at work.
+    A session begins before its first item (position 0) and ends after its last one, with the number of items read and
+    the names of those that failed, once none is at work; a session without items only ends.
+    """
+    text, none = (lambda c: F.lit(c).cast("string")), F.lit(None)
+    done = outcomes.groupBy("session_id", "doc_id").agg(F.min("error").alias("error"), F.lit(True).alias("over"))
+    sizes = items.groupBy("session_id").agg(F.count("*").cast("int").alias("total"), F.max("position").alias("last"))
+    rows = items.join(done, ["session_id", "doc_id"], "left").join(sizes, "session_id")
+    row = lambda step, kind, stage=None, share=None, message=none: F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), text(stage).alias("stage"), F.lit(share).cast("double").alias("share"), message.cast("string").alias("message"))
+    told = shares(stages, n_keywords)
+    over, failed = F.coalesce("over", F.lit(False)), F.col("error").isNotNull()
+    own = [row(0, "artigo_inicio"), *(F.when(over & ~failed, row(i, "progresso", s, share)) for i, (s, share) in enumerate(told, 1)), F.when(over & failed, row(len(told) + 1, "artigo_erro", message=F.col("error"))).when(over, row(len(told) + 1, "artigo_fim"))]
+    each = rows.select("session_id", "position", "doc_id", "name", "total", F.explode(F.array_compact(F.array(*own))).alias("of"))
+    each = each.select("session_id", "position", "of.step", "of.kind", "doc_id", "name", "total", "of.stage", "of.share", "of.message")
+    whole = rows.groupBy("session_id").agg(F.first("total").alias("total"), F.first("last").alias("last"), F.count_if(over).alias("over"), F.count_if(over & ~failed).alias("read"), F.array_sort(F.collect_list(F.when(over & failed, F.struct("position", "name")))).alias("failed"))
+    ends = F.array_compact(F.array(
+        F.struct(F.lit(0).alias("position"), F.lit("inicio").alias("kind"), none.cast("string").alias("message")),
+        F.when(F.col("over") == F.col("total"), F.struct((F.col("last") + 1).cast("int").alias("position"), F.lit("fim").alias("kind"), F.concat_ws("; ", F.col("read").cast("string"), F.array_join("failed.name", ", ")).alias("message"))),
+    ))
+    whole = whole.select("session_id", "total", F.explode(ends).alias("of"))
+    return each.unionByName(whole.select("session_id", "of.position", F.lit(0).alias("step"), "of.kind", "total", "of.message"), allowMissingColumns=True)
+
+
+def merged_keywords(scanned: DataFrame, synthesised: DataFrame) -> DataFrame:
+    """What a scan found, with the syntheses of an analysis by keyword; of documents without a scan, the analysis' own.
+
+    Both have (doc_id, position, keyword, total, pages, density), ``synthesised`` also synthesis. A null id has no synthesis.
+    """
+    shared = ["doc_id", "position", "keyword", "total", "pages", "density"]
+    by = ["doc_id", "keyword"]
+    found = scanned.select(*shared).join(synthesised.groupBy(*by).agg(F.min("synthesis").alias("synthesis")), by, "left")
+    rest = synthesised.join(scanned.select("doc_id").distinct(), "doc_id", "left_anti").select(*shared, "synthesis")
+    return found.unionByName(rest).select(*shared, F.coalesce("synthesis", F.lit("")).alias("synthesis"))
 
 
 _LABEL = re.compile(r"^lacuna:", re.IGNORECASE)

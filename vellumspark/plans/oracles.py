@@ -200,6 +200,10 @@ _BODY_CLAIM = "'from ' || source"
 _JOINED = r"regexp_replace(text, '([\p{L}\p{N}_])-\n([\p{L}\p{N}_])', '\1\2', 'g')"
 _LEFT = "((event_id % 5000) * 1.0 * (1 - (event_id % 97) / 97) / ((event_id % 97) / 97))"
 
+_NUMBERED = f"(SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page) AS INTEGER) AS page, text FROM {_TURNS})"
+_ITEMS = f"(SELECT doc_id % 7 AS session_id, doc_id, CAST(len({_strip('string_agg(text, repeat(chr(10), 2) ORDER BY page)')}) AS INTEGER) AS n_chars, CAST(count(*) AS INTEGER) AS n_pages FROM {_TURNS} GROUP BY doc_id)"
+_REQUESTS = "(SELECT event_id, user_id % 7 + CASE WHEN event_id % 11 = 0 THEN 1 ELSE 0 END AS session_id, user_id AS doc_id, CAST(event_id % 10 AS INTEGER) AS number FROM events)"
+
 ORACLES: dict[str, str] = {
     "doc_stats": f"SELECT doc_id, n_words, n_chars, {_minutes('n_words')} AS minutes FROM (SELECT doc_id, {_words('text')} AS n_words, CAST(len(text) AS INTEGER) AS n_chars FROM {_DOCS})",
     "scan_total": f"SELECT doc_id, keyword, total, round_even(total * 1000 / greatest(1, w), 2) AS density FROM ({_per_keyword('doc_id, ' + _words('text') + ' AS w', KEYWORDS, True, _DOCS)})",
@@ -249,4 +253,25 @@ SELECT conv_id, turn, CASE WHEN b <> '' AND b <> a THEN a || '-' || b ELSE a END
     "term_marks": f"SELECT doc_id, page, target, CAST(n AS INTEGER) AS n, CAST(1 AS INTEGER) AS n_rects, CAST(43 + 50 * (idx % 8) AS DOUBLE) AS x0, CAST(5000 - (42 + 14 * (idx // 8)) + 7 AS DOUBLE) AS y0, CAST(91 + 50 * (idx % 8) AS DOUBLE) AS x1, CAST(5000 - (30 + 14 * (idx // 8)) + 7 AS DOUBLE) AS y1 FROM {_MARKS}",
     "marks_by_category": f"SELECT doc_id, 'keyword' AS category, CAST(count(*) AS INTEGER) AS n FROM {_MARKS} GROUP BY doc_id",
     "remaining_time": f"""SELECT event_id, round(l, 6) AS "left", CASE WHEN l < 60 THEN 'menos de 1 min' WHEN round(l / 60) < 60 THEN '~' || CAST(round(l / 60) AS BIGINT) || ' min' ELSE '~' || CAST(floor(round(l / 60) / 60) AS BIGINT) || ' h ' || CAST(round(l / 60) % 60 AS BIGINT) || ' min' END AS label FROM (SELECT event_id, CASE WHEN event_id % 97 > 0 AND event_id % 5000 > 0 THEN {_LEFT} END AS l FROM events) WHERE l IS NOT NULL UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_id % 97 = 0 OR event_id % 5000 = 0""",
+    "page_lookup": f"SELECT event_id, CASE WHEN t.page IS NULL THEN 404 ELSE 200 END AS status, CASE WHEN i.doc_id IS NULL THEN 'artigo nao encontrado nesta sessao' WHEN t.page IS NULL THEN 'pagina fora do intervalo' END AS error, t.text AS page_text FROM {_REQUESTS} r LEFT JOIN {_ITEMS} i USING (session_id, doc_id) LEFT JOIN {_NUMBERED} t ON t.doc_id = i.doc_id AND t.page = r.number",
+    "item_lookup": f"SELECT event_id, CASE WHEN i.doc_id IS NULL THEN 404 ELSE 200 END AS status, CASE WHEN i.doc_id IS NULL THEN 'artigo nao encontrado nesta sessao' END AS error, i.n_chars, i.n_pages FROM {_REQUESTS} r LEFT JOIN {_ITEMS} i USING (session_id, doc_id)",
+    "item_listing": f'SELECT session_id, doc_id, CAST(greatest(0, 20 - count(*) OVER (PARTITION BY session_id)) AS INTEGER) AS seats, CAST(20 AS INTEGER) AS "limit" FROM {_ITEMS}',
+    "item_removal": f"""
+WITH q AS (SELECT * FROM {_REQUESTS} JOIN events USING (event_id) WHERE event_type = 'error'), s AS (SELECT i.session_id, count(*) AS n FROM {_ITEMS} i WHERE NOT EXISTS (SELECT 1 FROM q WHERE q.session_id = i.session_id AND q.doc_id = i.doc_id) GROUP BY i.session_id)
+SELECT event_id, CASE WHEN i.doc_id IS NULL THEN 404 ELSE 200 END AS status, CAST(greatest(0, 20 - coalesce(n, 0)) AS INTEGER) AS seats FROM (SELECT event_id, session_id, doc_id FROM q) q LEFT JOIN {_ITEMS} i USING (session_id, doc_id) LEFT JOIN s USING (session_id)""",
+    "items_cleared": f"SELECT session_id, doc_id FROM {_ITEMS} WHERE session_id NOT IN (SELECT user_id % 7 FROM events GROUP BY user_id % 7 HAVING arg_max(event_type, event_id) <> 'click')",
+    "keyword_chips": f"SELECT doc_id, CAST(len(c) AS INTEGER) AS n, sha256(array_to_string(list_filter(c, lambda t: t <> source), ', ')) AS others FROM (SELECT doc_id, source, list_filter(list_transform(string_split_regex(concat_ws(',', source, ' ', upper(lang), source, text), '[,;\\n]+'), lambda x: {_strip('x')}), lambda x: x <> '') AS c FROM documents)",
+    "analysis_events": f"""
+WITH d AS (SELECT coalesce(source, '{NO_SOURCE}') AS session_id, CAST(doc_id + 1 AS INTEGER) AS position, doc_id, 'doc' || doc_id AS name, CAST(count(*) OVER (PARTITION BY source) AS INTEGER) AS total FROM documents),
+e AS (SELECT d.*, l.doc_id IS NOT NULL AS over, coalesce(l.quality = 0, false) AS failed FROM d LEFT JOIN (SELECT doc_id, min(quality) AS quality FROM labels GROUP BY doc_id) l USING (doc_id)),
+s AS (SELECT * FROM (VALUES (1, 'summary', 0.45), (2, 'findings', 0.6333), (3, 'synthesis 1/2', 0.9083), (4, 'synthesis 2/2', 1.0)) v(step, stage, share))
+SELECT session_id, position, CAST(0 AS INTEGER) AS step, 'artigo_inicio' AS kind, doc_id, name, total, CAST(NULL AS VARCHAR) AS stage, CAST(NULL AS DOUBLE) AS share, CAST(NULL AS VARCHAR) AS message FROM e
+UNION ALL SELECT session_id, position, CAST(step AS INTEGER), 'progresso', doc_id, name, total, stage, CAST(share AS DOUBLE), NULL FROM e, s WHERE over AND NOT failed
+UNION ALL SELECT session_id, position, CAST(5 AS INTEGER), CASE WHEN failed THEN 'artigo_erro' ELSE 'artigo_fim' END, doc_id, name, total, NULL, NULL, CASE WHEN failed THEN 'no answer' END FROM e WHERE over
+UNION ALL SELECT session_id, CAST(0 AS INTEGER), CAST(0 AS INTEGER), 'inicio', NULL, NULL, total, NULL, NULL, NULL FROM e GROUP BY session_id, total
+UNION ALL SELECT session_id, CAST(max(position) + 1 AS INTEGER), CAST(0 AS INTEGER), 'fim', NULL, NULL, total, NULL, NULL, count(*) FILTER (NOT failed) || '; ' || coalesce(string_agg(CASE WHEN failed THEN name END, ', ' ORDER BY position), '') FROM e GROUP BY session_id, total HAVING bool_and(over)""",
+    "batch_time": """
+WITH r AS (SELECT event_id, CAST(event_id % 400 AS DOUBLE) AS elapsed, (event_id % 53) / 53 AS done, event_id % 4 AS later, event_id % 3 AS n, value FROM events),
+m AS (SELECT *, CASE WHEN done > 0 AND elapsed > 0 THEN elapsed * (1 - done) / done END AS own, CASE n WHEN 1 THEN value WHEN 2 THEN value * 1.5 ELSE CASE WHEN elapsed >= 10 AND done >= 0.08 THEN elapsed / done END END AS mean FROM r)
+SELECT event_id, round(coalesce(own, mean) + coalesce(mean, 0) * later, 6) AS seconds FROM m""",
 }

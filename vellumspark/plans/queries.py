@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import progress
 from ..functions import text as T
-from ..operators import batch, chunk, deep, locate, markdown, model, report, scan, skim
+from ..operators import batch, chunk, deep, items, locate, markdown, model, report, scan, skim
 from ..session import ship
 
 KEYWORDS = ["license", "the of", "und", "ément", "token"]
@@ -230,11 +230,11 @@ def _shingles(text: Column) -> Column:
 
 def fuzzy_locate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark passage sought in all documents that share any four folded words in a row with it."""
-    items = _table(spark, sf_dir, "benchmark").filter("text is not null").select("item_id", F.col("text").alias("target"))
+    passages = _table(spark, sf_dir, "benchmark").filter("text is not null").select("item_id", F.col("text").alias("target"))
     docs = documents(spark, sf_dir).filter("text is not null").select("doc_id", F.col("text").alias("page_text"))
-    keys = items.select("item_id", F.explode(_shingles(F.col("target"))).alias("key"))
+    keys = passages.select("item_id", F.explode(_shingles(F.col("target"))).alias("key"))
     pairs = docs.select("doc_id", F.explode(_shingles(F.col("page_text"))).alias("key")).join(keys, "key").select("doc_id", "item_id").distinct()
-    pairs = docs.join(pairs, "doc_id").join(items, "item_id")
+    pairs = docs.join(pairs, "doc_id").join(passages, "item_id")
     return locate.fuzzy(pairs).select("doc_id", "item_id", "sentence", F.round("ratio", 6).alias("ratio"))
 
 
@@ -271,10 +271,66 @@ def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.table_lines(table, ["keyword", *files]).unionByName(report.absence_lines(batch.absent(_results(spark, sf_dir))))
 
 
+def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as items of sessions: those of a session have ids with the same remainder by 7."""
+    return model.paged(turns(spark, sf_dir)).withColumn("session_id", F.col("doc_id") % 7)
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A request for each event: some name a page, an item or a session that is not there."""
+    return _table(spark, sf_dir, "events").select("event_id", (F.col("user_id") % 7 + F.when(F.col("event_id") % 11 == 0, 1).otherwise(0)).alias("session_id"), F.col("user_id").alias("doc_id"), (F.col("event_id") % 10).cast("int").alias("number"))
+
+
+def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items.page(_requests(spark, sf_dir), _items(spark, sf_dir)).select("event_id", "status", "error", "page_text")
+
+
+def item_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = items.item(_requests(spark, sf_dir), _items(spark, sf_dir))
+    return found.select("event_id", "status", "error", F.length("text").alias("n_chars"), F.when(F.col("pages").isNotNull(), F.size("pages")).alias("n_pages"))
+
+
+def item_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items.listing(_items(spark, sf_dir).select("session_id", "doc_id"), 20)
+
+
+def item_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests to remove what events of one kind name, and the seats that this leaves."""
+    kind = _table(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id")
+    return items.removals(_items(spark, sf_dir), _requests(spark, sf_dir).join(kind, "event_id"), 20).select("event_id", "status", "seats")
+
+
+def items_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left once the sessions that have a request of the latest kind are cleared."""
+    sessions = _table(spark, sf_dir, "events").groupBy((F.col("user_id") % 7).alias("session_id")).agg(F.max_by("event_type", "event_id").alias("kind")).filter("kind <> 'click'")
+    return items.cleared(_items(spark, sf_dir).select("session_id", "doc_id"), sessions)
+
+
+def keyword_chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lists = documents(spark, sf_dir).select("doc_id", F.concat_ws(",", "source", F.lit(" "), F.upper("lang"), "source", "text").alias("raw"), "source")
+    return lists.select("doc_id", F.size(T.keyword_chips(F.col("raw"))).alias("n"), F.sha2(T.without_chip(F.col("raw"), F.col("source")), 256).alias("others"))
+
+
+def analysis_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told of reading all documents, by source: labelled ones are read, or fail if of low quality."""
+    docs = documents(spark, sf_dir)
+    named = docs.select(F.coalesce("source", F.lit(NO_SOURCE)).alias("session_id"), (F.col("doc_id") + 1).cast("int").alias("position"), "doc_id", F.concat(F.lit("doc"), "doc_id").alias("name"))
+    labels = _table(spark, sf_dir, "labels").join(named.select("session_id", "doc_id"), "doc_id")
+    outcomes = labels.select("session_id", "doc_id", F.when(F.col("quality") == 0, "no answer").alias("error"))
+    return deep.events(named, outcomes, ("summary", "findings", "syntheses"), 2)
+
+
+def batch_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Time left of a batch: the latest events of a user are the finished articles, each event the present one."""
+    rows = _table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 400).cast("double").alias("elapsed"), ((F.col("event_id") % 53) / 53).alias("done"), "value", (F.col("event_id") % 4).alias("left"), (F.col("event_id") % 3).alias("n"))
+    finished = F.slice(F.array("value", F.col("value") * 2), 1, F.col("n").cast("int"))
+    return rows.select("event_id", F.round(progress.batch_remaining(F.col("elapsed"), F.col("done"), finished, F.col("left")), 6).alias("seconds"))
+
+
 _NAMES = (
     "doc_stats scan_total scan_exact_vs_flexible scan_pages scan_occurrences listed_by_page keyword_parse page_offsets repeated_lines clean_text title_inference sections article_metadata "
     "markdown_blocks markdown_sections sentences skim_sections skim_numbers skim_conclusions chunks triage free_seats comparison_pivot absent_keywords batch_overview pending page_labels lenient_json fuzzy_locate term_marks "
-    "marks_by_category remaining_time report_lines"
+    "marks_by_category remaining_time report_lines page_lookup item_lookup item_listing item_removal items_cleared keyword_chips analysis_events batch_time"
 ).split()
 
 

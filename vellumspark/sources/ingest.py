@@ -40,6 +40,34 @@ def plain_text(content: bytes) -> tuple[list[str], dict[str, str], list[str]]:
     return content.decode("utf-8", "replace").split("\f"), {}, []
 
 
+PROTECTED = "The file is protected by a password: its text may be incomplete."
+
+
+def by_page(open_reader: Callable[[bytes], object]) -> Extractor:
+    """An extractor from what opens a file: a reader with ``pages`` (each with ``extract_text()``), ``metadata``,
+    ``is_encrypted`` and ``decrypt(password)``, as PDF libraries have.
+
+    A protected file is tried with an empty password. A page that fails is empty and has a warning; the others stay.
+    """
+
+    def run(content: bytes) -> tuple[list[str], dict[str, str], list[str]]:
+        reader, texts, warnings = open_reader(content), [], []
+        if getattr(reader, "is_encrypted", False):
+            try:
+                reader.decrypt("")
+            except Exception:  # noqa: BLE001  the pages may be readable all the same
+                warnings.append(PROTECTED)
+        for number, page in enumerate(reader.pages, 1):
+            try:
+                texts.append(page.extract_text() or "")
+            except Exception as e:  # noqa: BLE001  a page that can't be read is a result
+                texts.append("")
+                warnings.append(f"Page {number} can't be read: {e}")
+        return texts, {str(k): str(v) for k, v in (reader.metadata or {}).items() if v is not None}, warnings
+
+    return run
+
+
 def extracted(found: DataFrame, extractor: Extractor = plain_text) -> DataFrame:
     """(doc_id, file_name, pages, info, warnings, error): a file that fails has its error and no pages."""
 

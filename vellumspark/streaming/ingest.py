@@ -28,3 +28,9 @@ def windowed_counts(events: DataFrame, time_col: str, kind_col: str, width: str
 def event(kind: str, **fields: Column) -> Column:
     """An event as a JSON text."""
     return F.to_json(F.struct(F.lit(kind).alias("tipo"), *(v.alias(k) for k, v in fields.items())))
+
+
+def write_events(stream: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
+    """Start writing a stream's rows to a folder as lines of JSON, each once; gives the running query."""
+    lines = stream.select(F.to_json(F.struct("*")).alias("value"))
+    return lines.writeStream.format("text").option("path", path).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
