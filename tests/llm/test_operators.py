@@ -121,6 +121,50 @@ def test_language_kernel():
         assert np.allclose(got, [len(own & m) / (len(own) * len(m)) ** 0.5 for m in marks])
 
 
+def test_language_predictions_of_a_plain_version(spark, monkeypatch):
+    """The same prediction from sets of n-grams and the dual system of the regression, without the Nyström map."""
+    monkeypatch.setattr(language, "BLOCK", 24)
+    rng = np.random.default_rng(5)
+    draw = lambda letters, n: "".join(rng.choice(list(letters + "  "), n))
+    spoken = {"x": "aabcde", "y": "bdefgg", "z": "chiijb"}
+    texts = [(draw(letters, int(n)), lang) for n in rng.integers(8, 70, 14) for lang, letters in spoken.items()]
+    model = language.train(texts, landmarks=12)
+    pieces = [(t[i : i + 24], lang) for t, lang in texts for i in range(0, len(t), 24) if t[i : i + 24].strip()]
+    chosen = [[t for t, lang in pieces if lang == x][:4] for x in spoken]
+    order = [t for t, _ in pieces if any(t in c for c in chosen)]
+    sets = lambda t: {t[i : i + n] for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    marks = [sets(t) for t in order]
+    known = set().union(*marks)
+
+    def kernel(t):
+        own = sets(t) & known
+        return [len(own & m) / max(1, len(own) * len(m)) ** 0.5 for m in marks]
+
+    rows, square = np.array([kernel(t) for t, _ in pieces]), np.array([kernel(t) for t in order])
+    signs = np.array([[1.0 if lang == x else -1.0 for x in spoken] for _, lang in pieces])
+    duals = np.linalg.solve(rows.T @ rows + language.RIDGE * square, rows.T @ signs)
+    asked = [t for t, _ in texts] + [draw("abcdefghij", 200), "", "  ", None]
+    langs, scores = language.predict(model, language._Symbols(model.letters), asked)
+    for text, lang, score in zip(asked, langs, scores, strict=True):
+        if not text or not text.strip():
+            assert (lang, score) == ("und", 0)
+            continue
+        k = -(-len(text) // 24)
+        cuts = np.cumsum([0] + [len(text) // k + (i < len(text) % k) for i in range(k)])
+        margins = np.mean([np.array(kernel(text[a:b])) @ duals for a, b in zip(cuts, cuts[1:], strict=False)], axis=0)
+        assert lang == list(spoken)[int(margins.argmax())] and abs(score - np.clip((1 + margins.max()) / 2, 0, 1)) < 1e-3
+
+
+def test_language_sample_is_bounded(spark, monkeypatch):
+    """An id that holds most rows neither fills the sample nor brings all its rows to the driver."""
+    taken = []
+    monkeypatch.setattr(language, "train", lambda texts: taken.append(texts))
+    rows = [(i, f"text {i}", "ab"[i % 2]) for i in range(200)]
+    hot = [(8, f"hot {i}", "a") for i in range(400)] + [(8, "same", "a")] * 400
+    language.fit(spark.createDataFrame(rows + hot, "doc_id long, text string, lang string"), rows=40)
+    assert 10 <= len(taken[0]) <= 80 and {lang for _, lang in taken[0]} == {"a", "b"} and sum(t == "same" for t, _ in taken[0]) <= 1
+
+
 def test_toxicity(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")

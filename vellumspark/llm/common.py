@@ -1,15 +1,17 @@
-"""What the corpus operators share: word rules, the shared folder, tables written and read again."""
+"""What the corpus operators share: word rules, and tables written to the shared folder and read again."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import discard, new_path, qualified, shared_dir, written
+
+__all__ = ["discard", "new_path", "qualified", "shared_dir", "written"]
+
 #: Bytes of a word: digits, ASCII letters (lower-cased) and every byte above 0x7F. All others become a blank.
 WORD_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b > 127 else 32 for b in range(256)
@@ -27,52 +29,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: ``spark.checkpoint.dir``, with its scheme.
-
-    Where the session has none and runs on one machine (tests), a temporary folder is made once and set as the
-    checkpoint folder; on a cluster that is an error, since every machine would have a folder of its own.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = current.get() if current.isDefined() else None
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = tempfile.mkdtemp(prefix="vellum-")
-        spark.sparkContext.setCheckpointDir(base)
-    return qualified(spark, f"{base.rstrip('/')}/vellum")
-
-
-def qualified(spark: SparkSession, path: str) -> str:
-    """A path with its scheme, as Spark resolves it."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write to the shared folder and read again: the lineage ends there, and lost executors cost no recomputation."""
-    spark = df.sparkSession
-    path = new_path(spark, name)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.vellum_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``written`` made, once nothing reads them any more."""
-    for df in tables:
-        spark = df.sparkSession
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.vellum_path)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def named(name: str) -> Column:
     """The column of a name, whatever characters it has."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -191,19 +191,22 @@ def held_out(col: str):
 
 
 def fit(docs: DataFrame, rows: int = SAMPLE_ROWS) -> Model | None:
-    """Learn from about ``rows`` rows, as many of each language, chosen by a hash of their id, outside the held-out fold.
+    """Learn from about ``rows`` rows, as many of each language, chosen by a hash of their id and text, outside the held-out fold.
 
-    Of these, the first ``SAMPLE_CHARS`` characters are learned from; predictions read whole texts.
+    Of these, the first ``SAMPLE_CHARS`` characters are learned from; predictions read whole texts. Rows that repeat an id
+    and its text count once, so an id that holds a large part of all rows can't fill the sample; never are more than twice
+    ``rows`` taken.
     """
     known = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang").filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("id") & (F.col("text") != ""))
     totals = {r[0]: r[1] for r in known.groupBy("lang").count().collect()}
     if not totals:
         return None
     each = max(1, rows // len(totals))
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 20))
+    place = F.pmod(F.xxhash64("id", "text"), F.lit(1 << 20))
     limits = F.create_map(*(F.lit(x) for lang, n in sorted(totals.items()) for x in (lang, (1 << 20) * min(1.0, each / n))))
-    sample = known.filter(place < limits[F.col("lang")]).select("id", F.left("text", F.lit(SAMPLE_CHARS)), "lang").collect()
-    return train([(r[1], r[2]) for r in sorted(sample, key=lambda r: (hash_key(r[0]), r[1]))])
+    near = known.withColumn("place", place).filter(F.col("place") < limits[F.col("lang")])
+    sample = near.select("place", "id", F.left("text", F.lit(SAMPLE_CHARS)).alias("text"), "lang").distinct().orderBy("place", "id", "text", "lang").limit(2 * rows).collect()
+    return train([(r["text"], r["lang"]) for r in sorted(sample, key=lambda r: (hash_key(r["id"]), r["text"]))])
 
 
 def hash_key(doc: int) -> int:
