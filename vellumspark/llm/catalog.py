@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontaminate, jaccard, language, licenses, mixing, secrets, surrogates, token_files, topk, toxicity
+from . import decontaminate, jaccard, language, licenses, mixing, resampling, secrets, surrogates, token_files, topk, toxicity
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -31,6 +31,7 @@ QUERIES = {
         "op8_licenses": licenses.op8_licenses,
         "op9_topk": topk.op9_topk,
         "op10_contamination": decontaminate.op10_contamination,
+        "op11_resampling": resampling.op11_resampling,
     }.items()
 }
 ORACLES = {
@@ -38,4 +39,5 @@ ORACLES = {
     "op8_licenses": licenses.ORACLE,
     "op9_topk": topk.ORACLE,
     "op10_contamination": decontaminate.ORACLE,
+    "op11_resampling": resampling.ORACLE,
 }
