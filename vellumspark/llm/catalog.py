@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import ship
-from . import decontaminate, jaccard, language, licenses, mixing, resampling, secrets, surrogates, token_files, topk, toxicity
+from . import decontaminate, hard_negatives, jaccard, language, licenses, mixing, near_embeddings, resampling, secrets, surrogates, token_files, topk, toxicity
 
 
 def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -32,6 +32,8 @@ QUERIES = {
         "op9_topk": topk.op9_topk,
         "op10_contamination": decontaminate.op10_contamination,
         "op11_resampling": resampling.op11_resampling,
+        "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+        "op13_near_embeddings": near_embeddings.op13_near_embeddings,
     }.items()
 }
 ORACLES = {
@@ -40,4 +42,6 @@ ORACLES = {
     "op9_topk": topk.ORACLE,
     "op10_contamination": decontaminate.ORACLE,
     "op11_resampling": resampling.ORACLE,
+    "op12_hard_negatives": hard_negatives.ORACLE,
+    "op13_near_embeddings": near_embeddings.ORACLE,
 }

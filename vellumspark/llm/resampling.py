@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD_PATTERN, discard, named, table, written
+from .common import WORD_PATTERN, discard, in_order, named, table, written
 
 #: Orders, buckets, seed of the noise, least number of words of a drawn document, percent of these to draw.
 ORDERS, BUCKETS, SEED, LEAST_WORDS, PERCENT = 1, 10_000, 2024, 20, 10
@@ -109,17 +109,11 @@ def draw(weighed: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERC
     order = [F.col("out").asc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("row").asc()]
     parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scored = written(scored, "resampling-scored")
-    placed = written(scored.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "resampling-sorted")
+    placed = in_order(scored, order, parts, "resampling-sorted")
     discard(scored)
-    # monotonically_increasing_id holds the partition above 33 bits of the place in it.
-    part, place = F.shiftright("at", 33), F.col("at").bitwiseAND((1 << 33) - 1)
-    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("rows"), F.count(F.when(~F.col("out"), 1)).alias("fit"))
-    # One row per partition.
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("rows").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    drawn = (sizes.agg(F.coalesce(F.sum("fit"), F.lit(0))).first()[0] * percent) // 100
-    rank = F.col("before") + place + 1
-    ranked = placed.withColumn("part", part).join(F.broadcast(sizes.select("part", "before")), "part")
-    return ranked.select("doc_id", "n_words", "n_features", "weight", "score", F.when(~F.col("out") & (rank <= drawn), rank).cast("long").alias("rank"))
+    drawn = placed.filter("not out").count() * percent // 100
+    rank = F.col("nth") + 1
+    return placed.select("doc_id", "n_words", "n_features", "weight", "score", F.when(~F.col("out") & (rank <= drawn), rank).cast("long").alias("rank"))
 
 
 def resample(docs: DataFrame, target: DataFrame, orders: int = ORDERS, n: int = BUCKETS, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
