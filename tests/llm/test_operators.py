@@ -262,6 +262,59 @@ def test_surrogates_of_one_person_agree(spark):
     assert new[4] == texts[4] and new[5].endswith("came in May; he may come.") and new[6].endswith(f"Mr {family.upper()} is.")
 
 
+def test_surrogates_of_words_alone_follow_their_own_text(spark):
+    one = "Mr John Smith came. John left, and Smith too."
+    others = [(2, "Mr John sat."), (3, "Ms Smith John ran. Smith slept; John woke."), (4, "Mr John John. John!"), (5, "Dr Smith and Mrs Smith; Smith"), (6, "Prof. May Lee and Mr Lee May: May, Lee")]
+    got = []
+    for docs in ([(1, one)], [(1, one), *others]):
+        rows = surrogates.replace_entities(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+        got.append({r["doc_id"]: r["text"] for r in rows})
+    assert got[0][1] == got[1][1]
+    given, family = re.fullmatch(r"Mr (\w+us) (\w+er) came\. \1 left, and \2 too\.", got[0][1]).groups()
+    as_family = re.fullmatch(r"Mr (\w+) sat\.", got[1][2])[1]
+    assert as_family != given and re.fullmatch(rf"Ms (\w+) {as_family} ran\. \1 slept; {as_family} woke\.", got[1][3])
+    assert re.fullmatch(rf"Mr {given} {as_family}\. {given}!", got[1][4]) and got[1][5] == f"Dr {family} and Mrs {family}; {family}"
+    assert re.fullmatch(r"Prof\. (\w+) (\w+) and Mr \w+ \w+: \1, \2", got[1][6])
+
+
+def test_surrogates_of_names_of_a_table(spark):
+    """One surrogate for each person everywhere; words alone as in the text's first name that has them; more texts change none."""
+    import regex
+
+    # The tables have no names, so texts that end with two by rule are put before theirs.
+    draw, texts = random.Random(8), [r[0] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").take(200)]
+    given, family = ["John", "Anna", "Maria", "Peter", "Lena-Sue", "Иван"], ["Smith", "Jones", "O'Brien", "John", "Maria", "Петров"]
+    pick = lambda: (draw.choice(["Mr", "Mrs", "Dr", "Prof. Dr."]), draw.choice(given), draw.choice(family))
+    rows = []
+    for i, text in enumerate(texts):
+        one, two = pick(), pick()
+        rows.append((i, f"{' '.join(one)} saw {' '.join(two)}. {one[1]}, {two[2]} and {draw.choice(given)} left; {one[2]} stayed. {text[:300]}"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    title = rf"{surrogates._TITLE}(?: {surrogates._TITLE}){{0,2}} (?=\p{{Lu}})"
+    more = spark.createDataFrame([(10**6 + i, f"Mr {n} sat.") for i, n in enumerate(["John", "Anna", "Maria", "Peter", "Carlos", "Lena"])], "doc_id long, text string")
+    new = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(docs).collect()}
+    again = {r["doc_id"]: r["text"] for r in surrogates.replace_entities(docs.union(more)).collect()}
+    assert {i: t for i, t in again.items() if i < 10**6} == new
+    persons, alone = {}, 0
+    kinds = "|".join(f"(?:{p})" for p in surrogates.PATTERNS.values())
+    for r in docs.filter("text is not null").collect():
+        old, out, words = r["text"], new[r["doc_id"]], {}
+        names = [m for m in regex.finditer(kinds, old) if regex.match(title, m[0])]
+        low = set(regex.split(r"[^\p{L}'’]+", old))
+        # What stands before the first name is the same in both texts as long as nothing else is replaced there.
+        for name, found in zip(names, regex.finditer(surrogates.PATTERNS["person"], out), strict=False):
+            parts, made = (regex.split("[ -]", regex.sub("^" + title, "", x)) for x in (name[0], found[0]))
+            assert persons.setdefault(name[0], found[0]) == found[0] and len(parts) == len(made)
+            for a, b in zip(parts, made, strict=True):
+                words.setdefault(a.lower(), b.lower())
+        bare = regex.sub(kinds, " ", old)
+        for w, b in words.items():
+            if len(w) > 2 and w not in low and regex.search(rf"(?<![\p{{L}}'’])(?i:{regex.escape(w)})(?![\p{{L}}'’])", bare):
+                alone += 1
+                assert b in out.lower()
+    assert alone > 50 and len(persons) > 20 and len(set(persons.values())) == len(persons)
+
+
 def test_surrogates_of_very_long_texts(spark):
     texts = ["x@" + "a." * 500_000 + "com", "a." * 500_000, "7" * 1_000_000, "Ab" * 500_000, "Mr A B C " * 110_000, "Mr Ab Cd Ef " * 20_000, "+1 23 " * 150_000, "a@b." * 250_000]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")

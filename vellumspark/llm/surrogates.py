@@ -15,7 +15,11 @@ off by as much; area codes come to begin with 0 or 1 only where they did.
 A word of a name becomes a word of the same script (Latin, Cyrillic, Greek): its first letter goes through a keyed
 permutation of the alphabet, so initials agree with whole names; keyed syllables follow, which belong to the word; the
 ending follows the gender of the form of address, or, where that has none, the gender that the word has in most names
-of the corpus. Given and family names have stems of their own.
+of the corpus. Given and family names have stems of their own. A word that stands alone has the role, gender and stem
+that it has in the first name of its own text, so a text is coherent whatever other texts hold. Other documents can
+change a surrogate in two ways alone: by the gender of a word whose form of address has none, and by an entity or word
+that comes before it in order and has the same surrogate. Who needs surrogates that last keeps the table of
+``surrogates_of``.
 
 Texts are read by the pattern once; what it finds and what stands between is written. Distinct entities, and distinct
 words of names, are resolved in tables of their own: where surrogates of two meet, all but the first take a key (and
@@ -358,8 +362,11 @@ def _stems(people: DataFrame, key: str) -> DataFrame:
     return apart(words, lambda retry: F.concat_ws(":", "role", stem(F.col("low"), F.col("role"), key, retry)))
 
 
+_WORDS = "array<struct<at:int,part:string,low:string,role:string,gender:string,stem:string>>"
+
+
 def surrogates_of(entities: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """For distinct entities: (entity, kind, new); and the stems of the words of names: (role, low, gender, new)."""
+    """For distinct entities: (entity, kind, new, words of a name); and the stems of these: (role, low, gender, new)."""
     entity = F.col("entity")
     entities = entities.withColumn("kind", kind_of(entity))
     people = entities.filter("kind = 'person'").withColumn("names", _names(entity)).withColumn("title", F.left(entity, F.length(entity) - F.length("names"))).withColumn("of_title", _gender(F.col("title")))
@@ -374,13 +381,13 @@ def surrogates_of(entities: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     initial = F.concat(F.upper(_first(F.col("word"), key)), F.lit("."))
     made = made.withColumn("part", F.concat(F.when(F.col("role") == "initial", initial).otherwise(_word(F.col("word"), F.col("stem"), F.col("role"), gender)), F.coalesce(F.get("between", F.col("at")), F.lit(""))))
     # A name has a few parts.
-    named_ = made.groupBy("entity", "title").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("parts"))
-    named_ = named_.select("entity", F.lit("person").alias("kind"), F.concat("title", F.array_join("parts.part", "")).alias("new"))
+    named_ = made.withColumn("gender", gender).groupBy("entity", "title").agg(F.array_sort(F.collect_list(F.struct("at", "part", "low", "role", "gender", "stem"))).alias("words"))
+    named_ = named_.select("entity", F.lit("person").alias("kind"), F.concat("title", F.array_join("words.part", "")).alias("new"), F.col("words").cast(_WORDS).alias("words"))
     others = entities.filter("kind <> 'person'").withColumn("own", _identity(entity))
     own_key = lambda retry: F.when(retry > 0, F.concat(F.lit(f"{key}#"), retry.cast("string"))).otherwise(F.lit(key))
     under = lambda m, retry: _let(own_key(retry), lambda k: surrogate(m, k))
     owns = apart(others.groupBy("own").agg(F.min("entity").alias("one")), lambda retry: _let(under(F.col("one"), retry), _identity))
-    rest = others.join(owns.select("own", "retry"), "own").select("entity", "kind", under(entity, F.col("retry")).alias("new"))
+    rest = others.join(owns.select("own", "retry"), "own").select("entity", "kind", under(entity, F.col("retry")).alias("new"), F.lit(None).cast(_WORDS).alias("words"))
     return written(named_.unionByName(rest), "surrogates"), stems
 
 
@@ -389,14 +396,16 @@ def replace_entities(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", te
     found = found_in(docs, id_col, text_col)
     places = occurrences(found)
     entities = written(places.filter("not is_word").select("entity").distinct(), "entities")
-    answers, stems = surrogates_of(entities, key)
-    whole = places.filter("not is_word").join(answers, "entity").select("row", "at", "new", "kind")
-    # A word that is both stands for the family.
-    by_word = stems.groupBy("low").agg(F.min(F.struct("role", "gender", F.substring_index("new", ":", -1).alias("stem"))).alias("of"))
-    own = found.select("row", F.explode("alone").alias("low")).join(by_word, "low")
+    answers, _ = surrogates_of(entities, key)
+    whole = written(places.filter("not is_word").join(answers, "entity").select("row", "at", "new", "kind", "words"), "replaced")
+    # A word alone is what it is in the first name of its own text that has it.
+    by_text = whole.filter("kind = 'person'").select("row", "at", F.explode("words").alias("w"))
+    by_text = by_text.groupBy("row", F.col("w.low").alias("low")).agg(F.min(F.struct("at", F.col("w.at").alias("part_at"), "w.role", "w.gender", "w.stem")).alias("of"))
+    own = found.select("row", F.explode("alone").alias("low")).join(by_text, ["row", "low"])
     words = places.filter("is_word").withColumn("low", F.lower("entity")).join(own, ["row", "low"], "left")
     new = F.when(F.col("of").isNotNull(), _word(F.col("entity"), F.col("of.stem"), F.col("of.role"), F.col("of.gender"))).otherwise(F.col("entity"))
     words = words.select("row", "at", new.alias("new"), F.when(F.col("of").isNotNull(), "person").alias("kind"))
+    whole = whole.drop("words")
     count = lambda k: F.count_if(F.col("kind") == k).alias(f"n_{k}")
     put = whole.unionByName(words).groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "new"))).alias("put"), F.count("kind").alias("n_entities"), *map(count, PATTERNS))
     counts = ["n_entities", *(f"n_{k}" for k in PATTERNS)]
