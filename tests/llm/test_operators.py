@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -556,11 +557,12 @@ def plain_rates(docs, want, sizes, newton=True):
 
 
 def plain_copies(docs, rates_):
-    """``docs`` has (id, source, size); copies by id."""
+    """``docs`` has (id, source, size, text); copies by id."""
     out, groups = {}, collections.defaultdict(lambda: collections.defaultdict(list))
-    for i, s, n in docs:
+    for i, s, n, text in docs:
+        hashed = hashlib.md5(f"{i}:{xxhash.xxh64_intdigest(text.encode(), 42) - (1 << 64) * (xxhash.xxh64_intdigest(text.encode(), 42) >> 63)}".encode()).hexdigest()
         bits = len(f"{n:b}")
-        groups[s][bits * 16 + (n if bits <= 4 else n >> bits - 4)].append((hashlib.md5(str(i).encode()).hexdigest(), n, i))
+        groups[s][bits * 16 + (n if bits <= 4 else n >> bits - 4)].append((hashed, n, i))
     for s, cells in groups.items():
         owed = 0.0
         for _, members in sorted(cells.items(), reverse=True):
@@ -587,6 +589,7 @@ def test_mixing(spark):
     docs = spark.createDataFrame(rows, DOCS)
     got = mixing.mix(docs).collect()
     assert rows_of(mixing.mix(docs.repartition(7))) == sorted(map(tuple, got), key=repr)
+    texts = {r[0]: r[1] for r in rows}
     names, by = {r[0]: r[3] for r in rows}, collections.defaultdict(list)
     for r in got:
         assert 0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"] and r["size"] == len(next(x for x in rows if x[0] == r["doc_id"])[1].split())
@@ -604,13 +607,40 @@ def test_mixing(spark):
     exact, still = plain_rates(plain, want, sizes), plain_rates(plain, want, sizes, newton=False)
     assert max(abs(found[k] - exact[k]) for k in exact) < 2e-6 < 0.02 < max(abs(found[k] - still[k]) for k in exact)
     assert len({round(r, 4) for (s, _), r in found.items() if s == "s1"}) > 20  # each document's rate follows its length
-    assert {r["doc_id"]: r["copies"] for r in got} == plain_copies([(r["doc_id"], names[r["doc_id"]], r["size"]) for r in got], found)
+    assert {r["doc_id"]: r["copies"] for r in got} == plain_copies([(r["doc_id"], names[r["doc_id"]], r["size"], texts[r["doc_id"]]) for r in got], found)
     out = mixing.mixed(odd(spark).withColumn("a.b", F.lit(1)).withColumn("doc", F.lit(2)))
     assert out.columns == [*odd(spark).columns, "a.b", "doc"] and mixing.mix(odd(spark)).count() == len(ODD)
     assert mixing.mix(empty(spark)).count() == 0
     assert mixing.mix(docs.withColumn("text", F.lit(None).cast("string"))).filter("taken = 0 and target = 0").count() == len(rows)
 
 
+@pytest.mark.parametrize("sizes", [[50] * 2000, [1, 9, 300], [7, 7, 7], [20] * 50 + [40] * 50])
+def test_mixing_ends_in_few_steps(spark, monkeypatch, sizes):
+    steps, state = [], mixing._State
+    monkeypatch.setattr(mixing, "_State", lambda *x: steps.append(1) or state(*x))
+    facts = spark.createDataFrame([("a", n, sizes.count(n)) for n in set(sizes)], "__source string, __size long, __rows long")
+    aims = spark.createDataFrame([("a", sum(sizes), float(sum(sizes)))], "__source string, __source_size long, __target double")
+    got = mixing.rates(facts, aims).collect()
+    assert len(steps) <= 10 and abs(sum(r["__q"] * r["__size"] * r["__rows"] for r in got) / mixing.UNIT - sum(sizes)) < 1e-3 * sum(sizes)
+
+
+def test_mixing_without_convergence_leaves_lengths_alone(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    facts = spark.createDataFrame([(s, n, 2) for s in "ab" for n in (1, 5, 70)], "__source string, __size long, __rows long")
+    aims = spark.createDataFrame([("a", 152, 100.0), ("b", 152, 204.0)], "__source string, __source_size long, __target double")
+    got = {(r["__source"], r["__size"]): r["__q"] / mixing.UNIT for r in mixing.rates(facts, aims).collect()}
+    assert all(abs(v - {"a": 100, "b": 204}[s] / 152) < 1e-5 for (s, _), v in got.items())
+
+
+def test_mixing_splits_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "PART_ROWS", 4)
+    rows = [(None, f"w{i} x y z", "en", "a", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, DOCS)
+    assert sum(r["taken"] for r in mixing.mix(docs).collect()) == 1600
+    hashed = docs.select(F.md5(F.concat_ws(":", F.lit(""), F.xxhash64("text").cast("string"))).substr(1, 2).alias("part"))
+    assert hashed.distinct().count() > 100
+
+
 def test_mixing_ranks_many_sources(spark):
     sources = spark.range(5000).select(F.when(F.col("id") < 4999, F.concat(F.lit("s"), F.col("id"))).alias("__source"), F.lit(1).alias("x")).repartition(5)
     got = {r["__source"]: r["__rank"] for r in mixing.ranked(sources).collect()}

@@ -43,8 +43,8 @@ SCALE, ANCHOR_EVERY, RELABEL_EVERY, LABELS = 256, 100, 7, 10
 POSITIVES, NEGATIVES, LOW, HIGH = 5, 10, 30, 90
 #: Pivots at most, of one length; the sample that they come from is as large.
 PIVOTS = 128
-#: Rows of a tile, anchors of a group, tiles that a task joins with a group on average.
-TILE, GROUP, TILES_PER_TASK = 2048, 512, 4
+#: Rows and bytes of a tile at most, anchors of a group, tiles that a task joins with a group on average.
+TILE, TILE_BYTES, GROUP, TILES_PER_TASK = 2048, 1 << 20, 512, 16
 #: Share of M by which distances may be off.
 MARGIN = 1e-6
 
@@ -141,7 +141,7 @@ def _pack(scale: int, most: int):
             ids, labels, dims, cell, dist = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("vec_id", "label", "dim", "cell", "dist"))
             vectors = batch.column(batch.schema.get_field_index("vector"))
             for i in range(batch.num_rows):
-                if rows and (len(rows) >= most or rows[0][3:5] != (dims[i], cell[i])):
+                if rows and (len(rows) >= max(1, min(most, TILE_BYTES // (8 * max(1, rows[0][3])))) or rows[0][3:5] != (dims[i], cell[i])):
                     yield tile()
                     rows = []
                 rows.append((ids[i], labels[i], vectors[i].values.to_numpy(zero_copy_only=False), dims[i], cell[i], dist[i]))

@@ -13,16 +13,17 @@ In the convex dual a document's rate is ``min(most, exp(alpha[source] + beta ·
 log length: tilted exponentially, each document by its own length. Every Newton step sums gradient and curvature over
 all documents in a distributed aggregation (documents of equal source and size share a row). A source's multiplier only
 meets its own documents, so its block of the curvature is diagonal: it is eliminated in the same table, source by source,
-and what is left for the driver is a system of two unknowns. Sums are made in decimals, so they don't depend on the
+and what is left for the driver is a system of two unknowns. A step is shortened until the dual falls; the steps end by
+the constraints' own error. Corpora whose documents are all of one length have nothing to balance by length. Sums are made in decimals, so they don't depend on the
 order of rows and reruns agree.
 
 Rates become whole copies. Documents of a source are put in cells of about equal size (12 % at most); from the largest
 cell down, the number of copies in a cell follows the words wanted so far less those taken so far. In a cell the copies
-fall where the running sum of rates, in the order of a hash of the id, passes a whole number. So a source's taken words
+fall where the running sum of rates, in the order of a hash of id and text, passes a whole number. So a source's taken words
 differ from its target by a part of a small document, and no document gets more copies than its rate rounded up.
 
-Cells are split by the first digits of the hash before anything is ordered, so a source or a size that holds a large
-part of all rows is spread over many tasks. Sources are ranked by ranges, not in one task.
+Cells are split by the first digits of the hash before anything is ordered, so a source, a size or an id that holds a
+large part of all rows is spread over many tasks. Sources are ranked by ranges, not in one task.
 
 Defined results: a null or empty text has size 0 and is taken 0 times its size; a null source is a source of its own,
 the last; repeated rows count as often as they occur; documents alike in id and text are interchangeable. If there are
@@ -31,6 +32,8 @@ no words at all, targets are 0.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -39,10 +42,13 @@ from .common import discard, named, table, written
 
 #: Weights of the sources in order, repeating; most copies of a document.
 WEIGHTS, MOST = (1, 2, 3), 3
-#: Newton steps at most; they end when no source's words are off by more than this share of its target.
-STEPS, CLOSE = 60, 1e-10
+#: Newton steps at most; they end when no source's words are off by more than this share of its target, and the moments
+#: by no more than this share of all words. A step is divided by four until the dual falls, so often at most.
+STEPS, CLOSE, HALVINGS = 40, 1e-9, 8
 #: Weight of the ridge on the multipliers of length, by the words of the corpus.
 RIDGE = 1e-3
+#: Variance of log length below which lengths are taken to be equal: then there is nothing to balance by.
+LEAST_VARIANCE = 1e-6
 #: Rates are whole numbers of these parts of a copy.
 UNIT = 1 << 20
 #: Rows of a cell's part that one task orders, on average at most.
@@ -100,10 +106,82 @@ def _exact(value: Column) -> Column:
 
 def _moments(size: Column, mean: float, variance: float) -> tuple[Column, Column]:
     """Centred powers of log length, each of about unit scale."""
-    x = (F.log2(size.cast("double")) - mean) / max(variance, 1e-9) ** 0.5
+    if variance < LEAST_VARIANCE:
+        return F.lit(0.0), F.lit(0.0)
+    x = (F.log2(size.cast("double")) - mean) / variance**0.5
     return x, (x * x - 1) / 2
 
 
+class _State:
+    """Multipliers, and gradient, curvature and value of the dual there: sums over all documents, a row per source."""
+
+    def __init__(self, rows: DataFrame, free: DataFrame, beta: tuple[float, float], x: Column, y: Column, words: float, most: float) -> None:
+        self.free, self.beta, w = free, beta, F.col("__words")
+        tilt = F.col("__alpha") + beta[0] * x + beta[1] * y
+        raw, top = F.exp(F.least(tilt, F.lit(math.log(most)))), F.lit(math.log(most))
+        rate = F.when(F.col("__full"), most).otherwise(raw)
+        # Above the largest rate the dual goes on as a straight line.
+        value = F.when(F.col("__full"), 0.0).otherwise(raw + F.greatest(F.lit(0.0), tilt - top) * most)
+        bent = rate * (~F.col("__full") & (tilt < top)).cast("double")
+        sums = {"f": value, "g": rate, "g1": rate * x, "g2": rate * y, "h": bent, "h1": bent * x, "h2": bent * y, "h11": bent * x * x, "h12": bent * x * y, "h22": bent * y * y}
+        by = rows.join(free, F.col("__source").eqNullSafe(F.col("__s"))).groupBy("__s", "__target", "__full", "__alpha").agg(*(_exact(w * v).alias(f"__{k}") for k, v in sums.items()))
+        self.by = written(by.withColumn("__off", F.when(F.col("__full"), 0.0).otherwise(F.col("__g") - F.col("__target"))), "mixing-sums")
+        self.inverse = F.when(F.col("__h") > 0, 1 / F.col("__h")).otherwise(0.0)
+        part = lambda a, b, ab: _exact(F.col(ab) - F.col(a) * F.col(b) * self.inverse)
+        rest = lambda a, g: _exact(F.col(g) - F.col(a) * F.col("__off") * self.inverse)
+        ours = F.when(F.col("__full"), F.col("__g1") * beta[0] + F.col("__g2") * beta[1]).otherwise(F.col("__f") - F.col("__alpha") * F.col("__target"))
+        found = self.by.agg(part("__h1", "__h1", "__h11"), part("__h1", "__h2", "__h12"), part("__h2", "__h2", "__h22"), rest("__h1", "__g1"), rest("__h2", "__g2"), F.max(F.abs("__off") / F.col("__target")), _exact(F.col("__g1")), _exact(F.col("__g2")), _exact(ours), F.count("*")).first()
+        a11, self.a12, a22, b1, b2, self.off, g1, g2, dual, self.n = (v or 0.0 for v in found)
+        ridge = RIDGE * words
+        self.a11, self.a22, self.b = a11 + ridge, a22 + ridge, (b1 + ridge * beta[0], b2 + ridge * beta[1])
+        self.moments = max(abs(g1 + ridge * beta[0]), abs(g2 + ridge * beta[1])) / words if words else 0.0
+        self.dual = dual + ridge * (beta[0] ** 2 + beta[1] ** 2) / 2
+
+    def step(self) -> tuple[float, float]:
+        """Newton's step of the two multipliers of length, those of the sources eliminated."""
+        det = self.a11 * self.a22 - self.a12**2
+        return -(self.a22 * self.b[0] - self.a12 * self.b[1]) / det, -(self.a11 * self.b[1] - self.a12 * self.b[0]) / det
+
+    def moved(self, step: tuple[float, float], part: float) -> tuple[DataFrame, tuple[float, float]]:
+        """Multipliers a part of Newton's step away. Where all of a source's documents are at the largest rate, there is
+        no curvature: then the source's multiplier falls."""
+        own = -(F.col("__off") + F.col("__h1") * step[0] + F.col("__h2") * step[1]) * self.inverse
+        # Bounded, for the decimals' sake.
+        own = F.greatest(F.lit(-50.0), F.least(F.lit(50.0), own))
+        own = F.when(F.col("__full"), 0.0).when(F.col("__h") > 0, own).otherwise(F.when(F.col("__off") > 0, -1.0).otherwise(0.0))
+        later = self.by.select("__s", "__target", "__full", (F.col("__alpha") + own * part).alias("__alpha"))
+        return written(later, "mixing-multipliers"), (self.beta[0] + step[0] * part, self.beta[1] + step[1] * part)
+
+
+def _balanced(rows: DataFrame, start: DataFrame, x: Column, y: Column, words: float, most: float) -> tuple[DataFrame, tuple[float, float]]:
+    """Multipliers of the sources and of length that solve the dual.
+
+    Should the steps not end at the constraints, the documented way out is to leave lengths as they are: each source's
+    documents get one rate, its target by its words, which meets every target.
+    """
+    at = lambda free, beta: _State(rows, free, beta, x, y, words, most)
+    now = at(start, (0.0, 0.0))
+    for _ in range(STEPS):
+        if not now.n or now.off < CLOSE and now.moments < CLOSE:
+            discard(now.by)
+            return now.free, now.beta
+        step, part = now.step(), 1.0
+        for _ in range(HALVINGS):
+            later = at(*now.moved(step, part))
+            if later.dual <= now.dual + 1e-12 * abs(now.dual):
+                break
+            discard(later.by, later.free)
+            part /= 4
+        else:
+            break
+        if now.free is not start:
+            discard(now.free)
+        discard(now.by)
+        now = later
+    discard(now.by)
+    return start, (0.0, 0.0)
+
+
 def rates(facts: DataFrame, aims: DataFrame, most: int = MOST) -> DataFrame:
     """(__source, __size, __rows, __source_size, __target, __q): the rate of documents of a source and size, in units.
 
@@ -119,37 +197,8 @@ def rates(facts: DataFrame, aims: DataFrame, most: int = MOST) -> DataFrame:
     # At its cap a source takes all it has; below, its multiplier starts where it would be without the other family.
     full = F.col("__target") >= most * F.col("__source_size")
     free = written(aims.filter("__target > 0").select(F.col("__source").alias("__s"), "__target", full.alias("__full"), F.log(F.col("__target") / F.col("__source_size")).alias("__alpha")), "mixing-multipliers")
-    beta = (0.0, 0.0)
     same = F.col("__source").eqNullSafe(F.col("__s"))
-    for _ in range(STEPS):
-        raw = F.exp(F.col("__alpha") + beta[0] * x + beta[1] * y)
-        rate = F.when(F.col("__full"), float(most)).otherwise(F.least(raw, F.lit(float(most))))
-        curved = (~F.col("__full") & (raw < most)).cast("double")
-        w = F.col("__words")
-        sums = {"g": w * rate, "g1": w * rate * x, "g2": w * rate * y, "h": w * rate * curved, "h1": w * rate * curved * x, "h2": w * rate * curved * y, "h11": w * rate * curved * x * x, "h12": w * rate * curved * x * y, "h22": w * rate * curved * y * y}
-        by = rows.join(free, same).groupBy("__s", "__target", "__full", "__alpha").agg(*(_exact(v).alias(f"__{k}") for k, v in sums.items()))
-        by = written(by.withColumn("__off", F.when(F.col("__full"), 0.0).otherwise(F.col("__g") - F.col("__target"))), "mixing-sums")
-        # Sources whose documents are all at the largest rate have no curvature; they step down or stay.
-        inverse = F.when(F.col("__h") > 0, 1 / F.col("__h")).otherwise(0.0)
-        left = lambda a, b, ab: _exact(F.col(ab) - F.col(a) * F.col(b) * inverse)
-        rest = lambda a, g: _exact(F.col(g) - F.col(a) * F.col("__off") * inverse)
-        a11, a12, a22, b1, b2, off, none = by.agg(left("__h1", "__h1", "__h11"), left("__h1", "__h2", "__h12"), left("__h2", "__h2", "__h22"), rest("__h1", "__g1"), rest("__h2", "__g2"), F.max(F.abs("__off") / F.col("__target")), F.count("*")).first()
-        if not none:
-            discard(by)
-            break
-        a11, a22, b1, b2 = a11 + RIDGE * words, a22 + RIDGE * words, b1 + RIDGE * words * beta[0], b2 + RIDGE * words * beta[1]
-        det = a11 * a22 - a12 * a12
-        step = [-(a22 * b1 - a12 * b2) / det, -(a11 * b2 - a12 * b1) / det]
-        shrink = min(1.0, 1.0 / max(map(abs, step))) if any(step) else 1.0
-        step = [shrink * d for d in step]
-        newton = -(F.col("__off") + F.col("__h1") * step[0] + F.col("__h2") * step[1]) * inverse
-        # Where a source has no curvature, all its documents are at the largest rate and its multiplier must fall.
-        newton = F.when(F.col("__full"), 0.0).when(F.col("__h") > 0, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), newton))).otherwise(F.when(F.col("__off") > 0, -1.0).otherwise(0.0))
-        later = written(by.select("__s", "__target", "__full", (F.col("__alpha") + newton).alias("__alpha")), "mixing-multipliers")
-        discard(free, by)
-        free, beta = later, (beta[0] + step[0], beta[1] + step[1])
-        if off < CLOSE and max(map(abs, step)) < CLOSE:
-            break
+    free, beta = _balanced(rows, free, x, y, words, float(most))
     raw = F.least(F.exp(F.col("__alpha") + beta[0] * x + beta[1] * y), F.lit(float(most)))
     rate = F.when(F.col("__size") <= 0, 0.0).when(F.col("__full"), float(most)).otherwise(F.coalesce(raw, F.lit(0.0)))
     every = facts.join(aims.withColumnRenamed("__source", "__a"), F.col("__source").eqNullSafe(F.col("__a"))).join(free.drop("__target"), same, "left")
@@ -176,7 +225,7 @@ def _copies(cells: Column, most: int) -> Column:
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, carry: bool = False) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, copies, taken; or with ``carry`` its row as ``doc`` and copies."""
-    text, hashed = named(text_col), F.md5(F.coalesce(named(id_col).cast("string"), F.lit("")))
+    text, hashed = named(text_col), F.md5(F.concat_ws(":", F.coalesce(named(id_col).cast("string"), F.lit("")), F.xxhash64(named(text_col)).cast("string")))
     digits = _digits(docs)
 
     def measured(*more: Column) -> DataFrame:
