@@ -159,9 +159,9 @@ class _Sets:
 
 
 class _Group:
-    def __init__(self, batch: pa.RecordBatch, r: int, side: str) -> None:
-        view = lambda c, kind: np.frombuffer(batch.column(batch.schema.get_field_index(f"{side}_{c}"))[r].as_buffer(), kind)
-        self.dim = batch.column(batch.schema.get_field_index(f"{side}_dim"))[r].as_py()
+    def __init__(self, rows: pa.Table, side: str) -> None:
+        view = lambda c, kind: np.frombuffer(rows.column(f"{side}_{c}")[0].as_buffer(), kind)
+        self.dim = rows.column(f"{side}_dim")[0].as_py()
         self.numbers, self.weights = view("numbers", "<i8"), view("weights", "<i8")
         self.units, self.boxes = view("units", "<f8").reshape(len(self.numbers), self.dim), view("boxes", "<f8").reshape(-1, 2, LEADING)
         self.single, self.links = self.units.astype(np.float32), np.zeros(len(self.numbers), np.int64)
@@ -177,37 +177,31 @@ def _links(a: np.ndarray, b: np.ndarray, single: tuple[np.ndarray, np.ndarray],
 
 
 def _join(least: float):
-    """Pairs of groups: numbers of links by vector, and edges of a spanning forest."""
+    """A pair of groups: numbers of links by vector, and edges of a spanning forest."""
     eps2 = 2 - 2 * least + MARGIN
 
-    def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in source:
-            left, right = (batch.column(batch.schema.get_field_index(f"{x}_at")).to_pylist() for x in "ab")
-            for r in range(batch.num_rows):
-                a, same = _Group(batch, r, "a"), left[r] == right[r]
-                b = a if same else _Group(batch, r, "b")
-                if a.dim != b.dim:
-                    continue
-                sets, near = _Sets(), _near(a.boxes, b.boxes) <= eps2
-                for i, j in zip(*np.nonzero(near), strict=True):
-                    if same and i > j:
-                        continue
-                    x, y = slice(i * BLOCK, (i + 1) * BLOCK), slice(j * BLOCK, (j + 1) * BLOCK)
-                    links = _links(a.units[x], b.units[y], (a.single[x], b.single[y]), least)
-                    if same and i == j:
-                        np.fill_diagonal(links, False)
-                    if not links.any():
-                        continue
-                    a.links[x] += links @ b.weights[y]
-                    if not (same and i == j):
-                        b.links[y] += a.weights[x] @ links
-                    for u, v in forest(links):
-                        sets.join(int(a.numbers[x][u]), int(b.numbers[y][v]))
-                for g in {id(a): a, id(b): b}.values():
-                    some = np.flatnonzero(g.links)
-                    yield _rows(g.numbers[some], links=g.links[some])
-                ends = np.array(sets.edges, np.int64).reshape(-1, 2)
-                yield _rows(ends[:, 0], others=ends[:, 1])
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a = _Group(left, "a")
+        # A group with itself comes once.
+        b = _Group(right, "b") if right.num_rows else a
+        sets, near, same = _Sets(), _near(a.boxes, b.boxes) <= eps2, a is b
+        for i, j in zip(*np.nonzero(near if a.dim == b.dim else near[:0]), strict=True):
+            if same and i > j:
+                continue
+            x, y = slice(i * BLOCK, (i + 1) * BLOCK), slice(j * BLOCK, (j + 1) * BLOCK)
+            links = _links(a.units[x], b.units[y], (a.single[x], b.single[y]), least)
+            if same and i == j:
+                np.fill_diagonal(links, False)
+            if not links.any():
+                continue
+            a.links[x] += links @ b.weights[y]
+            if not (same and i == j):
+                b.links[y] += a.weights[x] @ links
+            for u, v in forest(links):
+                sets.join(int(a.numbers[x][u]), int(b.numbers[y][v]))
+        found = [_rows(g.numbers[some], links=g.links[some]) for g in {id(a): a, id(b): b}.values() for some in [np.flatnonzero(g.links)]]
+        ends = np.array(sets.edges, np.int64).reshape(-1, 2)
+        return pa.Table.from_batches([*found, _rows(ends[:, 0], others=ends[:, 1])])
 
     return run
 
@@ -264,8 +258,9 @@ def near_duplicates(vectors: DataFrame, least: float = COSINE, id_col: str = "ve
     groups = counted(written(groups, "near-groups"))
     pairs = _pairs(groups.select("nth", "dim", "low", "high"), groups.count(), least)
     side = lambda x: groups.select(F.col("nth").alias(f"{x}_at"), *(F.col(c).alias(f"{x}_{c}") for c in ("dim", "numbers", "weights", "boxes", "units")))
-    met = pairs.join(side("a"), F.col("a") == F.col("a_at")).join(side("b"), F.col("b") == F.col("b_at")).drop("a", "b")
-    found = written(met.mapInArrow(_join(least), _FOUND_DDL), "near-found")
+    other = pairs.filter("a < b").select(F.col("a").alias("with_a"), F.col("b").alias("with_b")).join(side("b"), F.col("with_b") == F.col("b_at"))
+    met = pairs.join(side("a"), F.col("a") == F.col("a_at")).groupBy("a", "b").cogroup(other.groupBy("with_a", "with_b"))
+    found = written(met.applyInArrow(_join(least), _FOUND_DDL), "near-found")
 
     roots = graph.components(found.filter("other is not null").select(F.col("number").alias("u"), F.col("other").alias("v")))
     counts = found.filter("links is not null").groupBy("number").agg(F.sum("links").alias("links"))
