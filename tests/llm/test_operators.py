@@ -725,6 +725,17 @@ def test_topk(spark, monkeypatch, scale):
     assert topk.search(vectors.filter("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_topk_of_very_large_components(spark):
+    rows = [(0, [1e9, -1e9, 3e8]), (50, [1e300, 1.0, 0.0]), (1, [1e9, 1e9, 1e9]), (2, [1e308, 1e308, -1e308]), (3, [-1e300, 0.0, 0.0]), (4, [0.5, 0.25, 1e-300]), (5, [2e9, -2e9, 6e8])]
+    whole = {i: [int(min(max(np.floor(np.float64(256) * x), -np.finfo(float).max), np.finfo(float).max)) for x in v] for i, v in rows if max(map(abs, v)) < 1e305} | {2: [int(np.finfo(float).max)] * 2 + [-int(np.finfo(float).max)]}
+    got = collections.defaultdict(list)
+    for r in topk.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    for q in (0, 50):
+        scores = sorted((-min(max(sum(a * b for a, b in zip(whole[q], w, strict=True)), -(1 << 63)), (1 << 63) - 1), i) for i, w in whole.items() if i != q)
+        assert got[q] == [(i, -s) for s, i in scores[:5]]
+
+
 # --- pipeline ------------------------------------------------------------------------------------------------
 
 

@@ -3,10 +3,11 @@
 Vectors are packed into tiles of bounded size, one row each: ids and a matrix of numbers. Tiles of queries and of
 candidates are put in groups of bounded bytes, and both are shuffled to every pair of their groups (nothing is
 broadcast): a task multiplies the tiles of one group by those of another and keeps, per query, the best k. Those lists
-are merged in rounds of bounded fan-in.
+are merged in rounds of bounded fan-in. Groups are large, since candidates are shuffled once for each group of queries.
 
-Components x become floor(scale * x) with x as double. Products are exact: they run in single precision if every
-partial sum fits 24 bits, else in double precision if it fits 53, else in Python's integers.
+Components x become floor(scale * x) with x as double; what leaves the range of doubles counts as the largest double.
+Products are exact: they run in single precision if every partial sum fits 24 bits, else in double precision if it fits
+53, else in Python's integers. Scores beyond 64 bits count as the nearest such number.
 
 Defined results: vectors that are null, or hold null, NaN or infinite components, and rows with a null id take no part.
 Vectors of different lengths are never compared. A query's own row is told by its id: rows with
@@ -24,19 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import table, written
+from .tiles import best, candidates, finite, products, scaled
 
 SCALE, K, QUERY_EVERY = 256, 5, 50
-#: Vectors of a tile at most; bytes of a group of tiles on average.
-TILE, GROUP_BYTES = 2048, 4 << 20
+#: Vectors of a tile at most; bytes of a group of tiles on average; groups of candidates at least, if there are tiles.
+TILE, GROUP_BYTES, LEAST_GROUPS = 2048, 32 << 20, 8
 #: Lists that one merge takes.
 FAN_IN = 16
 
-_TILE = pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("numbers", pa.binary()), ("largest", pa.int64())])
-_TILE_DDL = "dim int, n int, ids binary, numbers binary, largest long"
-
-
-def scaled(rows: np.ndarray, scale: int) -> np.ndarray:
-    return np.floor(scale * rows)
+_TILE = pa.schema([("dim", pa.int32()), ("n", pa.int32()), ("ids", pa.binary()), ("numbers", pa.binary()), ("largest", pa.float64())])
+_TILE_DDL = "dim int, n int, ids binary, numbers binary, largest double"
 
 
 def _pack(scale: int):
@@ -44,7 +42,7 @@ def _pack(scale: int):
         joined, keys = np.concatenate(rows), np.concatenate(ids)
         order = np.argsort(keys, kind="stable")
         joined = joined[order]
-        largest = int(np.abs(joined).max(initial=0)) if np.abs(joined).max(initial=0) < 2.0**62 else -1
+        largest = float(np.abs(joined).max(initial=0))
         return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((dim, len(keys), keys[order].astype("<i8").tobytes(), joined.astype("<f8").tobytes(), largest), _TILE, strict=True)], schema=_TILE)
 
     def run(source: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,40 +71,6 @@ def _pack(scale: int):
     return run
 
 
-def products(queries: np.ndarray, rows: np.ndarray, largest: tuple[int, int]) -> np.ndarray:
-    """Inner products as exact integers (int64, or Python's where they need more)."""
-    bound = largest[0] * largest[1] * max(1, queries.shape[1]) if min(largest) >= 0 else 1 << 99
-    if bound < 1 << 24:
-        return (queries.astype(np.float32) @ rows.astype(np.float32).T).astype(np.int64)
-    if bound < 1 << 53:
-        return (queries @ rows.T).astype(np.int64)
-    whole = lambda x: np.array([[int(v) for v in r] for r in x], dtype=object).reshape(x.shape)
-    return whole(queries) @ whole(rows).T
-
-
-def best_of(scores: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> list[list[tuple[int, int]]]:
-    """Per row of scores the k best (score, id), ids ascending among equals; ``ids`` are sorted, ``own`` never found."""
-    n = len(ids)
-    out = []
-    fits = scores.dtype != object and int(np.abs(scores).max(initial=0)) < 1 << 62 - n.bit_length()
-    # One number orders by score and then by place, so equal scores need no care.
-    keys = scores * n + (n - 1 - np.arange(n)) if fits else None
-    for q, me in enumerate(own):
-        a, b = np.searchsorted(ids, me), np.searchsorted(ids, me, "right")
-        if fits:
-            row = keys[q]
-            if n > k + b - a:
-                places = np.argpartition(row, n - k - (b - a))[n - k - (b - a) :]
-            else:
-                places = np.arange(n)
-            places = places[np.argsort(-row[places])]
-        else:
-            places = sorted(range(n), key=lambda i: (-scores[q, i], i))
-        kept = [int(i) for i in places if not a <= i < b][:k]
-        out.append([(int(scores[q, i]), int(ids[i])) for i in kept])
-    return out
-
-
 _PART = pa.schema([("query_id", pa.int64()), ("tile", pa.int64()), ("score", pa.int64()), ("vec_id", pa.int64())])
 _PART_DDL = "query_id long, tile long, score long, vec_id long"
 
@@ -123,34 +87,33 @@ def _multiply(k: int):
                 rows.append((dim, view("ids", "<i8"), view("numbers", "<f8").reshape(n, dim), largest))
             return rows
 
-        rows, flat = unpacked(tiles), []
+        rows, kept = unpacked(tiles), []
         for dim, own, queries, q_largest in unpacked(blocks):
-            lists: list[list[tuple[int, int]]] = [[] for _ in own]
+            found = []
             for other, ids, numbers, largest in rows:
                 if other == dim:
-                    for held, found in zip(lists, best_of(products(queries, numbers, (q_largest, largest)), own, ids, k), strict=True):
-                        held += found
-            flat += [(q, key[0].as_py(), s, v) for q, held in zip(own.tolist(), lists, strict=True) for s, v in sorted(held, key=lambda x: (-x[0], x[1]))[:k]]
-        columns = zip(*flat, strict=True) if flat else [[]] * len(_PART)
-        return pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, _PART, strict=True)], schema=_PART)
+                    scores = products(queries, numbers, max(q_largest, largest))
+                    q, c = candidates(scores, own[:, None] != ids[None, :], k)
+                    found.append((q, scores[q, c], ids[c]))
+            if found:
+                q, scores, ids = best(*map(np.concatenate, zip(*found, strict=True)), k)
+                kept.append((own[q], np.full(len(q), key[0].as_py()), scores, ids))
+        columns = map(np.concatenate, zip(*kept, strict=True)) if kept else [np.zeros(0, np.int64)] * len(_PART)
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PART, strict=True)], schema=_PART)
 
     return run
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = K, scale: int = SCALE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """The k best rows for every query: query_id, rank (from 1), vec_id, score.
-
-    Scores must fit 64 bits.
-    """
-    finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    """The k best rows for every query: query_id, rank (from 1), vec_id, score."""
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("vector"), is_query.alias("is_query"))
-    rows = rows.filter(F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", finite)).withColumn("vector", F.col("vector").cast("array<double>"))
+    rows = rows.filter(F.col("vec_id").isNotNull() & finite(F.col("vector"))).withColumn("vector", F.col("vector").cast("array<double>"))
     numbered = lambda df: df.withColumn("tile", F.monotonically_increasing_id())
     # Written, so that the numbers of tiles hold.
     tiles = written(numbered(rows.select("vec_id", "vector").mapInArrow(_pack(scale), _TILE_DDL)), "vectors")
     queries = rows.filter("is_query").groupBy("vec_id").agg(F.min("vector").alias("vector"))
     blocks = written(numbered(queries.mapInArrow(_pack(scale), _TILE_DDL)), "queries")
-    n_tiles, n_blocks = _groups(tiles), _groups(blocks)
+    n_tiles, n_blocks = max(_groups(tiles), min(LEAST_GROUPS, tiles.count())), _groups(blocks)
     place = lambda n: F.pmod(F.xxhash64("tile"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     pair = ["row_key", "query_key"]
@@ -165,7 +128,7 @@ def _groups(tiles: DataFrame) -> int:
 
 def _merge(parts: DataFrame, places: int, k: int) -> DataFrame:
     """Merge lists of tiles by the fan-in until one is left per query."""
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k)
+    best = F.slice(F.array_sort(F.collect_list(F.struct(F.bitwise_not("score").alias("s"), "vec_id"))), 1, k)
     # Numbers of tiles have gaps, so groups are made by hash.
     while True:
         places = -(-places // FAN_IN)
@@ -173,8 +136,8 @@ def _merge(parts: DataFrame, places: int, k: int) -> DataFrame:
         parts = parts.groupBy("query_id", group.cast("long").alias("tile")).agg(best.alias("best"))
         if places <= 1:
             break
-        parts = parts.select("query_id", "tile", F.explode("best").alias("b")).select("query_id", "tile", (-F.col("b.s")).alias("score"), "b.vec_id")
-    return parts.select("query_id", F.posexplode("best").alias("place", "b")).select("query_id", (F.col("place") + 1).alias("rank"), "b.vec_id", (-F.col("b.s")).alias("score"))
+        parts = parts.select("query_id", "tile", F.explode("best").alias("b")).select("query_id", "tile", F.bitwise_not(F.col("b.s")).alias("score"), "b.vec_id")
+    return parts.select("query_id", F.posexplode("best").alias("place", "b")).select("query_id", (F.col("place") + 1).alias("rank"), "b.vec_id", F.bitwise_not(F.col("b.s")).alias("score"))
 
 
 def op9_topk(spark, sf_dir: str) -> DataFrame:
