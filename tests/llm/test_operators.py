@@ -196,6 +196,52 @@ def test_toxicity_is_learned_as_in_memory(spark):
         assert r["predicted"] == (r["score"] >= 0.5) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
 
 
+def test_toxicity_scores_against_plain_matching(spark):
+    """Every score of a table by comparing each word with each term, without the automaton or the library's folding."""
+    import math
+    import unicodedata
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    lexicon = toxicity.fit(docs, labels)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()} | {-1: "", -2: "y0u 1d!ot", -3: "ÏDIØT\u0301 \u0456d\u0456\u043et"}
+
+    def plain_words(text):
+        out = []
+        for i, c in enumerate(text):
+            inside = 0 < i < len(text) - 1 and text[i - 1].isalnum() and text[i + 1].isalnum()
+            for d in unicodedata.normalize("NFKD", (toxicity.SIGNS.get(c, c) if inside else c).lower()):
+                d = toxicity.LOOKALIKES.get(d, toxicity.DIGITS.get(d, d))
+                out.append("i" if d == "l" else d if d.isalpha() else "" if unicodedata.category(d) in ("Mn", "Cf") else " ")
+        return "".join(out).split()
+
+    def plain_score(text):
+        words = plain_words(text)
+        best = {}
+        for i, w in enumerate(words):
+            near = {f"{a} {b}" for a, b in zip(words[max(0, i - 1) : i + 1], words[max(0, i - 1) + 1 : i + 2], strict=False)}
+            if near.isdisjoint(lexicon.exceptions):
+                fits = [(weight, t) for t, weight in lexicon.weights.items() if (f" {w} " == t if t.endswith(" ") else f" {w}".startswith(t))]
+                best |= {i: max(fits)} if fits else {}
+        one, two = min(sum({t: w for w, t in best.values()}.values()), 30), min(100 * sum(w for w, _ in best.values()) / len(words), 100) if words else 0
+        return 1 / (1 + math.exp(-(lexicon.model[0] + lexicon.model[1] * one + lexicon.model[2] * two)))
+
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score_toxicity(table, lexicon).collect()}
+    assert lexicon.weights and set(got) == set(texts)
+    assert max(abs(got[i] - plain_score(t)) for i, t in texts.items()) < 1e-9
+    known = {r["doc_id"]: r["toxic"] for r in labels.filter("toxic in (0, 1)").collect()}
+    outside = [i for i in known if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert sum((plain_score(texts[i]) >= 0.5) == (known[i] == 1) for i in outside) >= 0.95 * len(outside)
+
+
+def test_toxicity_of_an_id_on_many_texts(spark):
+    docs = spark.createDataFrame([(1, f"vile word{i} x{i} y{i}") for i in range(60)] + [(2, f"kind thing{i} a{i} b{i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    lexicon = toxicity.fit(docs, labels, {1: 20, 0: 30})
+    assert any("viie" in t for t in lexicon.weights) and toxicity.score_toxicity(docs, lexicon).count() == 120
+
+
 def test_toxicity_exceptions_by_place():
     draw = random.Random(6)
     for _ in range(200):

@@ -11,7 +11,8 @@ phrases, and two numbers for each text. These two features make a score by logis
 the distinct terms found (30 at most), and the weights of all matches for a hundred words of the text (100 at most).
 
 Defined results: a null or empty text has no match and gets the score of such texts. Without both labels to learn from,
-every score is 0. Labels other than 0 and 1 are ignored; repeated documents give repeated rows.
+every score is 0. Labels other than 0 and 1 are ignored; an id with both labels is learned from as either. Repeated
+documents give repeated rows.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batches, filtered, table, written
+from .common import batches, discard, filtered, table, written
 
 #: Labelled rows to learn from, of either label. The fit costs the same at every size of the corpus.
 SAMPLE = {1: 3000, 0: 5000}
@@ -310,7 +311,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: dict[int, int] | None = None
     chosen = F.broadcast(parts[0].unionByName(parts[1]).dropDuplicates())
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(chosen, "id").select("label", "text")
     texts = texts.mapInArrow(_fold_all, "label int, near array<long>, folded string")
-    sample = written(texts.groupBy("label", "near").agg(F.min("folded").alias("folded")).select("label", "folded"), "toxicity-sample")
+    texts = written(texts.groupBy("label", "near").agg(F.min("folded").alias("folded")).select("label", "folded"), "toxicity-texts")
+    # An id may stand on many texts: their number is bounded, too.
+    parts = [texts.filter(F.col("label") == k).orderBy(F.xxhash64("folded"), "folded").limit(n) for k, n in (sample or SAMPLE).items()]
+    sample = written(parts[0].unionByName(parts[1]), "toxicity-sample")
+    discard(texts)
     sizes = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     if set(sizes) != {0, 1}:
         return Lexicon()
