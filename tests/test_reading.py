@@ -355,16 +355,32 @@ def test_chunk_borders(text, size, overlap):
 
 def test_plans_read_texts_once(spark, tables):
     scans = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Relation [")
-    assert scans(queries.scan_total(spark, tables)) == scans(queries.comparison_pivot(spark, tables)) == 1
+    assert scans(queries.scan_total(spark, tables)) == 1
+    assert "text#" not in queries.comparison_pivot(spark, tables)._jdf.queryExecution().optimizedPlan().toString()
     assert scans(queries.skim_sections(spark, tables)) <= 3
 
 
 def test_comparison_has_all_sources(spark, tables):
-    assert queries.comparison_pivot(spark, tables).columns == ["keyword", "src1", "src2"]
+    assert {r["files"] for r in queries.comparison_pivot(spark, tables).collect()} == {"src1|src2"}
     more = spark.createDataFrame([(0, "a.b", 0, "k", 1), (1, "order", 0, "k", 2)], "item int, file string, position int, keyword string, total int")
     assert [tuple(r) for r in batch.comparison(more, ["a.b", "order"]).collect()] == [("k", 1, 2)]
 
 
+def test_comparison_of_thousands_of_files(spark):
+    rows = spark.range(5000).select(F.col("id").cast("int").alias("item"), F.concat(F.lit("f"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("file"))
+    results = rows.select("item", "file", F.lit(0).alias("position"), F.lit("k").alias("keyword"), (F.col("item") % 7).alias("total"))
+    results = results.union(rows.filter("item = 77").select("item", "file", F.lit(1), F.lit("rare"), F.lit(4)))
+    tiles = batch.tiled(results, 64)
+    got = {(r["keyword"], r["tile"]): r for r in tiles.collect()}
+    assert len(got) == 2 * 79 and sum(sum(r["totals"]) for r in got.values()) == sum(i % 7 for i in range(5000)) + 4
+    names = [f for t in range(79) for f in got["k", t]["files"]]
+    assert names == [f"f{i:05}" for i in range(5000)] and [x for t in range(79) for x in got["k", t]["totals"]] == [i % 7 for i in range(5000)]
+    assert got["rare", 1]["totals"][13] == 4 and sum(got["rare", 1]["totals"]) == 4
+    lines = report.tile_lines(tiles)
+    assert lines.count() == 3 * 79 and lines.filter("place is null and tile = 78").first()["line"] == "| keyword | f04992 | f04993 | f04994 | f04995 | f04996 | f04997 | f04998 | f04999 |\n|" + "---|" * 9
+    assert batch.tiled(results.filter("false")).count() == 0
+
+
 def test_passages_and_batch_reports(spark):
     page = "A primeira frase fala de outra coisa. A adesao ao tratamento aumentou muito no grupo tratado."
     words = spark.createDataFrame([("d", 2, i, w, 10.0 * i, 10.0 * i + 8, 20.0, 30.0) for i, w in enumerate(page.split())], "doc_id string, page int, idx int, text string, x0 double, x1 double, top double, bottom double")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from ..session import in_order
 
 LIMIT = 5
 DUPLICATE, FULL = "already in the batch (same content)", "limit of {} files per session reached"
@@ -54,6 +55,32 @@ def comparison(results: DataFrame, files: list[str]) -> DataFrame:
     return rows.orderBy("order").select("keyword", *(F.col("totals").getField(f).alias(f) for f in files))
 
 
+#: Columns of a tile of a comparison.
+WIDTH = 50
+
+
+def tiled(results: DataFrame, width: int = WIDTH) -> DataFrame:
+    """The comparison of any number of files in tiles of their columns: (keyword, place, tile, files, totals).
+
+    Files are columns in order of their names, ``width`` to a tile; ``files`` and ``totals`` are arrays of a tile's columns,
+    0 where there is no result; of repeated results the largest counts. ``place`` is the keyword's order of appearance.
+    Files are numbered by a sort in ranges: their names don't come to the driver. Keywords are few, files may be many.
+    """
+    files = in_order(results.select("file").distinct(), [F.col("file")], "files")
+    files = files.select("file", F.floor(F.col("nth") / width).cast("int").alias("tile"), (F.col("nth") % width).cast("int").alias("column"))
+    listed = F.array_sort(F.collect_list(F.struct("column", "file")))
+    heads = files.groupBy("tile").agg(listed.alias("files"))
+    n = -(-files.count() // width)
+    words = results.groupBy("keyword").agg(F.min(F.struct("item", "position")).alias("place"))
+    # Each keyword has a row in each tile, whether it has results there or not.
+    rows = words.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1)))))
+    cells = results.join(files, "file").groupBy("keyword", "tile", "column").agg(F.max("total").alias("total"))
+    found = cells.groupBy("keyword", "tile").agg(F.map_from_entries(F.collect_list(F.struct("column", "total"))).alias("found"))
+    out = rows.join(heads, "tile").join(found, ["keyword", "tile"], "left")
+    totals = F.transform("files", lambda f: F.coalesce(F.col("found")[f["column"]], F.lit(0)))
+    return out.select("keyword", "place", "tile", F.col("files.file").alias("files"), totals.alias("totals"))
+
+
 def absent(results: DataFrame) -> DataFrame:
     """(keyword, files): files without the keyword, in the items' order."""
     rows = results.filter("total = 0").groupBy("keyword").agg(F.array_sort(F.collect_list(F.struct("item", "file"))).alias("files"))

@@ -64,14 +64,27 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 
 
 def sections_of(text: Column) -> Column:
-    """Sections in order of their first title: array<struct<name,title,start,end>>; each ends where the next begins."""
-    found = []
-    for i, (name, titles) in enumerate(SECTIONS):
-        pattern = rf"(?imdU)^[ \t]*{_NUMBERED}({titles})[ \t]*:?[ \t]*$"
-        found.append(F.struct((F.regexp_instr(text, F.lit(pattern)) - 1).alias("start"), F.lit(i).alias("order"), F.lit(name).alias("name"), T.strip(F.regexp_extract(text, pattern, 1)).alias("title")))
-    ordered = F.array_sort(F.filter(F.array(*found), lambda s: s["start"] >= 0))
-    ends = F.concat(F.transform(F.slice(ordered, 2, len(SECTIONS)), lambda s: s["start"]), F.array(F.length(text)))
-    return F.zip_with(ordered, F.slice(ends, 1, F.size(ordered)), lambda s, e: F.struct(s["name"].alias("name"), s["title"].alias("title"), s["start"].alias("start"), e.alias("end")))
+    """Sections in order of their first title: array<struct<name,title,start,end>>; each ends where the next begins.
+
+    The text is read once, for lines that are any title; only these few are told apart.
+    """
+    titled = lambda titles: rf"(?imdU)^[ \t]*{_NUMBERED}({titles})[ \t]*:?[ \t]*$"
+    any_title = titled("|".join(titles for _, titles in SECTIONS))
+
+    def lined(spans: Column) -> Column:
+        return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.substr(text, s["start"] + 1, s["end"] - s["start"]).alias("line")))
+
+    def first(lines: Column, i: int, name: str, titles: str) -> Column:
+        hit = F.get(F.filter(lines, lambda x: x["line"].rlike(titled(titles))), F.lit(0))
+        return F.struct(hit["start"].alias("start"), F.lit(i).alias("order"), F.lit(name).alias("name"), T.strip(F.regexp_extract(hit["line"], titled(titles), 1)).alias("title"))
+
+    firsts = lambda lines: F.array_sort(F.filter(F.array(*(first(lines, i, *x) for i, x in enumerate(SECTIONS))), lambda s: s["start"].isNotNull()))
+
+    def closed(ordered: Column) -> Column:
+        ends = F.concat(F.transform(F.slice(ordered, 2, len(SECTIONS)), lambda s: s["start"]), F.array(F.length(text)))
+        return F.zip_with(ordered, F.slice(ends, 1, F.size(ordered)), lambda s, e: F.struct(s["name"].alias("name"), s["title"].alias("title"), s["start"].alias("start"), e.alias("end")))
+
+    return T.let(T.let(lined(T.match_spans(text, any_title)), firsts), closed)
 
 
 def doi_of(text: Column) -> Column:

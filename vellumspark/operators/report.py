@@ -96,6 +96,18 @@ def table_head(columns: list[str]) -> str:
     return "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns)
 
 
+def tile_lines(tiles: DataFrame) -> DataFrame:
+    """(tile, place, line): the tables of a tiled comparison as Markdown, a head and a row per keyword for each tile.
+
+    The order of lines is that of tile and place; heads have no place.
+    """
+    bars = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+    rows = tiles.select("tile", "place", bars(F.concat(F.array("keyword"), F.transform("totals", lambda t: t.cast("string")))).alias("line"))
+    head = F.concat(bars(F.concat(F.array(F.lit("keyword")), "files")), F.lit("\n|"), F.repeat(F.lit("---|"), F.size("files") + 1))
+    heads = tiles.select("tile", "files").distinct().select("tile", F.lit(None).cast(tiles.schema["place"].dataType).alias("place"), head.alias("line"))
+    return rows.unionByName(heads)
+
+
 def absence_lines(absent: DataFrame) -> DataFrame:
     return absent.select(F.concat(F.lit("- **"), "keyword", F.lit("**: nao aparece em "), F.array_join("files", ", ")).alias("line"))
 

@@ -229,8 +229,9 @@ SELECT raw, CAST(row_number() OVER (PARTITION BY raw ORDER BY i) - 1 AS INTEGER)
     "scan_occurrences": _occurrences(),
     "chunks": _CHUNKS,
     "report_lines": f"""
-WITH r AS {_RESULTS}
-SELECT '| ' || keyword || ' | ' || string_agg(CAST(total AS VARCHAR), ' | ' ORDER BY file) || ' |' AS line FROM r GROUP BY keyword
+WITH r AS {_RESULTS}, f AS (SELECT file, (row_number() OVER (ORDER BY file) - 1) // 8 AS tile FROM (SELECT DISTINCT file FROM r))
+SELECT '| ' || keyword || ' | ' || string_agg(CAST(total AS VARCHAR), ' | ' ORDER BY file) || ' |' AS line FROM r JOIN f USING (file) GROUP BY keyword, tile
+UNION ALL SELECT '| keyword | ' || string_agg(file, ' | ' ORDER BY file) || ' |' || chr(10) || '|' || repeat('---|', CAST(count(*) AS INTEGER) + 1) FROM f GROUP BY tile
 UNION ALL SELECT '- **' || keyword || '**: nao aparece em ' || string_agg(file, ', ' ORDER BY file) FROM r WHERE total = 0 GROUP BY keyword""",
     "sentences": f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS n, s[i] AS sentence, regexp_matches(s[i], '{_NUMBER}') AS numbered FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, list_filter(list_transform({_CUT}, lambda y: trim(y)), lambda y: y <> '') AS s FROM (SELECT doc_id, {_SQUEEZED} AS x FROM {_DOCS})))",
     "triage": f"""
@@ -239,7 +240,9 @@ g AS (SELECT session_id, content_sha256, min(arrival) AS seat FROM u GROUP BY se
 f AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY seat) AS place FROM g)
 SELECT session_id, arrival, content_sha256, CASE WHEN place <= 25 AND arrival = seat THEN 'accepted' ELSE 'refused' END AS status, CASE WHEN place <= 25 AND arrival > seat THEN 'already in the batch (same content)' WHEN place > 25 THEN 'limit of 25 files per session reached' END AS reason FROM u JOIN f USING (session_id, content_sha256)""",
     "free_seats": f"SELECT source AS session_id, CAST(greatest(0, 40 - count(*)) AS INTEGER) AS seats FROM {_DOCS} GROUP BY source",
-    "comparison_pivot": f"SELECT * FROM (PIVOT (SELECT keyword, file, total FROM {_RESULTS}) ON file USING max(total) GROUP BY keyword)",
+    "comparison_pivot": f"""
+WITH r AS {_RESULTS}, f AS (SELECT file, row_number() OVER (ORDER BY file) - 1 AS nth FROM (SELECT DISTINCT file FROM r))
+SELECT keyword, CAST(nth // 8 AS INTEGER) AS tile, string_agg(file, '|' ORDER BY file) AS files, string_agg(CAST(total AS VARCHAR), '|' ORDER BY file) AS totals FROM r JOIN f USING (file) GROUP BY keyword, nth // 8""",
     "absent_keywords": f"SELECT keyword, string_agg(file, ',' ORDER BY file) AS files FROM {_RESULTS} WHERE total = 0 GROUP BY keyword",
     "batch_overview": f"""
 WITH c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (total > 0) AS f FROM ({_per_keyword('doc_id', KEYWORDS, False, _DOCS)}) GROUP BY doc_id),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import progress
 from ..functions import text as T
 from ..operators import batch, chunk, deep, items, locate, markdown, model, report, scan, skim
-from ..session import ship
+from ..session import ship, written
 
 KEYWORDS = ["license", "the of", "und", "ément", "token"]
 
@@ -170,20 +170,15 @@ def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("file", "keyword").agg(F.sum("total").cast("int").alias("total")).select(F.col("file").alias("item"), "file", position.alias("position"), "keyword", "total")
 
 
-#: The name of the item of documents without a source; and the most items that a table with a column for each may have.
-NO_SOURCE, MOST_FILES = "(none)", 1000
-
-
-def _files(spark: SparkSession, sf_dir: str) -> list[str]:
-    """The columns of a comparison: all sources that there are."""
-    found = documents(spark, sf_dir).select(F.coalesce("source", F.lit(NO_SOURCE)).alias("file")).distinct().limit(MOST_FILES + 1).collect()
-    if len(found) > MOST_FILES:
-        raise ValueError(f"more than {MOST_FILES} items have no comparison by columns")
-    return sorted(r[0] for r in found)
+#: The name of the item of documents without a source; and columns of a tile, so few that the tables have several.
+NO_SOURCE, TILE = "(none)", 8
 
 
 def comparison_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return batch.comparison(_results(spark, sf_dir), _files(spark, sf_dir))
+    """The comparison of all sources, in tiles of their columns."""
+    # Written: the texts are read once, and the few totals several times.
+    tiles = batch.tiled(written(_results(spark, sf_dir), "results"), TILE)
+    return tiles.select("keyword", "tile", F.array_join("files", "|").alias("files"), F.array_join("totals", "|").alias("totals"))
 
 
 def absent_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -265,10 +260,10 @@ def remaining_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batch table and the absences as Markdown lines."""
-    files = _files(spark, sf_dir)
-    table = batch.comparison(_results(spark, sf_dir), files)
-    return report.table_lines(table, ["keyword", *files]).unionByName(report.absence_lines(batch.absent(_results(spark, sf_dir))))
+    """The batch tables and the absences as Markdown lines."""
+    results = written(_results(spark, sf_dir), "results")
+    tables = report.tile_lines(batch.tiled(results, TILE)).select("line")
+    return tables.unionByName(report.absence_lines(batch.absent(results)))
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:

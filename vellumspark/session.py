@@ -9,6 +9,8 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _ROOT = Path(__file__).resolve().parent
 
@@ -71,3 +73,27 @@ def discard(*tables: DataFrame) -> None:
         spark = df.sparkSession
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.vellum_path)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def in_order(df: DataFrame, order: list, name: str, parts: int | None = None) -> DataFrame:
+    """Sort by ranges and write; adds ``nth``, a row's place in the whole order, from 0.
+
+    The last key should tell all rows apart, so that equal rows can lie in several ranges.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # monotonically_increasing_id holds the partition above 33 bits of the place in it.
+    rows = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), name)
+    return counted(rows)
+
+
+def counted(df: DataFrame) -> DataFrame:
+    """Replace ``__at``, a written monotonically_increasing_id, by ``nth``, which has no gaps."""
+    part = F.shiftright("__at", 33)
+    sizes = df.groupBy(part.alias("__part")).agg(F.count("*").alias("__rows"))
+    # One row per partition of the written table.
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
+    out = df.withColumn("__part", part).join(F.broadcast(sizes), "__part")
+    out = out.withColumn("nth", F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__before", "__at")
+    out.vellum_path = df.vellum_path
+    return out
