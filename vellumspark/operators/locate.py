@@ -22,18 +22,37 @@ SIMILARITY, LEAST_TARGET, LEAST_SENTENCE = 0.55, 15, 25
 COLOURS = {"keyword": "ffe066", "evidencia": "8ce99a", "limitacao": "ffc078"}
 
 def page_words(words: DataFrame) -> DataFrame:
-    """(doc_id, page, norm, words): folded words of a page joined by blanks, each with its half-open place and its box."""
-    rows = words.withColumn("norm", T.fold("text"))
-    before = Window.partitionBy("doc_id", "page").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("start", F.coalesce(F.sum(F.length("norm") + 1).over(before), F.lit(0)).cast("int"))
-    rows = rows.withColumn("end", (F.col("start") + F.length("norm")).cast("int"))
-    listed = F.array_sort(F.collect_list(F.struct("idx", "norm", "start", "end", "x0", "x1", "top", "bottom")))
-    return rows.groupBy("doc_id", "page").agg(listed.alias("words")).withColumn("norm", F.array_join("words.norm", " "))
+    """(doc_id, page, norm, words): folded words of a page joined by line ends, each with its box.
+
+    A word's own white space becomes blanks, so line ends part words alone.
+    """
+    rows = words.withColumn("norm", F.regexp_replace(T.fold("text"), f"(?U){T.SPACE}", " "))
+    listed = F.array_sort(F.collect_list(F.struct("idx", "norm", "x0", "x1", "top", "bottom")))
+    return rows.groupBy("doc_id", "page").agg(listed.alias("words")).withColumn("norm", F.array_join("words.norm", "\n"))
+
+
+def _line_ends(c: Column) -> Column:
+    return F.length(c) - F.length(F.replace(c, F.lit("\n"), F.lit("")))
+
+
+def word_spans(norm: Column, pattern: str) -> Column:
+    """Numbers of the first and last word of all matches: array<struct<first:int,last:int>>.
+
+    Words are counted by the line ends of matches and of what stands between, once for all matches: the time doesn't grow
+    with the product of both. Matches begin and end within words.
+    """
+
+    def counted(matches: Column) -> Column:
+        gaps = F.slice(F.split(norm, pattern, -1), 1, F.size(matches))
+        last = T.running_sums(F.zip_with(matches, gaps, lambda m, g: _line_ends(m) + _line_ends(g)))
+        spans = F.zip_with(matches, last, lambda m, n: F.struct((n - _line_ends(m)).alias("first"), n.alias("last")))
+        return F.when(F.size(matches) > 0, spans).otherwise(F.array().cast("array<struct<first:int,last:int>>"))
+
+    return T.let(F.regexp_extract_all(norm, F.lit(pattern), F.lit(0)), counted)
 
 
-def _touched(words: Column, span: Column) -> Column:
-    """Words of which a match has a character; the blank after a word counts as its own."""
-    return F.filter(words, lambda w: (w["start"] < span["end"]) & (w["end"] >= span["start"]))
+def _words_of(span: Column) -> Column:
+    return F.slice(F.col("words"), span["first"] + 1, span["last"] - span["first"] + 1)
 
 
 def boxes(words: Column, height: Column, left: Column, base: Column) -> Column:
@@ -62,11 +81,12 @@ def mark_terms(words: DataFrame, page_boxes: DataFrame, terms: list[str], flexib
     """(doc_id, page, category, comment, target, n, rects) for every occurrence of a term; n counts them on the page."""
     patterns = [(t, p) for t in terms if (p := T.keyword_pattern(t, flexible))]
     rows = page_words(words).join(page_boxes, ["doc_id", "page"])
-    listed = F.array(*(F.struct(F.lit(t).alias("target"), T.match_spans(F.col("norm"), p).alias("spans")) for t, p in patterns))
-    hits = F.explode(listed.cast("array<struct<target:string,spans:array<struct<start:int,end:int>>>>"))
-    rows = rows.withColumn("hit", hits).select("*", F.posexplode("hit.spans").alias("n", "span"))
-    found = _touched(F.col("words"), F.col("span"))
-    return rows.select("doc_id", "page", F.lit("keyword").alias("category"), F.concat(F.lit("Keyword: "), F.col("hit.target")).alias("comment"), F.col("hit.target").alias("target"), "n", boxes(found, F.col("height"), F.col("left"), F.col("bottom")).alias("rects"))
+    # Boxes are made from the page's row: what is exploded holds no words.
+    marked = lambda p: F.transform(word_spans(F.col("norm"), p), lambda s: boxes(_words_of(s), F.col("height"), F.col("left"), F.col("bottom")))
+    listed = F.array(*(F.struct(F.lit(t).alias("target"), marked(p).alias("found")) for t, p in patterns))
+    kind = "array<struct<target:string,found:array<array<struct<x0:double,y0:double,x1:double,y1:double>>>>>"
+    hits = rows.select("doc_id", "page", F.explode(listed.cast(kind)).alias("hit")).select("doc_id", "page", F.col("hit.target").alias("target"), F.posexplode("hit.found").alias("n", "rects"))
+    return hits.select("doc_id", "page", F.lit("keyword").alias("category"), F.concat(F.lit("Keyword: "), "target").alias("comment"), "target", "n", "rects")
 
 
 def best_sentence(page: str | None, target: str | None, least: float = SIMILARITY) -> tuple[str | None, float]:
@@ -118,9 +138,10 @@ def mark_passages(words: DataFrame, page_boxes: DataFrame, page_texts: DataFrame
     rows = page_texts.join(passages, "doc_id").filter(F.col("pages").isNull() | F.array_contains("pages", F.col("page").cast("int")))
     rows = fuzzy(rows.withColumnRenamed("text", "page_text"), least).filter("sentence is not null")
     rows = rows.withColumn("wanted", T.fold("sentence")).join(page_words(words), ["doc_id", "page"]).join(page_boxes, ["doc_id", "page"])
-    at = F.instr(F.col("norm"), F.col("wanted")) - 1
-    span = F.struct(at.alias("start"), (at + F.length("wanted")).alias("end"))
-    found = _touched(F.col("words"), span)
+    at = F.instr(F.replace("norm", F.lit("\n"), F.lit(" ")), F.col("wanted")) - 1
+    upto = lambda n: _line_ends(F.left("norm", n))
+    # A sentence that ends in a word, not before it.
+    found = _words_of(F.struct(upto(at).alias("first"), upto(at + F.length(F.rtrim("wanted"))).alias("last")))
     return rows.filter(at >= 0).select("doc_id", "page", "category", "comment", "target", boxes(found, F.col("height"), F.col("left"), F.col("bottom")).alias("rects"))
 
 

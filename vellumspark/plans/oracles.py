@@ -254,6 +254,8 @@ WITH r AS (SELECT conv_id, turn, {_LABEL} AS raw FROM conversations), g AS (SELE
 SELECT conv_id, turn, CASE WHEN b <> '' AND b <> a THEN a || '-' || b ELSE a END AS label, CASE WHEN a <> '' THEN array_to_string(range(least(CAST(a AS INT), CAST(CASE WHEN b = '' THEN a ELSE b END AS INT)), greatest(CAST(a AS INT), CAST(CASE WHEN b = '' THEN a ELSE b END AS INT)) + 1), ',') END AS pages FROM g""",
     "lenient_json": f"SELECT doc_id, CAST(CASE WHEN doc_id % 4 = 3 THEN 0 ELSE 2 END AS INTEGER) AS n, CASE WHEN doc_id % 4 <> 3 THEN {_BODY_CLAIM} END AS claim, CASE WHEN doc_id % 4 <> 3 THEN CAST(doc_id % 9 + 1 AS VARCHAR) END AS page FROM documents",
     "term_marks": f"SELECT doc_id, page, target, CAST(n AS INTEGER) AS n, CAST(1 AS INTEGER) AS n_rects, CAST(43 + 50 * (idx % 8) AS DOUBLE) AS x0, CAST(5000 - (42 + 14 * (idx // 8)) + 7 AS DOUBLE) AS y0, CAST(91 + 50 * (idx % 8) AS DOUBLE) AS x1, CAST(5000 - (30 + 14 * (idx // 8)) + 7 AS DOUBLE) AS y1 FROM {_MARKS}",
+    "pdf_pages": "SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS page, trim(regexp_replace(regexp_replace(coalesce(text, ''), '[ ]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g')) AS text, CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\n]+'), lambda x: x <> '')) AS INTEGER) AS n_words, CASE WHEN turn = 0 THEN 'Conversa ' || conv_id END AS title, false AS faulty FROM conversations",
+    "pdf_annotations": f"SELECT doc_id, page, 'Keyword: ' || target AS comment, 'ffe066' AS colour, count(*) AS n, CAST(1 AS INTEGER) AS boxes FROM {_MARKS} GROUP BY doc_id, page, target",
     "marks_by_category": f"SELECT doc_id, 'keyword' AS category, CAST(count(*) AS INTEGER) AS n FROM {_MARKS} GROUP BY doc_id",
     "remaining_time": f"""SELECT event_id, round(l, 6) AS "left", CASE WHEN l < 60 THEN 'menos de 1 min' WHEN round(l / 60) < 60 THEN '~' || CAST(round(l / 60) AS BIGINT) || ' min' ELSE '~' || CAST(floor(round(l / 60) / 60) AS BIGINT) || ' h ' || CAST(round(l / 60) % 60 AS BIGINT) || ' min' END AS label FROM (SELECT event_id, CASE WHEN event_id % 97 > 0 AND event_id % 5000 > 0 THEN {_LEFT} END AS l FROM events) WHERE l IS NOT NULL UNION ALL SELECT event_id, NULL, NULL FROM events WHERE event_id % 97 = 0 OR event_id % 5000 = 0""",
     "page_lookup": f"SELECT event_id, CASE WHEN t.page IS NULL THEN 404 ELSE 200 END AS status, CASE WHEN i.doc_id IS NULL THEN 'artigo nao encontrado nesta sessao' WHEN t.page IS NULL THEN 'pagina fora do intervalo' END AS error, t.text AS page_text FROM {_REQUESTS} r LEFT JOIN {_ITEMS} i USING (session_id, doc_id) LEFT JOIN {_NUMBERED} t ON t.doc_id = i.doc_id AND t.page = r.number",

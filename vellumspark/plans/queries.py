@@ -14,6 +14,7 @@ from ..functions import progress
 from ..functions import text as T
 from ..operators import batch, chunk, deep, items, locate, markdown, model, report, scan, skim
 from ..session import ship, written
+from ..sources import pdf_files
 
 KEYWORDS = ["license", "the of", "und", "ément", "token"]
 
@@ -249,6 +250,28 @@ def term_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marks.select("doc_id", "page", "target", "n", F.size("rects").alias("n_rects"), rect["x0"].alias("x0"), rect["y0"].alias("y0"), rect["x1"].alias("x1"), rect["y1"].alias("y1"))
 
 
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as a PDF file, a page for each turn."""
+    docs = model.paged(turns(spark, sf_dir)).select("doc_id", F.col("pages.text").alias("pages"), F.create_map(F.lit("Title"), F.concat(F.lit("Conversa "), "doc_id")).alias("info"))
+    return pdf_files.rendered(docs)
+
+
+def pdf_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages of all files, read from their bytes."""
+    pages = pdf_files.pages_of(_files(spark, sf_dir), "doc_id", "doc_id")
+    title = F.col("info")["/Title"]
+    return pages.select(F.col("doc_id").cast("long").alias("doc_id"), "page", T.clean_space(F.col("text")).alias("text"), F.size("words").alias("n_words"), title.alias("title"), (F.col("warning").isNotNull() | F.col("error").isNotNull()).alias("faulty"))
+
+
+def pdf_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms found by the words of all files, written into these as highlights, and read again."""
+    files = written(_files(spark, sf_dir), "files")
+    words, boxes = pdf_files.words(pdf_files.pages_of(files, "doc_id", "doc_id"))
+    made = pdf_files.annotated(files, locate.mark_terms(words, boxes, ["the", "und", "de"], False))
+    notes = pdf_files.annotations(made)
+    return notes.groupBy(F.col("doc_id").cast("long").alias("doc_id"), "page", "comment", "colour").agg(F.count("*").alias("n"), F.max("boxes").alias("boxes"))
+
+
 def marks_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     words, boxes = _word_boxes(spark, sf_dir)
     return locate.by_category(locate.mark_terms(words, boxes, ["the", "und", "de"], False))
@@ -324,7 +347,7 @@ def batch_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NAMES = (
     "doc_stats scan_total scan_exact_vs_flexible scan_pages scan_occurrences listed_by_page keyword_parse page_offsets repeated_lines clean_text title_inference sections article_metadata "
-    "markdown_blocks markdown_sections sentences skim_sections skim_numbers skim_conclusions chunks triage free_seats comparison_pivot absent_keywords batch_overview pending page_labels lenient_json fuzzy_locate term_marks "
+    "markdown_blocks markdown_sections sentences skim_sections skim_numbers skim_conclusions chunks triage free_seats comparison_pivot absent_keywords batch_overview pending page_labels lenient_json fuzzy_locate term_marks pdf_pages pdf_annotations "
     "marks_by_category remaining_time report_lines page_lookup item_lookup item_listing item_removal items_cleared keyword_chips analysis_events batch_time"
 ).split()
 
