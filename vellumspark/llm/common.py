@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import discard, new_path, qualified, shared_dir, written
+from ..session import counted, discard, in_order, new_path, qualified, shared_dir, written
 
-__all__ = ["discard", "new_path", "qualified", "shared_dir", "written"]
+__all__ = ["counted", "discard", "in_order", "new_path", "qualified", "shared_dir", "written"]
 
 #: Bytes of a word: digits, ASCII letters (lower-cased) and every byte above 0x7F. All others become a blank.
 WORD_BYTES = bytes(
@@ -39,30 +39,6 @@ def bucket(col: str, n: int, seed: int = 0):
     return F.pmod(F.xxhash64(F.col(col), F.lit(seed)), F.lit(n)).cast("int")
 
 
-def in_order(df: DataFrame, order: list, parts: int, name: str) -> DataFrame:
-    """Sort by ranges and write; ``nth`` is then a row's place in the whole order, from 0.
-
-    The last key should tell all rows apart, so that equal rows can lie in several ranges.
-    """
-    # monotonically_increasing_id holds the partition above 33 bits of the place in it.
-    sorted_rows = written(df.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()), name)
-    return counted(sorted_rows)
-
-
-def counted(df: DataFrame) -> DataFrame:
-    """Replace ``__at``, a written monotonically_increasing_id, by ``nth``, which has no gaps."""
-    part = F.shiftright("__at", 33).alias("__part")
-    sizes = df.groupBy(part).agg(F.count("*").alias("__rows"))
-    # One row per partition of the written table.
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select("__part", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
-    out = df.withColumn("__part", part).join(F.broadcast(sizes), "__part")
-    nth = F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)
-    out = out.withColumn("nth", nth).drop("__part", "__before", "__at")
-    out.vellum_path = df.vellum_path
-    return out
-
-
 def batches(rows: Iterable[tuple], schema: pa.Schema, most: int = 4096) -> Iterator[pa.RecordBatch]:
     """Rows as Arrow batches of bounded length."""
     held: list[tuple] = []

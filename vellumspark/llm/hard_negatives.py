@@ -217,7 +217,7 @@ class Join:
         packed = every.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_pack(scale, tile), _TILE_DDL)
         self.tiles = written(packed.withColumn("tile", F.monotonically_increasing_id()), "negatives-tiles")
         own = rows.filter("is_anchor").groupBy("vec_id").agg(F.min(F.struct("vector", "label")).alias("x")).select("vec_id", "x.label", "x.vector", F.lit(True).alias("is_anchor"))
-        placed = in_order(own.mapInArrow(_place(self.cells), _PLACED_DDL), order, parts, "negatives-anchors")
+        placed = in_order(own.mapInArrow(_place(self.cells), _PLACED_DDL), order, "negatives-anchors")
         self.anchors = placed.select(F.floor(F.col("nth") / group).alias("group"), F.col("vec_id").alias("anchor_id"), "label", "vector", "dim", "cell", "dist", "norm2")
         self.gaps = self.cells.gaps(self.spark)
         self.slices = max(1, -(-self.tiles.count() // TILES_PER_TASK))

@@ -107,9 +107,8 @@ def draw(weighed: DataFrame, least_words: int = LEAST_WORDS, percent: int = PERC
     """
     scored = weighed.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)).withColumn("out", F.col("n_words") < least_words)
     order = [F.col("out").asc(), F.col("score").desc(), F.col("doc_id").asc_nulls_last(), F.col("row").asc()]
-    parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     scored = written(scored, "resampling-scored")
-    placed = in_order(scored, order, parts, "resampling-sorted")
+    placed = in_order(scored, order, "resampling-sorted")
     discard(scored)
     drawn = placed.filter("not out").count() * percent // 100
     rank = F.col("nth") + 1
