@@ -207,6 +207,11 @@ _REQUESTS = "(SELECT event_id, user_id % 7 + CASE WHEN event_id % 11 = 0 THEN 1
 ORACLES: dict[str, str] = {
     "doc_stats": f"SELECT doc_id, n_words, n_chars, {_minutes('n_words')} AS minutes FROM (SELECT doc_id, {_words('text')} AS n_words, CAST(len(text) AS INTEGER) AS n_chars FROM {_DOCS})",
     "scan_total": f"SELECT doc_id, keyword, total, round_even(total * 1000 / greatest(1, w), 2) AS density FROM ({_per_keyword('doc_id, ' + _words('text') + ' AS w', KEYWORDS, True, _DOCS)})",
+    "scan_many": f"""
+WITH k AS (SELECT DISTINCT keyword, {_fold('keyword')} AS folded FROM (SELECT lower(unnest(regexp_split_to_array(text, '[^\\p{{L}}]+'))) AS keyword FROM benchmark) WHERE length(keyword) > 2),
+f AS (SELECT keyword, token FROM (SELECT keyword, folded || unnest(['', 's', 'es', 'is', 'ns', 'ais', 'eis', 'ies', 'ed', 'ing']) AS token FROM k)),
+t AS (SELECT doc_id, w, unnest(tokens) AS token FROM (SELECT doc_id, {_words('text')} AS w, regexp_extract_all({_fold('text')}, '[{_WORD}]+') AS tokens FROM {_DOCS}))
+SELECT doc_id, keyword, CAST(count(*) AS INTEGER) AS total, round_even(count(*) * 1000 / greatest(1, w), 2) AS density FROM t JOIN f USING (token) GROUP BY doc_id, w, keyword""",
     "scan_exact_vs_flexible": f"SELECT doc_id, keyword, exact, flexible FROM ({_per_keyword('doc_id', ['licens', 'an'], False, _DOCS, 'exact')}) JOIN ({_per_keyword('doc_id', ['licens', 'an'], True, _DOCS, 'flexible')}) USING (doc_id, keyword)",
     "scan_pages": f"SELECT doc_id, keyword, page, CAST(total AS BIGINT) AS n FROM ({_per_keyword('doc_id, page', KEYWORDS, False, _TURNS)}) WHERE total > 0",
     "listed_by_page": f"SELECT doc_id, page, CAST(sum(total) AS INTEGER) AS n, CAST(max(sum(total)) OVER (PARTITION BY doc_id) AS INTEGER) AS most FROM ({_per_keyword('doc_id, page', KEYWORDS, False, _TURNS)}) WHERE total > 0 GROUP BY doc_id, page",

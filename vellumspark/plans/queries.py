@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import progress
 from ..functions import text as T
-from ..operators import batch, chunk, deep, items, locate, markdown, model, report, scan, skim
+from ..operators import batch, chunk, deep, items, keywords, locate, markdown, model, report, scan, skim
 from ..session import ship, written
 from ..sources import pdf_files
 
@@ -60,6 +60,13 @@ def scan_exact_vs_flexible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.join(flexible, ["doc_id", "keyword"])
 
 
+def scan_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of the benchmark's texts is a keyword, sought in all documents."""
+    words = F.explode(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 2))
+    wanted = _table(spark, sf_dir, "benchmark").select(words.alias("keyword")).distinct()
+    return keywords.totals(documents(spark, sf_dir), wanted)
+
+
 def scan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Occurrences per document, keyword and page."""
     docs = model.paged(turns(spark, sf_dir))
@@ -346,7 +353,7 @@ def batch_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NAMES = (
-    "doc_stats scan_total scan_exact_vs_flexible scan_pages scan_occurrences listed_by_page keyword_parse page_offsets repeated_lines clean_text title_inference sections article_metadata "
+    "doc_stats scan_total scan_many scan_exact_vs_flexible scan_pages scan_occurrences listed_by_page keyword_parse page_offsets repeated_lines clean_text title_inference sections article_metadata "
     "markdown_blocks markdown_sections sentences skim_sections skim_numbers skim_conclusions chunks triage free_seats comparison_pivot absent_keywords batch_overview pending page_labels lenient_json fuzzy_locate term_marks pdf_pages pdf_annotations "
     "marks_by_category remaining_time report_lines page_lookup item_lookup item_listing item_removal items_cleared keyword_chips analysis_events batch_time"
 ).split()
