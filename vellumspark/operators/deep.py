@@ -22,7 +22,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import text as T
 from ..session import written as kept
-from . import chunk
+from . import answers, chunk
 
 #: Keys of the summary and what they ask for.
 SUMMARY = ("objetivo", "metodologia", "resultados", "conclusao", "relevancia")
@@ -114,8 +114,11 @@ def _ask(client: Client, as_json: bool):
 def ask(rows: DataFrame, client: Client, as_json: bool = False) -> DataFrame:
     """Adds answer and error for rows with a prompt.
 
-    A step of its own in the plan: as an expression, Spark would ask once for a filter and again for the result.
+    A step of its own in the plan: as an expression, Spark would ask once for a filter and again for the result. Of a
+    client whose answers are ``answers.Stored``, only what is missing is asked for.
     """
+    if isinstance(client, answers.Stored):
+        return answers.ask(rows, client, SYSTEM, as_json)
     schema = StructType([*rows.schema.fields, StructField("answer", StringType()), StructField("error", StringType())])
     return rows.mapInArrow(_ask(client, as_json), schema)
 

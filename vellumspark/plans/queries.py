@@ -7,13 +7,16 @@ expressions that the SQL uses.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import progress
 from ..functions import text as T
-from ..operators import batch, chunk, deep, items, keywords, locate, markdown, model, report, scan, skim
-from ..session import ship, written
+from ..operators import answers, batch, chunk, deep, items, keywords, locate, markdown, model, report, scan, skim
+from ..session import new_path, ship, written
 from ..sources import pdf_files
 
 KEYWORDS = ["license", "the of", "und", "ément", "token"]
@@ -345,6 +348,28 @@ def analysis_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deep.events(named, outcomes, ("summary", "findings", "syntheses"), 2)
 
 
+class Mirror:
+    """A client that answers by rule: notes tell how long a part is, all else repeats a digest of its context."""
+
+    def chat(self, prompt: str, system: str, as_json: bool) -> str:
+        context, _, request = prompt.rpartition("\n\n")
+        if not as_json:
+            return f"- {len(context.partition(':\n\n')[2])} characters" if request.startswith("List") else "synthesis"
+        digest = hashlib.sha256(context.encode()).hexdigest()
+        return json.dumps({"objetivo": digest, "achados": [{"afirmacao": digest, "evidencia": "e", "pagina": "p. 2-3"}, digest], "limitacoes": [digest, " "], "keywords": [digest[:8], "k"]})
+
+
+def deep_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents read by a client that answers by rule; its answers are kept in a store."""
+    docs = documents(spark, sf_dir)
+    docs = model.paged(docs.select("doc_id", F.lit(1).alias("page"), F.coalesce("text", F.lit("")).alias("text"))).withColumn("sections", model.sections_of(F.col("text")))
+    client = answers.Stored(Mirror(), "mirror", new_path(spark, "answers"))
+    rows = deep.analyse(docs, scan.scan(docs, KEYWORDS[:2]), client, size=1500, overlap=200, most=5)
+    synthesised = F.filter("keywords", lambda k: k["synthesis"] == "synthesis")
+    first = F.get("findings", F.lit(0))
+    return rows.select("doc_id", F.col("summary.objetivo").alias("digest"), F.col("summary.conclusao").alias("conclusion"), first["claim"].alias("claim"), first["page"].alias("page"), F.size("findings").alias("n_findings"), F.array_join("limitations", ",").alias("limitations"), F.array_join("terms", ",").alias("terms"), F.size(synthesised).alias("n_syntheses"), F.size("errors").alias("n_errors"))
+
+
 def batch_time(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Time left of a batch: the latest events of a user are the finished articles, each event the present one."""
     rows = _table(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 400).cast("double").alias("elapsed"), ((F.col("event_id") % 53) / 53).alias("done"), "value", (F.col("event_id") % 4).alias("left"), (F.col("event_id") % 3).alias("n"))
@@ -355,7 +380,7 @@ def batch_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 _NAMES = (
     "doc_stats scan_total scan_many scan_exact_vs_flexible scan_pages scan_occurrences listed_by_page keyword_parse page_offsets repeated_lines clean_text title_inference sections article_metadata "
     "markdown_blocks markdown_sections sentences skim_sections skim_numbers skim_conclusions chunks triage free_seats comparison_pivot absent_keywords batch_overview pending page_labels lenient_json fuzzy_locate term_marks pdf_pages pdf_annotations "
-    "marks_by_category remaining_time report_lines page_lookup item_lookup item_listing item_removal items_cleared keyword_chips analysis_events batch_time"
+    "marks_by_category remaining_time report_lines page_lookup item_lookup item_listing item_removal items_cleared keyword_chips analysis_events deep_reading batch_time"
 ).split()
 
 
