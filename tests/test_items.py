@@ -149,3 +149,22 @@ def test_notes_are_asked_once(spark, tmp_path):
     rows = deep.analyse(docs, scan.scan(docs, ["absent"]), Counting(str(tmp_path)))
     assert rows.count() == len(rows.collect()) == 1
     assert len(list(tmp_path.glob("note-*"))) == 1
+
+
+def test_reports_in_a_few_files(spark, tmp_path):
+    """A hundred thousand reports: few files, and one found without reading the others."""
+    path = str(tmp_path / "reports")
+    n = 100_000
+    reports = spark.range(n).select(F.format_string("doc%06d", F.col("id")).alias("doc_id"), F.concat(F.lit("# Report "), F.sha2(F.col("id").cast("string"), 512), F.sha2((-F.col("id")).cast("string"), 512)).alias("report"), F.lit(1).alias("other"))
+    reports = reports.unionByName(spark.createDataFrame([(None, "none", 1), ("doc000007", "second", 1)], "doc_id string, report string, other int")).repartition(7)
+    ingest.write_reports(reports, path, file_bytes=8 << 20)
+    assert len(list((tmp_path / "reports").glob("*.parquet"))) <= 4
+    assert ingest.report(spark, path, "doc054321").collect() == reports.filter("doc_id = 'doc054321'").select("doc_id", "report").collect()
+    assert ingest.report(spark, path, "doc000007").count() == 2 and ingest.report(spark, path, "nobody").count() == 0 and spark.read.parquet(path).count() == n + 2
+    found = ingest.report(spark, path, "doc054321")
+    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,doc054321)]" in found._jdf.queryExecution().executedPlan().toString()
+    found.collect()
+    scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+    assert scan.metrics().apply("numOutputRows").value() < n / 5
+    ingest.write_reports(reports.filter("false"), str(tmp_path / "none"))
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0

@@ -99,6 +99,22 @@ def metadata(files_read: DataFrame, column: str = "info") -> DataFrame:
     return files_read.select("doc_id", F.transform_values(F.transform_keys(known, lambda k, v: names[k]), lambda k, v: T.strip(v)).alias("metadata"))
 
 
-def write_reports(reports: DataFrame, path: str, mode: str = "error") -> None:
-    """Each report as a row of text files, in one folder per document."""
-    reports.select(F.col("report").alias("value"), "doc_id").write.partitionBy("doc_id").mode(mode).text(path)
+#: Bytes of reports in a file, and in a group of rows that is read at once, about.
+FILE_BYTES, GROUP_BYTES = 128 << 20, 1 << 20
+
+
+def write_reports(reports: DataFrame, path: str, mode: str = "error", file_bytes: int = FILE_BYTES) -> None:
+    """Reports (doc_id, report) in a few large files, sorted by id, in small groups of rows with bounds of their ids.
+
+    A report is found by its id through these bounds. Of reports with one id, or none, all are kept. For a file for each
+    report, write (name, content) to the sink ``whole_files``.
+    """
+    size = reports.agg(F.coalesce(F.sum(F.octet_length("report")), F.lit(0))).first()[0]
+    order = [F.col("doc_id"), F.xxhash64("report")]
+    rows = reports.select("doc_id", "report").repartitionByRange(max(1, -(-size // file_bytes)), *order).sortWithinPartitions(*order)
+    rows.write.mode(mode).option("parquet.block.size", GROUP_BYTES).option("parquet.block.size.row.check.min", 100).option("parquet.page.size.row.check.min", 100).parquet(path)
+
+
+def report(spark: SparkSession, path: str, doc_id) -> DataFrame:
+    """(doc_id, report) of one document: only the groups of rows whose bounds hold its id are read."""
+    return spark.read.parquet(path).filter(F.col("doc_id") == F.lit(doc_id))
