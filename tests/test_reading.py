@@ -50,8 +50,6 @@ def test_scan_details(spark):
 
 
 def test_keyword_lists(spark):
-    assert T.split_keywords("a, b; c\nd") == ["a", "b", "c", "d"]
-    assert T.split_keywords("Viés, vies, VIÉS") == ["Viés"]
     lists = spark.createDataFrame([("Viés, vies, VIÉS",), ('a, "b"; c\nd',)], "raw string")
     got = {}
     for r in scan.parsed_keywords(lists).orderBy("raw", "position").collect():
@@ -157,6 +155,29 @@ def test_triage(spark):
     assert full[5][1] == full[7][1] == batch.FULL.format(5) and full[6][1] == batch.DUPLICATE
 
 
+def test_triage_with_seats_taken(spark):
+    """Against the batch without them, on many contents of one session, with null sessions and repeats."""
+    ups = spark.range(600).select(F.when(F.col("id") % 50 > 0, "s").alias("session_id"), F.col("id").alias("arrival"), (F.col("id") % 200).cast("string").alias("content_sha256"))
+    held = spark.createDataFrame([("s", "3"), ("s", "3"), ("s", "7"), ("t", "1")], "session_id string, content_sha256 string")
+    got = {(r["session_id"], r["arrival"]): (r["status"], r["reason"]) for r in batch.triage(ups, held, 5).collect()}
+    taken, want = {"s": ["3", "7"], None: []}, {}
+    for i in range(600):
+        s, c = ("s" if i % 50 else None), str(i % 200)
+        reason = batch.DUPLICATE if c in taken[s] else batch.FULL.format(5) if len(taken[s]) >= 5 else None
+        taken[s] += [] if reason else [c]
+        want[s, i] = ("refused" if reason else "accepted", reason)
+    assert got == want and len(got) == 600
+    plan = batch.triage(ups, held, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_pages_without_an_id_are_cleaned_too(spark):
+    texts = [f"Journal\ntext number {i} of it\n{i}" for i in range(5)]
+    pages = spark.createDataFrame([(d, i + 1, t) for d in ("a", None) for i, t in enumerate(texts)], "doc_id string, page int, text string")
+    assert model.repeated_lines(pages).count() == 2 and {r["text"] for r in model.clean_pages(pages).collect()} == {f"text number {i} of it" for i in range(5)}
+    assert model.clean_pages(pages).count() == 10
+
+
 def test_batch_tables(spark):
     results = spark.createDataFrame([(0, "a.pdf", 0, "telemedicina", 2), (0, "a.pdf", 1, "adesao", 0), (1, "b.pdf", 0, "telemedicina", 0), (1, "b.pdf", 1, "adesao", 2)], "item int, file string, position int, keyword string, total int")
     assert [tuple(r) for r in batch.comparison(results, ["a.pdf", "b.pdf", "c.pdf"]).collect()] == [("telemedicina", 2, 0, 0), ("adesao", 0, 2, 0)]

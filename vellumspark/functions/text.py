@@ -166,16 +166,6 @@ def keyword_pattern(keyword: str, flexible: bool = True) -> str | None:
     return rf"(?U)(?<!\w){body}(?!\w)"
 
 
-def split_keywords(raw: str) -> list[str]:
-    """A list of keywords at commas, semicolons and line ends; of spellings that fold alike the first stays."""
-    seen: dict[str, str] = {}
-    for part in re.split(r"[,;\n]+", raw or ""):
-        term = part.strip().strip('"').strip("'")
-        if term:
-            seen.setdefault(fold_text(term), term)
-    return list(seen.values())
-
-
 def keyword_chips(c: Column) -> Column:
     """Keywords of a list as they are shown: parted like parsed ones, but with quotes and repeats; none of a null."""
     parts = F.filter(F.transform(F.split(c, "[,;\n]+", -1), strip), lambda t: t != "")

@@ -19,24 +19,26 @@ def triage(uploads: DataFrame, existing: DataFrame | None = None, limit: int = L
     ``existing`` has (session_id, content_sha256). First occurrences of new contents take the free seats of their session
     in order of arrival; a repeat is a duplicate only if what it repeats has a seat.
 
-    Contents are pre-aggregated, and a session's seats are given to its few earliest new contents.
+    Contents are pre-aggregated, and no more contents of a session are ranked than there can be seats: where some are
+    taken, the first ``limit`` new ones are ranked all the same. A null session is one of its own, a null hash one content.
     """
-    keys = ["session_id", "content_sha256"]
-    first = uploads.groupBy(*keys).agg(F.min("arrival").alias("first"))
+    uploads = uploads.withColumn("__s", F.struct("session_id", "content_sha256"))
+    first = uploads.groupBy("__s").agg(F.min("arrival").alias("first"))
     if existing is not None:
-        held = existing.select(*keys).distinct()
-        seats = held.groupBy("session_id").agg(F.greatest(F.lit(0), F.lit(limit) - F.count("*")).alias("seats"))
-        first = first.join(held.withColumn("held", F.lit(True)), keys, "left").join(seats, "session_id", "left")
+        held = existing.select(F.struct("session_id", "content_sha256").alias("__s")).distinct()
+        seats = held.groupBy(F.struct("__s.session_id").alias("__in")).agg(F.greatest(F.lit(0), F.lit(limit) - F.count("*")).alias("seats"))
+        first = first.join(held.withColumn("held", F.lit(True)), "__s", "left")
     else:
-        first = first.withColumn("held", F.lit(None).cast("boolean")).withColumn("seats", F.lit(None).cast("long"))
-    fresh = first.filter("held is null")
-    # Rank within the session: the window's rows are distinct new contents.
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("first"))
-    seated = fresh.withColumn("place", place).filter(F.col("place") <= F.coalesce("seats", F.lit(limit))).select(*keys, F.col("first").alias("seat"))
-    rows = uploads.join(first.select(*keys, "held"), keys, "left").join(seated, keys, "left")
+        first, seats = first.withColumn("held", F.lit(None).cast("boolean")), None
+    fresh = first.filter("held is null").withColumn("__in", F.struct("__s.session_id"))
+    place = F.row_number().over(Window.partitionBy("__in").orderBy("first"))
+    # A group limit: each task passes on the few earliest of a session alone.
+    seated = fresh.withColumn("place", place).filter(F.col("place") <= limit)
+    seated = seated.join(seats, "__in", "left").filter(F.col("place") <= F.coalesce("seats", F.lit(limit))) if seats is not None else seated
+    rows = uploads.join(first.select("__s", "held"), "__s", "left").join(seated.select("__s", F.col("first").alias("seat")), "__s", "left")
     taken = F.coalesce("held", F.lit(False)) | F.coalesce(F.col("arrival") > F.col("seat"), F.lit(False))
     accepted = ~taken & F.col("seat").isNotNull()
-    return rows.withColumn("status", F.when(accepted, "accepted").otherwise("refused")).withColumn("reason", F.when(taken, DUPLICATE).when(~accepted, FULL.format(limit))).drop("held", "seat")
+    return rows.withColumn("status", F.when(accepted, "accepted").otherwise("refused")).withColumn("reason", F.when(taken, DUPLICATE).when(~accepted, FULL.format(limit))).drop("__s", "held", "seat")
 
 
 def free_seats(items: DataFrame, limit: int = LIMIT) -> DataFrame:

@@ -17,7 +17,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as T
 
-SIMILARITY, LEAST_TARGET, LEAST_SENTENCE = 0.55, 15, 25
+#: Least ratio of a passage, least lengths of what is sought and of a sentence, and where sentences end.
+SIMILARITY, LEAST_TARGET, LEAST_SENTENCE, SENTENCE_END = 0.55, 15, 25, r"(?<=[.;!?])\s+|\n"
 #: Colours of highlights.
 COLOURS = {"keyword": "ffe066", "evidencia": "8ce99a", "limitacao": "ffc078"}
 
@@ -96,7 +97,7 @@ def best_sentence(page: str | None, target: str | None, least: float = SIMILARIT
         return None, 0.0
     # Bounds of the ratio are cheaper than the ratio: what cannot be better than the best so far is left out.
     match, ratio, best = SequenceMatcher(None, "", T.fold_text(wanted)), 0.0, None
-    for sentence in map(str.strip, re.split(r"(?<=[.;!?])\s+|\n", page)):
+    for sentence in map(str.strip, re.split(SENTENCE_END, page)):
         if len(sentence) > LEAST_SENTENCE:
             match.set_seq1(T.fold_text(sentence))
             if match.real_quick_ratio() > ratio and match.quick_ratio() > ratio and (now := match.ratio()) > ratio:

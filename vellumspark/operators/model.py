@@ -43,7 +43,9 @@ def repeated_lines(pages: DataFrame, share: float = 0.6, least_pages: int = 4) -
     lines = pages.select("doc_id", "page", F.explode(F.array_distinct(F.transform(F.split("text", "\n", -1), T.strip))).alias("line"))
     lines = lines.filter(F.length("line").between(4, 119)).groupBy("doc_id", "line").agg(F.countDistinct("page").alias("n_pages"))
     sizes = pages.groupBy("doc_id").agg(F.countDistinct("page").alias("size"))
-    found = lines.join(sizes, "doc_id").filter((F.col("size") >= least_pages) & (F.col("n_pages") >= F.greatest(F.lit(3), F.floor(F.col("size") * share))))
+    sizes = sizes.withColumnRenamed("doc_id", "of")
+    # Pages without an id are of one document.
+    found = lines.join(sizes, F.col("doc_id").eqNullSafe(F.col("of"))).filter((F.col("size") >= least_pages) & (F.col("n_pages") >= F.greatest(F.lit(3), F.floor(F.col("size") * share))))
     return found.select("doc_id", "line", F.col("n_pages").cast("int").alias("n_pages"))
 
 
@@ -52,8 +54,8 @@ def clean_pages(pages: DataFrame) -> DataFrame:
 
     Page numbers go only where repeated lines were found. Lines to drop are found in the raw text.
     """
-    drop = repeated_lines(pages).groupBy("doc_id").agg(F.collect_set("line").alias("drop"))
-    rows = pages.join(drop, "doc_id", "left").withColumn("text", T.dehyphenate(F.col("text")))
+    drop = repeated_lines(pages).groupBy(F.col("doc_id").alias("__of")).agg(F.collect_set("line").alias("drop"))
+    rows = pages.join(drop, F.col("doc_id").eqNullSafe(F.col("__of")), "left").drop("__of").withColumn("text", T.dehyphenate(F.col("text")))
 
     def kept(line: Column) -> Column:
         bare = T.strip(line)
