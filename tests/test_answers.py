@@ -72,5 +72,4 @@ def test_a_reading_is_resumed(spark, tmp_path):
     for _ in range(2):
         rows = deep.analyse(docs, scan.scan(docs, ["text"]), held, size=4000).collect()
     prompts = asked(tmp_path)
-    assert all(len(r["findings"]) == 0 and r["terms"] == [] and "unexpected form" in r["errors"][0] and r["keywords"][0]["synthesis"].startswith("<") for r in rows)
     assert len(rows) == 3 and len(prompts) == len(set(prompts)) > 15
