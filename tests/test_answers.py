@@ -4,6 +4,7 @@ import os
 import pathlib
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -73,3 +74,27 @@ def test_a_reading_is_resumed(spark, tmp_path):
         rows = deep.analyse(docs, scan.scan(docs, ["text"]), held, size=4000).collect()
     prompts = asked(tmp_path)
     assert len(rows) == 3 and len(prompts) == len(set(prompts)) > 15
+
+
+def test_files_grow_with_time_not_with_answers(spark, tmp_path, monkeypatch):
+    class Quick:
+        def chat(self, prompt, system, as_json):
+            return prompt
+
+    held = answers.Stored(Quick(), "m", str(tmp_path / "store"))
+    rows = spark.range(3000).select(F.col("id").cast("string").alias("prompt"))
+    assert answers.ask(rows, held, "s", prompts=False).columns == ["answer", "error"]
+    assert answers.stored(spark, held.path).count() == 3000 and len(list((tmp_path / "store").glob("*.parquet"))) <= 32
+    # A slow client's answers are kept one by one.
+    monkeypatch.setattr(answers, "FILE_SECONDS", 0.0)
+    slow = answers.Stored(Quick(), "m", str(tmp_path / "slow"))
+    list(answers._asked(slow, "s", False)(iter([pa.RecordBatch.from_pydict({"key": list("abc"), "prompt": list("abc")})])))
+    assert len(list((tmp_path / "slow").glob("*.parquet"))) == 3
+
+
+def test_whole_texts_are_not_carried_through_the_stages(spark):
+    docs = model.assemble(spark.createDataFrame([(i, 1, f"Abstract\nfirst {i}\n\nDiscussion\nsecond {i}\n\nLimitations\nthird {i}") for i in range(3)], "doc_id int, page int, text string"))
+    context = deep.contexts(docs, spark.createDataFrame([(1, 0, "a note")], "doc_id int, index int, note string"))
+    got = {r["doc_id"]: (r["context"], r["extra"]) for r in context.collect()}
+    assert got[1] == ("### Notas de leitura\na note\n\n### Secao resumo\nAbstract\nfirst 1\n\n", "Limitations\nthird 1")
+    assert got[2][0].startswith("### Notas de leitura\n\n\n### Secao resumo")
