@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from vellumspark.functions import progress
 from vellumspark.functions import text as T
 from vellumspark.operators import batch, chunk, deep, locate, markdown, model, report, scan, skim
-from vellumspark.plans import queries
+from vellumspark.plans import oracles, queries
 
 
 def pages(spark, *docs):
@@ -426,3 +426,16 @@ def test_passages_and_batch_reports(spark):
     done = spark.createDataFrame([("x", '{"a":1}'), ("y", '{"a":2}')], "doc_id string, report string")
     whole = report.batch_json(done, spark.createDataFrame([("y", "s", 0, 'q"b.pdf'), ("x", "s", 1, "a.pdf")], "doc_id string, session_id string, item int, file string")).first()["report"]
     assert [(a["a"], a["arquivo"]) for a in json.loads(whole)["artigos"]] == [(2, 'q"b.pdf'), (1, "a.pdf")]
+
+
+def test_sql_of_listed_by_page_has_the_listed_ones_and_those_over_a_page_end(spark, tmp_path):
+    import duckdb
+
+    rows = [(1, 0, "token " * 30 + "the"), (1, 1, "of token " * 15), (2, 0, " "), (2, 1, "und the"), (2, 2, "-"), (2, 3, "of UND"), (3, 0, "none")]
+    spark.createDataFrame(rows, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = sorted(map(tuple, queries.listed_by_page(spark, str(tmp_path)).collect()))
+    # Ten of 45 tokens on the second page are listed; "the of" starts on the first.
+    assert got == [(1, 1, 31, 31), (1, 2, 10, 31), (2, 2, 2, 2), (2, 4, 1, 2)]
+    base = duckdb.connect()
+    base.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(base.execute(f"SELECT doc_id, page, n, most FROM ({oracles.ORACLES['listed_by_page']})").fetchall()) == got

@@ -161,14 +161,18 @@ SELECT doc_id, CAST(n AS INTEGER) AS position, sentence, CAST(1 AS INTEGER) AS p
 _BARE_TITLE = _strip(_fold(rf"regexp_replace(title, '^{_S}*(?:\d{{1,2}}(?:\.\d{{1,2}})*|[ivxIVX]{{1,5}})(?:{_S}*[.)\-–]{_S}*|{_S}+)', '')"))
 _CONCLUDES = " OR ".join([f"contains({_fold('sentence')}, '{m}')" for m in MARKERS] + [f"{_BARE_TITLE} = '{c}' OR starts_with({_BARE_TITLE}, '{c} ')" for c in CONCLUDING])
 
-def _occurrences() -> str:
-    """Separators are doubled; a place in the doubled text goes back to what it was by counting half of them."""
+def _placed(pages: str, flexible: bool) -> str:
+    """Tables of the listed occurrences of all keywords in whole documents: o has the pages, d the texts, s the places.
+
+    Separators are doubled; a place in the doubled text goes back to what it was by counting half of them. Of a keyword
+    the first in a document are listed, and one that goes on over a page's end is on the page where it starts.
+    """
     back = lambda x: f"(len({x}) - len(regexp_replace({x}, '[{_WORD}]', '', 'g')) // 2)"
     hits = " UNION ALL ".join(
-        f"SELECT doc_id, '{k}' AS keyword, regexp_extract_all(doubled, '{p}') AS found, string_split_regex(doubled, '{p}') AS gaps FROM g" for k in KEYWORDS for p in [_pattern(k, True)]
+        f"SELECT doc_id, '{k}' AS keyword, regexp_extract_all(doubled, '{p}') AS found, string_split_regex(doubled, '{p}') AS gaps FROM g" for k in KEYWORDS for p in [_pattern(k, flexible)]
     )
     return rf"""
-WITH c AS MATERIALIZED ({_clean(_TURNS)}),
+WITH c AS MATERIALIZED ({pages}),
 o AS (SELECT doc_id, page, coalesce(sum(len(text) + 2) OVER (PARTITION BY doc_id ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a, sum(len(text) + 2) OVER (PARTITION BY doc_id ORDER BY page) AS z FROM c),
 w AS (SELECT doc_id, string_agg(text, repeat(chr(10), 2) ORDER BY page) AS whole FROM c GROUP BY doc_id),
 d AS MATERIALIZED (SELECT doc_id, {_strip('whole')} AS text, CASE WHEN {_strip('whole')} = '' THEN 0 ELSE len(whole) - len(regexp_replace(whole, '^{_S}+', '')) END AS shift FROM w),
@@ -176,13 +180,23 @@ g AS MATERIALIZED (SELECT doc_id, regexp_replace({_fold('text')}, '([^{_WORD}])'
 m AS ({hits}),
 e AS (SELECT doc_id, keyword, len(found) AS total, i, found[i] AS hit, array_to_string(gaps[1:i], '') || array_to_string(found[1:i - 1], '') AS before FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM m)),
 b AS (SELECT *, before || regexp_extract(hit, '^[^{_WORD}]?') AS upto, regexp_replace(hit, '^[^{_WORD}]|[^{_WORD}]$', '', 'g') AS body FROM e),
-s AS (SELECT doc_id, keyword, total, i, {back('upto')} AS start, {back('upto')} + {back('body')} AS stop FROM b WHERE i <= {LISTED}),
+s AS (SELECT doc_id, keyword, total, i, {back('upto')} AS start, {back('upto')} + {back('body')} AS stop FROM b WHERE i <= {LISTED})"""
+
+
+def _occurrences() -> str:
+    return rf"""{_placed(_clean(_TURNS), True)},
 l AS (SELECT s.*, text, shift, greatest(0, start - {WINDOW}) AS l, least(len(text), stop + {WINDOW}) AS r FROM s JOIN d USING (doc_id)),
 y AS (SELECT *, CASE WHEN l > 0 THEN '...' ELSE '' END || replace(text[l + 1:start], chr(10), ' ') || '**' || replace(text[start + 1:stop], chr(10), ' ') || '**' || replace(text[stop + 1:r], chr(10), ' ') || CASE WHEN r < len(text) THEN '...' ELSE '' END AS around FROM l)
 SELECT doc_id, keyword, CAST(total AS INTEGER) AS total, round_even(total * 1000 / greatest(1, {_words('text')}), 2) AS density, CAST(i - 1 AS INTEGER) AS n, coalesce((SELECT min(page) FROM o WHERE o.doc_id = y.doc_id AND greatest(0, a - shift) <= start AND start < greatest(0, z - shift)), (SELECT max(page) FROM o WHERE o.doc_id = y.doc_id)) AS page,
   CAST(NULL AS VARCHAR) AS section, CAST(start AS INTEGER) AS start, CAST(stop AS INTEGER) AS "end", text[start + 1:stop] AS term, {_strip(f"regexp_replace(around, '{_S}{{2,}}', ' ', 'g')")} AS snippet FROM y"""
 
 
+def _listed_by_page() -> str:
+    return rf"""{_placed(_TURNS, False)},
+x AS (SELECT s.doc_id, keyword, i, coalesce(min(page) FILTER (greatest(0, a - shift) <= start AND start < greatest(0, z - shift)), max(page)) AS page FROM s JOIN d USING (doc_id) JOIN o USING (doc_id) GROUP BY s.doc_id, keyword, i)
+SELECT doc_id, page, CAST(count(*) AS INTEGER) AS n, CAST(max(count(*)) OVER (PARTITION BY doc_id) AS INTEGER) AS most FROM x GROUP BY doc_id, page"""
+
+
 #: Chunks of 1500 characters with an overlap of 200, one after the other.
 _CHUNKS = rf"""
 WITH RECURSIVE t AS (SELECT row_number() OVER () AS k, doc_id, {_strip('text')} AS x FROM {_DOCS}),
@@ -214,7 +228,7 @@ t AS (SELECT doc_id, w, unnest(tokens) AS token FROM (SELECT doc_id, {_words('te
 SELECT doc_id, keyword, CAST(count(*) AS INTEGER) AS total, round_even(count(*) * 1000 / greatest(1, w), 2) AS density FROM t JOIN f USING (token) GROUP BY doc_id, w, keyword""",
     "scan_exact_vs_flexible": f"SELECT doc_id, keyword, exact, flexible FROM ({_per_keyword('doc_id', ['licens', 'an'], False, _DOCS, 'exact')}) JOIN ({_per_keyword('doc_id', ['licens', 'an'], True, _DOCS, 'flexible')}) USING (doc_id, keyword)",
     "scan_pages": f"SELECT doc_id, keyword, page, CAST(total AS BIGINT) AS n FROM ({_per_keyword('doc_id, page', KEYWORDS, False, _TURNS)}) WHERE total > 0",
-    "listed_by_page": f"SELECT doc_id, page, CAST(sum(total) AS INTEGER) AS n, CAST(max(sum(total)) OVER (PARTITION BY doc_id) AS INTEGER) AS most FROM ({_per_keyword('doc_id, page', KEYWORDS, False, _TURNS)}) WHERE total > 0 GROUP BY doc_id, page",
+    "listed_by_page": _listed_by_page(),
     "keyword_parse": f"""
 WITH l AS (SELECT DISTINCT source || ', ' || upper(source) || ';"' || lang || '"' || chr(10) || '''Été'', ete,,' || lang AS raw FROM documents),
 p AS (SELECT raw, i, trim(trim({_strip('parts[i]')}, '"'), '''') AS term FROM (SELECT raw, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT raw, string_split_regex(raw, '[,;\\n]+') AS parts FROM l))),
