@@ -2,6 +2,7 @@
 
 import json
 import sys
+import time
 import unicodedata
 
 import pytest
@@ -439,3 +440,19 @@ def test_sql_of_listed_by_page_has_the_listed_ones_and_those_over_a_page_end(spa
     base = duckdb.connect()
     base.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
     assert sorted(base.execute(f"SELECT doc_id, page, n, most FROM ({oracles.ORACLES['listed_by_page']})").fetchall()) == got
+
+
+def test_latin_texts_are_passed_quickly_to_the_native_fold(spark):
+    other = T._tables()[2]
+    codes = [(chr(c),) for c in range(1, 0x3000) if not 0xD800 <= c < 0xE000] + [("a\u00bc",), ("\U0001f600",), (None,)]
+    rows = spark.createDataFrame(codes, "c string")
+    assert rows.filter(~T.folds_simply(F.col("c")).eqNullSafe(~F.col("c").rlike(other))).count() == 0
+    long = spark.range(8).select(F.repeat(F.lit("Une phrase \u00e9tait l\u00e0. "), 20_000).alias("c")).localCheckpoint()
+
+    def seconds(c):
+        begin = time.perf_counter()
+        assert long.filter(c).count() == 8
+        return time.perf_counter() - begin
+
+    slow, quick = (min(seconds(c) for _ in range(3)) for c in (~F.col("c").rlike(other), T.folds_simply(F.col("c"))))
+    assert quick * 2 < slow
