@@ -244,3 +244,13 @@ def test_words_of_many_matches(spark):
     odd = spark.createDataFrame([(1, 1, i, t, float(i), i + 0.5, 1.0, 2.0) for i, t in enumerate(["a", "tele", "medicine", "x\u00a0tele-medicine", "", "tele", "-", "medicine", "b"])], words.schema)
     marks = locate.mark_terms(odd, boxes, ["tele medicine"], False).collect()
     assert sorted((r["rects"][0]["x0"], r["rects"][0]["x1"]) for r in marks) == [(1.0, 2.5), (3.0, 3.5), (5.0, 7.5)]
+
+
+def test_a_page_is_drawn_once_for_its_text_and_its_words(monkeypatch):
+    from vellumspark.sources import pdf, pdf_files
+
+    drawn, draw = [], pdf.Page._draw
+    monkeypatch.setattr(pdf.Page, "_draw", lambda self, *rest: (drawn.append(1), draw(self, *rest))[1])
+    rows = list(pdf_files.page_rows("1", "n", pdf.rendered([["one two"], ["three"]], {})))
+    assert [r[3] for r in rows] == ["one two", "three"] and [len(r[4]) for r in rows] == [2, 1]
+    assert len(drawn) == 2
